@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode, n_ids
 from .common import table
+from .language import fit, identify
 from .packing import pack
+from .private import pseudonymise
+from .secrets import scan
 from .token_files import token_files
+from .urls import Rule, judge
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -34,8 +38,46 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), "doc_id", "text", WORD_VOCABULARY)
 
 
+#: Example key: a caller's own key is a parameter of ``pseudonymise``.
+PSEUDONYM_KEY = "example pseudonym key"
+RULES = (
+    Rule("allow", "com", "/"),
+    Rule("block", "example.com", "/en/"),
+    Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"),
+    Rule("block", "net", "/fr/"),
+)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data pseudonymised: doc_id, text, n_private."""
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", PSEUDONYM_KEY)
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every page's url."""
+    return judge(table(spark, sf_dir, "pages"), "page_id", "url", RULES)
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Documents that language identification never learns from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from the labelled documents that are not held out; predict every document's language."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.filter(~held_out()), "doc_id", "text", "lang")
+    return identify(docs, "text", model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_packing, op8_token_files)}
+    return {f.__name__: f for f in (op1_bpe, op3_packing, op5_pii, op7_urls, op8_token_files, op9_language, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
