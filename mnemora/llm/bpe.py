@@ -22,8 +22,11 @@ from tokenizers import Tokenizer
 
 from .common import slices
 
-#: Distinct pretokens kept between batches of a Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 250_000
+#: Distinct pretokens kept between batches of a Python worker (about 200 bytes each); beyond it only those of the last batch stay.
+CACHE_WORDS = 600_000
+
+#: A pair's key is left << SHIFT | right; symbols from WALL on are no ids.
+SHIFT, WALL, GONE = 20, 1 << 19, (1 << 19) + 1
 
 #: The public byte-level pretoken pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,13 +51,14 @@ class PairIndexBPE:
         vocab, of_byte = spec["model"]["vocab"], byte_symbols()
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.first = [0] * 256
+        self.first = np.zeros(256, np.int64)
         for shown, b in of_byte.items():
             self.first[b] = vocab[shown]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
+        self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+        self.rank_of = {a << SHIFT | b: rank for rank, (a, b, _) in reversed(list(enumerate(self.merges)))}
+        self.keys = np.array(sorted(self.rank_of), np.int64)
+        self.ranks = np.array([self.rank_of[k] for k in self.keys.tolist()], np.int64)
         self.tokens = [b""] * (1 + max([*vocab.values(), *self.added.values()]))
         for shown, i in vocab.items():
             self.tokens[i] = bytes(of_byte[c] for c in shown)
@@ -74,62 +78,58 @@ class PairIndexBPE:
         return self.exotic.pre_tokenize_str(text)
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as packed little-endian unsigned 32-bit integers."""
+        """Ids of each word as packed little-endian unsigned 32-bit integers.
+
+        Symbols lie in one flat sequence, a wall before each word and at the end; ``before`` and
+        ``after`` link those that are left. ``index`` has the positions of each rank's pair.
+        """
         raw = [w.encode() for w in words]
-        symbol: list[int] = []
-        starts: list[int] = []
-        for w in raw:
-            starts.append(len(symbol))
-            symbol.extend(map(self.first.__getitem__, w))
-            symbol.append(-1)  # a wall that no pair crosses
-        n = len(symbol)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        merges, index, active = self.merges, {}, []
-        for i in range(n - 1):
-            pair = (symbol[i], symbol[i + 1])
-            if pair in merges:
-                index.setdefault(pair, []).append(i)
-        active = [(merges[p][0], p) for p in index]
-        heapq.heapify(active)
-        while active:
-            _, pair = heapq.heappop(active)
-            places = index.pop(pair, None)
-            if places is None:
-                continue
-            left, right = pair
-            made = merges[pair][1]
-            places.sort()
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        flat = np.full(int(lengths.sum()) + len(raw) + 1, WALL, np.int64)
+        inside = np.ones(len(flat), bool)
+        inside[np.cumsum(np.concatenate([[0], lengths + 1]))] = False
+        flat[inside] = self.first[np.frombuffer(b"".join(raw), np.uint8)]
+        keys = flat[:-1] << SHIFT | flat[1:]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hits = np.flatnonzero(self.keys[at] == keys)
+        ranks = self.ranks[at[hits]]
+        order = np.argsort(ranks, kind="stable")
+        active, starts = np.unique(ranks[order], return_index=True)
+        index: dict[int, list[int]] = dict(zip(active.tolist(), (x.tolist() for x in np.split(hits[order], starts[1:])), strict=True)) if len(hits) else {}
+        heap, symbol, get = active.tolist(), flat.tolist(), self.rank_of.get
+        before, after = list(range(-1, len(symbol) - 1)), list(range(1, len(symbol) + 1))
+        while heap:
+            rank = heapq.heappop(heap)
+            left, right, made = self.merges[rank]
+            places = index.pop(rank)
+            if left == right:
+                places.sort()  # only then can occurrences overlap: the leftmost goes first
+            ahead = made << SHIFT
             for i in places:
                 j = after[i]
-                if symbol[i] != left or j >= n or symbol[j] != right:
+                if symbol[i] != left or symbol[j] != right:
                     continue  # an earlier merge took one of the two
-                symbol[i], symbol[j] = made, -2
+                symbol[i], symbol[j] = made, GONE
                 k = after[j]
-                after[i] = k
-                if k < n:
-                    before[k] = i
-                    new = (made, symbol[k])
-                    if new in merges:
-                        if (old := index.get(new)) is None:
-                            index[new] = [i]
-                            heapq.heappush(active, (merges[new][0], new))
-                        else:
-                            old.append(i)
+                after[i], before[k] = k, i
+                if (r := get(ahead | symbol[k])) is not None:
+                    if r in index:
+                        index[r].append(i)
+                    else:
+                        index[r] = [i]
+                        heapq.heappush(heap, r)
                 h = before[i]
-                if h >= 0:
-                    new = (symbol[h], made)
-                    if new in merges:
-                        if (old := index.get(new)) is None:
-                            index[new] = [h]
-                            heapq.heappush(active, (merges[new][0], new))
-                        else:
-                            old.append(h)
+                if (r := get(symbol[h] << SHIFT | made)) is not None:
+                    if r in index:
+                        index[r].append(h)
+                    else:
+                        index[r] = [h]
+                        heapq.heappush(heap, r)
         flat = np.array(symbol, np.int64)
-        out = []
-        for a, w in zip(starts, raw, strict=True):
-            own = flat[a : a + len(w)]
-            out.append(own[own >= 0].astype("<u4").tobytes())
-        return out
+        ids = flat < WALL
+        ends = np.cumsum(ids)[np.flatnonzero(flat == WALL)] * 4
+        packed, ends = flat[ids].astype("<u4").tobytes(), ends.tolist()
+        return [packed[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; strings of added tokens become their single ids."""
@@ -142,9 +142,10 @@ class PairIndexBPE:
                 elif piece:
                     own.append(self.pretokens(piece))
             parts.append(own)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        fresh = list({w for own in parts for p in own if not isinstance(p, bytes) for w in p} - self.cache.keys())
+        seen = {w for own in parts for p in own if not isinstance(p, bytes) for w in p}
+        fresh = list(seen - self.cache.keys())
+        if len(self.cache) + len(fresh) > CACHE_WORDS:
+            self.cache = {w: self.cache[w] for w in seen & self.cache.keys()}
         self.cache.update(zip(fresh, self.encode_words(fresh), strict=True))
         got = self.cache.__getitem__
         return [b"".join(p if isinstance(p, bytes) else b"".join(map(got, p)) for p in own) for own in parts]
