@@ -9,7 +9,9 @@ of a range of documents without the rest.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import byte_symbols
 from .common import fresh_path, list_array, slices
 
 #: Bytes of text meant for one shard, and so one file.
 SHARD_BYTES = 48_000_000
-CACHE_WORDS = 250_000
+#: Distinct runs of text that a Python worker keeps (about 200 bytes each); beyond it only those of the last batch stay.
+CACHE_RUNS = 500_000
 
 #: Characters whose lower case, normal form and class do not depend on their neighbours.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]*")
@@ -45,25 +49,40 @@ FILE_FORMAT = {
 
 
 class WordTokenizer:
-    """A word-level BPE vocabulary file; words repeat, so each distinct one is encoded by the library once."""
+    """A word-level BPE vocabulary file. No token crosses white space and runs between it repeat, so the
+    library encodes the words of each distinct run once.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker a core already
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
+        self.model = self.whole.model
+        self.shown = {b: c for c, b in byte_symbols().items()}
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def encode_runs(self, runs: list[str]) -> list[bytes]:
+        """Packed ids of runs of plain lower-case text without white space."""
+        words = [WORDS.findall(r) for r in runs]
+        known = {}
+        for w in {w for own in words for w in own}:  # normalised and split already, so the library's model alone is wanted
+            shown = w if w.isascii() else w.encode().decode("latin-1").translate(self.shown)
+            known[w] = array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        got = known.__getitem__
+        return [got(own[0]) if len(own) == 1 else b"".join(map(got, own)) for own in words]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the library gives them with add_special_tokens=False."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        words = [WORDS.findall(t.lower()) if PLAIN.fullmatch(t) and not any(a in t for a in self.added) else None for t in texts]
-        fresh = list({w for own in words if own for w in own} - self.cache.keys())
-        for w, got in zip(fresh, self.whole.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(got.ids, "<i4").tobytes()
-        got = self.cache.__getitem__
-        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<i4") if own is None else np.frombuffer(b"".join(map(got, own)), "<i4") for t, own in zip(texts, words, strict=True)]
+        runs = [t.lower().split() if PLAIN.fullmatch(t) and not any(a in t for a in self.added) else None for t in texts]
+        seen = set().union(*(own for own in runs if own))
+        fresh = list(seen - self.runs.keys())
+        if len(self.runs) + len(fresh) > CACHE_RUNS:
+            self.runs = {w: self.runs[w] for w in seen & self.runs.keys()}
+        self.runs.update(zip(fresh, self.encode_runs(fresh), strict=True))
+        got = self.runs.__getitem__
+        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<i4") if own is None else np.frombuffer(b"".join(map(got, own)), "<i4") for t, own in zip(texts, runs, strict=True)]
 
 
 @functools.lru_cache(4)
