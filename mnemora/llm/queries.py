@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode, n_ids
 from .common import table
 from .language import fit, identify
+from .neighbours import nearest
 from .packing import pack
 from .private import pseudonymise
 from .secrets import scan
 from .token_files import token_files
 from .urls import Rule, judge
+from .vector_dedup import vector_dedup
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +30,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", n_ids(F.col("ids_le")).alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector, against all vectors."""
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 10)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack every document into sequences of 1024."""
     return pack(table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_VOCABULARY, 1024, 0)
@@ -38,6 +45,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), "doc_id", "text", WORD_VOCABULARY)
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors with cosine of at least 0.9."""
+    return vector_dedup(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.9)
+
+
 #: Example key: a caller's own key is a parameter of ``pseudonymise``.
 PSEUDONYM_KEY = "example pseudonym key"
 RULES = (
@@ -77,7 +89,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_packing, op5_pii, op7_urls, op8_token_files, op9_language, op10_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op2_neighbours, op3_packing, op4_vector_dedup, op5_pii, op7_urls, op8_token_files, op9_language, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
