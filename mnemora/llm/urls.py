@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Parts that a host's pages are dealt to when they meet its reputation: a third of all pages may share one host.
 SALTS = 16
 
@@ -123,7 +125,7 @@ def judge(pages: DataFrame, id_col: str, url_col: str, rules: Sequence[Rule], p:
     ruled = seen.withColumn("_rule", best_rule(F.col("host"), F.col("path"), rules))
     labelled = F.col("_rule").isNotNull().cast("double")
     good = (F.coalesce(F.col("_rule.verdict"), F.lit("")) == "allow").cast("double")
-    outcomes = ruled.groupBy("host").agg(F.sum(labelled).alias("n"), F.sum(good).alias("good"))
+    outcomes = materialise(ruled.groupBy("host").agg(F.sum(labelled).alias("n"), F.sum(good).alias("good")), "hosts")
     salted = reputations(outcomes, p).select("host", "bound", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     dealt = ruled.withColumn("_salt", F.pmod(F.xxhash64("_id", "path"), F.lit(SALTS)).cast("int"))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bound") >= p.threshold, "allow").otherwise("block"))

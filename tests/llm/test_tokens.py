@@ -146,11 +146,19 @@ def test_token_files_odd_rows(spark, tmp_path):
     some = token_files.read_tokens(spark, path, 2, 4, ["doc_id", "n_tokens"])
     assert "PushedFilters: [IsNotNull(doc_id)" in some._jdf.queryExecution().toString() and "ids" not in some._jdf.queryExecution().toString().split("ReadSchema")[1]
     assert sorted(r.doc_id for r in some.collect()) == [2, 3, 3, 4]
+    assert token_files.token_files(df.filter("false"), "doc_id", "text", WORD).count() == 0
+
+
+def test_token_file_encodings(spark, tmp_path):
+    """Dictionary pages for ids, delta encoding for metadata, page indexes for both."""
     import glob
 
     import pyarrow.parquet as pq
 
-    group = max((pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")), key=lambda m: m.num_rows and m.row_group(0).total_byte_size).row_group(0)
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text", WORD, path)
+    group = max((pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")), key=lambda m: m.num_rows).row_group(0)
     by = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
-    assert "DELTA_BINARY_PACKED" in by["doc_id"].encodings and "RLE_DICTIONARY" in by["ids.list.element"].encodings and by["doc_id"].has_offset_index
-    assert token_files.token_files(df.filter("false"), "doc_id", "text", WORD).count() == 0
+    ids = next(v for k, v in by.items() if k.startswith("ids."))
+    assert "RLE_DICTIONARY" in ids.encodings and "DELTA_BINARY_PACKED" in by["doc_id"].encodings
+    assert ids.has_offset_index and by["doc_id"].has_offset_index and by["doc_id"].has_column_index
