@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode, n_ids
 from .common import table
+from .jaccard import jaccard_join
 from .language import fit, identify
 from .neighbours import nearest
 from .packing import pack
@@ -66,6 +67,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", PSEUDONYM_KEY)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes and links of all documents: five-word shingles, similarity of at least 0.8."""
+    return jaccard_join(table(spark, sf_dir, "documents"), "doc_id", "text", 5, 0.8)
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every page's url."""
     return judge(table(spark, sf_dir, "pages"), "page_id", "url", RULES)
@@ -89,7 +95,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_neighbours, op3_packing, op4_vector_dedup, op5_pii, op7_urls, op8_token_files, op9_language, op10_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op2_neighbours, op3_packing, op4_vector_dedup, op5_pii, op6_jaccard, op7_urls, op8_token_files, op9_language, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
