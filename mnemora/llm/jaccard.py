@@ -128,7 +128,7 @@ def signatures(column: pa.Array) -> np.ndarray:
 
 
 def features(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, key, check, n, sig): a 128-bit fingerprint of each text's set, its size and its signature; n = 0 for texts without words."""
+    """(id, text_hash, key, check, n, sig): a 128-bit fingerprint of each text's set, its size and its signature; n = 0 for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,10 +137,12 @@ def features(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                 key = np.array([mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s)) for s in sets], np.uint64).view(np.int64)
                 check = np.array([mix(s ^ BASE).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 sign = [signature(s).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(key), pa.array(check), pa.array([len(s) for s in sets], pa.int64()), pa.array(sign, pa.binary())], ["id", "key", "check", "n", "sig"])
+                kept = [batch.column(i).slice(first, len(texts)) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(key), pa.array(check), pa.array([len(s) for s in sets], pa.int64()), pa.array(sign, pa.binary())], ["id", "text_hash", "key", "check", "n", "sig"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, key long, check long, n long, sig binary")
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(run, "id long, text_hash long, key long, check long, n long, sig binary")
 
 
 def first_nodes(sets: DataFrame, runs: int) -> DataFrame:
@@ -320,8 +322,9 @@ def verify(size: int, threshold: float):
 
 
 def jaccard_join(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, threshold: float = 0.8, recall: float = RECALL) -> DataFrame:
-    """(id, class_id, n_links, kept): each document's class (the smallest id reachable by links), how many other
-    documents it links with (Jaccard similarity of shingle sets >= threshold), and whether it is its class's first.
+    """(id, class_id, n_links, kept, text_hash): each document's class (the smallest id reachable by links), how many other
+    documents it links with (Jaccard similarity of shingle sets >= threshold), whether it is its class's first, and
+    the ``xxhash64`` of its text, with which decisions can be joined back where ids repeat.
 
     Null, empty and wordless texts link with nothing and are their own class; rows with a null id
     link with nothing, have a null class and are kept. Rows that repeat an id stay, a row each.
@@ -349,6 +352,14 @@ def jaccard_join(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE,
     named = named.join(first, "component").join(totals, "key", "left")
     named = named.select("key", "check", "class_id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     usable = (F.col("n") > 0) & F.col("id").isNotNull()
-    out = rows.select("id", F.when(usable, F.col("key")).alias("key"), "check").join(named, ["key", "check"], "left")
+    out = rows.select("id", "text_hash", F.when(usable, F.col("key")).alias("key"), "check").join(named, ["key", "check"], "left")
     class_id = F.coalesce("class_id", "id")
-    return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(class_id == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(class_id == F.col("id"), F.lit(True)).alias("kept"), "text_hash")
+
+
+def drop_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, threshold: float = 0.8, recall: float = RECALL) -> DataFrame:
+    """``df`` without the documents that ``jaccard_join`` does not keep; all columns stay. Rows that repeat both id and text share one decision."""
+    gone = jaccard_join(df, id_col, text_col, size, threshold, recall).filter("not kept").select(F.col(id_col).alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    gone = materialise(gone, "gone")
+    match = (F.col(id_col).cast("long") == F.col("_gone")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash"))
+    return df.join(gone, match, "left_anti")

@@ -152,3 +152,9 @@ def identify(df: DataFrame, text_col: str, model: LanguageModel, keep: list[str]
     schema = "".join(f"{n} {chosen.schema[n].dataType.simpleString()}, " for n in names)
     out = chosen.mapInArrow(run, f"{schema}lang_pred string, score double")
     return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "lang_pred", "score")
+
+
+def keep_identified(df: DataFrame, text_col: str, model: LanguageModel, least: float) -> DataFrame:
+    """``df`` without the rows whose language is unknown or predicted with a score below ``least``; columns stay as they are."""
+    found = identify(df, text_col, model, df.columns)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*df.columns)

@@ -69,7 +69,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes and links of all documents: five-word shingles, similarity of at least 0.8."""
-    return jaccard_join(table(spark, sf_dir, "documents"), "doc_id", "text", 5, 0.8)
+    return jaccard_join(table(spark, sf_dir, "documents"), "doc_id", "text", 5, 0.8).select("doc_id", "class_id", "n_links", "kept")
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def test_large_groups_split_and_tiled(spark, monkeypatch):
 def test_odd_tables(spark):
     schema = "doc_id long, text string, sig string"
     df = spark.createDataFrame([(1, "a b c d e f", None), (1, "a b c d e f", None), (1, "other words than those here", None), (2, "a b c d e f", "x"), (None, "a b c d e f", None), (3, None, None), (4, "", None)], schema)
-    got = sorted((tuple(r) for r in jaccard.jaccard_join(df, "doc_id", "text").collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in jaccard.jaccard_join(df, "doc_id", "text").collect()), key=str)
     assert got == sorted([(1, 1, 2, True), (1, 1, 2, True), (1, 1, 0, True), (2, 1, 2, False), (None, None, 0, True), (3, 3, 0, True), (4, 4, 0, True)], key=str)
     assert jaccard.jaccard_join(df.filter("false"), "doc_id", "text").count() == 0
 
