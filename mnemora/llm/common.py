@@ -57,19 +57,24 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) pieces of an Arrow string column, bounded in rows and characters; null counts as empty."""
+def text_slices(texts: pa.Array, most_rows: int = SLICE_ROWS, most_bytes: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """(first row, rows) pieces of an Arrow string column, bounded in rows and bytes; a longer text is a piece by itself."""
     start, n = 0, len(texts)
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths, dtype=np.int64)
     while start < n:
-        stop, chars = start, 0
-        while stop < n and stop - start < SLICE_ROWS and (chars < SLICE_CHARS or stop == start):
-            chars += int(lengths[stop])
-            stop += 1
-        yield start, [x or "" for x in texts.slice(start, stop - start).to_pylist()]
+        room = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most_bytes, "right"))
+        stop = min(n, start + most_rows, max(room, start + 1))
+        yield start, stop - start
         start = stop
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of such pieces; null counts as empty."""
+    for start, rows in text_slices(texts):
+        yield start, [x or "" for x in texts.slice(start, rows).to_pylist()]
+
+
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     """An Arrow list column from one NumPy array a row, without Python objects."""
     offsets = np.zeros(len(parts) + 1, np.int32)

@@ -16,21 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_symbols
-from .common import fresh_path, list_array, slices
+from .common import fresh_path, text_slices
 
 #: Bytes of text meant for one shard, and so one file.
 SHARD_BYTES = 48_000_000
 #: Distinct runs of text that a Python worker keeps (about 200 bytes each); beyond it only those of the last batch stay.
-CACHE_RUNS = 500_000
+CACHE_RUNS = 300_000
 
 #: Characters whose lower case, normal form and class do not depend on their neighbours.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]*")
+PLAIN = r"^[\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]*$"
 #: The public word pattern of this kind of vocabulary.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Ids by dictionary pages, metadata by delta encoding; sizes of row groups and pages.
@@ -73,16 +74,35 @@ class WordTokenizer:
         got = known.__getitem__
         return [got(own[0]) if len(own) == 1 else b"".join(map(got, own)) for own in words]
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as the library gives them with add_special_tokens=False."""
-        runs = [t.lower().split() if PLAIN.fullmatch(t) and not any(a in t for a in self.added) else None for t in texts]
-        seen = set().union(*(own for own in runs if own))
-        fresh = list(seen - self.runs.keys())
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many of each text): as the library gives them with add_special_tokens=False; null counts as empty.
+
+        Plain texts are lowered, split and reduced to distinct runs inside Arrow; Python sees each distinct run of the batch once.
+        """
+        texts = pc.fill_null(texts, "")
+        plain = pc.match_substring_regex(texts, PLAIN)
+        for a in self.added:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, a)))
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(plain, texts, "")))
+        coded = split.flatten().dictionary_encode()
+        number, runs = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        fresh = [r for r in runs if r not in self.runs]
         if len(self.runs) + len(fresh) > CACHE_RUNS:
-            self.runs = {w: self.runs[w] for w in seen & self.runs.keys()}
+            self.runs = {r: self.runs[r] for r in runs if r in self.runs}
         self.runs.update(zip(fresh, self.encode_runs(fresh), strict=True))
-        got = self.runs.__getitem__
-        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<i4") if own is None else np.frombuffer(b"".join(map(got, own)), "<i4") for t, own in zip(texts, runs, strict=True)]
+        own = [self.runs[r] for r in runs]
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat, first = np.frombuffer(b"".join(own), "<i4"), np.cumsum(size) - size
+        n = size[number]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(first[number] - ends[:-1], n) + np.arange(ends[-1])]
+        stops = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        if (odd := np.flatnonzero(~plain.to_numpy(zero_copy_only=False))).size:
+            parts = [ids[a:b] for a, b in zip(stops, stops[1:], strict=False)]
+            for i in odd.tolist():
+                parts[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, "<i4")
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, np.diff(stops)
 
 
 @functools.lru_cache(4)
@@ -111,17 +131,22 @@ def write_tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: str, pat
     bounds = shard_bounds(docs, shard_bytes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(vocabulary)
-        tail, start = np.array([] if end_id is None else [end_id], "<i4"), 0
+        tok, start = tokenizer(vocabulary), 0
+        extra = end_id is not None
         for batch in batches:
-            for first, texts in slices(batch.column(2)):
-                ids = [np.concatenate([x, tail]) for x in tok.encode_batch(texts)]
-                n = np.array([len(x) for x in ids], np.int64)
-                starts = start + np.cumsum(n) - n
-                start += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array(starts), batch.column(1).slice(first, len(texts)), pa.array(n), list_array(ids, pa.int32())], ["shard", "shard_start", "doc_id", "n_tokens", "ids"]
-                )
+            for first, rows in text_slices(batch.column(2), 8192, 8_000_000):
+                ids, n = tok.encode_batch(batch.column(2).slice(first, rows))
+                n = n + extra
+                stops = np.concatenate([[0], np.cumsum(n)])
+                if extra:
+                    last = np.zeros(stops[-1], bool)
+                    last[stops[1:] - 1] = True
+                    whole = np.full(stops[-1], end_id, np.int32)
+                    whole[~last] = ids
+                    ids = whole
+                column = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(start + stops[:-1]), batch.column(1).slice(first, rows), pa.array(n), column], ["shard", "shard_start", "doc_id", "n_tokens", "ids"])
+                start += int(stops[-1])
 
     dealt = docs.withColumn("shard", _search(bounds)).repartitionById(len(bounds) + 1, F.col("shard"))
     ordered = dealt.sortWithinPartitions("doc_id", "text").select("shard", "doc_id", "text")
