@@ -44,7 +44,9 @@ class Forest:
         return x @ self.normals.T - self.offsets
 
     def index(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of every vector in every tree."""
+        """The leaf of every vector in every tree; margins are made for some hundred vectors at a time."""
+        if len(x) > 512:
+            return np.concatenate([self.index(x[i : i + 512]) for i in range(0, len(x), 512)])
         if not len(self.normals):
             return np.repeat(-1 - self.roots[None, :], len(x), 0)
         side = (self.margins(x) >= 0).astype(np.int64)
