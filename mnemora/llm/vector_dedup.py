@@ -24,7 +24,7 @@ from .vectors import bounded_sample, usable
 
 BLOCK_DIMS = 16
 #: Rows of either side of a tile; a fuller cell is dealt over several tiles.
-TILE = 8192
+TILE = 32_768
 #: A cell is split only where at most this share of it lies within reach of both halves.
 OVERLAP = 0.5
 
