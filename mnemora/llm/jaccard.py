@@ -89,12 +89,12 @@ MULTIPLIERS = mix(np.arange(1001, 1001 + SIGNATURE, dtype=np.uint64)) | np.uint6
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """The smallest of each of SIGNATURE hashes over a set, shortened to 32 bits."""
+    """The smallest of each of SIGNATURE hashes over a set, shortened to a byte: unequal ones agree once in 256."""
     least = np.full(SIGNATURE, np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(own), 4096):
         part = own[at : at + 4096, None] * MULTIPLIERS[None, :]
         least = np.minimum(least, (part ^ (part >> np.uint64(29))).min(0))
-    return (mix(least) >> np.uint64(32)).astype(np.uint32)
+    return (mix(least) >> np.uint64(56)).astype(np.uint8)
 
 
 def reached(threshold: float, depth: int, branching: float = BRANCHING) -> float:
@@ -124,7 +124,7 @@ def split(node: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(column: pa.Array) -> np.ndarray:
     """A binary column of signatures as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNATURE)
 
 
 def features(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -205,42 +205,53 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (node, key, sig, centre, centre_sig): whether each is tied to its node's centre, and whether it is no core, so it may still split."""
+    for batch in batches:
+        alike = (signatures(batch.column(2)) == signatures(batch.column(4))).mean(1) if len(batch) else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(alike >= NEAR_CENTRE), pa.array(alike < CORE)], ["node", "key", "centre", "tied", "stays"])
+
+
 def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (node, key, sig, centre, centre_sig) of large nodes: ties to the centre, and the children of those that stay (node 0 marks a tie)."""
+    """From rows (node, key, sig, free): (key, node, free) one level further down."""
     for batch in batches:
-        for at in range(0, len(batch), 2048):
-            part = batch.slice(at, 2048)
-            node, key, centre = (part.column(i).to_numpy() for i in (0, 1, 3))
-            sign = signatures(part.column(2))
-            alike = (sign == signatures(part.column(4))).mean(1)
-            tied = (alike >= NEAR_CENTRE) & (key != centre)
-            rest = np.flatnonzero(alike < CORE)
-            row, child = split(node[rest].view(np.uint64), sign[rest])
-            child = child.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[tied], key[rest[row]]])), pa.array(np.concatenate([np.zeros(tied.sum(), np.int64), child])), pa.array(np.concatenate([centre[tied], np.zeros(len(child), np.int64)]))], ["key", "node", "centre"])
+        for at in range(0, len(batch), 8192):
+            part = batch.slice(at, 8192)
+            row, child = split(part.column(0).to_numpy().view(np.uint64), signatures(part.column(2)))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part.column(1).take(take), pa.array(child.view(np.int64)), part.column(3).take(take)], ["key", "node", "free"])
 
 
 def ties(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(src, dst): pairs of keys that connect every group of sets with links, as the trees find them."""
-    found, level = [], first_nodes(sets, runs_needed(threshold, recall))
+    """(src, dst): pairs of keys that connect every group of sets with links, as the trees find them.
+
+    Sets tied to one centre are connected already, so a node goes on only if some of its sets are
+    free, that is, not tied: a large group of near copies leaves the trees at its first centre.
+    """
+    found, sign = [], sets.select("key", "sig")
+    level = first_nodes(sets, runs_needed(threshold, recall)).withColumn("free", F.lit(True))
     for depth in range(FIRST_DEPTH, LAST_DEPTH + 1):
         level = materialise(level, "nodes")
-        shared = level.groupBy("node").agg(F.count("*").alias("size"), F.min("key").alias("centre")).filter("size > 1")
-        shared = materialise(shared, "shared")
-        rows = level.join(shared, "node").join(sets.select("key", "sig"), "key")
-        small = rows.filter(F.col("size") <= SMALL).select("node", "key", "sig").repartition("node").sortWithinPartitions("node", "key")
+        shared = level.groupBy("node").agg(F.count("*").alias("size"), F.min("key").alias("centre"), F.max("free").alias("open"))
+        shared = materialise(shared.filter("size > 1 and open").drop("open"), "shared")
+        rows = level.join(shared, "node")
+        small = rows.filter(F.col("size") <= SMALL).select("key", "node").join(sign, "key").select("node", "key", "sig")
+        small = small.repartition("node").sortWithinPartitions("node", "key")
         found.append(materialise(small.mapInArrow(small_ties, "src long, dst long").distinct(), "ties"))
-        large = shared.filter(F.col("size") > SMALL)
+        large = shared.filter(F.col("size") > SMALL).select("node", "centre")
         if not large.take(1):
             break
-        centres = large.join(sets.select(F.col("key").alias("centre"), F.col("sig").alias("centre_sig")), "centre").select("node", "centre", "centre_sig")
+        big = rows.filter(F.col("size") > SMALL).select("key", "node")
         if depth == LAST_DEPTH:
-            found.append(level.join(centres.select("node", "centre"), "node").filter("key <> centre").select(F.col("key").alias("src"), F.col("centre").alias("dst")).distinct())
+            found.append(big.join(large, "node").filter("key <> centre").select(F.col("key").alias("src"), F.col("centre").alias("dst")).distinct())
             break
-        big = rows.filter(F.col("size") > SMALL).select("node", "key", "sig").join(centres, "node").select("node", "key", "sig", "centre", "centre_sig")
-        below = materialise(big.mapInArrow(descend, "key long, node long, centre long"), "below")
-        found.append(below.filter("node = 0").select(F.col("key").alias("src"), F.col("centre").alias("dst")).distinct())
-        level = below.filter("node <> 0").select("key", "node")
+        centres = large.join(sign.select(F.col("key").alias("centre"), F.col("sig").alias("centre_sig")), "centre")
+        paired = big.join(sign, "key").join(centres, "node").select("node", "key", "sig", "centre", "centre_sig")
+        scored = materialise(paired.mapInArrow(compare, "node long, key long, centre long, tied boolean, stays boolean"), "scored")
+        found.append(scored.filter("tied and key <> centre").select(F.col("key").alias("src"), F.col("centre").alias("dst")).distinct())
+        going = scored.groupBy("node").agg(F.max(~F.col("tied")).alias("open")).filter("open").select("node")
+        staying = scored.filter("stays").select("node", "key", (~F.col("tied")).alias("free")).join(going, "node").join(sign, "key")
+        level = staying.select("node", "key", "sig", "free").mapInArrow(descend, "key long, node long, free boolean")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -342,7 +353,8 @@ def jaccard_join(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE,
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "key", "w", "rep")
     texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    tiles = dealt.join(texts, "rep").select("component", "i", "j", "second", "key", "w", "text")
+    # one plan for every size: the texts are dealt by id, also where the members would be few enough to broadcast
+    tiles = dealt.join(texts.hint("merge"), "rep").select("component", "i", "j", "second", "key", "w", "text")
     tiles = tiles.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     links = materialise(tiles.mapInArrow(verify(size, threshold), "key long, n long, to long"), "links")
     totals = links.groupBy("key").agg(F.sum("n").alias("n"))
