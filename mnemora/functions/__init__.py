@@ -1 +1 @@
-
+"""Column functions: text, scores, vectors, normalisation."""

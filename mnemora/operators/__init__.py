@@ -1 +1 @@
-
+"""DataFrame operators: recall, consolidation, events, reports, ingest."""
