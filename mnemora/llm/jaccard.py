@@ -374,4 +374,4 @@ def drop_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = SHING
     gone = jaccard_join(df, id_col, text_col, size, threshold, recall).filter("not kept").select(F.col(id_col).alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
     gone = materialise(gone, "gone")
     match = (F.col(id_col).cast("long") == F.col("_gone")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash"))
-    return df.join(gone, match, "left_anti")
+    return df.hint("merge").join(gone, match, "left_anti")  # as at every size: no broadcast of decisions
