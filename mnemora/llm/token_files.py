@@ -28,7 +28,7 @@ from .common import fresh_path, text_slices
 #: Bytes of text meant for one shard, and so one file.
 SHARD_BYTES = 48_000_000
 #: Distinct runs of text that a Python worker keeps (about 200 bytes each); beyond it only those of the last batch stay.
-CACHE_RUNS = 300_000
+CACHE_RUNS = 200_000
 
 #: Characters whose lower case, normal form and class do not depend on their neighbours.
 PLAIN = r"^[\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]*$"
@@ -64,15 +64,19 @@ class WordTokenizer:
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.runs: dict[str, bytes] = {}
 
-    def encode_runs(self, runs: list[str]) -> list[bytes]:
-        """Packed ids of runs of plain lower-case text without white space."""
-        words = [WORDS.findall(r) for r in runs]
-        known = {}
-        for w in {w for own in words for w in own}:  # normalised and split already, so the library's model alone is wanted
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """Packed ids of words that are normalised and split already, so the library's model alone is wanted."""
+        tokenize, out = self.model.tokenize, {}
+        for w in words:
             shown = w if w.isascii() else w.encode().decode("latin-1").translate(self.shown)
-            known[w] = array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        got = known.__getitem__
-        return [got(own[0]) if len(own) == 1 else b"".join(map(got, own)) for own in words]
+            out[w] = array("i", [t.id for t in tokenize(shown)]).tobytes()
+        return out
+
+    def encode_runs(self, runs: list[str]) -> list[bytes]:
+        """Packed ids of runs of plain lower-case text without white space; most are a word, or a word and a stop."""
+        split = [(r,) if r.isalpha() else (r[:-1], r[-1]) if r[:-1].isalpha() and r[-1] in ".," else WORDS.findall(r) for r in runs]
+        got = self.encode_words({w for own in split for w in own}).__getitem__
+        return [got(own[0]) if len(own) == 1 else b"".join(map(got, own)) for own in split]
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many of each text): as the library gives them with add_special_tokens=False; null counts as empty.
@@ -91,18 +95,20 @@ class WordTokenizer:
             self.runs = {r: self.runs[r] for r in runs if r in self.runs}
         self.runs.update(zip(fresh, self.encode_runs(fresh), strict=True))
         own = [self.runs[r] for r in runs]
-        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        flat, first = np.frombuffer(b"".join(own), "<i4"), np.cumsum(size) - size
+        size = np.fromiter(map(len, own), np.int32, len(own)) // 4
+        flat, first = np.frombuffer(b"".join(own), "<i4"), np.cumsum(size, dtype=np.int32) - size
         n = size[number]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(first[number] - ends[:-1], n) + np.arange(ends[-1])]
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])
+        places = np.repeat(first[number] - ends[:-1], n)
+        places += np.arange(ends[-1], dtype=np.int32)
+        ids = flat[places]
         stops = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
         if (odd := np.flatnonzero(~plain.to_numpy(zero_copy_only=False))).size:
             parts = [ids[a:b] for a, b in zip(stops, stops[1:], strict=False)]
             for i in odd.tolist():
                 parts[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, "<i4")
             return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
-        return ids, np.diff(stops)
+        return ids, np.diff(stops).astype(np.int64)
 
 
 @functools.lru_cache(4)
@@ -134,7 +140,7 @@ def write_tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: str, pat
         tok, start = tokenizer(vocabulary), 0
         extra = end_id is not None
         for batch in batches:
-            for first, rows in text_slices(batch.column(2), 8192, 8_000_000):
+            for first, rows in text_slices(batch.column(2), 8192, 4_000_000):
                 ids, n = tok.encode_batch(batch.column(2).slice(first, rows))
                 n = n + extra
                 stops = np.concatenate([[0], np.cumsum(n)])
