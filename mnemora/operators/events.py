@@ -6,7 +6,7 @@ of one instant. Operations: add, update, supersede, merge, delete, access.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SET = ["content", "category", "subcategory", "confidence", "expires_at"]
@@ -49,9 +49,7 @@ def fold(events: DataFrame) -> DataFrame:
 
 def audit(events: DataFrame, limit: int = 100) -> DataFrame:
     """The newest ``limit`` (1 to 500) audited events of each user; accesses and rescoring are not audited."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("user_id").orderBy(F.col("at").desc(), F.col("seq").desc())
+    order = Window.partitionBy("user_id").orderBy(F.col("at").desc(), F.col("seq").desc(), "memory_id")
     n = max(1, min(500, limit))
     kept = events.filter(F.col("operation").isin("add", "update", "delete", "supersede", "merge"))
     return kept.withColumn("position", F.row_number().over(order).cast("long")).filter(F.col("position") <= n)

@@ -100,7 +100,7 @@ def filter_include_superseded(spark, d):
     return filtered(spark, d, include_superseded=True)
 
 
-@query(sql("SELECT user_id, count(*) AS stored, CAST(sum(CAST(expires_at <= now.now AS INT)) AS BIGINT) AS expired, CAST(sum(CAST(superseded_by IS NOT NULL AS INT)) AS BIGINT) AS superseded FROM mem CROSS JOIN now WHERE deleted_at IS NULL GROUP BY user_id", "mem", "now"))
+@query(sql("SELECT user_id, count(*) AS stored, CAST(sum(CAST(coalesce(expires_at <= now.now, false) AS INT)) AS BIGINT) AS expired, CAST(sum(CAST(superseded_by IS NOT NULL AS INT)) AS BIGINT) AS superseded FROM mem CROSS JOIN now WHERE deleted_at IS NULL GROUP BY user_id", "mem", "now"))
 def lifecycle_counts(spark, d):
     rows = X.memories(spark, d).filter("deleted_at IS NULL")
     return rows.groupBy("user_id").agg(F.count("*").alias("stored"), F.sum(consolidate.expired(X.clock(spark, d)).cast("long")).alias("expired"), F.sum(F.col("superseded_by").isNotNull().cast("long")).alias("superseded"))
@@ -408,7 +408,7 @@ UNION ALL SELECT created_at + INTERVAL 48 HOUR, 3, 'supersede', * EXCLUDE (creat
 UNION ALL SELECT created_at + INTERVAL 60 HOUR, 4, 'merge', * EXCLUDE (created_at) FROM mem WHERE memory_id % 26 = 0)"""
 
 
-@query(sql(f"SELECT user_id, operation, \"at\", CAST(seq AS BIGINT) AS seq FROM ({AUDIT}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY \"at\" DESC, seq DESC) <= 50", "mem"))
+@query(sql(f"SELECT user_id, operation, \"at\", CAST(seq AS BIGINT) AS seq FROM ({AUDIT}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY \"at\" DESC, seq DESC, memory_id) <= 50", "mem"))
 def audit_trail(spark, d):
     """The newest fifty audited events of each user."""
     return events.audit(log(spark, d), 50).select("user_id", "operation", "at", F.col("seq").cast("long").alias("seq"))
