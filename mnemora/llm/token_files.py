@@ -28,7 +28,7 @@ from .common import fresh_path, text_slices
 #: Bytes of text meant for one shard, and so one file.
 SHARD_BYTES = 48_000_000
 #: Distinct runs of text that a Python worker keeps (about 200 bytes each); beyond it only those of the last batch stay.
-CACHE_RUNS = 200_000
+CACHE_RUNS = 400_000
 
 #: Characters whose lower case, normal form and class do not depend on their neighbours.
 PLAIN = r"^[\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]*$"
@@ -89,7 +89,7 @@ class WordTokenizer:
             plain = pc.and_(plain, pc.invert(pc.match_substring(texts, a)))
         split = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(plain, texts, "")))
         coded = split.flatten().dictionary_encode()
-        number, runs = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        number, runs = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         fresh = [r for r in runs if r not in self.runs]
         if len(self.runs) + len(fresh) > CACHE_RUNS:
             self.runs = {r: self.runs[r] for r in runs if r in self.runs}
