@@ -72,7 +72,7 @@ def text_slices(texts: pa.Array, most_rows: int = SLICE_ROWS, most_bytes: int =
 def slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of such pieces; null counts as empty."""
     for start, rows in text_slices(texts):
-        yield start, [x or "" for x in texts.slice(start, rows).to_pylist()]
+        yield start, [x or "" for x in texts.slice(start, rows).to_numpy(zero_copy_only=False).tolist()]
 
 
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moved = large.join(small, large["a"] == small["u"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         link = moved.union(small.select("u", "m")).distinct().checkpoint()
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+
+
+def merge_labels(root: np.ndarray, r: np.ndarray, s: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """``root`` after joining the components of linked rows: the smallest row spreads until nothing changes."""
+    both = np.concatenate([r, s])
+    old = root[both]
+    label, most = old.copy(), len(root)
+    while True:
+        a, c = label[: len(r)], label[len(r) :]
+        new = np.concatenate([np.minimum(a, np.where(ok, c[None, :], most).min(1)), np.minimum(c, np.where(ok, a[:, None], most).min(0))])
+        least = np.arange(most)
+        np.minimum.at(least, old, new)
+        new = np.minimum(least[old], new)
+        if (new == label).all():
+            break
+        label = new
+    to = np.arange(most)
+    np.minimum.at(to, old, label)
+    return to[root]

@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, slices
-from .components import connected_components
-from .vector_dedup import _merge
+from .components import connected_components, merge_labels
 
 SHINGLE = 5
 SIGNATURE = 64
@@ -124,8 +123,12 @@ def split(node: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(column: pa.Array) -> np.ndarray:
-    """A binary column of signatures as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+    """A binary column of signatures, none null, as a matrix over the column's own bytes."""
+    if not len(column):
+        return np.zeros((0, SIGNATURE), np.uint8)
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, SIGNATURE)
 
 
 def features(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -289,7 +292,7 @@ def tile_links(sets: list[np.ndarray], weight: np.ndarray, left: np.ndarray, rig
     else:
         count[left] = ok.astype(np.float64) @ weight[right]
         count[right] = weight[left].astype(np.float64) @ ok
-    return count, _merge(np.arange(len(sets)), left, right, ok)
+    return count, merge_labels(np.arange(len(sets)), left, right, ok)
 
 
 def verify(size: int, threshold: float):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, matrix
-from .components import connected_components
+from .components import connected_components, merge_labels
 from .vectors import bounded_sample, usable
 
 BLOCK_DIMS = 16
@@ -120,7 +120,7 @@ def join_tile(blocks: Blocks, b: int, x: np.ndarray, weight: np.ndarray, home: n
             count[r] += np.where(home[r], first @ weight[s], 0)
             if not same:
                 count[s] += np.where(home[s], weight[r] @ first, 0)
-            root = _merge(root, r, s, ok)
+            root = merge_labels(root, r, s, ok)
     return count, root
 
 
@@ -129,25 +129,6 @@ def _within(turned: np.ndarray, r: np.ndarray, s: np.ndarray, blocks: Blocks, b:
     return (p**2).sum(1)[:, None] + (q**2).sum(1)[None, :] - 2 * p @ q.T <= blocks.budgets[b]
 
 
-def _merge(root: np.ndarray, r: np.ndarray, s: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    """``root`` after joining the components of linked rows: the smallest row spreads until nothing changes."""
-    both = np.concatenate([r, s])
-    old = root[both]
-    label, most = old.copy(), len(root)
-    while True:
-        a, c = label[: len(r)], label[len(r) :]
-        new = np.concatenate([np.minimum(a, np.where(ok, c[None, :], most).min(1)), np.minimum(c, np.where(ok, a[:, None], most).min(0))])
-        least = np.arange(most)
-        np.minimum.at(least, old, new)
-        new = np.minimum(least[old], new)
-        if (new == label).all():
-            break
-        label = new
-    to = np.arange(most)
-    np.minimum.at(to, old, label)
-    return to[root]
-
-
 def vector_dedup(df: DataFrame, id_col: str, vector_col: str, threshold: float = 0.9) -> DataFrame:
     """(id, n_links, component_id, kept): how many other vectors have cosine >= threshold with each, and the smallest id reachable.
 
