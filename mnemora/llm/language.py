@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -77,14 +77,14 @@ class LanguageModel:
 
 
 def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
-    """At most about ``rows`` labelled texts a language, those with the smallest hashes of their ids: (lang, text, h).
+    """About ``rows`` labelled texts a language by hash of their ids, all of a rarer one's: (lang, text, h).
 
-    The threshold of each language is found without reading texts; a task keeps ``rows`` candidates a language at most.
+    How common each language is comes from one count with partial sums, so no task ever gathers a language.
     """
+    buckets = 1 << 40
     hashed = df.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
-    ranked = hashed.select("lang", "h").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    limits = ranked.filter(F.col("n") <= rows).groupBy("lang").agg(F.max("h").alias("limit"))
-    return hashed.join(F.broadcast(limits), "lang").filter(F.col("h") <= F.col("limit")).select("lang", "text", "h")
+    share = hashed.groupBy("lang").agg((F.lit(rows) / F.count("*") * buckets).cast("long").alias("limit"))
+    return hashed.join(share, "lang").filter(F.pmod("h", F.lit(buckets)) < F.col("limit")).select("lang", "text", F.pmod("h", F.lit(buckets)).alias("h"))
 
 
 def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> LanguageModel:
