@@ -23,8 +23,8 @@ from tokenizers import Tokenizer
 from .bpe import PATTERN, PLAIN, byte_symbols
 from .common import materialise, slices
 
-#: Pieces of one length that are numbered by one task; a commoner length is dealt over more groups.
-GROUP_PIECES = 200_000
+#: Pieces of one length are numbered in groups of at least so many, and there are at most so many more groups than lengths.
+GROUP_PIECES, MORE_GROUPS = 1_000, 8_192
 
 
 @functools.lru_cache(4)
@@ -149,12 +149,13 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     """``pieces`` (any table with a ``length`` of 1 to capacity and a column ``tie``) with sequence_id and offset.
 
     Two small facts reach the driver, both bounded: how many pieces each length has (at most
-    ``capacity`` rows) and how many each numbering group has (that, plus a row per GROUP_PIECES
-    pieces). A very common length is dealt over groups by hash, so no task numbers all of it.
+    ``capacity`` rows) and how many each numbering group has (that, plus MORE_GROUPS). A common
+    length is dealt over groups by hash, so no task numbers all of it.
     """
     spark = pieces.sparkSession
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
-    deal = [max(1, -(-counts.get(n, 0) // GROUP_PIECES)) for n in range(capacity + 1)]
+    most = max(GROUP_PIECES, sum(counts.values()) // MORE_GROUPS)
+    deal = [max(1, -(-counts.get(n, 0) // most)) for n in range(capacity + 1)]
     dealt = F.element_at(F.array(*map(F.lit, deal)), F.col("length").cast("int") + 1)
     pieces = pieces.withColumn("_group", F.pmod(F.xxhash64("tie"), dealt).cast("int"))
     base: dict[tuple[int, int], int] = {}
