@@ -135,7 +135,7 @@ def infer_category(spark, d):
     return X.table(spark, d, "conversations").select("conv_id", "turn", T.infer_category(F.concat(lead, F.col("text"))).alias("category"))
 
 
-@query(r"SELECT page_id, trim(regexp_replace(translate(url, '+-!(){}[]^""~*?:\/', repeat(' ', 17)), '\s+', ' ', 'g')) AS terms FROM pages".replace('""', '"'))
+@query(r'''SELECT page_id, trim(regexp_replace(translate(url, '+-!(){}[]^"~*?:\/', repeat(' ', 17)), '\s+', ' ', 'g')) AS terms FROM pages''')
 def escape_query(spark, d):
     return X.table(spark, d, "pages").select("page_id", T.escape_query(F.col("url")).alias("terms"))
 
