@@ -108,18 +108,25 @@ def bm25(tf: Column, dl: Column, avgdl: Column, n: Column, df: Column) -> Column
     return idf * tf * (S.BM25_K1 + 1) / (tf + S.BM25_K1 * (1 - S.BM25_B + S.BM25_B * dl / avgdl))
 
 
-def keyword_leg(queries: DataFrame, memories: DataFrame, size: int = 0) -> DataFrame:
+def term_weights(memories: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(user_id, memory_id, term, weight): what each term of a memory adds to a BM25 score, summed over its fields; only ``terms``, if given."""
+    found = postings(memories, terms)
+    seen = found.groupBy("user_id", "field", "term").agg(F.count("*").alias("df"))
+    scored = found.join(seen, ["user_id", "field", "term"]).join(field_stats(memories), ["user_id", "field"])
+    weight = bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n"), F.col("df"))
+    return scored.groupBy("user_id", "memory_id", "term").agg(F.sum(F.round(weight, 9)).alias("weight"))
+
+
+def keyword_leg(queries: DataFrame, memories: DataFrame, size: int = 0, weights: DataFrame | None = None) -> DataFrame:
     """(query_id, user_id, memory_id, keyword_rank): best BM25 over content, tags and category, ties to the smaller id.
 
-    All text of a query is plain terms. Only postings of terms that some query asks for are kept.
+    All text of a query is plain terms. Weights come from an index, or are made here for those terms that some query asks for.
     """
     asked = queries.select("query_id", "user_id", "depth", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    found = postings(memories, small(asked.select("user_id", "term").distinct(), size))
-    seen = found.groupBy("user_id", "field", "term").agg(F.count("*").alias("df"))
-    scored = found.join(seen, ["user_id", "field", "term"]).join(F.broadcast(field_stats(memories)) if size <= BROADCAST_BYTES else field_stats(memories), ["user_id", "field"])
-    weight = bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n"), F.col("df"))
-    terms = scored.groupBy("user_id", "memory_id", "term").agg(F.sum(F.round(weight, 9)).alias("weight"))
-    hits = terms.join(small(asked, size), ["user_id", "term"]).groupBy("query_id", "user_id", "memory_id", "depth").agg(F.round(F.sum("weight"), 6).alias("bm25"))
+    if weights is None:
+        weights = term_weights(memories, small(asked.select("user_id", "term").distinct(), size))
+    pairs = weights.join(small(asked, size), ["user_id", "term"])
+    hits = pairs.groupBy("query_id", "user_id", "memory_id", "depth").agg(F.round(F.sum("weight"), 6).alias("bm25"))
     return ranked(hits.filter("bm25 > 0"), [F.col("bm25").desc(), F.col("memory_id")], "keyword_rank").select("query_id", "user_id", "memory_id", "keyword_rank", "bm25")
 
 
@@ -142,18 +149,19 @@ def top(df: DataFrame) -> DataFrame:
     return df.withColumn("position", F.row_number().over(window).cast("long")).filter(F.col("position") <= S.MAX_LIMIT).filter("position <= k")
 
 
-def recall(queries: DataFrame, memories: DataFrame, vectors: DataFrame, now: Column, filters: Filters | None = None, half_life: float = S.HALF_LIFE_DAYS, hybrid: bool = True) -> DataFrame:
+def recall(queries: DataFrame, memories: DataFrame, vectors: DataFrame, now: Column, filters: Filters | None = None, half_life: float = S.HALF_LIFE_DAYS, hybrid: bool = True, weights: DataFrame | None = None) -> DataFrame:
     """The ranked answer to every query, with memory columns, score and the rank in each leg.
 
     ``queries``: (query_id, user_id, text, k, embedding). Superseded and expired memories take part in
     both legs and are filtered afterwards without renumbering, so a selective filter can return fewer
     than k; ``recall_filtered_first`` filters before ranking instead. Without ``hybrid`` only vectors count.
+    ``weights`` are an index's term weights; without them they are made from the memories.
     """
     size = measure(queries)
     asked = queries.withColumn("depth", scores.candidate_depth(F.col("k")))
     stored = memories.filter("deleted_at IS NULL")
     near = vector_leg(asked, vectors.join(stored.select("user_id", "memory_id"), ["user_id", "memory_id"], "left_semi"), size)
-    words = keyword_leg(asked, stored, size)
+    words = keyword_leg(asked, stored, size, weights)
     candidates = fuse(near, words if hybrid else words.limit(0))
     kept = score(candidates, stored.filter(matches(filters or Filters(), now)), now, half_life)
     return top(kept.join(small(queries.select("query_id", "user_id", "k"), size), ["query_id", "user_id"]))

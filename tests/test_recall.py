@@ -96,3 +96,13 @@ def test_plan_keeps_filters_above_the_ranking(spark, engine):
     q = spark.createDataFrame([(1, 1, "use", 8)], "query_id long, user_id long, text string, k long")
     plan = engine.recall(q)._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan and "WindowGroupLimit" in plan
+
+
+def test_index_gives_the_same_answers(spark, engine, tmp_path):
+    from mnemora.sources.index import Index, build
+
+    build(engine.memories, str(tmp_path / "index"), 2)
+    q = spark.createDataFrame([(1, 1, "useQuery state", 8), (2, 2, "useQuery", 8), (3, 1, "twin needle", 3)], "query_id long, user_id long, text string, k long")
+    columns = ["query_id", "position", "memory_id", "score", "vector_rank", "keyword_rank"]
+    want = sorted(engine.recall(q).select(*columns).collect())
+    assert want == sorted(Index.read(spark, str(tmp_path / "index")).recall(q, engine.now).select(*columns).collect())
