@@ -89,12 +89,12 @@ MULTIPLIERS = mix(np.arange(1001, 1001 + SIGNATURE, dtype=np.uint64)) | np.uint6
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """The smallest of each of SIGNATURE hashes over a set, shortened to a byte: unequal ones agree once in 256."""
+    """The smallest of each of SIGNATURE hashes over a set, shortened to 16 bits: two unequal sets share a node of depth two by chance once in four thousand million."""
     least = np.full(SIGNATURE, np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(own), 4096):
         part = own[at : at + 4096, None] * MULTIPLIERS[None, :]
         least = np.minimum(least, (part ^ (part >> np.uint64(29))).min(0))
-    return (mix(least) >> np.uint64(56)).astype(np.uint8)
+    return (mix(least) >> np.uint64(48)).astype(np.uint16)
 
 
 def reached(threshold: float, depth: int, branching: float = BRANCHING) -> float:
@@ -125,10 +125,10 @@ def split(node: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def signatures(column: pa.Array) -> np.ndarray:
     """A binary column of signatures, none null, as a matrix over the column's own bytes."""
     if not len(column):
-        return np.zeros((0, SIGNATURE), np.uint8)
+        return np.zeros((0, SIGNATURE), np.uint16)
     wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
     ends = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, SIGNATURE)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint16).reshape(-1, SIGNATURE)
 
 
 def features(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
