@@ -15,10 +15,11 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -122,7 +123,7 @@ def shard_bounds(docs: DataFrame, shard_bytes: int) -> list[int]:
     n = max(1, -(-int(size or 0) // shard_bytes))
     if n == 1 or not bottom:
         return []
-    cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0]
+    cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0]
     return sorted(set(cuts))
 
 
@@ -154,22 +155,21 @@ def write_tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: str, pat
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(start + stops[:-1]), batch.column(1).slice(first, rows), pa.array(n), column], ["shard", "shard_start", "doc_id", "n_tokens", "ids"])
                 start += int(stops[-1])
 
-    dealt = docs.withColumn("shard", _search(bounds)).repartitionById(len(bounds) + 1, F.col("shard"))
+    dealt = docs.withColumn("shard", shard_of(F.col("doc_id"), bounds)).repartitionById(len(bounds) + 1, F.col("shard"))
     ordered = dealt.sortWithinPartitions("doc_id", "text").select("shard", "doc_id", "text")
     out = ordered.mapInArrow(encode, "shard int, shard_start long, doc_id long, n_tokens long, ids array<int>")
     out.write.options(**FILE_FORMAT).parquet(path)
 
 
-def _search(bounds: list[int]):
-    """The number of bounds at or below doc_id, as nested comparisons of logarithmic depth; null counts as the smallest id."""
+def shard_of(doc_id: Column, bounds: list[int]) -> Column:
+    """The number of bounds at or below an id, null counting as the smallest; the bounds go to the workers once."""
+    cuts = np.array(bounds, np.int64)
 
-    def between(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") >= F.lit(bounds[mid]), between(mid + 1, hi)).otherwise(between(lo, mid))
+    @F.pandas_udf("int")
+    def search(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), "right").astype(np.int32))
 
-    return between(0, len(bounds)).cast("int")
+    return search(F.coalesce(doc_id, F.lit(-(1 << 63)))) if bounds else F.lit(0)
 
 
 def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None, columns: list[str] | None = None) -> DataFrame:
