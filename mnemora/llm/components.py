@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``edges`` has long columns ``src`` and ``dst``; self-links, repeats and either direction are fine.
     Each round links all of a node's larger neighbours, then all its smaller ones, to its smallest
     neighbour. It uses minima with partial aggregation and equi-joins only, so a hub's neighbours are
-    never gathered; a round's edges are checkpointed in the shared folder, and two sums reach the driver.
+    never gathered. Minima and edges are checkpointed in the shared folder: both sides of a join are
+    then plain exchanges, and a hub's edges can be split over tasks. Two sums reach the driver.
     """
     shared_dir(edges.sparkSession)
     link = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct().checkpoint()
@@ -29,9 +30,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return link.select(F.col("a").alias("node"), F.col("b").alias("component")).union(link.select("b", "b").distinct())
         before = state
         both = link.union(link.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("b > a").join(least, both["a"] == least["u"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
+        large = both.filter("b > a").join(least, both["a"] == least["u"]).select(F.col("b").alias("a"), F.col("m").alias("b")).checkpoint()
+        small = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).checkpoint()
         moved = large.join(small, large["a"] == small["u"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         link = moved.union(small.select("u", "m")).distinct().checkpoint()
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

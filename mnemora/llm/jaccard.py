@@ -366,7 +366,7 @@ def jaccard_join(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE,
     named = sets.join(linked, sets["key"] == linked["node"], "left").select("key", "check", "w", "rep", F.coalesce("component", "key").alias("component"))
     first = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     named = named.join(first, "component").join(totals, "key", "left")
-    named = named.select("key", "check", "class_id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    named = materialise(named.select("key", "check", "class_id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links")), "named")
     usable = (F.col("n") > 0) & F.col("id").isNotNull()
     out = rows.select("id", "text_hash", F.when(usable, F.col("key")).alias("key"), "check").join(named, ["key", "check"], "left")
     class_id = F.coalesce("class_id", "id")
