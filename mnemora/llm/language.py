@@ -79,12 +79,13 @@ class LanguageModel:
 def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
     """About ``rows`` labelled texts a language by hash of their ids, all of a rarer one's: (lang, text, h).
 
-    How common each language is comes from one count with partial sums, so no task ever gathers a language.
+    How common each language is comes from one count with partial sums, so no task ever gathers a language. That
+    table has a row a language, far less than the model holds of each, and is broadcast: texts are not shuffled.
     """
     buckets = 1 << 40
     hashed = df.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
     share = hashed.groupBy("lang").agg((F.lit(rows) / F.count("*") * buckets).cast("long").alias("limit"))
-    return hashed.join(share, "lang").filter(F.pmod("h", F.lit(buckets)) < F.col("limit")).select("lang", "text", F.pmod("h", F.lit(buckets)).alias("h"))
+    return hashed.join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(buckets)) < F.col("limit")).select("lang", "text", F.pmod("h", F.lit(buckets)).alias("h"))
 
 
 def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> LanguageModel:
