@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import render, scores
 from ..functions import text as T
 from ..functions.vectors import cosine
-from ..operators import consolidate, events, ingest, recall, reports
+from ..operators import consolidate, events, identity, ingest, recall, reports
 from ..operators.embedding import hash_embed
 from ..sources import store
 from . import fixtures as X
@@ -157,6 +157,17 @@ def scope_rules(spark, d):
     return X.table(spark, d, "events").groupBy("event_type").agg(F.array_join(got, ",").alias("scopes"), T.allows(got, "read").alias("may_read"), T.allows(got, "admin").alias("may_admin"), F.count("*").alias("n"))
 
 
+@query("SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 5 < 3 AND o_custkey % 7 <> 0 THEN c_custkey END AS user_id, CASE WHEN o_orderkey % 5 < 3 AND o_custkey % 7 <> 0 THEN lower(c_name) END AS handle, CASE WHEN o_orderkey % 5 >= 3 OR c_custkey IS NULL THEN 401 WHEN o_custkey % 7 = 0 THEN 403 ELSE 200 END AS status FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def authenticate_keys(spark, d):
+    """Orders as requests by their customers' keys; some keys are wrong, some lack the scope."""
+    users = X.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lower("c_name").alias("handle"))
+    token = lambda c: F.concat(F.lit("key_"), F.substring(F.md5(c.cast("string").cast("binary")), 1, 8), F.md5(c.cast("string").cast("binary")))
+    wanted = users.select("user_id", token(F.col("user_id")).alias("token"), F.when(F.col("user_id") % 7 == 0, "write").otherwise("read").alias("scopes"))
+    keys = identity.issue(wanted, "key_", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"))
+    asked = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.when(F.col("o_orderkey") % 5 < 3, token(F.col("o_custkey"))).when(F.col("o_orderkey") % 5 == 3, "key_bad").otherwise(F.reverse(token(F.col("o_custkey")))).alias("token"))
+    return identity.authenticate(asked, keys, users, "key_", "read")
+
+
 # Vectors
 
 
@@ -248,6 +259,13 @@ def recall_filtered_post(spark, d):
     return recall.recall(made, rows, vectors, X.clock(spark, d), recall.Filters(categories=("decision", "fact.project"))).select("query_id", "position", "memory_id", r9("score").alias("score"))
 
 
+@query(sql(f"SELECT query_id, md5(count(*) || CASE WHEN count(*) = 1 THEN ' memory found:' ELSE ' memories found:' END || chr(10) || string_agg(position || '. [' || category || '] ' || replace(replace(content, chr(13), ' '), chr(10), ' ') || ' _(' || array_to_string(tags, ', ') || ')_ (id ' || memory_id || ')', chr(10) ORDER BY position)) AS digest FROM (SELECT *, {TOP} FROM ans CROSS JOIN now n WHERE {ACTIVE.replace('now.now', 'n.now')}) WHERE position <= 8 GROUP BY query_id", "ans"))
+def recall_text(spark, d):
+    """Every answer as the text that an assistant is shown."""
+    made, rows, vectors = batch(spark, d)
+    return render.recalled(recall.recall(made, rows, vectors, X.clock(spark, d))).select("query_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query(sql("SELECT memory_id, round(0.8 + 0.2 * pow(0.5, greatest(0, floor(epoch(now.now) - epoch(created_at))) / 86400.0 / 90), 9) AS recency FROM mem CROSS JOIN now", "mem", "now"))
 def recency_multiplier(spark, d):
     return X.memories(spark, d).select("memory_id", r9(scores.recency(F.col("created_at"), X.clock(spark, d))).alias("recency"))

@@ -89,3 +89,14 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     return spark.createDataFrame([("all", float(spec["recall_at_k"])), *((k, float(v)) for k, v in spec["by_kind"].items())], "kind string, recall_at_k double")
+
+
+def reindex(memories: DataFrame, path: str, embed, model: str, dimensions: int) -> DataFrame:
+    """Embed all rows that are not deleted (superseded ones too) anew by a model's callable and write vectors and their pin to a new path; gives the vectors."""
+    from ..operators.embedding import model_embed
+
+    rows = model_embed(memories.filter("deleted_at IS NULL").select("user_id", "memory_id", "content"), "content", embed, dimensions)
+    rows.select("user_id", "memory_id", "embedding").repartitionByRange("user_id", "memory_id").write.parquet(f"{path}/vectors")
+    spark = memories.sparkSession
+    spark.createDataFrame([(model, dimensions)], "model string, dimensions int").coalesce(1).write.json(f"{path}/pin")
+    return spark.read.parquet(f"{path}/vectors")
