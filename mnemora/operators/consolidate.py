@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -97,8 +95,7 @@ def clusters(pairs: DataFrame) -> DataFrame:
         for a, b in zip(group.column("a").to_pylist(), group.column("b").to_pylist(), strict=True):
             a, b = sorted((find(a), find(b)))
             root[b] = a
-        nodes = [x for x in sorted(root) if True]
-        named = [(find(x), x) for x in nodes]
+        named = [(find(x), x) for x in sorted(root)]
         sizes: dict[int, int] = {}
         for c, _ in named:
             sizes[c] = sizes.get(c, 0) + 1
