@@ -4,7 +4,6 @@ import datetime
 import hashlib
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from mnemora.llm import language, private, queries, secrets, urls
