@@ -95,31 +95,33 @@ def join_tile(blocks: Blocks, b: int, x: np.ndarray, weight: np.ndarray, home: n
     size = np.sqrt((x * x).sum(1))
     unit = x / size[:, None]
     turned = unit @ blocks.rotation
-    rough = turned[:, blocks.columns[b]].astype(np.float32)
-    square = (rough**2).sum(1)
+    part = turned[:, blocks.columns[b]]
+    half, one = (part**2).sum(1) / 2, np.ones(len(x))
+    # a row of ``ahead`` times a row of ``behind`` is half of what the budget leaves: one product and one comparison a pair
+    ahead = np.column_stack([part, blocks.budgets[b] / 2 - half, one]).astype(np.float32)
+    behind = np.column_stack([part, one, -half]).astype(np.float32)
     count, root = np.zeros(len(x), np.int64), np.arange(len(x))
     same = left is right
     for at in range(0, len(left), 512):
         rows = left[at : at + 512]
-        near = square[rows][:, None] + square[right][None, :] - 2 * rough[rows] @ rough[right].T <= blocks.budgets[b] + 1e-5
-        if same:
-            near[np.arange(len(rows)), at + np.arange(len(rows))] = False
-        i, j = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-        if not len(i):
-            continue
-        r = rows[i]
-        for step in range(0, len(j), 4096):
-            jj = j[step : step + 4096]
-            s = right[jj]
-            ok = near[np.ix_(i, jj)] & ((x[r] @ x[s].T) / (size[r][:, None] * size[s][None, :]) >= threshold)
+        for to in range(at if same else 0, len(right), 4096):
+            columns = right[to : to + 4096]
+            near = ahead[rows] @ behind[columns].T >= -1e-5
+            if same and to < at + len(rows):
+                near &= (to + np.arange(len(columns)))[None, :] > (at + np.arange(len(rows)))[:, None]  # each pair once
+            hit = np.flatnonzero(near)
+            if not len(hit):
+                continue
+            i, j = np.unique(hit // len(columns)), np.unique(hit % len(columns))
+            r, s = rows[i], columns[j]
+            ok = near[np.ix_(i, j)] & ((x[r] @ x[s].T) / (size[r][:, None] * size[s][None, :]) >= threshold)
             if not ok.any():
                 continue
             first = ok & _within(turned, r, s, blocks, b)
             for e in range(b):
                 first &= ~_within(turned, r, s, blocks, e)
             count[r] += np.where(home[r], first @ weight[s], 0)
-            if not same:
-                count[s] += np.where(home[s], weight[r] @ first, 0)
+            count[s] += np.where(home[s], weight[r] @ first, 0)
             root = merge_labels(root, r, s, ok)
     return count, root
 
