@@ -191,6 +191,20 @@ def test_spans_equal_brute_force(spark):
     assert hidden[8] == "éé [SECRET] éé[SECRET]" and hidden[7] == SECRETS[7]
 
 
+def redacted(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    check_scan(secrets.scan(df, "doc_id", "text").collect(), texts)
+    return [r.text for r in secrets.redact(df, "text").orderBy("doc_id").collect()]
+
+
+def test_short_secrets_under_base_names(spark):
+    """Values that fail the base rule, and logins in URLs, are weak secrets: they go where a complement is near, and only there."""
+    texts = ["username=bob password=hunter2", 'host=db1 user=app password: "p@ssw0rd-long"', "user=bob db_token='!x'", "user=bob secret=abc", "see postgres://app:s3c@ret@db1:5432/x?y", f"https://{'k' * 24}@example.com/"]
+    assert redacted(spark, texts) == ["username=bob [SECRET]", 'host=db1 user=app [SECRET]"', "user=bob db_[SECRET]'", "user=bob [SECRET]", "see postgres://[SECRET]@db1:5432/x?y", "https://[SECRET]@example.com/"]
+    clean = ["password=hunter2", "the secret: it rains", "ssh://git@example.com/x", "https://example.com:8080/a@b", "user=bob " + "x " * 200 + "password=hunter2"]
+    assert redacted(spark, clean) == clean
+
+
 def test_op10_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = queries.op10_secrets(spark, SF)
