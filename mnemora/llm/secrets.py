@@ -21,15 +21,15 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Weak parts: a named account or key id; a named short secret, also under ASSIGN's names where the value fails the base rule
 #: (read up to white space or a quote), the userinfo of a URL if it holds a password or is as long as a token, a bare
-#: 40-character secret; a service address.
-IDENTIFIER = r"""(?i)\b(?:access[_-]?key[_-]?id|client[_-]?id|user(?:name|[_-]?id)?|login|account)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9@._+-]{3,128}"""
+#: 40-character secret; a service address. Values are possessive runs without an upper bound: spans and gaps are measured from their real ends.
+IDENTIFIER = r"""(?i)\b(?:access[_-]?key[_-]?id|client[_-]?id|user(?:name|[_-]?id)?|login|account)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9@._+-]{3,}+"""
 WEAK_SECRET = (
-    r"""(?i)\b(?:pass|pwd|passphrase|credential|private[_-]?key|auth)["']?\x20{0,8}[:=]\x20{0,8}["']?[^\s"']{4,256}"""
+    r"""(?i)\b(?:pass|pwd|passphrase|credential|private[_-]?key|auth)["']?\x20{0,8}[:=]\x20{0,8}["']?[^\s"']{4,}+"""
     r"""|(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(?![A-Za-z0-9+/_.=-]{12})[^\s"']++"""
     r"""|(?<=[a-z0-9+.-]://)(?:[^\s"'<>/?#:@]*+:[^\s"'<>/?#]+|[^\s"'<>/?#:@]{20,}+)(?=@)"""
     r"""|(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])"""
 )
-ENDPOINT = r"""(?i)\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{1,2000}|\b(?:host|hostname|endpoint|server)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9.-]{3,253}(?::[0-9]{1,5})?"""
+ENDPOINT = r"""(?i)\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]++|\b(?:host|hostname|endpoint|server)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9.-]{3,}+(?::[0-9]{1,5})?"""
 #: Kinds in the order in which spans with one start are listed; a role completes the others.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "secret": "secret", "endpoint": "endpoint"}

@@ -205,6 +205,17 @@ def test_short_secrets_under_base_names(spark):
     assert redacted(spark, clean) == clean
 
 
+def test_long_weak_values_are_whole(spark):
+    """Spans and gaps use the real ends of values of any length."""
+    long = "eyJ." * 150
+    texts = [f"client_id=abc auth: {long} z", f"auth: {long} client_id=abc", f"user={'u' * 400} pass=hunter22", f"https://example.com/{'p' * 3000} pass=hunter22", f"host={'h' * 600} pass=hunter22"]
+    got = redacted(spark, texts)
+    assert got[:2] == ["client_id=abc [SECRET] z", "[SECRET] client_id=abc"]
+    assert got[2:] == [t.replace("pass=hunter22", "[SECRET]") for t in texts[2:]]
+    spans = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "doc_id", "text").collect()}
+    assert spans[2].startswith("identifier:0:405,") and spans[3].startswith("endpoint:0:3020,") and spans[4].startswith("endpoint:0:605,")
+
+
 def test_op10_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = queries.op10_secrets(spark, SF)
