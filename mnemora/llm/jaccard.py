@@ -32,9 +32,8 @@ FIRST_DEPTH, LAST_DEPTH = 2, 5
 #: Sets of a node that are compared outright.
 SMALL = 32
 RECALL = 0.99999
-#: Agreement of signatures: to be tied in a small node; to be tied to a centre; to leave with it. Two sets at similarity
-#: 0.8 agree with a centre to within 0.2 and three deviations of 0.05, so a set that leaves has no partner that was not tied.
-TIE, NEAR_CENTRE, CORE = 0.6, 0.4, 0.75
+#: Part of the pairs that may be missed which is left to signatures that agree too little; the rest is left to the runs.
+UNLIKE = 0.1
 #: Texts on either side of a verification tile.
 TILE = 512
 
@@ -106,9 +105,43 @@ def reached(threshold: float, depth: int, branching: float = BRANCHING) -> float
     return chance
 
 
+def agreements(threshold: float) -> list[float]:
+    """Chance of each number of positions, 0 to SIGNATURE, at which the signatures of a pair at the threshold agree."""
+    return [math.comb(SIGNATURE, k) * threshold**k * (1 - threshold) ** (SIGNATURE - k) for k in range(SIGNATURE + 1)]
+
+
+def bounds(threshold: float, recall: float = RECALL) -> tuple[int, int, int]:
+    """Positions that must agree: to be tied in a small node (tie); to be tied to a centre (near); to leave with it (core).
+
+    A pair at the threshold agrees at fewer than ``tie`` positions with the chance UNLIKE * (1 - recall) at most. Where two
+    sets agree with each other and one with a centre, the other agrees with it too, so from ``tie`` + ``core`` positions
+    at least ``near`` = tie + core - SIGNATURE are left: a set that leaves has no partner that was not tied.
+    """
+    tie, below, chance = 0, 0.0, agreements(threshold)
+    while tie < SIGNATURE and below + chance[tie] <= UNLIKE * (1 - recall):
+        below += chance[tie]
+        tie += 1
+    near = tie // 2
+    return tie, near, near + SIGNATURE - tie
+
+
+def missed(threshold: float, runs: int, tie: int, depth: int = LAST_DEPTH) -> float:
+    """Chance that a pair at the threshold is not tied. All runs draw from one signature, so they are independent only for a given agreement."""
+    return sum(p * (1.0 if k < tie else (1 - reached(k / SIGNATURE, depth)) ** runs) for k, p in enumerate(agreements(threshold)))
+
+
 def runs_needed(threshold: float, recall: float = RECALL, depth: int = LAST_DEPTH) -> int:
-    """Runs after which a pair at the threshold has shared a last node with the chance ``recall``."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - reached(threshold, depth))))
+    """The fewest runs after which a pair at the threshold is tied with the chance ``recall``."""
+    tie = bounds(threshold, recall)[0]
+    low, high = 0, 1
+    while missed(threshold, high, tie, depth) > 1 - recall:
+        low, high = high, 2 * high
+        if high > 1 << 16:
+            raise ValueError(f"{SIGNATURE} positions cannot give a recall of {recall} at a threshold of {threshold}")
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if missed(threshold, middle, tie, depth) > 1 - recall else (low, middle)
+    return high
 
 
 def split(node: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,41 +200,45 @@ def first_nodes(sets: DataFrame, runs: int) -> DataFrame:
     return sets.select("key", "sig").mapInArrow(run, "key long, node long")
 
 
-def small_ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(src, dst) ties within each node, from rows (node, key, sig) sorted by node; a row's tie is to the first of its group."""
-    carried = None
-    for batch in _with_end(batches):
-        if batch is not None:
-            node, key, sign = batch.column(0).to_numpy(), batch.column(1).to_numpy(), signatures(batch.column(2))
-            if carried is not None:
-                node, key, sign = np.concatenate([carried[0], node]), np.concatenate([carried[1], key]), np.concatenate([carried[2], sign])
-            if not len(node):
-                continue
-            stop = np.searchsorted(node == node[-1], True)
-            carried = (node[stop:], key[stop:], sign[stop:])
-            node, key, sign = node[:stop], key[:stop], sign[:stop]
-        elif carried is None:
-            return
-        else:
-            node, key, sign = carried
-        label = np.arange(len(node))
-        left, right = [], []
-        for shift in range(1, SMALL):
-            pair = np.flatnonzero(node[:-shift] == node[shift:]) if shift < len(node) else np.zeros(0, np.int64)
-            if not len(pair):
-                break
-            near = pair[(sign[pair] == sign[pair + shift]).mean(1) >= TIE]
-            left.append(near)
-            right.append(near + shift)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        while len(a):
-            low = np.minimum(label[a], label[b])
-            if (low == label[a]).all() and (low == label[b]).all():
-                break
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-        tied = label != np.arange(len(label))
-        yield pa.RecordBatch.from_arrays([pa.array(key[tied]), pa.array(key[label[tied]])], ["src", "dst"])
+def small_ties(tie: int):
+    """From rows (node, key, sig) sorted by node: (src, dst) ties of sets that agree at ``tie`` positions within each node; a row's tie is to the first of its group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                node, key, sign = batch.column(0).to_numpy(), batch.column(1).to_numpy(), signatures(batch.column(2))
+                if carried is not None:
+                    node, key, sign = np.concatenate([carried[0], node]), np.concatenate([carried[1], key]), np.concatenate([carried[2], sign])
+                if not len(node):
+                    continue
+                stop = np.searchsorted(node == node[-1], True)
+                carried = (node[stop:], key[stop:], sign[stop:])
+                node, key, sign = node[:stop], key[:stop], sign[:stop]
+            elif carried is None:
+                return
+            else:
+                node, key, sign = carried
+            label = np.arange(len(node))
+            left, right = [], []
+            for shift in range(1, SMALL):
+                pair = np.flatnonzero(node[:-shift] == node[shift:]) if shift < len(node) else np.zeros(0, np.int64)
+                if not len(pair):
+                    break
+                near = pair[(sign[pair] == sign[pair + shift]).sum(1) >= tie]
+                left.append(near)
+                right.append(near + shift)
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+            while len(a):
+                low = np.minimum(label[a], label[b])
+                if (low == label[a]).all() and (low == label[b]).all():
+                    break
+                np.minimum.at(label, a, low)
+                np.minimum.at(label, b, low)
+            tied = label != np.arange(len(label))
+            yield pa.RecordBatch.from_arrays([pa.array(key[tied]), pa.array(key[label[tied]])], ["src", "dst"])
+
+    return run
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -209,11 +246,15 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compare(near: int, core: int):
     """From rows (node, key, sig, centre, centre_sig): whether each is tied to its node's centre, and whether it is no core, so it may still split."""
-    for batch in batches:
-        alike = (signatures(batch.column(2)) == signatures(batch.column(4))).mean(1) if len(batch) else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(alike >= NEAR_CENTRE), pa.array(alike < CORE)], ["node", "key", "centre", "tied", "stays"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = (signatures(batch.column(2)) == signatures(batch.column(4))).sum(1) if len(batch) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(alike >= near), pa.array(alike < core)], ["node", "key", "centre", "tied", "stays"])
+
+    return run
 
 
 def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +274,7 @@ def ties(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     free, that is, not tied: a large group of near copies leaves the trees at its first centre.
     """
     found, sign = [], sets.select("key", "sig")
+    tie, near, core = bounds(threshold, recall)
     level = first_nodes(sets, runs_needed(threshold, recall)).withColumn("free", F.lit(True))
     for depth in range(FIRST_DEPTH, LAST_DEPTH + 1):
         level = materialise(level, "nodes")
@@ -241,7 +283,7 @@ def ties(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
         rows = level.join(shared, "node")
         small = rows.filter(F.col("size") <= SMALL).select("key", "node").join(sign, "key").select("node", "key", "sig")
         small = small.repartition("node").sortWithinPartitions("node", "key")
-        found.append(materialise(small.mapInArrow(small_ties, "src long, dst long").distinct(), "ties"))
+        found.append(materialise(small.mapInArrow(small_ties(tie), "src long, dst long").distinct(), "ties"))
         large = shared.filter(F.col("size") > SMALL).select("node", "centre")
         if not large.take(1):
             break
@@ -251,7 +293,7 @@ def ties(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
             break
         centres = large.join(sign.select(F.col("key").alias("centre"), F.col("sig").alias("centre_sig")), "centre")
         paired = big.join(sign, "key").join(centres, "node").select("node", "key", "sig", "centre", "centre_sig")
-        scored = materialise(paired.mapInArrow(compare, "node long, key long, centre long, tied boolean, stays boolean"), "scored")
+        scored = materialise(paired.mapInArrow(compare(near, core), "node long, key long, centre long, tied boolean, stays boolean"), "scored")
         found.append(scored.filter("tied and key <> centre").select(F.col("key").alias("src"), F.col("centre").alias("dst")).distinct())
         going = scored.groupBy("node").agg(F.max(~F.col("tied")).alias("open")).filter("open").select("node")
         staying = scored.filter("stays").select("node", "key", (~F.col("tied")).alias("free")).join(going, "node").join(sign, "key")

@@ -112,3 +112,32 @@ def test_recall_of_one_run():
             met += bool(nodes[0] & nodes[1])
             total += 1
     assert abs(met / total - jaccard.reached(0.8, 2)) < 0.1
+
+
+def test_recall_with_one_signature():
+    """Runs share a signature: the stated recall holds with its agreement averaged in, and what leaves with a centre leaves no partner behind."""
+    for threshold in (0.5, 0.6, 0.7, 0.8, 0.9):
+        tie, near, core = jaccard.bounds(threshold)
+        assert jaccard.missed(threshold, jaccard.runs_needed(threshold), tie) <= 1.001 * (1 - jaccard.RECALL)
+        assert 0 < near <= tie + core - jaccard.SIGNATURE and tie < core < jaccard.SIGNATURE
+
+
+def test_borderline_pairs(spark):
+    """Pairs of sets exactly at the threshold are linked, all of them, whatever the threshold."""
+    for threshold, both, own in ((0.5, 20, 10), (0.6, 30, 10), (0.7, 28, 6), (0.8, 32, 4)):
+        texts = []
+        for p in range(1000):
+            common = [f"c{p}x{i}" for i in range(both)]
+            texts += [" ".join([*common, *(f"o{p}x{side}x{i}" for i in range(own))]) for side in range(2)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = jaccard.jaccard_join(df, "doc_id", "text", 1, threshold).collect()
+        assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, i - i % 2, 1) for i in range(2000)}, threshold
+
+
+def test_large_nodes_at_other_thresholds(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    docs = list(enumerate(varied(1)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for threshold in (0.5, 0.65):
+        got = {r.doc_id: (r.class_id, r.n_links, r.kept) for r in jaccard.jaccard_join(df, "doc_id", "text", 5, threshold).collect()}
+        assert got == brute(docs, threshold), threshold
