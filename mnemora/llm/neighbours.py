@@ -147,8 +147,6 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: in
             for batch in batches:
                 dims = batch.column(2).to_numpy()
                 for d in np.unique(dims).tolist():
-                    if d not in shared.value:
-                        continue
                     own = batch.filter(pa.array(dims == d))
                     for at in range(0, len(own), 1024):
                         part = own.slice(at, 1024)

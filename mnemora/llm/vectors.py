@@ -18,12 +18,19 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def bounded_sample(df: DataFrame, id_col: str, vector_col: str, rows: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
-    """About ``rows`` vectors by hash of id, one matrix for each number of dimensions; all of them if there are no more."""
-    n = df.count()
+def bounded_sample(df: DataFrame, id_col: str, vector_col: str, rows: int | None = None) -> dict[int, np.ndarray]:
+    """About ``rows`` (SAMPLE_ROWS) vectors of each number of dimensions by hash of id, one matrix each; all of them if there are no more.
+
+    Each number of dimensions is sampled by its own count, a row each that reaches the driver, so a rare one is not lost
+    among the others; where none is sampled, its vector of the smallest id is the sample.
+    """
+    rows = SAMPLE_ROWS if rows is None else rows
     buckets = 1 << 30
-    share = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(buckets)) < int(buckets * min(1.0, rows / max(n, 1)))
-    got = df.filter(share).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.size(vector_col).alias("d")).toArrow()
+    chosen = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("d"))
+    share = chosen.groupBy("d").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    limit = F.least(F.lit(rows) / F.col("n"), F.lit(1.0)) * buckets
+    hashed = chosen.join(F.broadcast(share), "d").filter((F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(buckets)) < limit) | (F.col("id") == F.col("first")))
+    got = hashed.select("id", F.col("v").cast("array<double>").alias("v"), "d").toArrow()
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
     got = got.take(order)
     dims = got.column("d").to_numpy()

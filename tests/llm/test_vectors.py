@@ -120,3 +120,19 @@ def test_components(spark):
 def test_sample_is_whole_when_small(spark):
     x = np.random.default_rng(0).normal(size=(50, 4))
     assert len(vectors.bounded_sample(table(spark, x), "vec_id", "embedding")[4]) == 50
+
+
+def test_rare_dimensions_are_sampled(spark, monkeypatch):
+    """However small the sample, each number of dimensions has a model, and its vectors meet each other."""
+    monkeypatch.setattr(vectors, "SAMPLE_ROWS", 2)
+    rng = np.random.default_rng(5)
+    x = [*rng.normal(size=(200, 6)).tolist(), *([i + 1.0, 1.0, 0.0] for i in range(3)), [1.0] * 9]
+    df = table(spark, x)
+    assert set(vectors.bounded_sample(df, "vec_id", "embedding")) == {6, 3, 9}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.vector_dedup(df, "vec_id", "embedding", 0.9).collect()}
+    for first, part in ((0, x[:200]), (200, x[200:203])):
+        n, component = brute_links(np.array(part, np.float32).astype(float), 0.9)
+        assert [got[first + i] for i in range(len(part))] == [(int(a), first + int(b)) for a, b in zip(n, component, strict=True)]
+    assert got[203] == (0, 203)
+    near = neighbours.nearest(df, "vec_id", "embedding", F.col("vec_id") >= 200, 5, sample_rows=2).collect()
+    assert sorted((r.query_id, r.vec_id) for r in near) == [(a, b) for a in range(200, 203) for b in range(200, 203) if a != b]
