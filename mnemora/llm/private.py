@@ -4,6 +4,10 @@ Numbers and dates that pass their own check (Luhn, address ranges, issued number
 are permuted by a keyed Feistel network over exactly the values of their format, so a pseudonym is
 again valid, equal values have equal pseudonyms in every document, and the key's holder can undo it.
 E-mail names are permuted letter for letter, digit for digit. Column functions only.
+
+Cards: 13 to 19 bare digits, or groups with single spaces or hyphens of 4-4-4-n, 4-4-4-4-3, 4-6-5, 4-6-4 and 6-13.
+Phones: North American numbers with separators, and international ones with a plus, 7 to 15 digits with single spaces,
+dots or hyphens between them; digits that follow such a number after one separator count as part of it.
 """
 
 from __future__ import annotations
@@ -15,11 +19,13 @@ ROUNDS = 8
 
 #: What each kind looks like. All parts are bounded or possessive, so matching is linear.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-PHONE = r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z+])\+(?:1[ .-]?[0-9]{10}|[2-9](?:[ .-]?[0-9]){6,14})(?![0-9])"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])"
-CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7})(?![0-9])"
+CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{6}[ -][0-9]{13}|(?:[0-9]{4}[ -]){4}[0-9]{3}(?![ .-]?[0-9])|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7})(?![0-9])"
+#: Country codes of the international numbering plan with one or two digits; the others have three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 ANY = "|".join((EMAIL, PHONE, ADDRESS, SOCIAL, DATE, CARD))
 
 #: Days from 1900-01-01 to 2099-12-31: 17 x 4297, so two residues cover the calendar exactly.
@@ -85,18 +91,30 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
 
 
 def card(m: Column, key: str) -> Column:
-    """Network digit kept, the others permuted, check digit made anew; null unless the Luhn check holds."""
+    """Network digit kept, the others permuted, check digit made anew; null unless the Luhn check holds.
+
+    Sixteen digits and three more are one number if all pass the check, else a number and its security code, which stays.
+    """
 
     def new(d: Column) -> Column:
         body = F.concat(F.substring(d, 1, 1), permute_digits(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
         return let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(b, 0), F.lit(10)).cast("string")))
 
-    return let(digits_of(m), lambda d: F.when(F.length(d).between(13, 19) & (luhn_sum(d, 1) % 10 == 0), refill(m, new(d))))
+    def checked(s: Column) -> Column:
+        return let(digits_of(s), lambda d: F.when(F.length(d).between(13, 19) & (luhn_sum(d, 1) % 10 == 0), refill(s, new(d))))
+
+    with_code = F.when(m.rlike("^(?:[0-9]{4}[ -]){4}[0-9]{3}$"), F.concat(checked(F.substring(m, 1, 19)), F.substring(m, 20, 4)))
+    return F.coalesce(checked(m), with_code)
 
 
 def phone(m: Column, key: str) -> Column:
-    """Country code kept, the ten digits of the number permuted."""
-    return let(digits_of(m), lambda d: refill(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), permute_digits(F.substring(d, -10, 10), key, "phone"))))
+    """Country code kept, the digits of the number permuted: after a plus all that follow the code, else the last ten."""
+
+    def new(d: Column) -> Column:
+        code = F.when(m.startswith("+"), F.length(F.regexp_extract(d, COUNTRY, 0))).otherwise(F.length(d) - 10)
+        return F.concat(F.substring(d, F.lit(1), code), permute_digits(F.substring(d, code + 1, F.length(d)), key, "phone"))
+
+    return let(digits_of(m), lambda d: refill(m, new(d)))
 
 
 def address(m: Column, key: str) -> Column:

@@ -122,6 +122,22 @@ def test_pseudonyms_equal_plain_python(spark):
     assert private.pseudonymise(df.filter("false"), "text", "k").count() == 0
 
 
+def test_usual_notations_of_cards_and_phones(spark):
+    """Each notation is found, its shape stays, and equal numbers have equal pseudonyms in all of them."""
+    nineteen = "411111111111111111" + str(-luhn("411111111111111111", 0) % 10)
+    assert luhn(nineteen) % 10 == 0
+    texts = ["3782 822463 10005", "378282246310005", "3056-930902-5904", "30569309025904", " ".join(nineteen[i : i + 4] for i in range(0, 19, 4)), nineteen, f"{nineteen[:6]} {nineteen[6:]}"]
+    texts += ["4111 1111 1111 1111 123", "4111 1111 1111 1111 212 555 0199", "+44 20 7946 0958", "+442079460958", "+14155550123", "+1 415-555-0123", "415-555-0123", "+298 201234"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [r.text for r in private.pseudonymise(df, "text", "k").orderBy("doc_id").collect()]
+    bare = [re.sub("[^0-9]", "", t) for t in got]
+    assert all(a != b and re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b) for a, b in zip(texts, got, strict=True))
+    assert bare[0] == bare[1] and bare[2] == bare[3] and bare[4] == bare[5] == bare[6] and bare[9] == bare[10] and bare[11] == bare[12] == "1" + bare[13]
+    assert all(luhn(d) % 10 == 0 for d in [*bare[:7], bare[7][:16], bare[8][:16]])
+    assert got[7].endswith(" 123") and bare[7][:16] == bare[8][:16] and not got[8].endswith("212 555 0199")
+    assert bare[9].startswith("44") and bare[14].startswith("298")
+
+
 def test_feistel_is_a_permutation(spark):
     days = {private_day for private_day in ((lambda p: p[0] + 17 * p[1])(feistel(n % 17, n // 17, 17, 4297, "k", "date")) for n in range(0, 73049))}
     assert days == set(range(73049))
