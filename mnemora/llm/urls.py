@@ -4,6 +4,9 @@ Labelled page outcomes are counted a host, and the rate of good pages is shrunk
 the corpus is the prior of a public suffix, the suffix of a registered domain, the domain of a host.
 How strongly each level is drawn to the one above comes from the spread between its groups (moments
 of the beta-binomial). A host passes if the lower posterior bound of its rate reaches a threshold.
+
+The last label stands for the public suffix and the last two for the registered domain: under suffixes of
+several labels (co.uk, github.io) all hosts form one domain, so a level of the chain is missing there.
 """
 
 from __future__ import annotations
