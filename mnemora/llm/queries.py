@@ -17,7 +17,7 @@ from .packing import pack
 from .private import pseudonymise
 from .secrets import scan
 from .token_files import token_files
-from .urls import Rule, judge
+from .urls import CHROME, LEAST_WORDS, MARKERS, SUFFIXES, Rule, judge, page_outcome
 from .vector_dedup import vector_dedup
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,8 +73,8 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judge every page's url."""
-    return judge(table(spark, sf_dir, "pages"), "page_id", "url", RULES).drop("bound")
+    """Judge every page's url; outcomes come from the pages' own text and addresses."""
+    return judge(table(spark, sf_dir, "pages"), "page_id", "url", RULES, page_outcome(F.col("url"), F.col("html"))).drop("bound")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -121,19 +121,26 @@ def _strength(groups: str) -> str:
     return f"(SELECT CASE WHEN coalesce(x, 0) <= 0 OR coalesce(t, 0) <= 0 THEN 200.0 ELSE least(200.0, greatest(2.0, t / x - 1)) END FROM (SELECT sum(n * ((good / n - above) * (good / n - above) - above * (1 - above) / n)) AS x, sum(n * above * (1 - above)) AS t FROM {groups} WHERE n > 0))"
 
 
-OP7_SQL = rf"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
-p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+def _listed(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{x}'" for x in values)
+
+
+OP7_SQL = rf"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest,
+  CASE WHEN html IS NOT NULL AND url IS NOT NULL THEN CASE WHEN len(regexp_extract_all(regexp_replace(html, '{CHROME}', ' ', 'g'), '\p{{L}}+')) >= {LEAST_WORDS} AND NOT regexp_matches(lower(url), '{"|".join(MARKERS)}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS outcome FROM pages),
+p AS (SELECT page_id, outcome, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, regexp_replace(host, '^.*@|:[0-9]*$|\.+$', '', 'g') AS name FROM u),
 r AS (SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
   WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM p),
-h AS (SELECT host, split_part(host, '.', -1) AS suffix, CASE WHEN contains(host, '.') THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain, count(rule)::DOUBLE AS n, count(*) FILTER (rule IN ('com/', 'www.example.com/en/'))::DOUBLE AS good FROM r GROUP BY host),
+g AS (SELECT name, split_part(name, '.', -1) AS one, CASE WHEN contains(name, '.') THEN split_part(name, '.', -2) || '.' || one ELSE name END AS two, count(outcome)::DOUBLE AS n, coalesce(sum(outcome), 0) AS good FROM r GROUP BY name),
+h AS (SELECT name, n, good, CASE WHEN regexp_full_match(name, '[0-9.]+') THEN name WHEN two IN ({_listed(SUFFIXES)}) THEN two ELSE one END AS suffix,
+  CASE WHEN regexp_full_match(name, '[0-9.]+') THEN name WHEN two IN ({_listed(SUFFIXES)}) AND name <> two THEN split_part(name, '.', -3) || '.' || two ELSE two END AS domain FROM g),
 t AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS top FROM h),
 s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(top) AS above FROM h, t GROUP BY suffix), k0 AS (SELECT {_strength("s0")} AS s),
 s1 AS (SELECT suffix, (good + s * above) / (n + s) AS rate FROM s0, k0),
 d0 AS (SELECT domain, h.suffix, sum(n) AS n, sum(good) AS good, any_value(rate) AS above FROM h JOIN s1 ON h.suffix = s1.suffix GROUP BY domain, h.suffix), k1 AS (SELECT {_strength("d0")} AS s),
 d1 AS (SELECT domain, (good + s * above) / (n + s) AS rate FROM d0, k1),
-h0 AS (SELECT host, n, good, rate AS above FROM h JOIN d1 ON h.domain = d1.domain), k2 AS (SELECT {_strength("h0")} AS s),
-b AS (SELECT host, (good + s * above) / (n + s) - sqrt((good + s * above) / (n + s) * (1 - (good + s * above) / (n + s)) / (n + s + 1)) AS bound FROM h0, k2)
-SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END AS verdict FROM r JOIN b ON r.host = b.host"""
+h0 AS (SELECT name, n, good, rate AS above FROM h JOIN d1 ON h.domain = d1.domain), k2 AS (SELECT {_strength("h0")} AS s),
+b AS (SELECT name, (good + s * above) / (n + s) - sqrt((good + s * above) / (n + s) * (1 - (good + s * above) / (n + s)) / (n + s + 1)) AS bound FROM h0, k2)
+SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END AS verdict FROM r JOIN b ON r.name = b.name"""
 
 
 def oracle_sql() -> dict[str, str]:

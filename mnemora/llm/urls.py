@@ -5,8 +5,8 @@ the corpus is the prior of a public suffix, the suffix of a registered domain, t
 How strongly each level is drawn to the one above comes from the spread between its groups (moments
 of the beta-binomial). A host passes if the lower posterior bound of its rate reaches a threshold.
 
-The last label stands for the public suffix and the last two for the registered domain: under suffixes of
-several labels (co.uk, github.io) all hosts form one domain, so a level of the chain is missing there.
+Outcomes are a column of the caller's; ``page_outcome`` makes them from the pages themselves. A host
+is known by its name alone: user parts, ports and a final dot of a url do not make another host.
 """
 
 from __future__ import annotations
@@ -20,8 +20,17 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Parts that a host's pages are dealt to when they meet its reputation: a third of all pages may share one host.
-SALTS = 16
+#: A host with more than one page in so many is hot. There are fewer hot hosts than this, so their table is small whatever the corpus.
+HOT = 1000
+
+#: Words in an address that mark bought or adult traffic.
+MARKERS = ("adult", "bets", "casino", "escort", "pills", "porn", "spam", "viagra", "warez")
+#: Public suffixes of two labels that are in wide use; a caller with the whole public list passes it instead.
+SUFFIXES = ("ac.uk", "blogspot.com", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "github.io", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
+#: Parts of a page that are not its own text.
+CHROME = r"(?is)<head.*?</head>|<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>|<!--.*?-->|<[^>]*>"
+#: Words of its own that a good page has at least.
+LEAST_WORDS = 50
 
 
 @dataclass(frozen=True)
@@ -65,12 +74,31 @@ def best_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def page_outcome(url: Column, html: Column, least_words: int = LEAST_WORDS, markers: Sequence[str] = MARKERS) -> Column:
+    """1.0 for a page with enough words of its own and no marker in its address, 0.0 for another; null without html or url.
+
+    Words are runs of letters outside of head, navigation, footer, scripts, comments and tags, in the whole page.
+    """
+    words = F.size(F.regexp_extract_all(F.regexp_replace(html, CHROME, " "), F.lit(r"\p{L}+"), F.lit(0)))
+    marked = F.lower(url).rlike("|".join(markers))
+    return F.when(html.isNotNull() & url.isNotNull(), F.when((words >= least_words) & ~marked, 1.0).otherwise(0.0))
+
+
+def name_of(host: Column) -> Column:
+    """The host's name: without the user part, the port and a final dot."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*$|\.+$", "")
+
+
+def suffix_of(name: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The last label, or the last two where they are a public suffix; a name of digits and dots is its own."""
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike("^[0-9.]+$"), name).when(two.isin(*suffixes), two).otherwise(F.substring_index(name, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def domain_of(name: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The suffix and the label before it."""
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike("^[0-9.]+$"), name).when(two.isin(*suffixes), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def strength(groups: DataFrame, mean: str, p: Reputation) -> float:
@@ -88,12 +116,12 @@ def strength(groups: DataFrame, mean: str, p: Reputation) -> float:
     return float(min(p.strongest, max(p.weakest, most / excess - 1)))
 
 
-def reputations(outcomes: DataFrame, p: Reputation) -> DataFrame:
+def reputations(outcomes: DataFrame, p: Reputation, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(host, n, good, rate, bound) of every host in ``outcomes`` (host, n labelled pages, good ones); hosts without labels get their prior.
 
     Counts are sums of doubles below 2**53, so they are exact. Each level's table is far smaller than the one below.
     """
-    hosts = outcomes.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = outcomes.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = suffixes.agg(F.sum("n"), F.sum("good")).first()
@@ -114,23 +142,28 @@ def reputations(outcomes: DataFrame, p: Reputation) -> DataFrame:
     return hosts.select("host", "n", "good", rate.alias("rate"), bound.alias("bound"))
 
 
-def judge(pages: DataFrame, id_col: str, url_col: str, rules: Sequence[Rule], p: Reputation | None = None) -> DataFrame:
-    """(id, host, path, rule, verdict, bound) of every page. Pages that a rule decides are the labelled outcomes for the rest.
+def judge(pages: DataFrame, id_col: str, url_col: str, rules: Sequence[Rule], outcome: Column, p: Reputation | None = None, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """(id, host, path, rule, verdict, bound) of every page: its rule's verdict, else that of its host's reputation.
 
+    ``outcome`` is a column of ``pages``: how good a page turned out, 0 to 1, null where that is unknown.
     A null url, or one without ``://``, has an empty host and path and is judged by the empty host's
     reputation. Null and repeated ids stay, a row each; other columns are not carried; an empty
-    table gives an empty result. Pages are counted a host before anything is shuffled.
+    table gives an empty result. Pages are counted a host before anything is shuffled; a hot host's
+    pages are dealt over as many parts as its count asks for when they meet its reputation.
     """
     p = p or Reputation()
     url = F.col(url_col).cast("string")
-    seen = pages.select(F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    seen = seen.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
-    ruled = seen.withColumn("_rule", best_rule(F.col("host"), F.col("path"), rules))
-    labelled = F.col("_rule").isNotNull().cast("double")
-    good = (F.coalesce(F.col("_rule.verdict"), F.lit("")) == "allow").cast("double")
-    outcomes = materialise(ruled.groupBy("host").agg(F.sum(labelled).alias("n"), F.sum(good).alias("good")), "hosts")
-    salted = reputations(outcomes, p).select("host", "bound", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    dealt = ruled.withColumn("_salt", F.pmod(F.xxhash64("_id", "path"), F.lit(SALTS)).cast("int"))
+    seen = pages.select(F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"), outcome.cast("double").alias("_outcome"))
+    seen = seen.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))}).withColumn("_name", name_of(F.col("host")))
+    known = F.col("_outcome").isNotNull().cast("double")
+    outcomes = seen.groupBy("_name").agg(F.sum(known).alias("n"), F.sum(F.coalesce("_outcome", F.lit(0.0))).alias("good"), F.count("*").alias("pages"))
+    outcomes = materialise(outcomes.withColumnRenamed("_name", "host"), "hosts")
+    most = max(1, (outcomes.agg(F.sum("pages")).first()[0] or 0) // HOT)
+    hot = outcomes.filter(F.col("pages") > most).select(F.col("host").alias("_name"), F.ceil(F.col("pages") / most).cast("int").alias("_parts"))
+    bounds = reputations(outcomes, p, suffixes).select(F.col("host").alias("_name"), "bound").join(F.broadcast(hot), "_name", "left")
+    bounds = bounds.select("_name", "bound", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
+    ruled = seen.drop("_outcome").withColumn("_rule", best_rule(F.col("host"), F.col("path"), rules)).join(F.broadcast(hot), "_name", "left")
+    dealt = ruled.withColumn("_part", F.pmod(F.xxhash64("_id", "path"), F.coalesce("_parts", F.lit(1))).cast("int"))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bound") >= p.threshold, "allow").otherwise("block"))
-    joined = dealt.join(salted, ["host", "_salt"], "left")
+    joined = dealt.join(bounds, ["_name", "_part"], "left")
     return joined.select(F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "bound")

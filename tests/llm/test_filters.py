@@ -260,7 +260,8 @@ URLS = [None, "", "no scheme", "http://", "http://COM/", "https://WWW.Example.co
 
 def test_urls_equal_brute_force(spark):
     df = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(URLS)] + [(0, "http://com/", None, None), (None, None, None, None)], "page_id int, url string, host string, rule string")
-    got = urls.judge(df, "page_id", "url", queries.RULES).collect()
+    unknown = F.lit(None)
+    got = urls.judge(df, "page_id", "url", queries.RULES, unknown).collect()
     assert len(got) == len(URLS) + 2
     by = {r.page_id: r for r in got if r.page_id}
     for i, u in enumerate(URLS):
@@ -269,8 +270,8 @@ def test_urls_equal_brute_force(spark):
             assert (by[i].host, by[i].path) == plain_host(u)
             assert by[i].rule == (rule and rule.host + rule.path) and (rule is None or by[i].verdict == rule.verdict)
             assert by[i].verdict in ("allow", "block")
-    assert urls.judge(df.filter("false"), "page_id", "url", queries.RULES).count() == 0
-    assert urls.judge(df, "page_id", "url", ()).filter("rule is null").count() == len(URLS) + 2
+    assert urls.judge(df.filter("false"), "page_id", "url", queries.RULES, unknown).count() == 0
+    assert urls.judge(df, "page_id", "url", (), unknown).filter("rule is null").count() == len(URLS) + 2
 
 
 def test_reputation_shrinks(spark):
@@ -282,6 +283,41 @@ def test_reputation_shrinks(spark):
     assert all(r.bound <= r.rate for r in got.values())
 
 
+def test_levels_of_a_name(spark):
+    names = {"a:b@WWW.x.co.uk:8080": ("WWW.x.co.uk", "x.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk", "co.uk"), "m.y.github.io.": ("m.y.github.io", "y.github.io", "github.io"), "z.org": ("z.org", "z.org", "org"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1", "10.0.0.1"), "": ("", "", ""), "localhost": ("localhost", "localhost", "localhost")}
+    df = spark.createDataFrame([(h,) for h in names], "h string").select("h", urls.name_of(F.col("h")).alias("n"))
+    for r in df.select("h", "n", urls.domain_of(F.col("n")).alias("d"), urls.suffix_of(F.col("n")).alias("s")).collect():
+        assert (r.n, r.d, r.s) == names[r.h]
+
+
+def test_page_outcomes(spark):
+    text = "<p>" + "word " * urls.LEAST_WORDS + "</p>"
+    rows = [("http://a.net/", text, 1.0), ("http://casino.net/", text, 0.0), ("http://a.net/", f"<head>{text}</head><nav>{text}</nav>x", 0.0), ("http://a.net/", None, None), (None, text, None), ("http://a.net/", "", 0.0), ("http://a.net/", "<script>" + "x y " * 50_000, 0.0)]
+    df = spark.createDataFrame([(u, h, w) for u, h, w in rows], "url string, html string, want double")
+    for r in df.withColumn("got", urls.page_outcome(F.col("url"), F.col("html"))).collect()[:-1]:
+        assert r.got == r.want
+
+
+def test_the_method_decides(spark):
+    """Pages that no rule decides get both verdicts, by their hosts."""
+    got = queries.op7_urls(spark, "/root/testdata/sf0.1").filter("rule is null")
+    hosts = {r.host: r.v for r in got.groupBy("host").agg(F.collect_set("verdict").alias("v")).collect()}
+    assert all(len(v) == 1 for v in hosts.values()) and {v[0] for v in hosts.values()} == {"allow", "block"}
+    assert all((v == ["block"]) == any(m in h for m in urls.MARKERS) for h, v in hosts.items())
+
+
+def test_hot_host_and_many_hosts(spark):
+    """A third of all pages on one host is dealt over parts; thousands of hosts with a page each keep their own verdicts."""
+    rows = [(i, "http://u@hot.org:80/x" if i % 3 == 0 else f"http://h{i}.org/x", float(i % 3 == 0 or i % 2)) for i in range(9000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, score double")
+    judged = urls.judge(df, "page_id", "url", (), F.col("score"))
+    got = {r.page_id: r for r in judged.collect()}
+    assert len(got) == 9000 and got[0].verdict == "allow" and got[0].host == "u@hot.org:80"
+    ones = [got[i] for i in range(9000) if i % 3]
+    assert len({(r.bound, r.verdict) for r in ones}) == 2  # equal evidence, equal bound
+    assert judged.groupBy("page_id").count().filter("count > 1").count() == 0
+
+
 def test_language_held_out(spark):
     got = queries.op9_language(spark, "/root/testdata/sf0.01").collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
