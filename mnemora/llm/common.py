@@ -83,6 +83,26 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The groups of rows that lie next to each other with equal values in the first ``keys`` columns (integers)."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        marks = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(keys)], 1)
+        edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(batch)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            mark = tuple(marks[a].tolist())
+            if held and mark != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = mark
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A column of equally long, null-free lists as a float64 matrix."""
     if len(column) == 0:

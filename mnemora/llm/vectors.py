@@ -18,6 +18,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def fingerprint(vector: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a vector's value, as two longs."""
+    return F.xxhash64(F.lit(101), vector), F.xxhash64(F.lit(211), vector)
+
+
 def bounded_sample(df: DataFrame, id_col: str, vector_col: str, rows: int | None = None) -> dict[int, np.ndarray]:
     """About ``rows`` (SAMPLE_ROWS) vectors of each number of dimensions by hash of id, one matrix each; all of them if there are no more.
 

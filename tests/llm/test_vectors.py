@@ -62,6 +62,42 @@ def test_nearest_ties_copies_and_bad_vectors(spark, monkeypatch):
     assert neighbours.nearest(few, "vec_id", "embedding", F.lit(True), 10).count() == 6
 
 
+def test_few_candidates_where_vectors_cluster():
+    """On clustered vectors a query meets a small part of the table and most of its nearest, also where the sample is much smaller than the table."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([c + 0.3 * rng.normal(size=(60, 48)) for c in rng.normal(size=(300, 48))])
+    for rows in (len(x), 1500):
+        forest = neighbours.fit(x[rng.permutation(len(x))[:rows]], len(x), 10)
+        assert (forest.bits > 0) == (rows == 1500)
+        where, asked = forest.index(x), x[::90]
+        sizes = np.unique(where, return_counts=True)[1]
+        assert np.median(sizes) < 3 * neighbours.LEAF
+        near, met, hits = (x**2).sum(1)[None, :] - 2 * asked @ x.T, 0, 0
+        for q, found in enumerate(forest.search(asked)):
+            assert len(set(found)) == len(found) and found[0] in where[90 * q]
+            inside = np.isin(where, found).any(1)
+            met += inside.sum()
+            hits += inside[np.argsort(near[q], kind="stable")[1:11]].sum()
+        assert met <= 0.2 * len(x) * len(asked) and hits >= 0.9 * 10 * len(asked), (rows, met / len(x) / len(asked), hits)
+
+
+def test_a_pair_is_ranked_in_one_tree():
+    """Each candidate counts in the first tree in which the query meets it, so all trees together give every pair once."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8))
+    forest = neighbours.fit(x, len(x), 5, leaf=16)
+    cells, asked = forest.index(x), x[:30]
+    found = [np.array(f) for f in forest.search(asked)]
+    pairs = []
+    for t in range(cells.shape[1]):
+        visited = [f[forest.tree[f >> forest.bits] <= t] for f in found]
+        q, c, score = neighbours.ranked(t + 1, cells[:, : t + 1], np.arange(400), x, visited, asked, 400)
+        assert np.allclose(score, np.linalg.norm(asked[q] - x[c], axis=1))
+        pairs += zip(q.tolist(), c.tolist(), strict=True)
+    assert len(set(pairs)) == len(pairs)
+    assert set(pairs) == {(i, j) for i, f in enumerate(found) for j in np.flatnonzero(np.isin(cells, f).any(1)).tolist()}
+
+
 def brute_links(x, threshold):
     size = np.linalg.norm(x, axis=1)
     link = x @ x.T / size[:, None] / size >= threshold
