@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts handled at a time by the Python operators: bounds a worker's memory whatever the Arrow batch size is.
 SLICE_ROWS = 512
@@ -57,6 +58,23 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one row in so many is hot. There are fewer hot keys than this, so their table is small whatever the input.
+HOT = 1000
+
+
+def meet(rows: DataFrame, table: DataFrame, keys: list[str], count: str, spread: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined by ``keys`` with a written table of one row a key, where ``count`` says how many rows a key has.
+
+    A hot key's rows are dealt by ``spread`` over as many parts as its count asks for, and its table row is repeated for each.
+    """
+    most = max(1, int(table.agg(F.sum(count)).first()[0] or 0) // HOT)
+    hot = F.broadcast(table.filter(F.col(count) > most).select(*keys, F.ceil(F.col(count) / most).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn("_part", F.pmod(spread, parts).cast("int")).drop("_parts")
+    wide = table.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(wide, [*keys, "_part"], how).drop("_part")
+
+
 def text_slices(texts: pa.Array, most_rows: int = SLICE_ROWS, most_bytes: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """(first row, rows) pieces of an Arrow string column, bounded in rows and bytes; a longer text is a piece by itself."""
     start, n = 0, len(texts)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import grouped, list_array, materialise, matrix
-from .vectors import SAMPLE_ROWS, bounded_sample, fingerprint, usable
+from .vectors import SAMPLE_ROWS, bounded_sample, checked, fingerprint, usable
 
 TREES = 3
 #: Rows of the table in a leaf, about; sampled vectors in a sampled leaf at least.
@@ -30,8 +30,6 @@ LEAF, LEAST = 64, 16
 TARGET = 0.965
 #: Rows of either side of a bundle of leaves that one task takes at a time.
 CHUNK = 16_384
-#: Rows of a lookup table up to which it is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -214,11 +212,6 @@ def scatter(cells: np.ndarray, bundles: int) -> np.ndarray:
     return ((mixed >> np.uint64(33)) % np.uint64(bundles)).astype(np.int64)
 
 
-def checked(small: DataFrame, rows: int) -> DataFrame:
-    """``small`` with a broadcast hint if its counted rows allow it."""
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
-
-
 def nearest(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 10, sample_rows: int = SAMPLE_ROWS, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k nearest other ids found, by Euclidean distance, ties to the smaller id.
 

@@ -18,10 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-
-#: A host with more than one page in so many is hot. There are fewer hot hosts than this, so their table is small whatever the corpus.
-HOT = 1000
+from .common import materialise, meet
 
 #: Words in an address that mark bought or adult traffic.
 MARKERS = ("adult", "bets", "casino", "escort", "pills", "porn", "spam", "viagra", "warez")
@@ -117,7 +114,7 @@ def strength(groups: DataFrame, mean: str, p: Reputation) -> float:
 
 
 def reputations(outcomes: DataFrame, p: Reputation, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
-    """(host, n, good, rate, bound) of every host in ``outcomes`` (host, n labelled pages, good ones); hosts without labels get their prior.
+    """``outcomes`` (host, n labelled pages, good ones, and more) with rate and bound; hosts without labels get their prior.
 
     Counts are sums of doubles below 2**53, so they are exact. Each level's table is far smaller than the one below.
     """
@@ -139,7 +136,7 @@ def reputations(outcomes: DataFrame, p: Reputation, suffixes: Sequence[str] = SU
     a, b = F.col("good") + s * F.col("above"), F.col("n") - F.col("good") + s * (1 - F.col("above"))
     rate, size = a / (a + b), a + b
     bound = rate - p.z * F.sqrt(rate * (1 - rate) / (size + 1))
-    return hosts.select("host", "n", "good", rate.alias("rate"), bound.alias("bound"))
+    return hosts.select(*outcomes.columns, rate.alias("rate"), bound.alias("bound"))
 
 
 def judge(pages: DataFrame, id_col: str, url_col: str, rules: Sequence[Rule], outcome: Column, p: Reputation | None = None, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
@@ -158,12 +155,8 @@ def judge(pages: DataFrame, id_col: str, url_col: str, rules: Sequence[Rule], ou
     known = F.col("_outcome").isNotNull().cast("double")
     outcomes = seen.groupBy("_name").agg(F.sum(known).alias("n"), F.sum(F.coalesce("_outcome", F.lit(0.0))).alias("good"), F.count("*").alias("pages"))
     outcomes = materialise(outcomes.withColumnRenamed("_name", "host"), "hosts")
-    most = max(1, (outcomes.agg(F.sum("pages")).first()[0] or 0) // HOT)
-    hot = outcomes.filter(F.col("pages") > most).select(F.col("host").alias("_name"), F.ceil(F.col("pages") / most).cast("int").alias("_parts"))
-    bounds = reputations(outcomes, p, suffixes).select(F.col("host").alias("_name"), "bound").join(F.broadcast(hot), "_name", "left")
-    bounds = bounds.select("_name", "bound", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
-    ruled = seen.drop("_outcome").withColumn("_rule", best_rule(F.col("host"), F.col("path"), rules)).join(F.broadcast(hot), "_name", "left")
-    dealt = ruled.withColumn("_part", F.pmod(F.xxhash64("_id", "path"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    bounds = reputations(outcomes, p, suffixes).select(F.col("host").alias("_name"), "bound", "pages")
+    ruled = seen.drop("_outcome").withColumn("_rule", best_rule(F.col("host"), F.col("path"), rules))
+    joined = meet(ruled, materialise(bounds, "bounds"), ["_name"], "pages", F.xxhash64("_id", "path"))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bound") >= p.threshold, "allow").otherwise("block"))
-    joined = dealt.join(bounds, ["_name", "_part"], "left")
     return joined.select(F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "bound")

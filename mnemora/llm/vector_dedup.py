@@ -6,10 +6,15 @@ one block. Each block is range-joined under its share: a k-d partition puts ever
 and in the cells within reach, cells meet in bounded tiles, and the union of candidates is verified
 exactly. A pair counts in the first block that admits it, and each vector counts at its own cell, so
 nothing is counted twice and no pairs leave a task.
+
+Blocks hold equal shares of the variance, so they are low-dimensional where it is concentrated. How many
+there are is chosen by what the sample's cells would cost. Where no block can be separated, because its
+reach is wider than its spread, the cheapest join is that of a single block: one blocked product.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,15 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, matrix
+from .common import materialise, matrix, meet
 from .components import connected_components, merge_labels
-from .vectors import bounded_sample, usable
+from .vectors import bounded_sample, checked, fingerprint, usable
 
-BLOCK_DIMS = 16
 #: Rows of either side of a tile; a fuller cell is dealt over several tiles.
 TILE = 32_768
 #: A cell is split only where at most this share of it lies within reach of both halves.
 OVERLAP = 0.5
+#: What a pair costs besides a multiplication a dimension, and what a copy of a vector costs, in multiplications.
+PAIR_COST, COPY_COST = 24, 20_000
 
 
 @dataclass(frozen=True)
@@ -39,36 +45,50 @@ class Blocks:
     splits: list[list[tuple[int, float, int, int]]]
 
 
+def split_block(part: np.ndarray, reach: float, n: int) -> tuple[list[tuple[int, float, int, int]], float]:
+    """K-d splits by medians while splitting pays, and what the cells cost for ``n`` vectors."""
+    nodes: list[tuple[int, float, int, int]] = []
+    cost, share = 0.0, n / max(1, len(part))
+
+    def build(rows: np.ndarray) -> int:
+        nonlocal cost
+        if len(rows) * share > TILE and len(rows) > 64:
+            axis = int(part[rows].var(0).argmax())
+            value = float(np.median(part[rows, axis]))
+            if (np.abs(part[rows, axis] - value) <= reach).mean() <= OVERLAP:
+                at = len(nodes)
+                nodes.append((axis, value, 0, 0))
+                low = build(rows[part[rows, axis] <= value + reach])
+                high = build(rows[part[rows, axis] > value - reach])
+                nodes[at] = (axis, value, low, high)
+                return at
+        nodes.append((-1, 0.0, 0, 0))
+        size = len(rows) * share
+        cost += size * size / 2 * (part.shape[1] + PAIR_COST) + size * math.ceil(size / TILE) * COPY_COST
+        return len(nodes) - 1
+
+    build(np.arange(len(part)))
+    return nodes, cost
+
+
 def fit(sample: np.ndarray, n: int, threshold: float) -> Blocks:
-    """Principal axes of a bounded sample; budgets by share of variance; cells by medians while splitting pays."""
+    """Principal axes of a bounded sample; blocks of equal variance, as many as make the cells cheapest; budgets by share of variance."""
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     d = unit.shape[1]
-    values, rotation = np.linalg.eigh(unit.T @ unit) if len(unit) else (np.ones(d), np.eye(d))
+    centred = unit - unit.mean(0)
+    values, rotation = np.linalg.eigh(centred.T @ centred / len(unit))
     values, rotation = np.maximum(values[::-1], 0) + 1e-6, rotation[:, ::-1]
-    columns = np.array_split(np.arange(d), max(1, d // BLOCK_DIMS))
+    turned, mass = unit @ rotation, np.cumsum(values) / values.sum()
     total = (2 - 2 * threshold) * (1 + 1e-9) + 1e-12
-    budgets = [float(total * values[c].sum() / values.sum()) for c in columns]
-    turned, splits = unit @ rotation, []
-    for c, budget in zip(columns, budgets, strict=True):
-        part, reach, nodes = turned[:, c], float(np.sqrt(budget)), []
-
-        def build(rows: np.ndarray, part=part, reach=reach, nodes=nodes) -> int:
-            if len(rows) / max(1, len(part)) * n > TILE and len(rows) > 64:
-                axis = int(part[rows].var(0).argmax())
-                value = float(np.median(part[rows, axis]))
-                if (np.abs(part[rows, axis] - value) <= reach).mean() <= OVERLAP:
-                    at = len(nodes)
-                    nodes.append((axis, value, 0, 0))
-                    low = build(rows[part[rows, axis] <= value + reach])
-                    high = build(rows[part[rows, axis] > value - reach])
-                    nodes[at] = (axis, value, low, high)
-                    return at
-            nodes.append((-1, 0.0, 0, 0))
-            return len(nodes) - 1
-
-        build(np.arange(len(part)))
-        splits.append(nodes)
-    return Blocks(rotation, columns, budgets, splits)
+    best, least = None, math.inf
+    for wanted in (1 << i for i in range(max(1, d // 2).bit_length())):
+        edges = np.unique([0, *(int(np.searchsorted(mass, i / wanted - 1e-9)) + 1 for i in range(1, wanted)), d])
+        columns = [np.arange(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+        budgets = [float(total * values[c].sum() / values.sum()) for c in columns]
+        made = [split_block(turned[:, c], math.sqrt(b), n) for c, b in zip(columns, budgets, strict=True)]
+        if (cost := sum(m[1] for m in made)) < least:
+            best, least = Blocks(rotation, columns, budgets, [m[0] for m in made]), cost
+    return best
 
 
 def cells(blocks: Blocks, turned: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -94,12 +114,12 @@ def join_tile(blocks: Blocks, b: int, x: np.ndarray, weight: np.ndarray, home: n
     """
     size = np.sqrt((x * x).sum(1))
     unit = x / size[:, None]
-    turned = unit @ blocks.rotation
-    part = turned[:, blocks.columns[b]]
+    part = unit @ blocks.rotation[:, blocks.columns[b]]
     half, one = (part**2).sum(1) / 2, np.ones(len(x))
     # a row of ``ahead`` times a row of ``behind`` is half of what the budget leaves: one product and one comparison a pair
     ahead = np.column_stack([part, blocks.budgets[b] / 2 - half, one]).astype(np.float32)
     behind = np.column_stack([part, one, -half]).astype(np.float32)
+    del part
     count, root = np.zeros(len(x), np.int64), np.arange(len(x))
     same = left is right
     for at in range(0, len(left), 512):
@@ -117,18 +137,28 @@ def join_tile(blocks: Blocks, b: int, x: np.ndarray, weight: np.ndarray, home: n
             ok = near[np.ix_(i, j)] & ((x[r] @ x[s].T) / (size[r][:, None] * size[s][None, :]) >= threshold)
             if not ok.any():
                 continue
-            first = ok & _within(turned, r, s, blocks, b)
-            for e in range(b):
-                first &= ~_within(turned, r, s, blocks, e)
+            first = ok if len(blocks.columns) == 1 else ok & first_block(blocks, b, unit, r, s, ok)
             count[r] += np.where(home[r], first @ weight[s], 0)
             count[s] += np.where(home[s], weight[r] @ first, 0)
             root = merge_labels(root, r, s, ok)
     return count, root
 
 
-def _within(turned: np.ndarray, r: np.ndarray, s: np.ndarray, blocks: Blocks, b: int) -> np.ndarray:
-    p, q = turned[r][:, blocks.columns[b]], turned[s][:, blocks.columns[b]]
-    return (p**2).sum(1)[:, None] + (q**2).sum(1)[None, :] - 2 * p @ q.T <= blocks.budgets[b]
+def first_block(blocks: Blocks, b: int, unit: np.ndarray, r: np.ndarray, s: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Which of the ``ok`` pairs are admitted by block ``b`` and by none before it.
+
+    Sums go over one vector or pair at a time in a fixed order, so that every tile that meets a pair finds the same.
+    """
+    turn = lambda v: np.concatenate([(unit[v[i : i + 64], :, None] * blocks.rotation[None]).sum(1) for i in range(0, len(v), 64)])
+    p, q = turn(r), turn(s)
+    out = np.zeros_like(ok)
+    starts, budgets = [int(c[0]) for c in blocks.columns], np.array(blocks.budgets)
+    pairs = np.argwhere(ok)
+    for at in range(0, len(pairs), 32_768):
+        i, j = pairs[at : at + 32_768].T
+        inside = np.add.reduceat((p[i] - q[j]) ** 2, starts, axis=1) <= budgets
+        out[i, j] = inside[:, b] & ~inside[:, :b].any(1)
+    return out
 
 
 def vector_dedup(df: DataFrame, id_col: str, vector_col: str, threshold: float = 0.9) -> DataFrame:
@@ -136,16 +166,25 @@ def vector_dedup(df: DataFrame, id_col: str, vector_col: str, threshold: float =
 
     Rows with a null, zero or partly null or non-finite vector, or a null id, link with nothing and
     are kept; vectors meet only those with as many dimensions. Equal vectors are one class with a
-    weight, found by partial aggregation. Rows that repeat an id stay, a row each. Cells, tiles
+    weight, known by a 128-bit fingerprint and found by partial aggregation. Rows that repeat an id stay, a row
+    each; with unequal vectors they are one node with the links of all. Cells, tiles
     and budgets follow from a bounded sample and one count a cell; nothing is capped.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"))
-    linkable = F.col("_id").isNotNull() & usable(F.col("_v"))
-    classes = rows.filter(linkable).groupBy("_v").agg(F.min("_id").cast("long").alias("rep"), F.count("*").alias("w"))
-    classes = materialise(classes.select("rep", "w", F.col("_v").alias("v"), F.size("_v").alias("d")), "classes")
-    n = classes.count()
+    first, second = fingerprint(F.col("v"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    linkable = F.col("id").isNotNull() & usable(F.col("v"))
+    alone = rows.filter(~linkable).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    rows = rows.filter(linkable).withColumns({"h1": first, "h2": second})
+    keys = materialise(rows.groupBy("h1", "h2").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("w")), "keys")
+    n, twins = keys.count(), keys.filter("w > 1")
+    n_twins = twins.count()
+    single = rows.join(checked(twins.select("h1", "h2"), n_twins), ["h1", "h2"], "left_anti").select(F.col("id").cast("long").alias("rep"), F.lit(1).cast("long").alias("w"), "v")
+    twin = rows.join(checked(twins, n_twins), ["h1", "h2"]).filter("id = rep").dropDuplicates(["h1", "h2"]).select("rep", "w", "v")
+    classes = materialise(single.union(twin).withColumn("d", F.size("v")), "classes")
     shared = spark.sparkContext.broadcast({d: fit(x, n, threshold) for d, x in bounded_sample(classes, "rep", "v").items()})
+    if not shared.value:
+        return alone
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,10 +196,9 @@ def vector_dedup(df: DataFrame, id_col: str, vector_col: str, threshold: float =
                     part = own.take(pa.array(at))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(at), b, np.int32)), pa.array(np.full(len(at), cell, np.int32)), pa.array(home)], ["rep", "w", "v", "d", "block", "cell", "home"])
 
-    if not shared.value:
-        return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     kind = classes.schema["v"].dataType.simpleString()
     dealt = classes.mapInArrow(deal, f"rep long, w long, v {kind}, d int, block int, cell int, home boolean")
+    # a row a cell: their number is bounded by the sample, not by the table
     counts = dealt.groupBy("d", "block", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
     tiles = dealt.join(F.broadcast(counts), ["d", "block", "cell"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -179,8 +217,7 @@ def vector_dedup(df: DataFrame, id_col: str, vector_col: str, threshold: float =
     links = materialise(tiles.groupBy("d", "block", "cell", "i", "j").applyInArrow(run, "rep long, n long, to long"), "links")
     totals = links.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = connected_components(links.select(F.col("rep").alias("src"), F.col("to").alias("dst")))
-    labelled = classes.join(totals, "rep", "left").join(parts, classes["rep"] == parts["node"], "left")
-    labelled = labelled.select(F.col("v").alias("_cv"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
-    out = rows.withColumn("_v", F.when(linkable, F.col("_v"))).join(labelled, F.col("_v") == F.col("_cv"), "left")
-    component = F.coalesce(F.col("component"), F.col("_id").cast("long"))
-    return out.select(F.col("_id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))
+    labelled = keys.join(totals, "rep", "left").join(parts, keys["rep"] == parts["node"], "left")
+    labelled = materialise(labelled.select("h1", "h2", "w", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "labelled")
+    out = meet(rows.select("id", "h1", "h2"), labelled, ["h1", "h2"], "w", F.xxhash64("id"))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("component_id") == F.col("id")).alias("kept")).union(alone)

@@ -126,6 +126,45 @@ def test_dedup_equals_brute_force(spark, monkeypatch):
         assert [tuple(r) for r in got] == [(i, int(a), int(b), i == b) for i, (a, b) in enumerate(zip(n, part, strict=True))]
 
 
+def test_blocks_follow_the_variance():
+    """Nothing to separate: one block of all dimensions. A few strong axes with gaps: low-dimensional blocks whose cells part."""
+    rng = np.random.default_rng(0)
+    flat = vector_dedup.fit(rng.normal(size=(4000, 64)), 10**9, 0.9)
+    assert len(flat.columns) == 1 and len(flat.splits[0]) == 1
+    spots = rng.normal(size=(200, 3))[rng.integers(0, 200, 6000)]
+    strong = vector_dedup.fit(np.concatenate([spots + 0.01 * rng.normal(size=spots.shape), 0.01 * rng.normal(size=(6000, 61))], 1), 10**9, 0.99)
+    assert max(map(len, strong.splits)) > 50 and len(strong.columns[0]) <= 3 or len(strong.columns) == 1
+    assert max(map(len, strong.splits)) > 50
+    for blocks in (flat, strong):
+        assert np.concatenate(blocks.columns).tolist() == list(range(64)) and abs(sum(blocks.budgets) - (2 - 2 * (0.9 if blocks is flat else 0.99))) < 1e-6
+
+
+def test_many_blocks_count_each_pair_once(monkeypatch):
+    """Whatever the layout, the blocks together give every link once."""
+    rng = np.random.default_rng(3)
+    x = clustered(rng, 400, 12)
+    x = np.unique(x, axis=0)
+    n, _ = brute_links(x, 0.9)
+    whole = vector_dedup.fit(x, len(x), 0.9)
+    for k in (2, 3, 6):
+        columns = np.array_split(np.arange(12), k)
+        made = vector_dedup.Blocks(whole.rotation, columns, [whole.budgets[0] / k] * k, [[(-1, 0.0, 0, 0)]] * k)
+        rows, one = np.arange(len(x)), np.ones(len(x), np.int64)
+        got = sum(vector_dedup.join_tile(made, b, x, one, one > 0, rows, rows, 0.9)[0] for b in range(k))
+        assert got.tolist() == n.tolist()
+
+
+def test_dedup_hot_and_bad_thirds(spark):
+    """A third of the rows share one vector and a third have none that counts."""
+    x = [[1.0, 2.0]] * 300 + [None, [0.0, 0.0], [float("nan"), 1.0]] * 100 + [[np.cos(i), np.sin(i)] for i in np.linspace(0, 6, 300)]
+    got = {r.vec_id: r for r in vector_dedup.vector_dedup(table(spark, x), "vec_id", "embedding", 0.9999).collect()}
+    good = np.array([v for i, v in enumerate(x) if not 300 <= i < 600], np.float32).astype(float)
+    ids = [i for i in range(900) if not 300 <= i < 600]
+    n, part = brute_links(good, 0.9999)
+    assert [(got[i].n_links, got[i].component_id) for i in ids] == [(int(a), ids[b]) for a, b in zip(n, part, strict=True)]
+    assert all(got[i].n_links == 0 and got[i].kept for i in range(300, 600))
+
+
 def test_dedup_odd_rows(spark):
     x = [[1.0, 0.0], [2.0, 0.0], None, [0.0, 0.0], [float("nan"), 1.0], [1.0, 0.0, 0.0], [1.0, 0.0]]
     df = table(spark, x).union(spark.createDataFrame([(None, [1.0, 0.0], "x", 1), (6, [1.0, 0.0], "y", 1), (8, [None, 1.0], None, None)], table(spark, x[:1]).schema))
