@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,41 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken or not name.startswith("_"):
+        name = f"_{name}"
+    return name
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+#: Elements that a running total appends one by one before it starts another piece.
+PIECE = 256
+
+
+def running(values: Column, kind: str, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """What an array adds up to before each of its elements, as array<kind>, under an associative ``add`` with identity ``zero``.
+
+    Appending to an array copies it, so elements are added up in pieces, and then the pieces: PIECE / 2 copies an element
+    instead of half the array. ``values`` must not be empty.
+    """
+
+    def fold(part: Column) -> Column:
+        start = F.struct(zero.alias("total"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct(add(acc["total"], x).alias("total"), F.concat(acc["out"], F.array(acc["total"])).alias("out")))
+
+    def whole(v: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PIECE).cast("int")), lambda i: fold(F.slice(v, i * PIECE + 1, F.lit(PIECE))))
+        return let(pieces, lambda ps: F.flatten(F.zip_with(ps, fold(F.transform(ps, lambda p: p["total"]))["out"], lambda p, before: F.transform(p["out"], lambda x: add(before, x)))))
+
+    return let(values, whole)
+
+
 #: A key with more than one row in so many is hot. There are fewer hot keys than this, so their table is small whatever the input.
 HOT = 1000
 

@@ -11,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let, running
+
+#: Characters of the chunks that a text is cut into before pieces are taken from it.
+CHUNK = 4096
 #: Characters between two parts of one credential at most.
 SCOPE = 240
 
@@ -44,43 +48,47 @@ def spans_of(text: Column, kind: str, pattern: str, least: int = 0, quick: str |
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     long_enough = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda v: F.length(v) >= least) if least else F.transform(found, lambda v: F.lit(True))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("s"), F.lit(order).alias("o"), end.alias("e"), F.lit(role).alias("role"), F.lit(weak).alias("weak"))
-        return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def placed(parts: Column) -> Column:
+        before = running(F.transform(parts, lambda x: x["gap"] + x["m"]), "int", F.lit(0), lambda a, b: a + b)
+
+        def span(x: Column, at: Column) -> Column:
+            start = at + x["gap"]
+            return F.when(x["ok"], F.struct(start.alias("s"), F.lit(order).alias("o"), (start + x["m"]).alias("e"), F.lit(role).alias("role"), F.lit(weak).alias("weak")))
+
+        return F.filter(F.zip_with(parts, before, span), lambda x: x.isNotNull())
 
+    lengths = lambda v: F.transform(v, F.length)
+    parts = F.arrays_zip(F.slice(lengths(gaps), 1, F.size(found)).alias("gap"), lengths(found).alias("m"), long_enough.alias("ok"))
     empty = F.array().cast("array<struct<s:int,o:int,e:int,role:string,weak:boolean>>")
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("m"), long_enough.alias("ok"))
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(text.rlike(quick or pattern), spans).otherwise(empty)
+    return F.when(text.rlike(quick or pattern), let(parts, placed)).otherwise(empty)
 
 
 def linked(spans: Column, scope: int) -> Column:
     """``spans`` (sorted) without the weak ones whose complement is nowhere within ``scope`` characters.
 
-    A secret needs an identifier or an endpoint; an identifier or an endpoint needs a secret.
+    A secret needs an identifier or an endpoint; an identifier or an endpoint needs a secret. The farthest end so far of
+    either side is a running maximum, taken once from the front and, with starts and minima, once from the back.
     """
 
     def near(ordered: Column, forward: bool) -> Column:
         far = F.lit(-(1 << 30)) if forward else F.lit(1 << 30)
+        secret = lambda x: x["role"] == "secret"
+        edge = lambda x: x["e"] if forward else x["s"]
+        sides = F.transform(ordered, lambda x: F.struct(F.when(secret(x), edge(x)).otherwise(far).alias("own"), F.when(secret(x), far).otherwise(edge(x)).alias("other")))
+        best = F.greatest if forward else F.least
+        reach = running(sides, "struct<own:int,other:int>", F.struct(far.alias("own"), far.alias("other")), lambda a, b: F.struct(best(a["own"], b["own"]).alias("own"), best(a["other"], b["other"]).alias("other")))
 
-        def gap(acc: Column, x: Column, role: str) -> Column:
-            return (x["s"] - acc[role] <= scope) if forward else (acc[role] - x["e"] <= scope)
+        def ok(x: Column, r: Column) -> Column:
+            to = F.when(secret(x), r["other"]).otherwise(r["own"])
+            return (x["s"] - to <= scope) if forward else (to - x["e"] <= scope)
 
-        def step(acc: Column, x: Column) -> Column:
-            secret = x["role"] == "secret"
-            ok = F.when(secret, gap(acc, x, "other")).otherwise(gap(acc, x, "own"))
-            edge = (lambda old: F.greatest(old, x["e"])) if forward else (lambda old: F.least(old, x["s"]))
-            return F.struct(F.when(secret, edge(acc["own"])).otherwise(acc["own"]).alias("own"), F.when(secret, acc["other"]).otherwise(edge(acc["other"])).alias("other"), F.concat(acc["ok"], F.array(ok)).alias("ok"))
+        return F.zip_with(ordered, reach, ok)
 
-        start = F.struct(far.alias("own"), far.alias("other"), F.array().cast("array<boolean>").alias("ok"))
-        return F.aggregate(ordered, start, step)["ok"]
+    def kept(own: Column) -> Column:
+        flagged = F.arrays_zip(own.alias("x"), near(own, True).alias("b"), F.reverse(near(F.reverse(own), False)).alias("a"))
+        return F.transform(F.filter(flagged, lambda f: ~f["x"]["weak"] | f["b"] | f["a"]), lambda f: f["x"])
 
-    before, after = near(spans, True), F.reverse(near(F.reverse(spans), False))
-    flagged = F.arrays_zip(spans.alias("x"), before.alias("b"), after.alias("a"))
-    kept = F.transform(F.filter(flagged, lambda f: ~f["x"]["weak"] | f["b"] | f["a"]), lambda f: f["x"])
-    return F.when(F.exists(spans, lambda x: x["weak"]), kept).otherwise(spans)
+    return let(spans, lambda own: F.when(F.exists(own, lambda x: x["weak"]), kept(own)).otherwise(own))
 
 
 def listed(spans: Column) -> Column:
@@ -89,13 +97,9 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["o"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def with_spans(df: DataFrame, text_col: str, spans_col: str, scope: int = SCOPE) -> DataFrame:
-    """``df`` with ``spans_col``: array<struct<s, o, e, role, weak>>, by start and then kind; other columns and all rows stay.
-
-    Null text counts as empty and has no spans. One narrow pass; texts that hold no part at all cost
-    one search a pattern.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def spans_in(text: Column, scope: int = SCOPE) -> Column:
+    """array<struct<s, o, e, role, weak>> of a text, by start and then kind; none for null. Texts that hold no part cost one search a pattern."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
     parts = (
         spans_of(text, "assign", ASSIGN, 12),
         spans_of(text, "access", ACCESS),
@@ -104,29 +108,44 @@ def with_spans(df: DataFrame, text_col: str, spans_col: str, scope: int = SCOPE)
         spans_of(text, "secret", WEAK_SECRET),
         spans_of(text, "endpoint", ENDPOINT),
     )
-    out = df.withColumn("_spans", F.array_sort(F.concat(*parts)))
-    return out.withColumn(spans_col, linked(F.col("_spans"), scope)).drop("_spans")
+    return linked(F.array_sort(F.concat(*parts)), scope)
 
 
 def scan(df: DataFrame, id_col: str, text_col: str, scope: int = SCOPE) -> DataFrame:
-    """(id, n_assign, n_access, n_hex, base_sha256, spans): counts and digest of base spans, and all spans."""
-    found = with_spans(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", "_spans_", scope)
-    spans = F.col("_spans_")
+    """(id, n_assign, n_access, n_hex, base_sha256, spans): counts and digest of base spans, and all spans.
+
+    Null text counts as empty. Null and repeated ids stay, a row each; other columns are not carried; an empty
+    table gives an empty result. One narrow pass, in time that grows with a text's length and spans.
+    """
+    found = df.select(F.col(id_col).alias("id"), spans_in(F.col(text_col), scope).alias("spans"))
+    spans = F.col("spans")
     n = lambda kind: F.size(F.filter(spans, lambda x: x["o"] == KINDS.index(kind))).cast("long")
     base = F.filter(spans, lambda x: x["o"] < 3)
-    return found.select(F.col("_id").alias(id_col), n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(spans).alias("spans"))
+    return found.select(F.col("id").alias(id_col), n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
 
 def redact(df: DataFrame, text_col: str, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
-    """``df`` with every secret and access key in ``text_col`` replaced by ``mark``; overlapping spans share one mark. Null text stays null."""
+    """``df`` with every secret and access key in ``text_col`` replaced by ``mark``; overlapping spans share one mark.
+
+    Null text stays null; all other columns and rows stay, whatever their names. Pieces of a text are cut from
+    chunks of it, so that a piece far from the start costs no more than one near it.
+    """
     text = F.col(text_col)
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
+    def covered(hide: Column, chunks: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            first = F.floor(start / CHUNK).cast("int")
+            own = F.array_join(F.slice(chunks, first + 1, F.floor((end - 1) / CHUNK).cast("int") - first + 1), "")
+            return F.when(end > start, F.substring(own, start % CHUNK + 1, end - start)).otherwise("")
+
+        reach = running(F.transform(hide, lambda x: x["e"]), "int", F.lit(0), F.greatest)
+        pieces = F.zip_with(hide, reach, lambda x, at: F.when(x["s"] >= at, F.concat(piece(at, x["s"]), F.lit(mark))).otherwise(""))
+        last = F.array_max(F.transform(hide, lambda x: x["e"]))
+        return F.concat(F.array_join(pieces, ""), piece(last, F.length(text)))
+
+    def clean(hide: Column) -> Column:
+        chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+        return F.when(F.size(hide) > 0, let(chunks, lambda c: covered(hide, c))).otherwise(text)
 
-    found = with_spans(df, text_col, "_found", scope)
-    hide = F.filter(F.col("_found"), lambda x: (x["role"] == "secret") | (x["o"] == 1))
-    ends = F.aggregate(hide, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    whole = F.concat(ends["out"], F.substring(text, ends["at"] + 1, F.length(text)))
-    return found.withColumn(text_col, F.when(F.size(hide) > 0, whole).otherwise(text)).drop("_found")
+    hidden = F.filter(spans_in(text, scope), lambda x: (x["role"] == "secret") | (x["o"] == 1))
+    return df.withColumn(text_col, F.when(text.isNotNull(), let(hidden, clean)))
