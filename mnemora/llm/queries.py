@@ -14,7 +14,7 @@ from .jaccard import jaccard_join
 from .language import fit, identify
 from .neighbours import nearest
 from .packing import pack
-from .private import pseudonymise
+from .private import key_table, pseudonymise
 from .secrets import scan
 from .token_files import token_files
 from .urls import CHROME, LEAST_WORDS, MARKERS, SUFFIXES, Rule, judge, page_outcome
@@ -64,7 +64,7 @@ RULES = (
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with personal data pseudonymised: doc_id, text, n_private."""
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", PSEUDONYM_KEY)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", key_table(spark, PSEUDONYM_KEY))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

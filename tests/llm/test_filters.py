@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -75,15 +76,39 @@ def plain_pseudonym(m, key):
             except ValueError:
                 continue
             if 0 <= n < 73049:
-                a, b = feistel(n % 17, n // 17, 17, 4297, key, "date")
-                return (datetime.datetime(1900, 1, 1) + datetime.timedelta(a + 17 * b)).strftime(form)
+                while True:
+                    a, b = feistel(n % 17, n // 17, 17, 4297, key, "date")
+                    n = a + 17 * b
+                    day = datetime.datetime(1900, 1, 1) + datetime.timedelta(n)
+                    if form != "%m/%d/%Y" or day.day > 12:
+                        return day.strftime(form)
         return None
     if re.fullmatch(private.CARD, m):
         if not 13 <= len(d) <= 19 or luhn(d) % 10:
             return None
         body = d[0] + permuted(d[1:-1], key, "card")
         return shaped(m, body + str(-luhn(body, 0) % 10))
-    return shaped(m, d[:-10] + permuted(d[-10:], key, "phone"))
+    return plain_phone(m, d, key)
+
+
+VALID = [c for c in range(200, 1000) if c % 100 != 11]
+OTHER = [c for c in range(1000) if c not in set(VALID)]
+
+
+def plain_phone(m, d, key):
+    if m[0] == "+" and m[1] != "1":
+        code = len(re.match(private.COUNTRY, d)[0])
+        own = d[code:]
+        h = len(own) // 2
+        low, size = (0, 10 ** (h - 1)) if own[0] == "0" else (10 ** (h - 1), 9 * 10 ** (h - 1))
+        a, b = feistel(int(own[:h]) - low, int(own[h:]), size, 10 ** (len(own) - h), key, "phone")
+        return shaped(m, f"{d[:code]}{a + low:0{h}d}{b:0{len(own) - h}d}")
+    area, exchange, line = int(d[-10:-7]), int(d[-7:-4]), int(d[-4:])
+    one, two = (VALID if c in VALID else OTHER for c in (area, exchange))
+    if not (one is VALID and two is VALID or m[0] == "+" or "(" in m):
+        return None
+    a, b = feistel(one.index(area), two.index(exchange) * 10000 + line, len(one), len(two) * 10000, key, "phone")
+    return shaped(m, f"{d[:-10]}{one[a]:03d}{two[b // 10000]:03d}{b % 10000:04d}")
 
 
 def plain_text(text, key):
@@ -106,20 +131,22 @@ TEXTS = [
     "078-05-1120 000-12-3456 666-12-3456 899-99-9999 123-00-1234",
     "1999-12-31 2024-02-30 31/12/1999 12/31/1999 2400-01-01 1900-01-01 2099-12-31",
     "x@y.zz é ü 4111111111111111",
+    "000-000-0000, part 123 456 7890, 211-555-0100, 212-911-0100, +1 (017) 555-7713, (123) 456-7890, +1 911 911 9111",
+    "+44 0207 946 095, +358 9 1234, 06/25/2020 12/13/1900 01/02/2003",
     "long " * 20000 + "q@example.org" + "z" * 30000,
 ]
 
 
 def test_pseudonyms_equal_plain_python(spark):
     df = spark.createDataFrame([(i, t, "keep", 7) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], None, None), (None, None, None, None)], "doc_id int, text string, _text string, n_private int")
-    got = private.pseudonymise(df, "text", "k", "n_private").collect()
+    got = private.pseudonymise(df, "text", private.key_table(spark, "k"), "n_private").collect()
     assert len(got) == len(TEXTS) + 2 and {r._text for r in got} == {"keep", None}
     for r in got[: len(TEXTS)]:
         assert (r.text, r.n_private) == ((None, 0) if TEXTS[r.doc_id] is None else plain_text(TEXTS[r.doc_id], "k")), r.doc_id
     assert got[len(TEXTS)].text == got[3].text != TEXTS[3]
     cards = got[4].text.replace(" ", "")[:16]
     assert luhn(cards) % 10 == 0 and cards in got[4].text.replace(" ", "")[16:]
-    assert private.pseudonymise(df.filter("false"), "text", "k").count() == 0
+    assert private.pseudonymise(df.filter("false"), "text", private.key_table(spark, "k")).count() == 0
 
 
 def test_usual_notations_of_cards_and_phones(spark):
@@ -129,7 +156,7 @@ def test_usual_notations_of_cards_and_phones(spark):
     texts = ["3782 822463 10005", "378282246310005", "3056-930902-5904", "30569309025904", " ".join(nineteen[i : i + 4] for i in range(0, 19, 4)), nineteen, f"{nineteen[:6]} {nineteen[6:]}"]
     texts += ["4111 1111 1111 1111 123", "4111 1111 1111 1111 212 555 0199", "+44 20 7946 0958", "+442079460958", "+14155550123", "+1 415-555-0123", "415-555-0123", "+298 201234"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got = [r.text for r in private.pseudonymise(df, "text", "k").orderBy("doc_id").collect()]
+    got = [r.text for r in private.pseudonymise(df, "text", private.key_table(spark, "k")).orderBy("doc_id").collect()]
     bare = [re.sub("[^0-9]", "", t) for t in got]
     assert all(a != b and re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b) for a, b in zip(texts, got, strict=True))
     assert bare[0] == bare[1] and bare[2] == bare[3] and bare[4] == bare[5] == bare[6] and bare[9] == bare[10] and bare[11] == bare[12] == "1" + bare[13]
@@ -138,6 +165,31 @@ def test_usual_notations_of_cards_and_phones(spark):
     assert bare[9].startswith("44") and bare[14].startswith("298")
 
 
+def test_restored_with_the_key_and_valid(spark):
+    """The key's holder gets back what was there; North American pseudonyms are valid numbers; the key is in no plan."""
+    rng = random.Random(4)
+    valid = [f"{rng.choice(VALID)}-{rng.choice(VALID)}-{rng.randrange(10000):04d}" for _ in range(300)]
+    days = [(datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73049))).strftime(f) for f in ("%d/%m/%Y", "%m/%d/%Y", "%Y-%m-%d") for _ in range(60)]
+    abroad = [f"+{c}{rng.randrange(10**7, 10**9)}" for c in (44, 49, 358, 7, 86, 420) for _ in range(20)]
+    texts = [*filter(None, TEXTS[:-1]), *valid, *days, *abroad, "+44 0207 946 095"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").union(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("cast(doc_id + 10000 as int)", "text"))
+    key = private.key_table(spark, "a key of 32 letters, kept secret")
+    made = private.pseudonymise(docs.withColumn("_key", F.lit("user's")).withColumn("_made", F.lit(1)), "text", key)
+    assert made.columns == ["doc_id", "text", "_key", "_made", "n_private"]
+    made.explain("extended")
+    assert "kept secret" not in made._jdf.queryExecution().toString()
+    hidden = {r.doc_id: r for r in made.collect()}
+    back = {r.doc_id: r.text for r in private.restore(made, "text", key).collect()}
+    for r in docs.collect():
+        assert back[r.doc_id] == r.text
+    for i, t in enumerate(texts):
+        if t in valid:
+            area, exchange, _ = map(int, hidden[i].text.split("-"))
+            assert area in VALID and exchange in VALID and hidden[i].n_private == 1
+    other = private.pseudonymise(docs, "text", private.key_table(spark, "another")).filter("n_private > 0")
+    assert other.join(made.select("doc_id", F.col("text").alias("t")), "doc_id").filter("text = t").count() == 0
+
+
 def test_feistel_is_a_permutation(spark):
     days = {private_day for private_day in ((lambda p: p[0] + 17 * p[1])(feistel(n % 17, n // 17, 17, 4297, "k", "date")) for n in range(0, 73049))}
     assert days == set(range(73049))
