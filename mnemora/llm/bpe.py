@@ -4,6 +4,9 @@ The pretokens of a batch of documents are reduced to the distinct ones, laid out
 symbol sequence, and every adjacent pair is mapped to all its positions in it. The active merge
 ranks are then taken in ascending order; each is applied to all its positions at once and the lists
 of the pairs that it touches are updated. A document's ids are its pretokens' ids, concatenated.
+
+No pretoken crosses a single space but for the one that it starts with, so plain texts are cut at spaces into
+runs inside Arrow, and Python sees each distinct run of a batch once.
 """
 
 from __future__ import annotations
@@ -15,15 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import slices
+from .common import SLICE_CHARS, Recent, gather, text_slices
 
-#: Distinct pretokens kept between batches of a Python worker (about 200 bytes each); beyond it only those of the last batch stay.
-CACHE_WORDS = 600_000
+#: Distinct pretokens, and runs between spaces, that a Python worker keeps (about 200 bytes each).
+CACHE_WORDS, CACHE_RUNS = 700_000, 400_000
 
 #: A pair's key is left << SHIFT | right; symbols from WALL on are no ids.
 SHIFT, WALL, GONE = 20, 1 << 19, (1 << 19) + 1
@@ -32,7 +36,10 @@ SHIFT, WALL, GONE = 20, 1 << 19, (1 << 19) + 1
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Characters on which this module's pattern library and the tokenizer's own surely agree.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏ‐-‧€]*")
+PLAIN_TEXT = r"[\t\n\r\x20-\x7e¡-ɏ‐-‧€]*"
+PLAIN = regex.compile(PLAIN_TEXT)
+#: Spaces that do not stand alone between two runs.
+SPACED = "^ |  | $"
 
 
 def byte_symbols() -> dict[str, int]:
@@ -48,6 +55,7 @@ class PairIndexBPE:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_spec(spec, path)
         vocab, of_byte = spec["model"]["vocab"], byte_symbols()
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -66,7 +74,9 @@ class PairIndexBPE:
             self.tokens[i] = text.encode()
         self.find = regex.compile(PATTERN).findall
         self.exotic = Tokenizer.from_file(path).pre_tokenizer
-        self.cache: dict[str, bytes] = {}
+        self.words, self.runs = Recent(CACHE_WORDS), Recent(CACHE_RUNS)
+        self.sizes = np.array([*map(len, self.tokens), 0], np.int32)
+        self.bytes, self.starts = np.frombuffer(b"".join(self.tokens), np.uint8), np.cumsum(self.sizes, dtype=np.int32) - self.sizes
 
     def pretokens(self, text: str) -> list[str]:
         """Pretokens; where Unicode versions may differ, those of the tokenizer library itself."""
@@ -131,30 +141,83 @@ class PairIndexBPE:
         packed, ends = flat[ids].astype("<u4").tobytes(), ends.tolist()
         return [packed[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text; strings of added tokens become their single ids."""
-        parts: list[list] = []
-        for text in texts:
-            own: list = []
-            for piece in self.split.split(text) if self.split else [text]:
-                if piece in self.added:
-                    own.append(self.added[piece].to_bytes(4, "little"))
-                elif piece:
-                    own.append(self.pretokens(piece))
-            parts.append(own)
-        seen = {w for own in parts for p in own if not isinstance(p, bytes) for w in p}
-        fresh = list(seen - self.cache.keys())
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache = {w: self.cache[w] for w in seen & self.cache.keys()}
-        self.cache.update(zip(fresh, self.encode_words(fresh), strict=True))
-        got = self.cache.__getitem__
-        return [b"".join(p if isinstance(p, bytes) else b"".join(map(got, p)) for p in own) for own in parts]
+    def encode_pieces(self, pieces: list[list[str]]) -> list[bytes]:
+        """Packed ids of lists of pretokens."""
+        fresh = self.words.missing({w for own in pieces for w in own})
+        known = self.words.young
+        known.update(zip(fresh, self.encode_words(fresh), strict=True))
+        get = known.__getitem__
+        return [get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for own in pieces]
+
+    def encode_odd(self, text: str) -> bytes:
+        """Packed ids of any text; strings of added tokens become their single ids."""
+        pieces = self.split.split(text) if self.split else [text]
+        found = iter(self.encode_pieces([self.pretokens(p) for p in pieces if p and p not in self.added]))
+        return b"".join(self.added[p].to_bytes(4, "little") if p in self.added else next(found) for p in pieces if p)
+
+    def encode_batch(self, texts: pa.Array) -> pa.Array:
+        """Packed ids of each text; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        plain = pc.and_(pc.match_substring_regex(texts, f"^{PLAIN_TEXT}$"), pc.invert(pc.match_substring_regex(texts, SPACED)))
+        for a in self.added:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, a)))
+        split = pc.split_pattern(pc.if_else(plain, texts, ""), " ")
+        coded, offsets = split.flatten().dictionary_encode(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        number, runs = coded.indices.to_numpy(zero_copy_only=False).copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = number[offsets[:-1]]  # a text's first run has no space before it
+        number[offsets[:-1]] = 0
+        used = np.zeros(len(runs) + 1, bool)
+        used[number] = True
+        fresh = self.runs.missing({r for r, u in zip(runs, used.tolist(), strict=False) if u})
+        known = self.runs.young
+        known.update(zip(fresh, self.encode_pieces([self.find(f" {r}") for r in fresh]), strict=True))
+        first, place = np.unique(heads, return_inverse=True)
+        own = [known[r] if u else b"" for r, u in zip(runs, used.tolist(), strict=False)] + self.encode_pieces([self.find(runs[i]) for i in first.tolist()])
+        number[offsets[:-1]] = len(runs) + place
+        ids, ends = gather(own, number)
+        stops = ends[offsets]
+        if (odd := np.flatnonzero(~plain.to_numpy(zero_copy_only=False))).size:
+            parts = [ids[a:b].tobytes() for a, b in zip(stops, stops[1:], strict=False)]
+            for i in odd.tolist():
+                parts[i] = self.encode_odd(texts[i].as_py())
+            return pa.array(parts, pa.binary())
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((stops * 4).astype(np.int32)), pa.py_buffer(ids)])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are not UTF-8 become U+FFFD, unknown ids nothing."""
         tokens, top = self.tokens, len(self.tokens)
         return b"".join([tokens[i] for i in ids.tolist() if i < top]).decode("utf-8", "replace")
 
+    def decode_batch(self, packed: pa.Array) -> pa.Array:
+        """``decode`` of a column of packed ids; null stays null. Bytes of whole slices are laid out at once and used as they are if they are UTF-8."""
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(packed), 0).to_numpy(zero_copy_only=False))]) // 4
+        ids = np.minimum(np.frombuffer(b"".join(pc.fill_null(packed, b"").to_pylist()), "<u4"), len(self.tokens)).astype(np.int64)
+        n = self.sizes[ids]
+        stops = np.concatenate([[0], np.cumsum(n, dtype=np.int32)])
+        places = np.repeat(self.starts[ids] - stops[:-1].astype(np.int32), n)
+        places += np.arange(stops[-1], dtype=np.int32)
+        made = pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(stops[ends].astype(np.int32)), pa.py_buffer(self.bytes[places])])
+        try:
+            texts = made.cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([self.decode(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+        return pc.if_else(pc.is_valid(packed), texts, None)
+
+
+def check_spec(spec: dict, path: str) -> None:
+    """Refuse vocabulary files that ask for other rules than this module's: ids would be wrong without a sign."""
+    own = {"normalizer": None, "pre_tokenizer.type": "ByteLevel", "pre_tokenizer.add_prefix_space": False, "pre_tokenizer.use_regex": True, "post_processor": None, "model.type": "BPE"}
+    own |= {f"model.{k}": None for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")} | {f"model.{k}": False for k in ("byte_fallback", "ignore_merges")}
+    for name, want in own.items():
+        at = spec
+        for part in name.split("."):
+            at = (at or {}).get(part)
+        if (at or None) != (want or None):
+            raise ValueError(f"{path}: {name} is {at!r}; only {want!r} is known here")
+    for token in spec["added_tokens"]:
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
+            raise ValueError(f"{path}: the added token {token['content']!r} has rules that are not known here")
+
 
 @functools.lru_cache(4)
 def model(path: str) -> PairIndexBPE:
@@ -172,8 +235,8 @@ def bpe_encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(vocabulary)
         for batch in batches:
-            for first, texts in slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(bpe.encode_batch(texts), pa.binary())], ["id", "ids_le"])
+            for first, rows in text_slices(batch.column(1), 8192):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), bpe.encode_batch(batch.column(1).slice(first, rows))], ["id", "ids_le"])
 
     kind = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids_le binary")
@@ -186,11 +249,11 @@ def bpe_decode(df: DataFrame, id_col: str, ids_col: str, vocabulary: str, keep_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(vocabulary)
         for batch in batches:
-            for first in range(0, len(batch), 256):
-                part = batch.slice(first, 256)
-                texts = [None if x is None else bpe.decode(np.frombuffer(x, "<u4")) for x in part.column(1).to_pylist()]
+            for first, rows in text_slices(batch.column(1), most_bytes=4 * SLICE_CHARS):
+                part = batch.slice(first, rows)
+                texts = bpe.decode_batch(part.column(1))
                 own = [part.column(0), part.column(1)] if keep_ids else [part.column(0)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.string())], ["id", *(["ids_le"] if keep_ids else []), "text"])
+                yield pa.RecordBatch.from_arrays([*own, texts], ["id", *(["ids_le"] if keep_ids else []), "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids_le"))

@@ -156,6 +156,33 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def gather(own: list[bytes], number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends): the packed 32-bit ids of the parts ``number``, one after another, and where each part ends, after a first zero."""
+    size = np.fromiter(map(len, own), np.int32, len(own)) // 4
+    flat, first = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size, dtype=np.int32) - size
+    n = size[number]
+    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])
+    places = np.repeat(first[number] - ends[:-1], n)
+    places += np.arange(ends[-1], dtype=np.int32)
+    return flat[places], ends
+
+
+class Recent:
+    """A cache of at most ``most`` entries in two generations: what was wanted of late stays when the older half goes."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of ``keys`` that must be added; the others are in ``young`` afterwards, whose items may then be read."""
+        if len(self.young) > self.most // 2:
+            self.old, self.young = self.young, {}
+        rest = keys - self.young.keys()
+        kept = rest & self.old.keys()
+        self.young.update({k: self.old[k] for k in kept})
+        return list(rest - kept)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A column of equally long, null-free lists as a float64 matrix."""
     if len(column) == 0:

@@ -1,6 +1,8 @@
 """Operators 1, 3 and 8 against the tokenizers library."""
 
 import hashlib
+import itertools
+import json
 import zlib
 
 import numpy as np
@@ -34,15 +36,48 @@ def test_libraries_agree(texts):
     whole = Tokenizer.from_file(BYTE) if not hasattr(test_libraries_agree, "b") else test_libraries_agree.b
     test_libraries_agree.b = whole
     want = [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.model(BYTE).encode_batch(texts)] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.model(BYTE).encode_batch(pa.array(texts, pa.string())).to_pylist()] == want
     assert [x.tolist() for x in packing.encoder(BYTE)(texts)] == want
-    for ids in want:
-        assert bpe.model(BYTE).decode(np.array(ids)) == whole.decode(ids, skip_special_tokens=False)
+    texts_again = [whole.decode(ids, skip_special_tokens=False) for ids in want]
+    assert [bpe.model(BYTE).decode(np.array(ids)) for ids in want] == texts_again
+    cut = [ids[1:-1] for ids in want]  # may begin or end within a character
+    for lists in (want, cut, [[60000, *ids] for ids in cut]):
+        packed = pa.array([None, *(np.array(ids, "<u4").tobytes() for ids in lists)], pa.binary())
+        assert bpe.model(BYTE).decode_batch(packed).to_pylist() == [None, *(whole.decode(ids, skip_special_tokens=False) for ids in lists)]
     word = token_files.tokenizer(WORD)
     ids, n = word.encode_batch(pa.array(texts, pa.string()))
     assert [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == [word.whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_spaces_between_runs():
+    """Runs between single spaces are encoded by themselves; texts with other spaces as a whole."""
+    parts = ["a", "it's", "x\n", "\n", "\ty", "9.5", "", "naïve,", "\r\n\n", "it", "s't"]
+    texts = [" ".join(c) for n in (1, 2, 3) for c in itertools.product(parts, repeat=n)]
+    want = Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)
+    got = bpe.model(BYTE).encode_batch(pa.array(texts).slice(0)).to_pylist()
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in want]
+    part = bpe.model(BYTE).encode_batch(pa.array(["skip", *texts[:50]]).slice(1)).to_pylist()
+    assert part == got[:50] and len(bpe.model(BYTE).encode_batch(pa.array([], pa.string()))) == 0
+
+
+def test_other_rules_are_refused(tmp_path):
+    """A vocabulary with rules that the modules do not know raises, or is left to the library, instead of giving other ids."""
+    for name, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True})):
+        spec = json.load(open(BYTE)) | {name: value}
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(spec))
+        with pytest.raises(ValueError, match=name):
+            bpe.model(str(path))
+        texts = ["Ame\u0301lie  went", "a b", " x"]
+        assert [x.tolist() for x in packing.encoder(str(path))(texts)] == [x.ids for x in Tokenizer.from_file(str(path)).encode_batch(texts, add_special_tokens=False)]
+    spec = json.load(open(WORD))
+    spec["normalizer"]["normalizers"].pop()
+    path = tmp_path / "word.json"
+    path.write_text(json.dumps(spec))
+    ids, n = token_files.tokenizer(str(path)).encode_batch(pa.array(["Hello World"]))
+    assert ids.tolist() == Tokenizer.from_file(str(path)).encode("Hello World", add_special_tokens=False).ids
+
+
 def test_encode_decode_rows(spark, byte):
     df = spark.createDataFrame(rows(), SCHEMA)
     got = bpe.bpe_encode(df, "doc_id", "text", BYTE).collect()
@@ -151,6 +186,29 @@ def test_token_files_odd_rows(spark, tmp_path):
     assert token_files.token_files(df.filter("false"), "doc_id", "text", WORD).count() == 0
 
 
+def test_many_shards_and_a_hot_id(spark, tmp_path, monkeypatch):
+    """Sums over blocks of shards, and an id whose rows fill several shards."""
+    monkeypatch.setattr(token_files, "BLOCK", 3)
+    df = spark.createDataFrame([(7 if i % 3 else i, f"text {i} " * 20) for i in range(300)], "doc_id long, text string")
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(df, "doc_id", "text", WORD, path, 1, shard_bytes=2000)
+    files = token_files.read_tokens(spark, path)
+    assert files.filter("doc_id = 7").select("shard").distinct().count() > 5 and files.select("shard").distinct().count() > 10
+    got = sorted(token_files.token_index(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in df.collect())
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False)) and got[0].start == 0
+
+
+def test_pack_copies_of_one_row(spark, byte):
+    """Equal rows under one id are packed a row each, and numbered in several groups."""
+    df = spark.createDataFrame([(1, "the same text")] * 4000 + [(2, "another")] * 10, "doc_id long, text string").repartition(3)
+    got = packing.pack(df, "doc_id", "text", BYTE, 64, 0).collect()
+    assert len(got) == 4010 and len({(r.sequence_id, r.offset) for r in got}) == 4010
+    pieces = spark.range(50).selectExpr("id % 5 + 1 as length", "id as tie", "'x' as _group", "id as _number")
+    placed = packing.place(pieces, 8)
+    assert placed.columns == ["length", "_group", "_number", "sequence_id", "offset"] and {r._group for r in placed.collect()} == {"x"}
+
+
 def test_token_file_encodings(spark, tmp_path):
     """Dictionary pages for ids, delta encoding for metadata, page indexes for both."""
     import glob
