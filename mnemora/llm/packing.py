@@ -11,6 +11,7 @@ Executors then number the pieces of each length and look their places up.
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import PATTERN, PLAIN, byte_symbols
-from .common import materialise, slices
+from .bpe import PATTERN, PLAIN, byte_symbols, check_spec
+from .common import materialise, slices, unused
 
 #: Pieces of one length are numbered in groups of at least so many, and there are at most so many more groups than lengths.
 GROUP_PIECES, MORE_GROUPS = 1_000, 8_192
@@ -32,7 +33,8 @@ def encoder(path: str):
     """A function from texts to lists of ids, equal to the vocabulary file's own tokenizer.
 
     Plain text goes through tiktoken, which applies the same ranks several times faster; text with
-    added-token strings or rare characters goes through the tokenizers library itself.
+    added-token strings or rare characters goes through the tokenizers library itself, and so does all text
+    if the file asks for other rules than byte-level BPE whose ids ascend with the merges.
     """
     whole = Tokenizer.from_file(path)
     whole.no_truncation()
@@ -41,12 +43,12 @@ def encoder(path: str):
     back = byte_symbols()
     added = [t.content for t in whole.get_added_tokens_decoder().values()]
     ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if all(c in back for c in token) and token not in added}
-    fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if same_rules(path) else None
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         out = []
         for text in texts:
-            if PLAIN.fullmatch(text) and not any(a in text for a in added):
+            if fast and PLAIN.fullmatch(text) and not any(a in text for a in added):
                 out.append(fast.encode_to_numpy(text, disallowed_special=()).astype("<u4"))
             else:
                 out.append(np.array(whole.encode(text, add_special_tokens=False).ids, "<u4"))
@@ -55,6 +57,19 @@ def encoder(path: str):
     return encode
 
 
+def same_rules(path: str) -> bool:
+    """Whether a vocabulary file is byte-level BPE with the known pattern, and its ids are the order of its merges."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    try:
+        check_spec(spec, path)
+    except ValueError:
+        return False
+    vocab = spec["model"]["vocab"]
+    made = [vocab["".join(m) if not isinstance(m, str) else m.replace(" ", "", 1)] for m in spec["model"]["merges"]]
+    return made == sorted(made) and len(set(made)) == len(made) and all(vocab[c] < made[0] for c in byte_symbols() if made)
+
+
 def padding(filled: int, capacity: int) -> int:
     """Pad ids of a sequence: up to capacity, none where its length is a power of two."""
     return 0 if filled & (filled - 1) == 0 else capacity - filled
@@ -118,10 +133,10 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
 
 
 def cut(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, end_id: int | None) -> DataFrame:
-    """Pieces of every document: (id, start, length, doc_tokens, ids_le), windows first, then the rest."""
+    """Pieces of every document: (id, start, length, doc_tokens, ids_le, nth), windows first, then the rest; ``nth`` counts a task's pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode, nth = encoder(vocabulary), 0
         tail = np.array([] if end_id is None else [end_id], "<u4")
         for batch in batches:
             for first, texts in slices(batch.column(1)):
@@ -136,17 +151,18 @@ def cut(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: in
                         totals.append(len(own))
                         ids.append(piece.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(totals, pa.int64()), pa.array(ids, pa.binary())],
-                    ["id", "start", "length", "doc_tokens", "ids_le"],
+                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(totals, pa.int64()), pa.array(ids, pa.binary()), pa.array(np.arange(nth, nth + len(rows)))],
+                    ["id", "start", "length", "doc_tokens", "ids_le", "nth"],
                 )
+                nth += len(rows)
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, start long, length long, doc_tokens long, ids_le binary")
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, start long, length long, doc_tokens long, ids_le binary, nth long")
     return out.withColumnRenamed("id", id_col)
 
 
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
-    """``pieces`` (any table with a ``length`` of 1 to capacity and a column ``tie``) with sequence_id and offset.
+    """``pieces`` (any table with a ``length`` of 1 to capacity and a column ``tie``, which goes) with sequence_id and offset.
 
     Two small facts reach the driver, both bounded: how many pieces each length has (at most
     ``capacity`` rows) and how many each numbering group has (that, plus MORE_GROUPS). A common
@@ -157,30 +173,31 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     most = max(GROUP_PIECES, sum(counts.values()) // MORE_GROUPS)
     deal = [max(1, -(-counts.get(n, 0) // most)) for n in range(capacity + 1)]
     dealt = F.element_at(F.array(*map(F.lit, deal)), F.col("length").cast("int") + 1)
-    pieces = pieces.withColumn("_group", F.pmod(F.xxhash64("tie"), dealt).cast("int"))
+    group, number = unused(pieces, "group"), unused(pieces, "number")
+    pieces = pieces.withColumn(group, F.pmod(F.xxhash64("tie"), dealt).cast("int"))
     base: dict[tuple[int, int], int] = {}
     running: dict[int, int] = {}
-    for length, group, n in sorted(tuple(r) for r in pieces.groupBy("length", "_group").count().collect()):
-        base[length, group] = running.get(length, 0)
-        running[length] = base[length, group] + n
+    for length, g, n in sorted(tuple(r) for r in pieces.groupBy("length", group).count().collect()):
+        base[length, g] = running.get(length, 0)
+        running[length] = base[length, g] + n
     rows = spark.sparkContext.broadcast((plan(counts, capacity), base))
-    order = Window.partitionBy("length", "_group").orderBy("tie")
-    numbered = pieces.withColumn("_number", F.row_number().over(order) - 1)
-    others = [c for c in numbered.columns if c not in ("_group", "_number", "tie")]
+    order = Window.partitionBy("length", group).orderBy("tie")
+    numbered = pieces.withColumn(number, F.row_number().over(order) - 1)
+    others = [c for c in numbered.columns if c not in (group, number, "tie", "sequence_id", "offset")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, start = rows.value
         first = {n: i for i, n in reversed(list(enumerate(table[:, 0].tolist())))}
         last = {n: i + 1 for i, n in enumerate(table[:, 0].tolist())}
         for batch in batches:
-            length, group, number = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", "_group", "_number"))
+            length, own_group, nth = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", group, number))
             sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            number = number + np.fromiter((start[k] for k in zip(length.tolist(), group.tolist(), strict=True)), np.int64, len(batch))
+            nth = nth + np.fromiter((start[k] for k in zip(length.tolist(), own_group.tolist(), strict=True)), np.int64, len(batch))
             for n in np.unique(length).tolist():
                 own = np.flatnonzero(length == n)
                 part = table[first[n] : last[n]]
-                at = part[np.searchsorted(part[:, 1], number[own], "right") - 1]
-                within = number[own] - at[:, 1]
+                at = part[np.searchsorted(part[:, 1], nth[own], "right") - 1]
+                within = nth[own] - at[:, 1]
                 sequence[own] = at[:, 2] + within // at[:, 3]
                 offset[own] = at[:, 4] + within % at[:, 3] * n
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(sequence), pa.array(offset)], [*others, "sequence_id", "offset"])
@@ -198,8 +215,8 @@ def pack(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: i
     its ids, and ``sequences`` makes them again where they are wanted.
     """
     pieces = cut(df, id_col, text_col, vocabulary, capacity, end_id).withColumn("ids_crc32", F.crc32("ids_le")).drop("ids_le")
-    pieces = materialise(pieces.select(F.col(id_col).alias("_id"), "start", "length", "ids_crc32", "doc_tokens"), "pieces")
-    placed = place(pieces.withColumn("tie", F.struct("_id", "start", "ids_crc32")), capacity)
+    pieces = materialise(pieces.select(F.col(id_col).alias("_id"), "start", "length", "ids_crc32", "doc_tokens", "nth"), "pieces")
+    placed = place(pieces.withColumn("tie", F.struct("_id", "start", "ids_crc32", "nth")).drop("nth"), capacity)
     return placed.withColumnRenamed("_id", id_col)
 
 
