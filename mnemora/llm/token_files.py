@@ -9,32 +9,41 @@ of a range of documents without the rest.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_symbols
-from .common import fresh_path, text_slices
+from .common import Recent, fresh_path, gather, text_slices
 
 #: Bytes of text meant for one shard, and so one file.
 SHARD_BYTES = 48_000_000
-#: Distinct runs of text that a Python worker keeps (about 200 bytes each); beyond it only those of the last batch stay.
-CACHE_RUNS = 400_000
+#: Distinct words and runs of text that a Python worker keeps (about 200 bytes each).
+CACHE_WORDS, CACHE_RUNS = 400_000, 300_000
+#: Shards whose sizes one task adds up.
+BLOCK = 1024
 
 #: Characters whose lower case, normal form and class do not depend on their neighbours.
 PLAIN = r"^[\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]*$"
 #: The public word pattern of this kind of vocabulary.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORDS = regex.compile(WORD_PATTERN)
+#: The rules by which a vocabulary file of this kind prepares a text.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
 #: Ids by dictionary pages, metadata by delta encoding; sizes of row groups and pages.
 FILE_FORMAT = {
     "compression": "zstd",
@@ -52,7 +61,7 @@ FILE_FORMAT = {
 
 class WordTokenizer:
     """A word-level BPE vocabulary file. No token crosses white space and runs between it repeat, so the
-    library encodes the words of each distinct run once.
+    library encodes the words of each distinct run once. A file with other rules is left to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,9 +72,12 @@ class WordTokenizer:
         self.model = self.whole.model
         self.shown = {b: c for c, b in byte_symbols().items()}
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.runs: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.known = all(spec.get(k) == v for k, v in RULES.items())
+        self.words, self.runs = Recent(CACHE_WORDS), Recent(CACHE_RUNS)
 
-    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Packed ids of words that are normalised and split already, so the library's model alone is wanted."""
         tokenize, out = self.model.tokenize, {}
         for w in words:
@@ -76,7 +88,9 @@ class WordTokenizer:
     def encode_runs(self, runs: list[str]) -> list[bytes]:
         """Packed ids of runs of plain lower-case text without white space; most are a word, or a word and a stop."""
         split = [(r,) if r.isalpha() else (r[:-1], r[-1]) if r[:-1].isalpha() and r[-1] in ".," else WORDS.findall(r) for r in runs]
-        got = self.encode_words({w for own in split for w in own}).__getitem__
+        fresh = self.words.missing({w for own in split for w in own})
+        self.words.young.update(self.encode_words(fresh))
+        got = self.words.young.__getitem__
         return [got(own[0]) if len(own) == 1 else b"".join(map(got, own)) for own in split]
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,24 +99,17 @@ class WordTokenizer:
         Plain texts are lowered, split and reduced to distinct runs inside Arrow; Python sees each distinct run of the batch once.
         """
         texts = pc.fill_null(texts, "")
-        plain = pc.match_substring_regex(texts, PLAIN)
+        plain = pc.match_substring_regex(texts, PLAIN) if self.known else pc.is_null(texts)
         for a in self.added:
             plain = pc.and_(plain, pc.invert(pc.match_substring(texts, a)))
         split = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(plain, texts, "")))
         coded = split.flatten().dictionary_encode()
         number, runs = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        fresh = [r for r in runs if r not in self.runs]
-        if len(self.runs) + len(fresh) > CACHE_RUNS:
-            self.runs = {r: self.runs[r] for r in runs if r in self.runs}
-        self.runs.update(zip(fresh, self.encode_runs(fresh), strict=True))
-        own = [self.runs[r] for r in runs]
-        size = np.fromiter(map(len, own), np.int32, len(own)) // 4
-        flat, first = np.frombuffer(b"".join(own), "<i4"), np.cumsum(size, dtype=np.int32) - size
-        n = size[number]
-        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])
-        places = np.repeat(first[number] - ends[:-1], n)
-        places += np.arange(ends[-1], dtype=np.int32)
-        ids = flat[places]
+        fresh = self.runs.missing(set(runs))
+        known = self.runs.young
+        known.update(zip(fresh, self.encode_runs(fresh), strict=True))
+        ids, ends = gather([known[r] for r in runs], number)
+        ids = ids.view("<i4")
         stops = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
         if (odd := np.flatnonzero(~plain.to_numpy(zero_copy_only=False))).size:
             parts = [ids[a:b] for a, b in zip(stops, stops[1:], strict=False)]
@@ -117,25 +124,16 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def shard_bounds(docs: DataFrame, shard_bytes: int) -> list[int]:
-    """Ids that split the documents into shards of about equal numbers; one pass, a bounded sketch."""
-    size, bottom = docs.select(F.sum(F.octet_length("text")), F.count("doc_id")).first()
-    n = max(1, -(-int(size or 0) // shard_bytes))
-    if n == 1 or not bottom:
-        return []
-    cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0]
-    return sorted(set(cuts))
-
-
 def write_tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: str, path: str, end_id: int | None = 1, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode every text and write (shard, shard_start, doc_id, n_tokens, ids) to ``path``, in ascending doc_id order.
 
     Null text counts as empty (the end id alone). Null ids come first; rows that repeat an id lie
-    next to each other, ordered by text. Other columns are not carried. An empty table gives a
-    folder without rows. ``shard_start`` counts the ids before a row in its shard.
+    next to each other, ordered by a hash of their texts, also where they fill more than a shard. Other columns are not
+    carried. An empty table gives a folder without rows. ``shard_start`` counts the ids before a row in its shard.
+    Shards are ranges of ids, found by Spark's own range partitioning: bounds are sampled, one a shard.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    bounds = shard_bounds(docs, shard_bytes)
+    shards = max(1, -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, start = tokenizer(vocabulary), 0
@@ -155,23 +153,12 @@ def write_tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: str, pat
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(start + stops[:-1]), batch.column(1).slice(first, rows), pa.array(n), column], ["shard", "shard_start", "doc_id", "n_tokens", "ids"])
                 start += int(stops[-1])
 
-    dealt = docs.withColumn("shard", shard_of(F.col("doc_id"), bounds)).repartitionById(len(bounds) + 1, F.col("shard"))
-    ordered = dealt.sortWithinPartitions("doc_id", "text").select("shard", "doc_id", "text")
+    dealt = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "tie")
+    ordered = dealt.sortWithinPartitions("doc_id", "tie").select(F.spark_partition_id().alias("shard"), "doc_id", "text")
     out = ordered.mapInArrow(encode, "shard int, shard_start long, doc_id long, n_tokens long, ids array<int>")
     out.write.options(**FILE_FORMAT).parquet(path)
 
 
-def shard_of(doc_id: Column, bounds: list[int]) -> Column:
-    """The number of bounds at or below an id, null counting as the smallest; the bounds go to the workers once."""
-    cuts = np.array(bounds, np.int64)
-
-    @F.pandas_udf("int")
-    def search(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), "right").astype(np.int32))
-
-    return search(F.coalesce(doc_id, F.lit(-(1 << 63)))) if bounds else F.lit(0)
-
-
 def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """Rows of the files, by document range and columns; both reach the Parquet reader."""
     schema = "shard int, shard_start long, doc_id long, n_tokens long, ids array<int>"
@@ -186,11 +173,16 @@ def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: in
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32.
 
-    A shard's first id comes from a sum over metadata columns only: one row a shard, then a running sum over those.
+    A shard's first id comes from a sum over metadata columns only: one row a shard, running sums over BLOCK shards
+    each, and one over the blocks.
     """
     rows = read_tokens(spark, path)
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = totals.select(F.col("shard").alias("of"), (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_base"))
+    totals = totals.withColumn("block", F.floor(F.col("shard") / BLOCK))
+    blocks = totals.groupBy("block").agg(F.sum("n").alias("m"))
+    blocks = blocks.select("block", (F.sum("m").over(Window.orderBy("block")) - F.col("m")).alias("base"))
+    within = F.sum("n").over(Window.partitionBy("block").orderBy("shard")) - F.col("n")
+    before = totals.withColumn("within", within).join(blocks, "block").select(F.col("shard").alias("of"), (F.col("base") + F.col("within")).alias("shard_base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
