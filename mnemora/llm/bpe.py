@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from .common import SLICE_CHARS, Recent, gather, text_slices
 
 #: Distinct pretokens, and runs between spaces, that a Python worker keeps (about 200 bytes each).
-CACHE_WORDS, CACHE_RUNS = 700_000, 400_000
+CACHE_WORDS, CACHE_RUNS = 600_000, 300_000
 
 #: A pair's key is left << SHIFT | right; symbols from WALL on are no ids.
 SHIFT, WALL, GONE = 20, 1 << 19, (1 << 19) + 1
@@ -143,10 +143,8 @@ class PairIndexBPE:
 
     def encode_pieces(self, pieces: list[list[str]]) -> list[bytes]:
         """Packed ids of lists of pretokens."""
-        fresh = self.words.missing({w for own in pieces for w in own})
-        known = self.words.young
-        known.update(zip(fresh, self.encode_words(fresh), strict=True))
-        get = known.__getitem__
+        self.words.fetch(list({w for own in pieces for w in own}), self.encode_words)
+        get = self.words.young.__getitem__
         return [get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for own in pieces]
 
     def encode_odd(self, text: str) -> bytes:
@@ -165,15 +163,15 @@ class PairIndexBPE:
         coded, offsets = split.flatten().dictionary_encode(), split.offsets.to_numpy() - split.offsets[0].as_py()
         number, runs = coded.indices.to_numpy(zero_copy_only=False).copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         heads = number[offsets[:-1]]  # a text's first run has no space before it
-        number[offsets[:-1]] = 0
-        used = np.zeros(len(runs) + 1, bool)
-        used[number] = True
-        fresh = self.runs.missing({r for r, u in zip(runs, used.tolist(), strict=False) if u})
-        known = self.runs.young
-        known.update(zip(fresh, self.encode_pieces([self.find(f" {r}") for r in fresh]), strict=True))
+        rest = np.ones(len(number), bool)
+        rest[offsets[:-1]] = False
+        used = np.zeros(len(runs), bool)
+        used[number[rest]] = True
         first, place = np.unique(heads, return_inverse=True)
-        own = [known[r] if u else b"" for r, u in zip(runs, used.tolist(), strict=False)] + self.encode_pieces([self.find(runs[i]) for i in first.tolist()])
-        number[offsets[:-1]] = len(runs) + place
+        own = self.runs.fetch([r for r, u in zip(runs, used.tolist(), strict=False) if u], lambda fresh: self.encode_pieces([self.find(f" {r}") for r in fresh]))
+        own += self.encode_pieces([self.find(runs[i]) for i in first.tolist()])
+        number = (np.cumsum(used) - 1)[number]
+        number[offsets[:-1]] = used.sum() + place
         ids, ends = gather(own, number)
         stops = ends[offsets]
         if (odd := np.flatnonzero(~plain.to_numpy(zero_copy_only=False))).size:

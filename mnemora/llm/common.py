@@ -173,14 +173,22 @@ class Recent:
     def __init__(self, most: int) -> None:
         self.most, self.young, self.old = most, {}, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """Those of ``keys`` that must be added; the others are in ``young`` afterwards, whose items may then be read."""
+    def fetch(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The values of distinct ``keys``, those that are not kept by ``make``; all are in ``young`` afterwards."""
         if len(self.young) > self.most // 2:
             self.old, self.young = self.young, {}
-        rest = keys - self.young.keys()
-        kept = rest & self.old.keys()
-        self.young.update({k: self.old[k] for k in kept})
-        return list(rest - kept)
+        young, old = self.young, self.old.get
+        got = list(map(young.get, keys))
+        fresh = []
+        for i in [i for i, v in enumerate(got) if v is None]:
+            if (v := old(keys[i])) is None:
+                fresh.append(i)
+            else:
+                got[i] = young[keys[i]] = v
+        wanted = [keys[i] for i in fresh]
+        for i, k, v in zip(fresh, wanted, make(wanted), strict=True):
+            got[i] = young[k] = v
+        return got
 
 
 def matrix(column: pa.Array) -> np.ndarray:
