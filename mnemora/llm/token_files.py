@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_symbols
-from .common import Recent, fresh_path, gather, text_slices
+from .common import Recent, fresh_path, gather, materialise, text_slices
 
 #: Bytes of text meant for one shard, and so one file.
 SHARD_BYTES = 48_000_000
-#: Distinct words and runs of text that a Python worker keeps (about 200 bytes each).
-CACHE_WORDS, CACHE_RUNS = 400_000, 300_000
+#: Distinct runs of text that a Python worker keeps (about 200 bytes each).
+CACHE_RUNS = 500_000
 #: Shards whose sizes one task adds up.
 BLOCK = 1024
 
@@ -75,9 +75,9 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.known = all(spec.get(k) == v for k, v in RULES.items())
-        self.words, self.runs = Recent(CACHE_WORDS), Recent(CACHE_RUNS)
+        self.runs = Recent(CACHE_RUNS)
 
-    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """Packed ids of words that are normalised and split already, so the library's model alone is wanted."""
         tokenize, out = self.model.tokenize, {}
         for w in words:
@@ -88,9 +88,7 @@ class WordTokenizer:
     def encode_runs(self, runs: list[str]) -> list[bytes]:
         """Packed ids of runs of plain lower-case text without white space; most are a word, or a word and a stop."""
         split = [(r,) if r.isalpha() else (r[:-1], r[-1]) if r[:-1].isalpha() and r[-1] in ".," else WORDS.findall(r) for r in runs]
-        fresh = self.words.missing({w for own in split for w in own})
-        self.words.young.update(self.encode_words(fresh))
-        got = self.words.young.__getitem__
+        got = self.encode_words({w for own in split for w in own}).__getitem__
         return [got(own[0]) if len(own) == 1 else b"".join(map(got, own)) for own in split]
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,10 +103,7 @@ class WordTokenizer:
         split = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(plain, texts, "")))
         coded = split.flatten().dictionary_encode()
         number, runs = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        fresh = self.runs.missing(set(runs))
-        known = self.runs.young
-        known.update(zip(fresh, self.encode_runs(fresh), strict=True))
-        ids, ends = gather([known[r] for r in runs], number)
+        ids, ends = gather(self.runs.fetch(runs, self.encode_runs), number)
         ids = ids.view("<i4")
         stops = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
         if (odd := np.flatnonzero(~plain.to_numpy(zero_copy_only=False))).size:
@@ -139,7 +134,7 @@ def write_tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: str, pat
         tok, start = tokenizer(vocabulary), 0
         extra = end_id is not None
         for batch in batches:
-            for first, rows in text_slices(batch.column(2), 8192, 4_000_000):
+            for first, rows in text_slices(batch.column(2), 16_384, 8_000_000):
                 ids, n = tok.encode_batch(batch.column(2).slice(first, rows))
                 n = n + extra
                 stops = np.concatenate([[0], np.cumsum(n)])
@@ -178,7 +173,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = read_tokens(spark, path)
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    totals = totals.withColumn("block", F.floor(F.col("shard") / BLOCK))
+    totals = materialise(totals.withColumn("block", F.floor(F.col("shard") / BLOCK)), "shards")
     blocks = totals.groupBy("block").agg(F.sum("n").alias("m"))
     blocks = blocks.select("block", (F.sum("m").over(Window.orderBy("block")) - F.col("m")).alias("base"))
     within = F.sum("n").over(Window.partitionBy("block").orderBy("shard")) - F.col("n")
