@@ -110,6 +110,37 @@ def meet(rows: DataFrame, table: DataFrame, keys: list[str], count: str, spread:
     return dealt.join(wide, [*keys, "_part"], how).drop("_part")
 
 
+#: Bits of a sieve at most (32 MB), and of one of its rows.
+SIEVE_BITS, SIEVE_ROW = 1 << 28, 1 << 15
+
+
+class Sieve:
+    """A Bloom filter of one hash, made and asked by column functions: keeps rows apart that cannot be in a table of keys.
+
+    It has 16 bits a key, SIEVE_BITS at most, so its broadcast is bounded whatever the keys. Rows that it lets through must
+    still meet the keys; beyond some ten million keys it lets more and more through, which costs work and loses nothing.
+    """
+
+    def __init__(self, keys: DataFrame, key: str, n: int) -> None:
+        self.bits = min(SIEVE_BITS, max(SIEVE_ROW, 1 << (16 * n).bit_length()))
+        at = self.place(F.col(key))
+        rows = keys.select(F.floor(at / SIEVE_ROW).cast("int").alias("row"), (at % SIEVE_ROW).alias("bit"))
+        self.rows = rows.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("map"))
+
+    def place(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.bits))
+
+    def split(self, df: DataFrame, key: Column, within: bool) -> DataFrame:
+        """Rows of ``df`` that may be in the table (all of those that are), or the others. Null keys count as any other."""
+        place, row, map_ = unused(df, "place"), unused(df, "row"), unused(df, "map")
+        placed = df.withColumn(place, self.place(key)).withColumn(row, F.floor(F.col(place) / SIEVE_ROW).cast("int"))
+        met = placed.join(F.broadcast(self.rows.select(F.col("row").alias(row), F.col("map").alias(map_))), row, "left")
+        bit = F.col(place) % SIEVE_ROW
+        byte = F.conv(F.hex(F.substring(F.col(map_), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2 == 1, F.lit(False))
+        return met.filter(hit if within else ~hit).select(*df.columns)
+
+
 def text_slices(texts: pa.Array, most_rows: int = SLICE_ROWS, most_bytes: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """(first row, rows) pieces of an Arrow string column, bounded in rows and bytes; a longer text is a piece by itself."""
     start, n = 0, len(texts)

@@ -6,8 +6,10 @@ at random, and sets with equal values there go down together, so similar sets st
 others part. Small nodes are compared outright. A large node's sets that are near its centre are
 tied to it and leave; the rest split again. Runs repeat until the wanted recall at the threshold.
 
-What the trees tie together is only a superset of the links: each such group is verified exactly, on
-the whole texts, in bounded tiles that count links and never emit pairs.
+What the trees tie together is only a superset of the links. Large groups are first taken apart by the
+signatures alone: only sets that agree at enough positions with another stay together, so what is merely
+near a common centre is no candidate. Each group that is left is verified exactly, on the whole texts, in
+bounded tiles that count links and never emit pairs. The texts are fetched by the ids of the candidates.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import Sieve, grouped, materialise, meet, slices, unused
 from .components import connected_components, merge_labels
 
 SHINGLE = 5
@@ -34,8 +36,11 @@ SMALL = 32
 RECALL = 0.99999
 #: Part of the pairs that may be missed which is left to signatures that agree too little; the rest is left to the runs.
 UNLIKE = 0.1
-#: Texts on either side of a verification tile.
-TILE = 512
+#: Sets on either side of a tile of signatures.
+SIGNED_TILE = 2048
+#: Texts on either side of a verification tile, at least and at most, and shingles: a group of n has sides of about 2.4 times
+#: the root of n, so that neither the number of its tiles nor a tile grows as the group does.
+TILE, LARGE_TILE, TILE_SHINGLES = 128, 2048, 4_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -271,7 +276,8 @@ def ties(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(src, dst): pairs of keys that connect every group of sets with links, as the trees find them.
 
     Sets tied to one centre are connected already, so a node goes on only if some of its sets are
-    free, that is, not tied: a large group of near copies leaves the trees at its first centre.
+    free, that is, not tied: a large group of near copies leaves the trees at its first centre. What
+    meets a node's row is dealt by the node's size, so a node that most sets share is no task of its own.
     """
     found, sign = [], sets.select("key", "sig")
     tie, near, core = bounds(threshold, recall)
@@ -280,23 +286,24 @@ def ties(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
         level = materialise(level, "nodes")
         shared = level.groupBy("node").agg(F.count("*").alias("size"), F.min("key").alias("centre"), F.max("free").alias("open"))
         shared = materialise(shared.filter("size > 1 and open").drop("open"), "shared")
-        rows = level.join(shared, "node")
+        rows = meet(level.select("key", "node"), shared, ["node"], "size", F.xxhash64("key"))
         small = rows.filter(F.col("size") <= SMALL).select("key", "node").join(sign, "key").select("node", "key", "sig")
         small = small.repartition("node").sortWithinPartitions("node", "key")
         found.append(materialise(small.mapInArrow(small_ties(tie), "src long, dst long").distinct(), "ties"))
-        large = shared.filter(F.col("size") > SMALL).select("node", "centre")
+        large = shared.filter(F.col("size") > SMALL)
         if not large.take(1):
             break
-        big = rows.filter(F.col("size") > SMALL).select("key", "node")
         if depth == LAST_DEPTH:
-            found.append(big.join(large, "node").filter("key <> centre").select(F.col("key").alias("src"), F.col("centre").alias("dst")).distinct())
+            big = rows.filter((F.col("size") > SMALL) & (F.col("key") != F.col("centre")))
+            found.append(big.select(F.col("key").alias("src"), F.col("centre").alias("dst")).distinct())
             break
         centres = large.join(sign.select(F.col("key").alias("centre"), F.col("sig").alias("centre_sig")), "centre")
-        paired = big.join(sign, "key").join(centres, "node").select("node", "key", "sig", "centre", "centre_sig")
+        big = meet(level.select("key", "node"), materialise(centres, "centres"), ["node"], "size", F.xxhash64("key"))
+        paired = big.join(sign, "key").select("node", "key", "sig", "centre", "centre_sig")
         scored = materialise(paired.mapInArrow(compare(near, core), "node long, key long, centre long, tied boolean, stays boolean"), "scored")
         found.append(scored.filter("tied and key <> centre").select(F.col("key").alias("src"), F.col("centre").alias("dst")).distinct())
-        going = scored.groupBy("node").agg(F.max(~F.col("tied")).alias("open")).filter("open").select("node")
-        staying = scored.filter("stays").select("node", "key", (~F.col("tied")).alias("free")).join(going, "node").join(sign, "key")
+        going = materialise(scored.groupBy("node").agg(F.max(~F.col("tied")).alias("open"), F.sum(F.col("stays").cast("long")).alias("size")).filter("open"), "going")
+        staying = meet(scored.filter("stays").select("node", "key", (~F.col("tied")).alias("free")), going, ["node"], "size", F.xxhash64("key")).join(sign, "key")
         level = staying.select("node", "key", "sig", "free").mapInArrow(descend, "key long, node long, free boolean")
     out = found[0]
     for more in found[1:]:
@@ -304,6 +311,59 @@ def ties(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     return out.distinct()
 
 
+def dealt_in_tiles(members: DataFrame, parts: Column) -> DataFrame:
+    """``members`` (component, key and more) of every tile (i, j) of their component, which has ``parts`` parts (of its ``n`` sets); ``second`` says on which side."""
+    count = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).withColumn("parts", parts)
+    # components are named by their smallest key, so one that holds many sets is a hot key
+    dealt = meet(members, materialise(count, "components"), ["component"], "n", F.xxhash64("key"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.col("key"), F.lit(5)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "second": F.col("own") > F.col("other")}).drop("own", "other", "n", "shingles", "parts")
+
+
+def signed_links(tie: int):
+    """From rows (component, i, j, second, key, sig) sorted by the first three: (src, dst), which connect the sets that agree at ``tie`` positions within each tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, 3):
+            group = group.take(pa.array(np.argsort(group.column("key").to_numpy(), kind="stable"))).combine_chunks()
+            key, second = group.column("key").to_numpy(), group.column("second").to_numpy()
+            sign = signatures(group.column("sig").chunk(0))
+            left = np.flatnonzero(~second)
+            right = np.flatnonzero(second) if second.any() else left
+            root = np.arange(len(key))
+            for at in range(0, len(left), 32):
+                rows = left[at : at + 32]
+                agree = np.zeros((len(rows), len(right)), np.uint8)
+                for k in range(SIGNATURE):
+                    agree += sign[rows, k, None] == sign[None, right, k]
+                ok = agree >= tie
+                if left is right:
+                    ok[np.arange(len(rows)), at + np.arange(len(rows))] = False
+                root = merge_labels(root, rows, right, ok)
+            tied = root != np.arange(len(root))
+            yield pa.RecordBatch.from_arrays([pa.array(key[tied]), pa.array(key[root[tied]])], ["src", "dst"])
+
+    return run
+
+
+def candidates(groups: DataFrame, sets: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(component, key, w, rep, size) of the sets to verify: the tied groups, the larger ones taken apart by signatures."""
+    members = materialise(groups.join(sets, groups["node"] == sets["key"]).select("component", "key", "w", "rep", "size", "sig"), "members")
+    sizes = materialise(members.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+    large = sizes.filter(F.col("n") > TILE)
+    if not large.take(1):
+        return members.drop("sig")
+    known = meet(members, sizes, ["component"], "n", F.xxhash64("key"))
+    tiles = dealt_in_tiles(known.filter(F.col("n") > TILE).drop("n"), F.ceil(F.col("n") / SIGNED_TILE).cast("int"))
+    tiles = tiles.select("component", "i", "j", "second", "key", "sig").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    edges = materialise(tiles.mapInArrow(signed_links(bounds(threshold, recall)[0]), "src long, dst long").distinct(), "edges")
+    apart = connected_components(edges)
+    columns = ["component", "key", "w", "rep", "size"]
+    parted = known.filter(F.col("n") > TILE).drop("component").join(apart, known["key"] == apart["node"]).select(*columns)
+    return materialise(known.filter(F.col("n") <= TILE).select(*columns).union(parted), "candidates")
+
+
 def tile_links(sets: list[np.ndarray], weight: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Per set of a tile: the weight of the sets it links with on the other side, and the first set of its component.
 
@@ -340,8 +400,7 @@ def tile_links(sets: list[np.ndarray], weight: np.ndarray, left: np.ndarray, rig
 def verify(size: int, threshold: float):
     """From rows (component, i, j, second, key, w, text) sorted by the first three: (key, n, to)."""
 
-    def tile(rows: list[pa.RecordBatch], same: bool) -> pa.RecordBatch:
-        group = pa.Table.from_batches(rows)
+    def tile(group: pa.Table, same: bool) -> pa.RecordBatch:
         group = group.take(pa.array(np.argsort(group.column("key").to_numpy(), kind="stable")))
         sets = [shingles(t or "", size) for t in group.column("text").to_pylist()]
         key, weight, second = group.column("key").to_numpy(), group.column("w").to_numpy(), group.column("second").to_numpy()
@@ -358,22 +417,8 @@ def verify(size: int, threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(count[own]), pa.array(key[root[own]])], ["key", "n", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            marks = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
-            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(batch)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                mark = tuple(marks[a].tolist())
-                if held and mark != last:
-                    yield tile(held, last[1] == last[2])
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = mark
-        if held:
-            yield tile(held, last[1] == last[2])
+        for group in grouped(batches, 3):
+            yield tile(group, group.column("i")[0] == group.column("j")[0])
 
     return run
 
@@ -390,17 +435,15 @@ def jaccard_join(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE,
     threshold and more above it. Other columns are not carried.
     """
     rows = materialise(features(df, id_col, text_col, size), "features")
-    sets = rows.filter("n > 0 and id is not null").groupBy("key", "check").agg(F.count("*").alias("w"), F.min("id").alias("rep"), F.first("sig").alias("sig"))
+    sets = rows.filter("n > 0 and id is not null").groupBy("key", "check").agg(F.count("*").alias("w"), F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("size"))
     sets = materialise(sets, "sets")
-    groups = connected_components(ties(sets, threshold, recall))
-    members = materialise(groups.join(sets, groups["node"] == sets["key"]).select("component", "key", "w", "rep"), "members")
-    parts = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    dealt = members.join(parts, "component").withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "key", "w", "rep")
+    members = candidates(connected_components(ties(sets, threshold, recall)), sets, threshold, recall)
+    side = F.least(F.greatest(2.4 * F.sqrt("n"), F.lit(float(TILE))), F.lit(float(LARGE_TILE)))
+    dealt = dealt_in_tiles(members, F.greatest(F.ceil(F.col("n") / side), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int"))
     texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    wanted = Sieve(members.select("rep"), "rep", members.count()).split(texts, F.col("rep"), within=True)
     # one plan for every size: the texts are dealt by id, also where the members would be few enough to broadcast
-    tiles = dealt.join(texts.hint("merge"), "rep").select("component", "i", "j", "second", "key", "w", "text")
+    tiles = dealt.join(wanted.hint("merge"), "rep").select("component", "i", "j", "second", "key", "w", "text")
     tiles = tiles.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     links = materialise(tiles.mapInArrow(verify(size, threshold), "key long, n long, to long"), "links")
     totals = links.groupBy("key").agg(F.sum("n").alias("n"))
@@ -408,16 +451,30 @@ def jaccard_join(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE,
     named = sets.join(linked, sets["key"] == linked["node"], "left").select("key", "check", "w", "rep", F.coalesce("component", "key").alias("component"))
     first = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     named = named.join(first, "component").join(totals, "key", "left")
-    named = materialise(named.select("key", "check", "class_id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links")), "named")
+    named = materialise(named.select("key", "check", "class_id", "w", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links")), "named")
     usable = (F.col("n") > 0) & F.col("id").isNotNull()
-    out = rows.select("id", "text_hash", F.when(usable, F.col("key")).alias("key"), "check").join(named, ["key", "check"], "left")
-    class_id = F.coalesce("class_id", "id")
-    return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(class_id == F.col("id"), F.lit(True)).alias("kept"), "text_hash")
+    met = meet(rows.filter(usable).select("id", "text_hash", "key", "check"), named, ["key", "check"], "w", F.xxhash64("id"))
+    met = met.select(F.col("id").alias(id_col), "class_id", "n_links", (F.col("class_id") == F.col("id")).alias("kept"), "text_hash")
+    alone = rows.filter(~usable).select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "text_hash")
+    return met.union(alone)
 
 
 def drop_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, threshold: float = 0.8, recall: float = RECALL) -> DataFrame:
-    """``df`` without the documents that ``jaccard_join`` does not keep; all columns stay. Rows that repeat both id and text share one decision."""
-    gone = jaccard_join(df, id_col, text_col, size, threshold, recall).filter("not kept").select(F.col(id_col).alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
-    gone = materialise(gone, "gone")
-    match = (F.col(id_col).cast("long") == F.col("_gone")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash"))
-    return df.hint("merge").join(gone, match, "left_anti")  # as at every size: no broadcast of decisions
+    """``df`` without the documents that ``jaccard_join`` does not keep; all columns stay, whatever their names.
+
+    One row of each group stays: of rows that repeat both id and text, or a null id and a text with words, only one does.
+    Rows that nothing is decided about are told apart by a sieve of ids, so their texts are not shuffled.
+    """
+    named = jaccard_join(df, id_col, text_col, size, threshold, recall)
+    decided = named.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max(~F.col("kept")).alias("_gone"), F.count("*").alias("_n"))
+    decided = materialise(decided.filter("_gone or (_n > 1 and _hash is not null)").select("_id", "_hash", "_gone"), "decided")
+    sieve = Sieve(decided, "_id", decided.count())
+    key = F.col(id_col).cast("long")
+    names = {c: unused(df, f"{i}") for i, c in enumerate(("_id", "_hash", "_gone"))}
+    decided = decided.select(*(F.col(c).alias(n) for c, n in names.items()))
+    id_, hash_, gone = (F.col(n) for n in names.values())
+    doubtful = sieve.split(df, key, within=True).hint("merge")  # as at every size: no broadcast of decisions
+    met = doubtful.join(decided, key.eqNullSafe(id_) & (F.xxhash64(F.col(text_col).cast("string")) == hash_), "left")
+    single = met.filter(gone.isNotNull() & ~gone).dropDuplicates(list(names.values())[:2])
+    stay = met.filter(gone.isNull()).union(single).select(*df.columns)
+    return sieve.split(df, key, within=False).union(stay)

@@ -4,8 +4,10 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from mnemora.llm import jaccard, queries
+from mnemora.llm.common import Sieve
 
 SF = "/root/testdata/sf0.01"
 
@@ -72,6 +74,7 @@ def varied(seed=0):
 def test_large_groups_split_and_tiled(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 8)
     monkeypatch.setattr(jaccard, "TILE", 25)
+    monkeypatch.setattr(jaccard, "SIGNED_TILE", 40)
     docs = list(enumerate(varied()))
     df = spark.createDataFrame([(i, t, 0, "k") for i, t in docs], "doc_id long, text string, n int, key string")
     got = {r.doc_id: (r.class_id, r.n_links, r.kept) for r in jaccard.jaccard_join(df, "doc_id", "text").collect()}
@@ -134,6 +137,61 @@ def test_borderline_pairs(spark):
         assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, i - i % 2, 1) for i in range(2000)}, threshold
 
 
+def test_recall_by_similarity(spark):
+    """Pairs of sets in bands of similarity from the threshold up: every band's links are found, none below the threshold."""
+    texts, want = [], []
+    for band, (both, own) in enumerate(((40, 10), (41, 9), (43, 7), (46, 4), (49, 1), (39, 11))):  # 0.67 is the last, others 0.67 to 0.96
+        for p in range(400):
+            common = [f"c{band}x{p}x{i}" for i in range(both)]
+            texts += [" ".join([*common, *(f"o{band}x{p}x{side}x{i}" for i in range(own))]) for side in range(2)]
+            want += [both / (both + 2 * own) >= 0.66] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in jaccard.jaccard_join(df, "doc_id", "text", 1, 0.66).collect()}
+    for band in range(6):
+        ids = range(800 * band, 800 * (band + 1))
+        assert sum(got[i].n_links for i in ids) == sum(want[800 * band : 800 * (band + 1)]), band
+
+
+def test_shared_boilerplate_is_taken_apart(spark, monkeypatch):
+    """Texts that share much, but too little to be linked, are no candidates together."""
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    monkeypatch.setattr(jaccard, "TILE", 20)
+    rng = random.Random(5)
+    common = " ".join(f"licence{i}" for i in range(40))
+    docs = [(i, common + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(200)]
+    docs += [(1000 + i, docs[i][1] + " end") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = jaccard.features(df, "doc_id", "text", 5)
+    sets = jaccard.materialise(rows.selectExpr("key", "check", "1L as w", "id as rep", "sig", "n as size"), "sets")
+    groups = jaccard.connected_components(jaccard.ties(sets, 0.8, jaccard.RECALL))
+    made = jaccard.candidates(groups, sets, 0.8, jaccard.RECALL)
+    sizes = [r["count"] for r in made.groupBy("component").count().collect()]
+    assert max(sizes) <= 4 and sum(sizes) >= 60
+    got = {r.doc_id: (r.class_id, r.n_links, r.kept) for r in jaccard.jaccard_join(df, "doc_id", "text").collect()}
+    assert got == brute(docs)
+
+
+def test_dropping_keeps_one_row_and_all_columns(spark):
+    """Names that helpers would use, repeated ids, and null ids."""
+    text = "one two three four five six seven"
+    schema = "doc_id long, text string, _gone int, __0 string, class_id long, place int"
+    rows = [(1, text, 0, "a", 5, 1), (1, text, 0, "a", 5, 1), (2, text, 1, None, 5, 2), (3, "some other words that stay here", 2, "c", None, 3), (None, text, 3, "d", 1, 4), (None, text, 4, "e", 1, 5), (4, None, 5, "f", 1, 6), (4, None, 5, "f", 1, 6)]
+    df = spark.createDataFrame(rows, schema)
+    got = jaccard.drop_duplicates(df, "doc_id", "text")
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r["text"] or "") for r in got.collect()) == sorted([(1, text), (3, rows[3][1]), (0, text), (4, "")])
+    assert jaccard.drop_duplicates(df.filter("false"), "doc_id", "text").count() == 0
+
+
+def test_sieve(spark):
+    keys, all_ = spark.range(0, 5000, 7), spark.range(5000).union(spark.createDataFrame([(None,)], "id long"))
+    sieve = Sieve(keys, "id", keys.count())
+    inside, outside = (sieve.split(all_, F.col("id"), w) for w in (True, False))
+    assert inside.columns == ["id"] and inside.count() + outside.count() == 5001
+    assert keys.join(inside, "id").count() == keys.count() and inside.count() < 1500
+    assert Sieve(keys.filter("false"), "id", 0).split(all_, F.col("id"), False).count() == 5001
+
+
 def test_large_nodes_at_other_thresholds(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 8)
     docs = list(enumerate(varied(1)))
