@@ -3,7 +3,8 @@
 A text is the set of its letter n-grams of every length up to ORDER (presence, not counts). The
 blended-spectrum kernel of two texts is the number of n-grams they share, normalised to 1 for a text
 with itself. Kernel ridge regression, one language against the rest, is fitted in the space of
-Nystroem landmarks; a batch is scored by two matrix products: presence by landmarks, kernels by weights.
+Nystroem landmarks. A batch is scored by a sparse matrix product: because the kernel is linear in presence, the
+landmarks' presence and weights are multiplied once, and a text's scores are the sum of its n-grams' rows.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 ORDER = 4
-#: Hash buckets of n-grams (2**BUCKET_BITS).
-BUCKET_BITS = 14
+#: Hash buckets of n-grams (2**BUCKET_BITS): the longest natural texts fill some tenths of them.
+BUCKET_BITS = 17
 #: The fit's documented bounds: training texts and landmarks a language.
 TRAIN_ROWS = 400
 LANDMARKS = 64
@@ -36,16 +37,18 @@ def letters() -> np.ndarray:
 
 
 def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of n-gram presence (uint8), and which texts hold a letter. Runs of other characters count as one space."""
-    size, is_letter = 1 << BUCKET_BITS, letters()
-    out, found = np.zeros((len(texts), size), np.uint8), np.zeros(len(texts), bool)
-    shift = np.uint32(32 - BUCKET_BITS)
+    """Sparse rows of n-gram presence: all texts' buckets, ascending and without repeats in each text, and how many each has.
+
+    Runs of other characters than letters count as one space; a text without letters has no n-grams.
+    """
+    is_letter, shift = letters(), np.uint32(32 - BUCKET_BITS)
+    here = np.zeros(1 << BUCKET_BITS, bool)
+    out, sizes = [], np.zeros(len(texts), np.int64)
     for row, text in enumerate(texts):
         code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
         word = is_letter[code]
         if not word.any():
             continue
-        found[row] = True
         keep = word.copy()
         keep[1:] |= word[:-1]
         keep[0] = True
@@ -57,23 +60,38 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                     break
                 mixed = mixed[:-1] * np.uint32(0x01000193) + code[n - 1 :]
             spread = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)
-            out[row, spread >> shift] = 1
-    return out, found
+            here[spread >> shift] = True
+        found = np.flatnonzero(here)
+        here[found] = False
+        sizes[row] = len(found)
+        out.append(found)
+    return np.concatenate(out) if out else np.zeros(0, np.int64), sizes
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Landmarks (presence rows, normalised) and a weight a landmark and language."""
+    """The landmarks (packed presence), a weight a landmark and language, and their product: a row of ``table`` a bucket."""
 
     languages: tuple[str, ...]
     landmarks: np.ndarray
     weights: np.ndarray
 
-    def score(self, rows: np.ndarray) -> np.ndarray:
-        """One-versus-rest outputs of a batch of presence rows: near 1 for the language, near 0 for others."""
-        own = np.sqrt(np.maximum(rows.sum(1, dtype=np.int64), 1)).astype(np.float32)
-        kernels = (rows.astype(np.float32) @ self.landmarks.T) / own[:, None]
-        return kernels @ self.weights
+    @functools.cached_property
+    def table(self) -> np.ndarray:
+        out = np.zeros((1 << BUCKET_BITS, len(self.languages)))
+        for bits, weight in zip(self.landmarks, self.weights, strict=True):
+            own = np.flatnonzero(np.unpackbits(bits))
+            out[own] += weight / np.sqrt(max(1, len(own)))
+        return out
+
+    def score(self, buckets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """One-versus-rest outputs of a batch of sparse rows: near 1 for the language, near 0 for others; 0 without n-grams."""
+        out = np.zeros((len(sizes), len(self.languages)))
+        some = sizes > 0
+        if some.any():
+            starts = (np.cumsum(sizes) - sizes)[some]
+            out[some] = np.add.reduceat(self.table[buckets], starts, axis=0) / np.sqrt(sizes[some])[:, None]
+        return out
 
 
 def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
@@ -97,28 +115,44 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TR
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in slices(batch.column(1)):
-                got, found = presence(texts)
-                packed = [p.tobytes() if f else None for p, f in zip(np.packbits(got, axis=1), found, strict=True)]
+                buckets, sizes = presence(texts)
+                packed = []
+                for own in np.split(buckets, np.cumsum(sizes)[:-1]):
+                    bits = np.zeros(1 << BUCKET_BITS, bool)
+                    bits[own] = True
+                    packed.append(np.packbits(bits).tobytes() if len(own) else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array(packed, pa.binary())], ["lang", "h", "bits"])
 
     taken = sample(df, id_col, text_col, lang_col, rows).mapInArrow(features, "lang string, h long, bits binary")
     got = sorted((r.lang, r.h, bytes(r.bits)) for r in taken.filter("bits is not null").collect())
     languages = tuple(sorted({x[0] for x in got}))
     if not languages:
-        return LanguageModel((), np.zeros((0, 1 << BUCKET_BITS), np.float32), np.zeros((0, 0), np.float32))
-    bits = np.unpackbits(np.frombuffer(b"".join(x[2] for x in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
-    bits /= np.sqrt(np.maximum(bits.sum(1), 1))[:, None]
+        return LanguageModel((), np.zeros((0, 1 << BUCKET_BITS - 3), np.uint8), np.zeros((0, 0)))
+    bits = np.frombuffer(b"".join(x[2] for x in got), np.uint8).reshape(len(got), -1)
     label = np.array([languages.index(x[0]) for x in got])
     first = np.concatenate([np.flatnonzero(label == k)[:landmarks] for k in range(len(languages))])
-    marks = bits[first]
-    value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    words, size = bits.view(np.uint64), np.bitwise_count(bits.view(np.uint64)).sum(1, dtype=np.int64)
+    shared = np.stack([np.bitwise_count(words & words[i]).sum(1, dtype=np.int64) for i in first.tolist()], 1)
+    kernel = shared / np.sqrt(size[:, None] * size[None, first])
+    value, vector = np.linalg.eigh(kernel[first])
     root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
-    mapped = (bits @ marks.T).astype(np.float64) @ root
+    mapped = kernel @ root
     wanted = (label[:, None] == np.arange(len(languages))).astype(np.float64)
     share = 1 / np.bincount(label, minlength=len(languages))[label]  # languages weigh the same
     gram = mapped.T @ (mapped * share[:, None]) + RIDGE * np.eye(len(first))
     weights = root @ np.linalg.solve(gram, mapped.T @ (wanted * share[:, None]))
-    return LanguageModel(languages, marks, weights.astype(np.float32))
+    return LanguageModel(languages, bits[first], weights)
+
+
+def predict(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The language of each text, and its score between 0 and 1."""
+    buckets, sizes = presence(texts)
+    if not model.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    got = model.score(buckets, sizes)
+    best = got.argmax(1)
+    label = [model.languages[b] if n else UNKNOWN for b, n in zip(best.tolist(), sizes.tolist(), strict=True)]
+    return label, np.where(sizes > 0, np.clip(got[np.arange(len(texts)), best], 0, 1), 0.0)
 
 
 def identify(df: DataFrame, text_col: str, model: LanguageModel, keep: list[str]) -> DataFrame:
@@ -127,25 +161,13 @@ def identify(df: DataFrame, text_col: str, model: LanguageModel, keep: list[str]
     ``und`` with score 0 where text is null or has no letters, or the model knows no language. The
     kept columns' own names do not matter. A narrow stage: a batch is scored by matrix products.
     """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((model.languages, np.packbits(model.landmarks > 0, axis=1), model.weights))
+    shared = df.sparkSession.sparkContext.broadcast(model)
     names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, packed, weights = shared.value
-        marks = np.unpackbits(packed, axis=1).astype(np.float32) if len(packed) else np.zeros((0, 1 << BUCKET_BITS), np.float32)
-        marks /= np.sqrt(np.maximum(marks.sum(1), 1))[:, None]
-        known = LanguageModel(languages, marks, weights)
         for batch in batches:
             for first, texts in slices(batch.column(0)):
-                rows, found = presence(texts)
-                if languages:
-                    got = known.score(rows)
-                    best = got.argmax(1)
-                    label = [languages[b] if f else UNKNOWN for b, f in zip(best.tolist(), found.tolist(), strict=True)]
-                    score = np.where(found, np.clip(got[np.arange(len(texts)), best], 0, 1), 0).astype(np.float64)
-                else:
-                    label, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                label, score = predict(shared.value, texts)
                 kept = [batch.column(i + 1).slice(first, len(texts)) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(label), pa.array(score)], [*names, "lang_pred", "score"])
 
@@ -156,6 +178,16 @@ def identify(df: DataFrame, text_col: str, model: LanguageModel, keep: list[str]
 
 
 def keep_identified(df: DataFrame, text_col: str, model: LanguageModel, least: float) -> DataFrame:
-    """``df`` without the rows whose language is unknown or predicted with a score below ``least``; columns stay as they are."""
-    found = identify(df, text_col, model, df.columns)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*df.columns)
+    """``df`` without the rows whose language is unknown or predicted with a score below ``least``; columns stay as they are, whatever their names.
+
+    Only the texts go to Python, and a yes or no comes back.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            parts = [predict(shared.value, texts) for _, texts in slices(column)]
+            yield pa.array([x != UNKNOWN and s >= least for label, score in parts for x, s in zip(label, score.tolist(), strict=True)], pa.bool_())
+
+    return df.filter(known(F.col(text_col).cast("string")))

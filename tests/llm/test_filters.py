@@ -2,9 +2,11 @@
 
 import datetime
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from mnemora.llm import language, private, queries, secrets, urls
@@ -380,6 +382,60 @@ def test_language_held_out(spark):
     assert right > 0.97
 
 
+def plain_grams(text):
+    """The set of n-grams as strings, by the definition."""
+    letters = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    clean = re.sub(" +", " ", letters)
+    return {clean[i : i + n] for n in range(1, language.ORDER + 1) for i in range(len(clean) - n + 1)} if re.search(r"\S", clean) else set()
+
+
+def test_language_equals_the_kernel_computed_directly(spark):
+    """Scores against sets of strings, kernels one by one, Nystroem features and ridge regression solved as they are defined."""
+    rng = random.Random(2)
+    words = {"xx": ["the", "and", "house", "with", "river"], "yy": ["der", "und", "haus", "mit", "fluss"], "zz": ["le", "et", "maison", "avec", "rivière"]}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.randrange(1, 30))) + " 12!", k) for i, k in enumerate("xyzxyz" * 10) for k in [k * 2]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, "doc_id", "text", "lang", landmarks=8)
+    order = {r.doc_id: r.h for r in df.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)).alias("h")).collect()}
+    train = sorted(rows, key=lambda r: (r[2], order[r[0]]))
+    sets = [plain_grams(t) for _, t, _ in train]
+    marks = [i for k in sorted(words) for i in [j for j, r in enumerate(train) if r[2] == k][:8]]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    k_mm, k_nm = (np.array([[kernel(a, sets[m]) for m in marks] for a in own]) for own in ([sets[m] for m in marks], sets))
+    value, vector = np.linalg.eigh(k_mm)
+    root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
+    phi, y = k_nm @ root, np.array([[float(r[2] == k) for k in sorted(words)] for r in train])
+    beta = np.linalg.solve(phi.T @ phi / 20 + language.RIDGE * np.eye(len(marks)), phi.T @ y / 20)
+    fresh = ["the river house", "haus", "et", "x y z", "Rivière-Haus and more", *(t for _, t, _ in rows[:9])]
+    buckets, sizes = language.presence(fresh)
+    assert all(0 <= len(plain_grams(t)) - n <= 2 for t, n in zip(fresh, sizes.tolist(), strict=True))  # few n-grams share a bucket
+    want = np.array([[kernel(plain_grams(t), sets[m]) for m in marks] for t in fresh]) @ root @ beta
+    assert np.allclose(model.score(buckets, sizes), want, atol=0.03) and (model.score(buckets, sizes).argmax(1) == want.argmax(1)).all()
+
+
+def test_language_of_a_long_text_of_many_words(spark):
+    """A text with very many distinct words still fills a small part of the buckets, and its language stands out."""
+    rng = random.Random(3)
+    german = ["sch", "ung", "der", "ein", "keit", "und", "ver", "heit", "ch"]
+    english = ["th", "ing", "and", "tion", "ed", "of", "er", "wh", "ly"]
+    text = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(n))
+    df = spark.createDataFrame([(i, text(p, 200), k) for i in range(60) for k, p in [("de", german) if i % 2 else ("en", english)]], "doc_id long, text string, lang string")
+    model = language.fit(df, "doc_id", "text", "lang")
+    long = [text(german, 100_000), text(english, 100_000)]
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(600_000))
+    assert language.predict(model, long)[0] == ["de", "en"] and language.predict(model, [noise])[1][0] < min(language.predict(model, long)[1])
+    assert language.presence([*long, noise])[1].max() < 1 << language.BUCKET_BITS
+    assert max(language.presence(long)[1]) < 0.3 * (1 << language.BUCKET_BITS)
+
+
+def test_keeping_rows_with_any_names(spark):
+    docs = spark.createDataFrame([("the cat and the dog", 0.5, "a", [1], None), ("", 0.1, "b", None, "x"), (None, None, None, None, None), ("the cat and the dog", 0.5, "a", [1], None)], "text string, score double, lang_pred string, k0 array<int>, _text string")
+    model = language.fit(spark.createDataFrame([(1, "the cat", "en"), (2, "le chat", "fr")], "i long, t string, l string"), "i", "t", "l")
+    got = language.keep_identified(docs, "text", model, 0.1)
+    assert got.columns == docs.columns and got.collect() == [docs.collect()[0]] * 2
+    assert language.keep_identified(docs.filter("false"), "text", model, 0.1).count() == 0
+
+
 def test_language_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, lang, 0.5) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), (None, "en"), ("123 !?", "fr"), ("", None), ("the " * 40000, None)])] + [(None, "le chien", "fr", None)], "doc_id long, text string, lang string, score double")
     model = language.fit(docs, "doc_id", "text", "lang")
