@@ -286,19 +286,21 @@ def ties(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
         level = materialise(level, "nodes")
         shared = level.groupBy("node").agg(F.count("*").alias("size"), F.min("key").alias("centre"), F.max("free").alias("open"))
         shared = materialise(shared.filter("size > 1 and open").drop("open"), "shared")
-        rows = meet(level.select("key", "node"), shared, ["node"], "size", F.xxhash64("key"))
+        large = shared.filter(F.col("size") > SMALL)
+        any_large = bool(large.take(1))
+        if any_large:
+            first = sign.select(F.col("key").alias("centre"), F.col("sig").alias("centre_sig"))
+            shared = materialise(large.join(first, "centre").unionByName(shared.filter(F.col("size") <= SMALL), allowMissingColumns=True), "centred")
+        rows = materialise(meet(level.select("key", "node"), shared, ["node"], "size", F.xxhash64("key")), "rows")
         small = rows.filter(F.col("size") <= SMALL).select("key", "node").join(sign, "key").select("node", "key", "sig")
         small = small.repartition("node").sortWithinPartitions("node", "key")
         found.append(materialise(small.mapInArrow(small_ties(tie), "src long, dst long").distinct(), "ties"))
-        large = shared.filter(F.col("size") > SMALL)
-        if not large.take(1):
+        if not any_large:
             break
+        big = rows.filter(F.col("size") > SMALL)
         if depth == LAST_DEPTH:
-            big = rows.filter((F.col("size") > SMALL) & (F.col("key") != F.col("centre")))
-            found.append(big.select(F.col("key").alias("src"), F.col("centre").alias("dst")).distinct())
+            found.append(big.filter("key <> centre").select(F.col("key").alias("src"), F.col("centre").alias("dst")).distinct())
             break
-        centres = large.join(sign.select(F.col("key").alias("centre"), F.col("sig").alias("centre_sig")), "centre")
-        big = meet(level.select("key", "node"), materialise(centres, "centres"), ["node"], "size", F.xxhash64("key"))
         paired = big.join(sign, "key").select("node", "key", "sig", "centre", "centre_sig")
         scored = materialise(paired.mapInArrow(compare(near, core), "node long, key long, centre long, tied boolean, stays boolean"), "scored")
         found.append(scored.filter("tied and key <> centre").select(F.col("key").alias("src"), F.col("centre").alias("dst")).distinct())
