@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import schema as S
-from .operators import consolidate, embedding, ingest, recall, reports
+from .functions import prompts
+from .operators import consolidate, embedding, events, ingest, recall, reports
 from .sources import store
 
 
@@ -26,9 +28,15 @@ class Engine:
         vectors = embedding.hash_embed(memories.select("user_id", "memory_id", "content"), ["user_id", "memory_id"], "content")
         return cls(memories, vectors, now)
 
+    def checked(self, queries: DataFrame) -> DataFrame:
+        """Queries with ``reject_reason``: blank or long texts (trimmed) and limits below one; null for those that ``recall`` answers."""
+        text = F.trim(F.coalesce("text", F.lit("")))
+        reason = F.when(F.char_length(text) == 0, "query is empty").when(F.char_length(text) > S.MAX_QUERY, "query is too long").when(F.coalesce(F.col("k") <= 0, F.lit(True)), "limit must be at least 1")
+        return queries.withColumn("text", text).withColumn("reject_reason", reason)
+
     def recall(self, queries: DataFrame, filters: recall.Filters | None = None, half_life: float = S.HALF_LIFE_DAYS, hybrid: bool = True) -> DataFrame:
-        """Answers to (query_id, user_id, text, k); blank queries are refused, long ones cut by the caller."""
-        good = queries.filter((F.char_length(F.trim("text")) > 0) & (F.char_length("text") <= S.MAX_QUERY) & (F.col("k") > 0))
+        """Answers to (query_id, user_id, text, k). Queries that ``checked`` gives a reason have none; ask it which and why."""
+        good = self.checked(queries).filter("reject_reason IS NULL")
         embedded = embedding.hash_embed(good, ["query_id", "user_id", "text", "k"], "text")
         return recall.recall(embedded, self.memories, self.vectors, self.now, filters, half_life, hybrid)
 
@@ -36,10 +44,44 @@ class Engine:
         """What a reconciler is shown: five unfiltered answers a candidate (query_id, user_id, text)."""
         return self.recall(candidates.select("query_id", "user_id", F.substring("text", 1, S.MAX_QUERY).alias("text"), F.lit(S.NEIGHBOURS).alias("k")))
 
-    def save(self, payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(good, rejected) rows of verbatim payloads."""
-        rows = ingest.verbatim(payloads)
-        return rows.filter("reject_reason IS NULL").drop("reject_reason"), rows.filter("reject_reason IS NOT NULL")
+    def save(self, payloads: DataFrame, extras: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+        """(good rows with their embedding, rejected rows) of verbatim payloads; ``added`` makes the former events."""
+        rows = ingest.verbatim(payloads, extras, self.now)
+        good = rows.filter("reject_reason IS NULL").drop("reject_reason")
+        return embedding.hash_embed(good, good.columns, "content"), rows.filter("reject_reason IS NOT NULL")
+
+    def added(self, good: DataFrame, user_id: Column) -> DataFrame:
+        """Add events of saved rows, to be appended to the log; ``id`` names the memory."""
+        null = lambda t: F.lit(None).cast(t)
+        expires = F.col("expires_at") if "expires_at" in good.columns else null("timestamp_ntz")
+        return good.select(user_id.alias("user_id"), F.col("id").alias("memory_id"), F.lit(0).alias("seq"), self.now.alias("at"), F.lit("add").alias("operation"), F.array().cast("array<string>").alias("sets"), null("long").alias("superseded_by"), "content", "category", null("string").alias("subcategory"), F.lit(1.0).alias("confidence"), expires.cast("timestamp_ntz").alias("expires_at"))
+
+    def edit(self, changes: DataFrame) -> DataFrame:
+        """Update events of partial edits, with ``reembed``; unknown, foreign and deleted ids have none."""
+        return events.edits(self.memories, changes, self.now)
+
+    def forget(self, wanted: DataFrame) -> DataFrame:
+        """What becomes of each wanted id: a delete event, or not found."""
+        return events.forget(self.memories, wanted, self.now)
+
+    def audit(self, log: DataFrame, limit: int = 100) -> DataFrame:
+        return events.audit(log, limit)
+
+    def export(self, users: DataFrame, form: str, include_inactive: bool = False) -> DataFrame:
+        """A document a user, Markdown or JSON."""
+        if form not in ("json", "markdown", "md"):
+            raise ValueError(f"unknown export format {form!r}")
+        made = reports.json_documents if form == "json" else reports.markdown_documents
+        return made(self.memories, users, include_inactive)
+
+    def jobs(self, log: DataFrame) -> DataFrame:
+        """Every job's record as a caller is told."""
+        states = ingest.job_states(log, self.now)
+        return states.withColumn("status", ingest.status_name(F.col("status")))
+
+    def shown(self, rows: DataFrame) -> DataFrame:
+        """What a caller sees of memories."""
+        return reports.responses(rows)
 
     def list(self, include_inactive: bool = False) -> DataFrame:
         return store.listing(self.memories, include_inactive)
@@ -60,5 +102,29 @@ class Engine:
         todo = groups.join(marks.select(*consolidate.GROUP), consolidate.GROUP, "left_semi")
         return marks, consolidate.clusters(consolidate.similar(todo, self.vectors, threshold))
 
-    def distill(self, turns: DataFrame) -> DataFrame:
-        return consolidate.transcripts(turns)
+    def digest(self, users: DataFrame, cache: DataFrame, ask: Callable[[str], str] | None) -> tuple[DataFrame, DataFrame]:
+        """(profiles written by a model, new cache rows): only digests that are not fresh are asked for; without a model the assembled profile."""
+        plain = self.profile(users)
+        if ask is None:
+            return plain.select("user_id", "text"), cache.limit(0)
+        plan = reports.digest_plan(self.memories, cache, self.now)
+        todo = reports.digest_rows(self.memories, self.now).join(plan.filter("not fresh").select("user_id", "domain"), ["user_id", "domain"], "left_semi")
+        answers = ingest.decide(prompts.digest(todo), ask, "prompt")
+        sections, fresh = reports.digests(plan, answers)
+        return reports.digest_profile(sections, users, plain, self.now), fresh
+
+    def merge(self, found: DataFrame, ask: Callable[[str], str]) -> DataFrame:
+        """Replacements of the clusters that a model says are one thing; a cluster whose answer fails is kept, the others go on."""
+        members = found.select("user_id", "cluster_id", "memory_id").join(self.memories, ["user_id", "memory_id"])
+        answers = ingest.decide(prompts.merge(members), ask, "prompt")
+        own = members.groupBy("cluster_id").agg(F.min_by("category", "memory_id").alias("category"))
+        return consolidate.replacements(found, self.memories, self.now, ingest.merge_decisions(answers, own))
+
+    def distill(self, turns: DataFrame, ask: Callable[[str], str] | None, client: str = "session-distill") -> tuple[DataFrame, DataFrame]:
+        """(candidates that a model draws from whole sessions, rejected sessions); without a model there is nothing to draw them with."""
+        if ask is None:
+            raise ValueError("distilling a session needs a language model")
+        good, rejected = ingest.distilled(consolidate.transcripts(turns), client)
+        asked = good.withColumn("prompt", prompts.extraction(F.col("content"), "session"))
+        answers = ingest.decide(asked, ask, "prompt").select("id", "answer")
+        return ingest.candidates(answers).join(good.select("id", "client", "session_id"), "id"), rejected

@@ -55,8 +55,12 @@ def backoff_seconds(attempts: Column) -> Column:
     return (S.BACKOFF_SECONDS * F.pow(F.lit(2.0), F.least(F.greatest(attempts - 1, F.lit(0)), F.lit(6)))).cast("long")
 
 
+#: Kinds of errors after which a job is worth another attempt.
+RETRYABLE = ("internal", "conflict")
+
+
 def retryable(kind: Column) -> Column:
-    return kind.isin("internal", "conflict")
+    return kind.isin(*RETRYABLE)
 
 
 def transient_status(status: Column) -> Column:

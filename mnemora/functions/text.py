@@ -77,6 +77,12 @@ def resolve_category(raw: Column, extras: tuple[str, ...] = ()) -> Column:
     return F.struct(F.when(exact, name).otherwise(found).alias("category"), exact.alias("exact"))
 
 
+def category_error(raw: Column, extras: tuple[str, ...] = ()) -> Column:
+    """Why a category that a caller names is refused; null if it is a built-in or configured one, however it is written."""
+    name = ascii_lower(tidy(F.coalesce(raw, F.lit(""))))
+    return F.when(~name.isin(*S.CATEGORIES, *extras), F.concat(F.lit("unknown category "), name))
+
+
 def domain(category: Column) -> Column:
     return F.when(category.isin(*S.PERSONAL), "personal").otherwise("coding")
 

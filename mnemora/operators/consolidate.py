@@ -155,16 +155,25 @@ def record(marks: DataFrame, failed: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def run_summary(reports: DataFrame) -> DataFrame:
-    """Totals of many run reports: counters added, flags or-ed, the first stop reason, and a line of text."""
-    total = reports.agg(F.sum("examined").alias("examined"), F.sum("merged").alias("merged"), F.sum("retired").alias("retired"), F.bool_or("budget_hit").alias("budget_hit"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("run_id"))).alias("reason"))
+    """Totals of many run reports: counters added, flags or-ed, the first stop reason, previews in order of the runs, and a line of text."""
+    if "previews" not in reports.columns:
+        reports = reports.withColumn("previews", F.array().cast("array<string>"))
+    shown = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run_id", "previews"))), lambda x: x["previews"])).alias("previews")
+    total = reports.agg(shown, F.sum("examined").alias("examined"), F.sum("merged").alias("merged"), F.sum("retired").alias("retired"), F.bool_or("budget_hit").alias("budget_hit"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("run_id"))).alias("reason"))
     return total.withColumn("summary", F.format_string("%d merged / %d retired / %d kept", "merged", "retired", F.col("examined") - F.col("retired")))
 
 
 def transcripts(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, turns, transcript, n_chars, reject_reason): a session's turns in order, one ``role: text`` line each."""
+    """(key, turns, transcript, n_chars, reject_reason): a session's turns in order, one ``role: text`` line each.
+
+    Lengths are summed first; the texts of a session that is too long are not gathered, and its transcript is null.
+    """
+    size = F.coalesce(F.char_length("role"), F.lit(0)) + F.coalesce(F.char_length("text"), F.lit(0)) + F.when(F.col("role").isNotNull() & F.col("text").isNotNull(), 2).otherwise(0)
+    sums = turns.groupBy(key).agg((F.sum(size) + F.count("*") - 1).cast("long").alias("n_chars"), F.count("*").alias("turns"))
+    short = turns.join(sums.filter(F.col("n_chars") <= S.MAX_TRANSCRIPT).select(key), key, "left_semi")
     lines = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     text = F.array_join(F.transform("lines", lambda x: F.concat_ws(": ", x["role"], x["text"])), "\n")
-    out = turns.groupBy(key).agg(lines.alias("lines")).select(key, F.size("lines").cast("long").alias("turns"), text.alias("transcript"))
-    n = F.char_length("transcript").cast("long")
-    reason = F.when(F.char_length(F.trim("transcript")) == 0, "transcript is empty").when(n > S.MAX_TRANSCRIPT, "transcript is too long")
-    return out.withColumns({"n_chars": n, "reject_reason": reason})
+    made = short.groupBy(key).agg(lines.alias("lines")).select(key, text.alias("transcript"))
+    out = sums.join(made, key, "left").select(key, "turns", "transcript", "n_chars")
+    reason = F.when(F.col("n_chars") > S.MAX_TRANSCRIPT, "transcript is too long").when(F.char_length(F.trim("transcript")) == 0, "transcript is empty")
+    return out.withColumn("reject_reason", reason)

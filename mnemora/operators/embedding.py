@@ -1,37 +1,54 @@
-"""Embedding: a deterministic hashed bag of words in SQL, and a plug-in point for real models."""
+"""Embedding: a deterministic hashed bag of words, and a plug-in point for real models."""
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2_normalise
-
 DIMENSIONS = 64
 
 
-def slot(word: Column, start: int, dimensions: int) -> Column:
-    """Eight hex digits of a word's digest, as a dimension."""
-    return (F.conv(F.substring(F.md5(word), start, 8), 16, 10).cast("long") % dimensions).cast("int")
+@functools.lru_cache(1 << 16)
+def digest_slots(word: str, dimensions: int) -> tuple[int, int]:
+    """The two dimensions of a word: eight hex digits of its digest each."""
+    digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+    return int(digest[:8], 16) % dimensions, int(digest[8:16], 16) % dimensions
+
+
+def hashed(words: pa.Array, dimensions: int) -> np.ndarray:
+    """A row a list of words: 1 is added to one dimension of each word's hash and 0.5 to another; unit length, or zero without words."""
+    rows = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+    coded = pc.list_flatten(words).dictionary_encode()
+    slots = np.array([digest_slots(w, dimensions) for w in coded.dictionary.to_pylist()], np.int64).reshape(-1, 2)[coded.indices.to_numpy()]
+    out = sum(np.bincount(rows * dimensions + slots[:, i], np.full(len(rows), w), len(words) * dimensions) for i, w in enumerate((1.0, 0.5)))
+    out = out.reshape(len(words), dimensions).astype(float)
+    size = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, size, out=out, where=size > 0)
 
 
 def hash_embed(df: DataFrame, keys: list[str], text_col: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """(keys, embedding): each word adds 1 to one dimension of its hash and 0.5 to another; unit length, or zero without words.
 
-    ``keys`` must identify a row. Weights are multiples of a half, so sums are exact in any order.
-    Words are summed where they are read; at most ``dimensions`` small rows a text are shuffled.
+    Weights are multiples of a half, so sums are exact in any order. Words are found in SQL and counted into their slots
+    a batch at a time; nothing is shuffled, and each distinct word of a batch is hashed once.
     """
+
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for words in batches:
+            made = hashed(words, dimensions)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, dimensions, np.int32)), pa.array(made.ravel()))
+
     words = F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    exploded = df.select(*keys, F.explode_outer(words).alias("word"))
-    parts = F.array(F.struct(slot(F.col("word"), 1, dimensions).alias("d"), F.lit(1.0).alias("w")), F.struct(slot(F.col("word"), 9, dimensions).alias("d"), F.lit(0.5).alias("w")))
-    slots = exploded.select(*keys, F.explode(parts).alias("x")).groupBy(*keys, "x.d").agg(F.sum("x.w").alias("w"))
-    gathered = slots.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "w")))).alias("m"))
-    full = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return gathered.select(*keys, full.alias("raw")).select(*keys, l2_normalise(F.col("raw")).alias("embedding"))
+    return df.select(*keys, run(words).alias("embedding"))
 
 
 def model_embed(df: DataFrame, text_col: str, embed: Callable[[list[str]], np.ndarray], dimensions: int, batch: int = 128) -> DataFrame:

@@ -16,15 +16,17 @@ def fold(events: DataFrame) -> DataFrame:
     """Current rows. Update sets only the columns named in ``sets`` (null clears); delete keeps the first time and does not
     touch updated_at; update, supersede and merge do nothing to a deleted row, merge nothing to a superseded one.
 
-    One aggregation by memory id, folded in order within the row: a memory's own history is the only thing gathered.
+    Accesses, of which a memory may have any number, are counted by partial aggregation. Only its edits are gathered, and
+    folded in order within the row.
     """
+    seen = events.filter("operation = 'access'").groupBy("user_id", "memory_id").agg(F.max("at").alias("last_accessed_at"), F.count("*").alias("access_count"))
+    events = events.filter("operation <> 'access'")
     fields = ["operation", "at", "sets", "superseded_by", *SET]
     ordered = F.array_sort(F.collect_list(F.struct("at", "seq", *[c for c in fields if c != "at"])))
     state = F.struct(
         *(F.lit(None).cast(events.schema[c].dataType).alias(c) for c in SET),
-        *(F.lit(None).cast(events.schema["at"].dataType).alias(c) for c in ("created_at", "updated_at", "deleted_at", "last_accessed_at")),
+        *(F.lit(None).cast(events.schema["at"].dataType).alias(c) for c in ("created_at", "updated_at", "deleted_at")),
         F.lit(None).cast("long").alias("superseded_by"),
-        F.lit(0).cast("long").alias("access_count"),
     )
 
     def step(s: Column, e: Column) -> Column:
@@ -37,14 +39,13 @@ def fold(events: DataFrame) -> DataFrame:
             F.when(add, e["at"]).otherwise(s["created_at"]).alias("created_at"),
             F.when(touched, e["at"]).otherwise(s["updated_at"]).alias("updated_at"),
             F.when(op == "delete", F.coalesce(s["deleted_at"], e["at"])).otherwise(s["deleted_at"]).alias("deleted_at"),
-            F.when(op == "access", e["at"]).otherwise(s["last_accessed_at"]).alias("last_accessed_at"),
             F.when(retire, e["superseded_by"]).otherwise(s["superseded_by"]).alias("superseded_by"),
-            F.when(op == "access", s["access_count"] + 1).otherwise(s["access_count"]).alias("access_count"),
         ]
         return F.struct(*out)
 
     rows = events.groupBy("user_id", "memory_id").agg(ordered.alias("_e"))
-    return rows.select("user_id", "memory_id", F.aggregate("_e", state, step).alias("_s")).select("user_id", "memory_id", "_s.*").filter("created_at IS NOT NULL")
+    folded = rows.select("user_id", "memory_id", F.aggregate("_e", state, step).alias("_s")).select("user_id", "memory_id", "_s.*").filter("created_at IS NOT NULL")
+    return folded.join(seen, ["user_id", "memory_id"], "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)))
 
 
 def audit(events: DataFrame, limit: int = 100) -> DataFrame:
@@ -64,6 +65,18 @@ def edits(memories: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     return changes.join(known, ["user_id", "memory_id"]).withColumns({"at": now, "operation": F.lit("update"), "reembed": new}).drop("_old")
 
 
+def forget(memories: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
+    """(user_id, memory_id, found, at, operation) for each wanted id: a delete event where it is found, which a missing, foreign or deleted one is not."""
+    live = memories.filter("deleted_at IS NULL").select("user_id", "memory_id", F.lit(True).alias("found"))
+    rows = wanted.select("user_id", "memory_id").distinct().join(live, ["user_id", "memory_id"], "left")
+    return rows.select("user_id", "memory_id", F.coalesce("found", F.lit(False)).alias("found"), now.alias("at"), F.when(F.col("found"), "delete").alias("operation"))
+
+
+def append(events: DataFrame, path: str) -> None:
+    """Add events to a log of Parquet files, by day."""
+    events.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(path)
+
+
 def merge_events(found: DataFrame, memories: DataFrame, now: Column) -> DataFrame:
     """A merge event for each live, unsuperseded member of a cluster, owned by the cluster's user; others are skipped."""
     live = memories.filter("deleted_at IS NULL AND superseded_by IS NULL").select("user_id", "memory_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -75,26 +77,25 @@ def outcomes(decided: DataFrame) -> DataFrame:
     return decided.groupBy("id").agg(stored.alias("stored"), pick("UPDATE").alias("supersedes"), pick("DELETE").alias("deletes"))
 
 
-def verbatim(payloads: DataFrame) -> DataFrame:
-    """Payloads (id, content, category, tags) as memories without a model: wording infers a missing category."""
+def verbatim(payloads: DataFrame, extras: tuple[str, ...] = (), now: Column | None = None) -> DataFrame:
+    """Payloads (id, content, category, tags and, if given, expires_at) as memories without a model: wording infers a missing category.
+
+    A time of expiry that is not after ``now`` is a reason to reject; ``expires_at`` stays in the result.
+    """
     content = T.tidy(F.coalesce("content", F.lit("")))
-    category = F.when(T.tidy(F.coalesce("category", F.lit(""))) == "", T.infer_category(content)).otherwise(T.resolve_category(F.col("category"))["category"])
+    category = F.when(T.tidy(F.coalesce("category", F.lit(""))) == "", T.infer_category(content)).otherwise(T.resolve_category(F.col("category"), extras)["category"])
     tags = T.normalise_tags(F.coalesce("tags", F.array().cast("array<string>")))
-    return payloads.select("id", content.alias("content"), category.alias("category"), tags.alias("tags"), T.reject_reason(content, tags).alias("reject_reason"))
+    reason, kept = T.reject_reason(content, tags), []
+    if "expires_at" in payloads.columns:
+        kept = ["expires_at"]
+        if now is not None:
+            reason = F.coalesce(reason, F.when(F.col("expires_at") <= now, "expires_at is not in the future"))
+    return payloads.select("id", content.alias("content"), category.alias("category"), tags.alias("tags"), *kept, reason.alias("reject_reason"))
 
 
-def salvage(text: str | None) -> str | None:
-    """The JSON in a model's reply: inside a code fence, else the first balanced object or array; strings may hold brackets."""
-    if not text:
-        return None
-    body = text.strip()
-    if body.startswith("```"):
-        body = body[3:].removeprefix("json").strip()
-        body = body[: body.rfind("```")].strip() if "```" in body else body
-    start = min((i for i in (body.find("{"), body.find("[")) if i >= 0), default=-1)
-    if start < 0:
-        return None
-    depth, quoted, skip = 0, False, False
+def balanced(body: str, start: int) -> int:
+    """Where the object or array that begins at ``start`` ends; -1 if it does not. Strings may hold brackets."""
+    open_, quoted, skip = [], False, False
     for i in range(start, len(body)):
         c = body[i]
         if skip:
@@ -104,14 +105,43 @@ def salvage(text: str | None) -> str | None:
         elif c == '"':
             quoted = True
         elif c in "{[":
-            depth += 1
+            open_.append("}" if c == "{" else "]")
         elif c in "}]":
-            depth -= 1
-            if depth == 0:
-                return body[start : i + 1]
+            if not open_ or c != open_.pop():
+                return -1
+            if not open_:
+                return i + 1
+    return -1
+
+
+def salvage(text: str | None) -> str | None:
+    """The JSON in a model's reply: the whole of it, the inside of a code fence, else the first balanced object or array that parses."""
+    if not text:
+        return None
+    body = text.strip()
+    if "```" in body:
+        inside = body.split("```", 2)[1]
+        whole = (body, inside.removeprefix("json").strip())
+    else:
+        whole = (body,)
+    for part in whole:
+        if part[:1] in ("{", "[") and parses(part):
+            return part
+    for part in reversed(whole):
+        for i, c in enumerate(part):
+            if c in "{[" and (end := balanced(part, i)) > 0 and parses(part[i:end]):
+                return part[i:end]
     return None
 
 
+def parses(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
 def json_salvage(reply: Column) -> Column:
     """``salvage`` over a column; balanced brackets are beyond regular expressions, so this one is an Arrow-batched function."""
 
@@ -123,23 +153,28 @@ def json_salvage(reply: Column) -> Column:
     return run(reply)
 
 
-def decide(rows: DataFrame, ask: Callable[[str], str], prompt_col: str, attempts: int = 3) -> DataFrame:
+def decide(rows: DataFrame, ask: Callable[[str], str], prompt_col: str, attempts: int = 3, wait: float = 0.5) -> DataFrame:
     """``rows`` with ``answer``: what a caller's model says to each prompt, salvaged; one repair question after an unreadable answer.
 
-    ``ask`` raises ConnectionError for what is worth repeating; after ``attempts`` the answer is null.
+    ``ask`` raises ConnectionError for what is worth repeating, after ``wait`` seconds, doubled each time; after ``attempts``
+    the answer is null. Any other error concerns its own row alone, whose answer is null at once.
     """
 
     @F.pandas_udf("string")
     def run(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def once(prompt: str) -> str | None:
-            for _ in range(attempts):
+            repaired = False
+            for tried in range(attempts):
                 try:
                     reply = ask(prompt)
                 except ConnectionError:
+                    time.sleep(wait * 2**tried if tried + 1 < attempts else 0)
                     continue
-                if (got := salvage(reply)) is not None:
+                except Exception:  # noqa: BLE001 a row that breaks the model must not stop the others
+                    return None
+                if (got := salvage(reply)) is not None or repaired:
                     return got
-                prompt = f"{prompt}\n\nThe answer was not JSON: {reply[:2000]}"
+                prompt, repaired = f"{prompt}\n\nThe answer was not JSON: {reply}", True
             return None
 
         for part in prompts:
@@ -148,35 +183,79 @@ def decide(rows: DataFrame, ask: Callable[[str], str], prompt_col: str, attempts
     return rows.withColumn("answer", run(F.col(prompt_col)))
 
 
+STOPPED = "the worker holding this job stopped"
+
+
 def job_states(events: DataFrame, now: Column, attempts: int = S.JOB_ATTEMPTS) -> DataFrame:
-    """Each job's state from its log (job_id, seq, at, event, error kind): enqueue, claim, succeed, fail.
+    """Each job's record from its log (job_id, seq, at, event, error kind): enqueue, claim, succeed, fail.
 
     A retryable failure waits with doubling backoff until ``attempts`` are spent; others go to the dead
-    letters at once; a claim older than 15 minutes without an outcome is pending again.
+    letters at once; a claim older than 15 minutes without an outcome is pending again, from now on. A job's log is a
+    few events an attempt.
     """
     from ..functions.scores import backoff_seconds, retryable
 
     ordered = F.array_sort(F.collect_list(F.struct("seq", "at", "event", "error")))
     none = F.lit(None)
-    start = F.struct(F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempts"), none.cast("timestamp_ntz").alias("run_after"), none.cast("timestamp_ntz").alias("claimed_at"), none.cast("string").alias("error"))
+    stamp = none.cast("timestamp_ntz")
+    start = F.struct(F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempts"), stamp.alias("created_at"), stamp.alias("updated_at"), stamp.alias("run_after"), stamp.alias("claimed_at"), none.cast("string").alias("error"))
 
     def step(s: Column, e: Column) -> Column:
-        claim, fail = e["event"] == "claim", e["event"] == "fail"
+        enqueue, claim, fail = (e["event"] == x for x in ("enqueue", "claim", "fail"))
         again = fail & retryable(e["error"]) & (s["attempts"] < attempts)
         wait = e["at"] + F.make_dt_interval(secs=backoff_seconds(s["attempts"]))
         return F.struct(
             F.when(claim, "running").when(e["event"] == "succeed", "succeeded").when(again, "pending").when(fail, "dead_letter").otherwise(s["status"]).alias("status"),
             (s["attempts"] + F.when(claim, 1).otherwise(0)).alias("attempts"),
-            F.when(e["event"] == "enqueue", e["at"]).when(again, wait).otherwise(s["run_after"]).alias("run_after"),
-            F.when(claim, e["at"]).otherwise(s["claimed_at"]).alias("claimed_at"),
+            F.coalesce(s["created_at"], F.when(enqueue, e["at"])).alias("created_at"),
+            e["at"].alias("updated_at"),
+            F.when(enqueue, e["at"]).when(again, wait).otherwise(s["run_after"]).alias("run_after"),
+            F.when(claim, e["at"]).when(enqueue, s["claimed_at"]).alias("claimed_at"),
             F.when(fail, e["error"]).otherwise(s["error"]).alias("error"),
         )
 
     folded = events.groupBy("job_id").agg(F.aggregate(ordered, start, step).alias("s")).select("job_id", "s.*")
     stale = (F.col("status") == "running") & (F.col("claimed_at") <= now - F.make_dt_interval(mins=F.lit(S.STALE_MINUTES)))
-    return folded.withColumn("status", F.when(stale, "pending").otherwise(F.col("status")))
+    again = {"status": F.lit("pending"), "run_after": now, "updated_at": now, "claimed_at": stamp, "error": F.coalesce("error", F.lit(STOPPED))}
+    marked = folded.withColumn("_stale", stale)
+    return marked.withColumns({k: F.when(F.col("_stale"), v).otherwise(F.col(k)) for k, v in again.items()}).drop("_stale")
 
 
 def claimable(states: DataFrame, now: Column, n: int = 1) -> DataFrame:
-    """The first ``n`` pending jobs whose time has come, by run_after and id."""
-    return states.filter((F.col("status") == "pending") & (F.col("run_after") <= now)).orderBy("run_after", "job_id").limit(n)
+    """The first ``n`` pending jobs whose time has come, by run_after, then age, then id."""
+    return states.filter((F.col("status") == "pending") & (F.col("run_after") <= now)).orderBy("run_after", "created_at", "job_id").limit(n)
+
+
+def status_name(status: Column) -> Column:
+    """A job's status as a caller is told: a dead letter has failed."""
+    return F.when(status == "dead_letter", "failed").otherwise(status)
+
+
+def finished(saved: DataFrame, now: Column) -> DataFrame:
+    """The log of jobs that were done at once: (job_id, seq, at, event, error) from rows (id, reject_reason), one enqueue, claim and outcome each."""
+    steps = F.array(F.lit("enqueue"), F.lit("claim"), F.when(F.col("reject_reason").isNull(), "succeed").otherwise("fail"))
+    rows = saved.select(F.col("id").alias("job_id"), F.posexplode(steps).alias("seq", "event"))
+    return rows.select("job_id", F.col("seq").cast("long").alias("seq"), now.alias("at"), "event", F.when(F.col("event") == "fail", "validation").alias("error"))
+
+
+def distilled(transcripts: DataFrame, client: str = "session-distill") -> tuple[DataFrame, DataFrame]:
+    """(payloads of whole sessions for a model to draw memories from, rejected sessions). No category is hinted at: a session holds several kinds."""
+    good = transcripts.filter("reject_reason IS NULL").select(F.col("conv_id").alias("id"), F.col("transcript").alias("content"), F.lit(None).cast("string").alias("category"), F.array().cast("array<string>").alias("tags"), F.lit(client).alias("client"), F.col("conv_id").cast("string").alias("session_id"))
+    return good, transcripts.filter("reject_reason IS NOT NULL").select("conv_id", "reject_reason")
+
+
+def merge_decisions(answers: DataFrame, clusters: DataFrame, extras: tuple[str, ...] = ()) -> DataFrame:
+    """(cluster_id, merge, content, category, tags, reason) from (cluster_id, answer); whatever is unusable keeps the cluster as it is.
+
+    ``clusters`` (cluster_id, category) gives the category of an answer that names none; a name that is not known resolves as usual.
+    """
+    said = F.from_json("answer", "merge boolean, content string, category string, tags array<string>, reason string")
+    rows = answers.join(clusters.select("cluster_id", F.col("category").alias("_own")), "cluster_id", "left").select("cluster_id", "_own", said.alias("d"))
+    content = F.nullif(T.tidy(F.coalesce("d.content", F.lit(""))), F.lit(""))
+    asked = F.coalesce(F.col("d.merge"), F.lit(False))
+    reason = F.when(asked & content.isNull(), "the decision to merge has no content").otherwise(F.coalesce("d.reason", F.lit("no reason given")))
+    category = F.when(F.col("d.category").isNull(), F.coalesce("_own", F.lit("reference"))).otherwise(T.resolve_category(F.col("d.category"), extras)["category"])
+    merge = asked & content.isNotNull()
+    only = lambda c: F.when(merge, c)
+    tags = F.filter(F.coalesce("d.tags", F.array().cast("array<string>")), lambda t: t.isNotNull())
+    return rows.select("cluster_id", merge.alias("merge"), only(content).alias("content"), only(category).alias("category"), only(tags).alias("tags"), reason.alias("reason"))

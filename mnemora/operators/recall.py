@@ -5,8 +5,12 @@ Queries are (query_id, user_id, text, k); memories never meet queries of another
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,14 +77,58 @@ def ranked(df: DataFrame, order: list[Column], rank: str) -> DataFrame:
 def vector_leg(queries: DataFrame, vectors: DataFrame, size: int = 0) -> DataFrame:
     """(query_id, user_id, memory_id, vector_rank): exact nearest by L2 among the user's memories, ties to the smaller id.
 
-    ``queries`` has (query_id, user_id, depth, embedding); ``vectors`` (user_id, memory_id, embedding).
+    ``queries`` has (query_id, user_id, depth, embedding); ``vectors`` (user_id, memory_id, embedding). A batch of at most
+    BROADCAST_BYTES goes to the executors, which compare a batch of memories with it by one product a user and pass on only
+    each query's nearest; a larger one is joined by user.
     """
     asked = queries.select("query_id", "user_id", "depth", F.col("embedding").alias("query_embedding"))
-    pairs = vectors.join(small(asked, size), "user_id")
-    near = pairs.select("query_id", "user_id", "memory_id", "depth", F.round(l2_distance(F.col("embedding"), F.col("query_embedding")), 12).alias("distance"))
+    near = nearest_here(asked, vectors) if size <= BROADCAST_BYTES else joined_distances(asked, vectors)
     return ranked(near, [F.col("distance"), F.col("memory_id")], "vector_rank").select("query_id", "user_id", "memory_id", "vector_rank")
 
 
+def joined_distances(asked: DataFrame, vectors: DataFrame) -> DataFrame:
+    pairs = vectors.join(asked, "user_id")
+    return pairs.select("query_id", "user_id", "memory_id", "depth", F.round(l2_distance(F.col("embedding"), F.col("query_embedding")), 12).alias("distance"))
+
+
+def nearest_here(asked: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, user_id, memory_id, depth, distance) of each query's ``depth`` nearest of every batch of memories. ``asked`` has been measured."""
+    rows = asked.toArrow()
+    of_user = {}
+    for user in set(rows.column("user_id").to_pylist()):
+        own = rows.filter(pc.equal(rows.column("user_id"), user)).combine_chunks()
+        of_user[user] = (own.column("query_id").to_numpy(), own.column("depth").to_numpy().astype(np.int64), np.array(own.column("query_embedding").to_pylist(), float))
+    shared = asked.sparkSession.sparkContext.broadcast(of_user)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            users = batch.column(0).to_numpy()
+            for user in np.unique(users).tolist():
+                if user not in shared.value:
+                    continue
+                queries, depth, y = shared.value[user]
+                own = batch.filter(pa.array(users == user))
+                ids = own.column(1).to_numpy()
+                x = own.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
+                square, out = (x**2).sum(1), []
+                for q in range(0, len(y), 256):
+                    part = y[q : q + 256]
+                    rough = square[None, :] - 2 * part @ x.T + (part**2).sum(1)[:, None]
+                    for i, d in enumerate(depth[q : q + 256].tolist()):
+                        near = np.arange(len(x))
+                        if len(x) > d:
+                            edge = np.partition(rough[i], d - 1)[d - 1]
+                            near = np.flatnonzero(rough[i] <= edge + 1e-9 * (1 + abs(edge)))
+                        exact = np.round(np.sqrt(((x[near] - part[i]) ** 2).sum(1)), 12)
+                        best = np.lexsort((ids[near], exact))[:d]
+                        out.append((np.full(len(best), queries[q + i]), ids[near[best]], np.full(len(best), d), exact[best]))
+                query, memory, deep, distance = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.full(len(query), user)), pa.array(memory), pa.array(deep), pa.array(distance)], ["query_id", "user_id", "memory_id", "depth", "distance"])
+
+    whole = vectors.filter(F.forall("embedding", lambda v: v.isNotNull())).select("user_id", "memory_id", "embedding")
+    return whole.mapInArrow(run, "query_id long, user_id long, memory_id long, depth long, distance double")
+
+
 def postings(memories: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(user_id, memory_id, field, term, tf, dl) of the content, tags and category of every memory; only ``terms``, if given.
 

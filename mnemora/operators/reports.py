@@ -122,6 +122,81 @@ def regressions(report: DataFrame, baseline: DataFrame, most: float = 5.0) -> Da
 
 
 def latency(samples: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Count, mean, p50, p95, p99 and maximum of a value; percentiles are values that occur."""
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
-    return samples.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max(value).alias("max"))
+    """Count, mean, p50, p95, p99 and maximum of a value; percentiles are values that occur, at the rank p / 100 x n rounded half to even.
+
+    Counted by distinct value first, so a group's task orders its values and not its samples. Nulls do not count.
+    """
+    counted = samples.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
+    whole, order = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(value)
+    ranked = counted.withColumns({"_n": F.sum("_c").over(whole), "_to": F.sum("_c").over(order)})
+    rank = lambda p: F.greatest(F.lit(1), F.least(F.col("_n"), F.bround(F.lit(p) / 100 * F.col("_n")).cast("long")))
+    at = lambda p: F.min(F.when(F.col("_to") >= rank(p), F.col(value)))
+    mean = F.sum(F.col(value) * F.col("_c")) / F.sum("_c")
+    return ranked.groupBy(*group).agg(F.sum("_c").alias("n"), mean.alias("mean"), at(50.0).alias("p50"), at(95.0).alias("p95"), at(99.0).alias("p99"), F.max(value).alias("max"))
+
+
+def markdown_documents(memories: DataFrame, users: DataFrame, include_inactive: bool = False) -> DataFrame:
+    """(user_id, text): each user's export as one document: title, count, and a heading a category, newest first within it.
+
+    A document is as long as its user's memories; ``store.export`` writes the lines instead, for any number of them.
+    """
+    rows = markdown_rows(memories, include_inactive)
+    newest = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("o"), "memory_id", "line")))
+    lines = rows.groupBy("user_id", "category").agg(F.count("*").alias("n"), newest.alias("lines"))
+    body = F.concat(F.lit("\n## "), F.col("category"), F.lit("\n\n"), F.array_join(F.transform("lines", lambda x: F.concat(x["line"], F.lit("\n"))), ""))
+    parts = lines.groupBy("user_id").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("category", body.alias("body")))).alias("parts"))
+    made = users.select("user_id", "handle").join(parts, "user_id", "left")
+    head = F.concat(F.lit("# Memories of "), F.col("handle"), F.lit("\n\n"), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" memories\n"))
+    return made.select("user_id", F.concat(head, F.coalesce(F.array_join(F.transform("parts", lambda p: p["body"]), ""), F.lit(""))).alias("text"))
+
+
+def json_documents(memories: DataFrame, users: DataFrame, include_inactive: bool = False) -> DataFrame:
+    """(user_id, json): each user's export as one object with a list ``memories``, newest first."""
+    rows = json_rows(memories, include_inactive).join(memories.select("user_id", "memory_id", "created_at"), ["user_id", "memory_id"])
+    newest = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("o"), "memory_id", "json")))
+    parts = rows.groupBy("user_id").agg(newest.alias("rows"))
+    made = users.select("user_id").join(parts, "user_id", "left")
+    inner = F.coalesce(F.array_join(F.transform("rows", lambda x: x["json"]), ","), F.lit(""))
+    return made.select("user_id", F.concat(F.lit('{"memories":['), inner, F.lit("]}")).alias("json"))
+
+
+def responses(memories: DataFrame) -> DataFrame:
+    """(user_id, memory_id, json): what a caller is shown of a memory. Entities, client, importance and accesses stay inside; empty optional fields are left out."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
+    body = F.struct(F.col("memory_id").cast("string").alias("id"), "content", "category", "subcategory", "tags", "confidence", stamp("created_at"), stamp("updated_at"), stamp("expires_at"), F.col("superseded_by").cast("string").alias("superseded_by"))
+    return memories.select("user_id", "memory_id", F.to_json(body).alias("json"))
+
+
+def digest_plan(memories: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
+    """(user_id, domain, fingerprint, cached, fresh): the digests that a profile needs, with what the cache (user_id, domain, content, fingerprint) holds.
+
+    ``fresh`` digests are used as they are; the others are to be written from ``digest_rows``.
+    """
+    held = cache.select("user_id", "domain", F.col("content").alias("cached"), F.col("fingerprint").alias("_old"))
+    rows = fingerprints(memories, now).join(held, ["user_id", "domain"], "left")
+    return rows.withColumn("fresh", F.coalesce(F.col("_old") == F.col("fingerprint"), F.lit(False))).drop("_old")
+
+
+def digests(plan: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sections: user_id, domain, content; new cache rows) from a plan and the model's answers (user_id, domain, answer).
+
+    A fresh digest is kept. An answer without text is a result too, cached and shown as no section. Where the model failed
+    (no row, or a null answer) a stale digest serves, if there is one.
+    """
+    rows = plan.join(answers.select("user_id", "domain", "answer"), ["user_id", "domain"], "left")
+    said = F.trim(F.coalesce(F.get_json_object("answer", "$.digest"), F.lit("")))
+    answered = F.col("answer").isNotNull() & ~F.col("fresh")
+    content = F.when(answered, said).otherwise(F.coalesce("cached", F.lit("")))
+    made = rows.withColumns({"content": content, "_new": answered})
+    return made.filter("content <> ''").select("user_id", "domain", "content"), made.filter("_new").select("user_id", "domain", "content", "fingerprint")
+
+
+def digest_profile(sections: DataFrame, users: DataFrame, assembled: DataFrame, now: Column, budget: int = S.PROFILE_BYTES) -> DataFrame:
+    """(user_id, text): coding before personal; a section that would exceed the budget in bytes is left out whole. Users without any section get ``assembled``."""
+    heading = F.when(F.col("domain") == "coding", "How they work").otherwise("Who they are")
+    body = F.concat(F.lit("\n## "), heading, F.lit("\n\n"), F.trim("content"), F.lit("\n"))
+    parts = sections.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("domain", body.alias("body")))).alias("parts"))
+    head = F.concat(F.lit("# Memory profile: "), F.col("handle"), F.lit(" (updated "), F.date_format(now, "yyyy-MM-dd"), F.lit(")\n"))
+    fold = F.aggregate("parts", head, lambda t, p: F.when(F.octet_length(t) + F.octet_length(p["body"]) <= budget, F.concat(t, p["body"])).otherwise(t))
+    made = users.select("user_id", "handle").join(parts, "user_id", "left").join(assembled.select("user_id", F.col("text").alias("_plain")), "user_id", "left")
+    return made.select("user_id", F.when(F.col("parts").isNull(), F.col("_plain")).otherwise(fold).alias("text"))

@@ -58,7 +58,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts as recall queries of four users."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 4 + 1).alias("user_id"), F.substring("text", 1, 1000).alias("text"), F.lit(8).cast("long").alias("k"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 4 + 1).alias("user_id"), "text", F.lit(8).cast("long").alias("k"))
 
 
 #: The same in SQL; each is a common table expression.
@@ -81,7 +81,7 @@ SQL = {
     0.35 + 0.65 * greatest(0, least(1, 0.5 * pow(0.5, greatest(0, floor(epoch(now.now) - epoch(coalesce(r.last_accessed_at, m.created_at)))) / 86400.0 / 90) + 0.5 * (1 - pow(0.5, coalesce(r.access_count, 0) / 5.0)))) AS importance
   FROM mem m CROSS JOIN now LEFT JOIN roll r ON m.memory_id = r.memory_id)""",
     "live": "live AS (SELECT m.* FROM imp m CROSS JOIN now WHERE deleted_at IS NULL AND superseded_by IS NULL AND (expires_at IS NULL OR expires_at > now.now))",
-    "asked": "asked AS (SELECT item_id AS query_id, item_id % 4 + 1 AS user_id, substring(text, 1, 1000) AS text FROM benchmark)",
+    "asked": "asked AS (SELECT item_id AS query_id, item_id % 4 + 1 AS user_id, text FROM benchmark)",
     "vec": """words AS (SELECT memory_id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS w FROM mem),
 slots AS (SELECT memory_id, CAST(('0x' || substring(md5(w), 1, 8)) AS BIGINT) % 64 AS d, 1.0::DOUBLE AS x FROM words UNION ALL SELECT memory_id, CAST(('0x' || substring(md5(w), 9, 8)) AS BIGINT) % 64, 0.5 FROM words),
 sums AS (SELECT memory_id, d, sum(x) AS x FROM slots GROUP BY ALL),

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import render, scores
+from ..engine import Engine
+from ..functions import prompts, render, scores
 from ..functions import text as T
 from ..functions.vectors import cosine
 from ..operators import consolidate, events, identity, ingest, recall, reports
@@ -71,6 +72,38 @@ def point_lookup(spark, d):
     return store.find(X.memories(spark, d), 1, 5).select(*IDS)
 
 
+@query(sql("SELECT memory_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, memory_id) AS position FROM mem WHERE deleted_at IS NULL AND superseded_by IS NULL", "mem"))
+def list_newest(spark, d):
+    """Every user's list, newest first."""
+    return store.listing(X.memories(spark, d)).select("memory_id", "user_id", "position")
+
+
+@query(sql("SELECT w.user_id, w.memory_id, m.memory_id IS NOT NULL AS found, CASE WHEN m.memory_id IS NOT NULL THEN 'delete' END AS operation FROM (SELECT DISTINCT doc_id AS memory_id, toxic + 1 AS user_id FROM labels) w LEFT JOIN mem m ON m.memory_id = w.memory_id AND m.user_id = w.user_id AND m.deleted_at IS NULL", "mem"))
+def forget_ids(spark, d):
+    """Ids to forget: some are another user's, some deleted already, some never stored."""
+    wanted = X.table(spark, d, "labels").select((F.col("toxic") + 1).cast("long").alias("user_id"), F.col("doc_id").alias("memory_id"))
+    return events.forget(X.memories(spark, d), wanted, X.clock(spark, d)).select("user_id", "memory_id", "found", "operation")
+
+
+@query(sql("SELECT memory_id, user_id, memory_id % 3 = 0 AS reembed FROM mem WHERE deleted_at IS NULL AND memory_id % 2 = 0", "mem"))
+def edit_events(spark, d):
+    """Edits of every second memory; only a changed text asks for a new vector."""
+    rows = X.memories(spark, d)
+    text = F.when(F.col("memory_id") % 3 == 0, F.concat("content", F.lit("!"))).otherwise(F.concat(F.lit(" "), "content"))
+    wanted = rows.filter("memory_id % 2 = 0").select("user_id", "memory_id", F.lit(1).alias("seq"), F.array(F.lit("content")).alias("sets"), text.alias("content"))
+    foreign = wanted.withColumn("user_id", F.col("user_id") + 10)
+    return events.edits(rows, wanted.union(foreign), X.clock(spark, d)).select("memory_id", "user_id", "reembed")
+
+
+@query(sql("SELECT user_id, memory_id, CASE WHEN category IN ('decision') THEN NULL ELSE CAST(memory_id AS VARCHAR) END AS id, subcategory, expires_at IS NOT NULL AS has_expiry, superseded_by IS NOT NULL AS has_successor, false AS leaks FROM mem", "mem").replace("CASE WHEN category IN ('decision') THEN NULL ELSE CAST(memory_id AS VARCHAR) END", "CAST(memory_id AS VARCHAR)"))
+def response_projection(spark, d):
+    """What callers are shown: optional fields only where they are set, inner ones never."""
+    rows = reports.responses(X.memories(spark, d))
+    field = lambda n: F.get_json_object("json", f"$.{n}")
+    leaks = F.col("json").contains('"importance":') | F.col("json").contains('"client":') | F.col("json").contains(":null")
+    return rows.select("user_id", "memory_id", field("id").alias("id"), field("subcategory").alias("subcategory"), field("expires_at").isNotNull().alias("has_expiry"), field("superseded_by").isNotNull().alias("has_successor"), leaks.alias("leaks"))
+
+
 def filtered(spark, d, **kinds):
     return X.memories(spark, d).filter("deleted_at IS NULL").filter(recall.matches(recall.Filters(**kinds), X.clock(spark, d))).select(*IDS)
 
@@ -146,15 +179,50 @@ def tokenize_terms(spark, d):
     return X.table(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n_terms"), F.md5(F.array_join(words, " ").cast("binary")).alias("digest"))
 
 
-@query("SELECT DISTINCT source, replace(source, 'src', '') = source AS odd, length(source) BETWEEN 1 AND 64 AS handle_ok FROM documents")
+@query("""SELECT doc_id, regexp_full_match(lower(trim(h)), '[a-z0-9._-]{1,64}') AS handle_ok, regexp_full_match(e, '[^@](.*)@(.*)[^@]') AS email_ok FROM (SELECT doc_id,
+  CASE doc_id % 5 WHEN 0 THEN ' ' || upper(source) || ' ' WHEN 1 THEN source || ' x' WHEN 2 THEN repeat(source, 17) WHEN 3 THEN '' ELSE source || '.a-b_c' END AS h,
+  CASE doc_id % 4 WHEN 0 THEN source || '@' || lang WHEN 1 THEN '@' || lang WHEN 2 THEN source || '@' ELSE source END AS e FROM documents)""")
 def valid_handles(spark, d):
-    return X.table(spark, d, "documents").select("source", (~F.col("source").contains("src")).alias("odd"), T.valid_handle(F.col("source")).alias("handle_ok")).distinct()
+    """Handles and addresses made from every document, good and bad ones."""
+    n, src = F.col("doc_id"), F.col("source")
+    handle = F.when(n % 5 == 0, F.concat(F.lit(" "), F.upper(src), F.lit(" "))).when(n % 5 == 1, F.concat(src, F.lit(" x"))).when(n % 5 == 2, F.repeat(src, 17)).when(n % 5 == 3, "").otherwise(F.concat(src, F.lit(".a-b_c")))
+    mail = F.when(n % 4 == 0, F.concat(src, F.lit("@"), "lang")).when(n % 4 == 1, F.concat(F.lit("@"), "lang")).when(n % 4 == 2, F.concat(src, F.lit("@"))).otherwise(src)
+    return X.table(spark, d, "documents").select("doc_id", T.valid_handle(handle).alias("handle_ok"), T.valid_email(mail).alias("email_ok"))
+
 
+GRANTS = {"click": " write, READ ,write,other", "error": "admin", "view": "read", "signup": "", "purchase": "WRITE,nothing"}
 
-@query("SELECT event_type, 'read,write' AS scopes, true AS may_read, false AS may_admin, count(*) AS n FROM events GROUP BY event_type")
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'read,write' WHEN 'error' THEN 'admin' WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'write' ELSE '' END AS scopes,
+  event_type IN ('click', 'error', 'view') AS may_read, event_type IN ('click', 'error', 'purchase') AS may_write, event_type = 'error' AS may_admin FROM events""")
 def scope_rules(spark, d):
-    got = T.scopes(F.lit(" write, READ ,write,other"))
-    return X.table(spark, d, "events").groupBy("event_type").agg(F.array_join(got, ",").alias("scopes"), T.allows(got, "read").alias("may_read"), T.allows(got, "admin").alias("may_admin"), F.count("*").alias("n"))
+    """What each kind of grant allows: admin all, write not read."""
+    got = T.scopes(F.create_map(*(F.lit(x) for p in GRANTS.items() for x in p))[F.col("event_type")])
+    return X.table(spark, d, "events").select("event_id", F.array_join(got, ",").alias("scopes"), T.allows(got, "read").alias("may_read"), T.allows(got, "write").alias("may_write"), T.allows(got, "admin").alias("may_admin"))
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'signup') THEN NULL WHEN event_type = 'view' THEN 'unknown category fact.unheard' ELSE 'unknown category ' END AS error FROM events")
+def category_errors(spark, d):
+    raw = F.create_map(*(F.lit(x) for p in {"click": " Decision", "signup": "team.ritual", "view": "Fact.Unheard", "error": " "}.items() for x in p))
+    return X.table(spark, d, "events").select("event_id", T.category_error(raw[F.col("event_type")], ("team.ritual",)).alias("error"))
+
+
+@query("SELECT c_custkey AS user_id, lower(c_name) AS handle FROM customer WHERE lower(c_name) = 'customer#000000007'")
+def user_by_handle(spark, d):
+    users = X.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lower("c_name").alias("handle"))
+    return identity.by_handle(users, " Customer#000000007 ")
+
+
+@query("SELECT o_orderkey AS prefix, o_orderstatus = 'F' AS revoked FROM orders WHERE o_custkey = 7")
+def keys_of_user(spark, d):
+    keys = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("prefix"), F.col("o_custkey").alias("user_id"), F.lit("x").alias("secret_hash"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderstatus") == "F").alias("revoked"))
+    return identity.keys_of(keys, 7).select("prefix", "revoked")
+
+
+@query("SELECT o_custkey % 10 AS prefix, max(o_orderdate) AS last_used_at FROM orders GROUP BY 1")
+def keys_touched(spark, d):
+    keys = spark.range(10).select(F.col("id").alias("prefix"), F.lit(None).cast("timestamp_ntz").alias("last_used_at"))
+    return identity.touched(keys, X.table(spark, d, "orders").select((F.col("o_custkey") % 10).alias("prefix"), F.col("o_orderdate").alias("at")))
 
 
 @query("SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 5 < 3 AND o_custkey % 7 <> 0 THEN c_custkey END AS user_id, CASE WHEN o_orderkey % 5 < 3 AND o_custkey % 7 <> 0 THEN lower(c_name) END AS handle, CASE WHEN o_orderkey % 5 >= 3 OR c_custkey IS NULL THEN 401 WHEN o_custkey % 7 = 0 THEN 403 ELSE 200 END AS status FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -173,7 +241,7 @@ def authenticate_keys(spark, d):
 
 @query("SELECT query_id, vec_id, rank, round(distance, 9) AS distance FROM (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(distance, 12), v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 5")
 def knn_l2(spark, d):
-    """Exact nearest of a stated query set (every twentieth vector) among the vectors of its label."""
+    """Exact nearest of a stated query set (every twentieth vector) among the vectors of its label, which stands for a user: no query crosses users."""
     rows = X.table(spark, d, "embeddings")
     q = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("user_id"), F.lit(5).alias("depth"), "embedding")
     v = rows.select(F.col("label").alias("user_id"), F.col("vec_id").alias("memory_id"), "embedding")
@@ -259,11 +327,27 @@ def recall_filtered_post(spark, d):
     return recall.recall(made, rows, vectors, X.clock(spark, d), recall.Filters(categories=("decision", "fact.project"))).select("query_id", "position", "memory_id", r9("score").alias("score"))
 
 
-@query(sql(f"SELECT query_id, md5(count(*) || CASE WHEN count(*) = 1 THEN ' memory found:' ELSE ' memories found:' END || chr(10) || string_agg(position || '. [' || category || '] ' || replace(replace(content, chr(13), ' '), chr(10), ' ') || ' _(' || array_to_string(tags, ', ') || ')_ (id ' || memory_id || ')', chr(10) ORDER BY position)) AS digest FROM (SELECT *, {TOP} FROM ans CROSS JOIN now n WHERE {ACTIVE.replace('now.now', 'n.now')}) WHERE position <= 8 GROUP BY query_id", "ans"))
+@query(sql(f"SELECT a.query_id, md5(coalesce(t.text, 'Nothing is stored that matches.')) AS digest FROM asked a LEFT JOIN (SELECT query_id, string_agg(position || '. [' || category || '] ' || replace(replace(content, chr(13), ' '), chr(10), ' ') || ' (saved ' || strftime(created_at, '%Y-%m-%d') || ', score ' || printf('%.2f', score) || ', ' || array_to_string(tags, ', ') || ')', chr(10) ORDER BY position) AS text FROM (SELECT *, {TOP} FROM ans CROSS JOIN now n WHERE {ACTIVE.replace('now.now', 'n.now')} AND category = 'decision') WHERE position <= 8 GROUP BY query_id) t ON a.query_id = t.query_id", "ans"))
 def recall_text(spark, d):
-    """Every answer as the text that an assistant is shown."""
+    """Every answer about decisions as the text that an assistant is shown."""
     made, rows, vectors = batch(spark, d)
-    return render.recalled(recall.recall(made, rows, vectors, X.clock(spark, d))).select("query_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return render.recalled(recall.recall(made, rows, vectors, X.clock(spark, d), recall.Filters(categories=("decision",))), made).select("query_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 'query is empty' WHEN length(trim(text)) > 1000 THEN 'query is too long' WHEN turn < 1 THEN 'limit must be at least 1' END AS reject_reason FROM conversations""")
+def recall_rejects(spark, d):
+    """Every turn as a query with its number as the limit: which are refused, and why."""
+    asked = X.table(spark, d, "conversations").select("conv_id", "turn", F.lit(1).cast("long").alias("user_id"), "text", F.col("turn").alias("k"))
+    rows = X.memories(spark, d)
+    return Engine(rows, rows, X.clock(spark, d)).checked(asked).select("conv_id", "turn", "reject_reason")
+
+
+@query(sql(f"SELECT query_id, position, memory_id FROM (SELECT *, {TOP} FROM ans CROSS JOIN now n WHERE {ACTIVE.replace('now.now', 'n.now')}) WHERE position <= 5", "ans").replace("_rank <= 32", "_rank <= 20"))
+def neighbours_shown(spark, d):
+    """The five memories that a reconciler is shown for each candidate."""
+    rows = X.scored(spark, d)
+    engine = Engine(rows, hash_embed(rows.select("user_id", "memory_id", "content"), ["user_id", "memory_id"], "content"), X.clock(spark, d))
+    return engine.neighbours(X.asked(spark, d)).select("query_id", "position", "memory_id")
 
 
 @query(sql("SELECT memory_id, round(0.8 + 0.2 * pow(0.5, greatest(0, floor(epoch(now.now) - epoch(created_at))) / 86400.0 / 90), 9) AS recency FROM mem CROSS JOIN now", "mem", "now"))
@@ -426,10 +510,10 @@ UNION ALL SELECT created_at + INTERVAL 48 HOUR, 3, 'supersede', * EXCLUDE (creat
 UNION ALL SELECT created_at + INTERVAL 60 HOUR, 4, 'merge', * EXCLUDE (created_at) FROM mem WHERE memory_id % 26 = 0)"""
 
 
-@query(sql(f"SELECT user_id, operation, \"at\", CAST(seq AS BIGINT) AS seq FROM ({AUDIT}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY \"at\" DESC, seq DESC, memory_id) <= 50", "mem"))
+@query(sql(f"SELECT user_id, memory_id, operation, \"at\", CAST(seq AS BIGINT) AS seq FROM ({AUDIT}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY \"at\" DESC, seq DESC, memory_id) <= 50", "mem"))
 def audit_trail(spark, d):
     """The newest fifty audited events of each user."""
-    return events.audit(log(spark, d), 50).select("user_id", "operation", "at", F.col("seq").cast("long").alias("seq"))
+    return events.audit(log(spark, d), 50).select("user_id", "memory_id", "operation", "at", F.col("seq").cast("long").alias("seq"))
 
 
 # Reports
@@ -485,11 +569,96 @@ def export_markdown_rows(spark, d):
     return reports.markdown_rows(X.memories(spark, d)).select("user_id", "category", "memory_id", F.md5(F.col("line").cast("binary")).alias("line"))
 
 
-@query(sql("SELECT user_id, memory_id, CAST(memory_id AS VARCHAR) AS id, category, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, CAST(superseded_by AS VARCHAR) AS superseded_by FROM mem WHERE deleted_at IS NULL", "mem"))
+@query(sql("SELECT user_id, memory_id, CAST(memory_id AS VARCHAR) AS id, md5(content) AS content, category, array_to_string(tags, ',') AS tags, confidence, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, strftime(updated_at, '%Y-%m-%dT%H:%M:%S') AS updated_at, CAST(superseded_by AS VARCHAR) AS superseded_by, 8 AS fields FROM mem WHERE deleted_at IS NULL", "mem"))
 def export_json_rows(spark, d):
+    """All eight fields of each exported object."""
     rows = reports.json_rows(X.memories(spark, d), include_inactive=True)
-    field = lambda n: F.get_json_object("json", f"$.{n}").alias(n)
-    return rows.select("user_id", "memory_id", field("id"), field("category"), field("created_at"), field("superseded_by"))
+    made = F.from_json("json", "id string, content string, category string, tags array<string>, confidence double, created_at string, updated_at string, superseded_by string")
+    out = rows.select("user_id", "memory_id", made.alias("j"), F.size(F.json_object_keys("json")).alias("fields"))
+    return out.select("user_id", "memory_id", "j.id", F.md5(F.col("j.content").cast("binary")).alias("content"), "j.category", F.array_join("j.tags", ",").alias("tags"), "j.confidence", "j.created_at", "j.updated_at", "j.superseded_by", "fields")
+
+
+@query(sql("""SELECT '@', c AS (SELECT user_id, category, chr(10) || '## ' || category || chr(10) || chr(10) || string_agg('- ' || replace(content, chr(10), ' ') || '  _(' || strftime(created_at, '%Y-%m-%d') || ' · ' || array_to_string(tags, ', ') || CASE WHEN superseded_by IS NOT NULL THEN ' · superseded' ELSE '' END || ')_' || chr(10), '' ORDER BY created_at DESC, memory_id) AS body, count(*) AS n FROM mem WHERE deleted_at IS NULL GROUP BY user_id, category)
+SELECT t.u AS user_id, md5('# Memories of user' || t.u || chr(10) || chr(10) || coalesce(d.n, 0) || ' memories' || chr(10) || coalesce(d.body, '')) AS digest FROM range(1, 6) t(u) LEFT JOIN (SELECT user_id, CAST(sum(n) AS BIGINT) AS n, string_agg(body, '' ORDER BY category) AS body FROM c GROUP BY user_id) d ON d.user_id = t.u""", "mem").replace(" SELECT '@', c AS", ", c AS", 1))
+def export_markdown(spark, d):
+    """Each user's export as a document; the last user has no memories."""
+    made = reports.markdown_documents(X.memories(spark, d), users(spark, d), include_inactive=True)
+    return made.select("user_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(sql("SELECT t.u AS user_id, coalesce(m.n, 0) AS n, m.newest FROM range(1, 6) t(u) LEFT JOIN (SELECT user_id, count(*) AS n, arg_max(memory_id, created_at)::VARCHAR AS newest FROM mem WHERE deleted_at IS NULL AND superseded_by IS NULL GROUP BY user_id) m ON m.user_id = t.u", "mem"))
+def export_json(spark, d):
+    """Each user's export as one object: how many memories it lists, and the first."""
+    made = reports.json_documents(X.memories(spark, d), users(spark, d))
+    return made.select("user_id", F.json_array_length(F.get_json_object("json", "$.memories")).cast("long").alias("n"), F.get_json_object("json", "$.memories[0].id").alias("newest"))
+
+
+DOMAINS = "CASE WHEN category IN ('preference.personal', 'fact.person') THEN 'personal' ELSE 'coding' END"
+
+
+@query(sql(f"SELECT user_id, domain, CASE user_id WHEN 1 THEN 'cached' WHEN 2 THEN 'written for ' || domain ELSE 'stale' END AS content, user_id = 2 AS fresh_row FROM (SELECT DISTINCT user_id, {DOMAINS} AS domain FROM live WHERE user_id <= 4) WHERE user_id IN (1, 2, 3)", "live"))
+def digest_sections(spark, d):
+    """The first user's digests are fresh, the second's are written, the third's fail and stale ones serve, the fourth's come back empty."""
+    rows, now = X.memories(spark, d), X.clock(spark, d)
+    prints = reports.fingerprints(rows, now)
+    cache = prints.filter("user_id IN (1, 3)").select("user_id", "domain", F.when(F.col("user_id") == 1, "cached").otherwise("stale").alias("content"), F.when(F.col("user_id") == 1, F.col("fingerprint")).otherwise("0:-").alias("fingerprint"))
+    plan = reports.digest_plan(rows, cache, now)
+    answer = F.when(F.col("user_id") == 2, F.to_json(F.struct(F.concat(F.lit(" written for "), "domain").alias("digest")))).when(F.col("user_id") == 4, '{"digest": " "}')
+    sections, fresh = reports.digests(plan, prints.select("user_id", "domain", answer.alias("answer")))
+    return sections.join(fresh.select("user_id", "domain", F.lit(True).alias("fresh_row")), ["user_id", "domain"], "left").select("user_id", "domain", "content", F.coalesce("fresh_row", F.lit(False)).alias("fresh_row"))
+
+
+@query(sql("SELECT u AS user_id, md5(CASE WHEN u = 5 THEN 'plain' ELSE '# Memory profile: user' || u || ' (updated ' || strftime(now.now, '%Y-%m-%d') || ')' || chr(10) || CASE WHEN u <> 2 THEN chr(10) || '## How they work' || chr(10) || chr(10) || repeat('c', u * 10) || chr(10) ELSE '' END || CASE WHEN u <> 3 THEN chr(10) || '## Who they are' || chr(10) || chr(10) || 'p' || u || chr(10) ELSE '' END END) AS digest FROM range(1, 6) t(u) CROSS JOIN now", "now"))
+def digest_budget(spark, d):
+    """A section over the budget is left out whole and a later, smaller one may still fit; a user without sections gets the assembled profile."""
+    who = users(spark, d)
+    text = F.when(F.col("domain") == "personal", F.when(F.col("user_id") != 3, F.concat(F.lit("p"), F.col("user_id").cast("string"))).otherwise(F.repeat(F.lit("y"), 500))).otherwise(F.when(F.col("user_id") == 2, F.repeat(F.lit("x"), 500)).otherwise(F.repeat(F.lit("c"), F.col("user_id").cast("int") * 10)))
+    sections = who.filter("user_id < 5").select("user_id", F.explode(F.array(F.lit("coding"), F.lit("personal"))).alias("domain")).withColumn("content", text)
+    made = reports.digest_profile(sections, who, who.select("user_id", F.lit("plain").alias("text")), X.clock(spark, d), 400)
+    return made.select("user_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(recursive("SELECT '@' SELECT l.user_id, cluster_id, md5(count(*) || ' memories that may say the same thing:' || chr(10) || string_agg(chr(10) || '[' || l.category || '; ' || array_to_string(tags, ', ') || '; ' || strftime(created_at, '%Y-%m-%d') || ']' || chr(10) || replace(replace(content, chr(13), ' '), chr(10), ' ') || chr(10), '' ORDER BY l.memory_id) || chr(10) || 'If they do, write the one memory that replaces them without losing a detail; if not, keep them.' || chr(10) || chr(10) || 'Answer with JSON of this shape only: {\"merge\": true or false, \"content\": text, \"category\": name, \"tags\": [text], \"reason\": text}') AS digest FROM parts p JOIN live l ON l.memory_id = p.memory_id GROUP BY ALL"))
+def merge_prompts(spark, d):
+    """What a model is asked about each cluster."""
+    members = consolidate.clusters(similar(spark, d)).select("user_id", "cluster_id", "memory_id").join(X.memories(spark, d), ["user_id", "memory_id"])
+    return prompts.merge(members).select("user_id", "cluster_id", F.md5(F.col("prompt").cast("binary")).alias("digest"))
+
+
+@query("""SELECT item_id AS cluster_id, item_id % 5 = 0 AS merge, CASE WHEN item_id % 5 = 0 THEN md5(trim(text)) END AS content, CASE WHEN item_id % 5 = 0 THEN CASE WHEN item_id % 2 = 0 THEN 'decision' ELSE 'skill' END END AS category,
+  CASE item_id % 5 WHEN 0 THEN 'same' WHEN 1 THEN 'differ' WHEN 2 THEN 'the decision to merge has no content' ELSE 'no reason given' END AS reason FROM benchmark""")
+def merge_decision_parse(spark, d):
+    """Answers to merge, to keep, without content, of another shape, and no JSON."""
+    n = F.col("item_id")
+    whole = F.to_json(F.struct(F.lit(True).alias("merge"), F.concat(F.lit(" "), "text").alias("content"), F.when(n % 2 == 0, "Decision").alias("category"), F.lit("same").alias("reason")))
+    answer = F.when(n % 5 == 0, whole).when(n % 5 == 1, '{"merge": false, "content": "x", "reason": "differ"}').when(n % 5 == 2, '{"merge": true, "content": "  ", "reason": "r"}').when(n % 5 == 3, '{"other": 1}').otherwise("yes, merge them")
+    rows = X.table(spark, d, "benchmark").select(n.alias("cluster_id"), answer.alias("answer"))
+    got = ingest.merge_decisions(rows, rows.select("cluster_id", F.lit("skill").alias("category")))
+    return got.select("cluster_id", "merge", F.md5(F.col("content").cast("binary")).alias("content"), "category", "reason")
+
+
+@query(sql(f"SELECT l.user_id, l.category, coalesce(l.subcategory, '') AS sub, count(*) AS size FROM live l WHERE category <> 'decision' GROUP BY ALL HAVING count(*) >= 2", "live"))
+def consolidation_plan(spark, d):
+    """The groups that a run would take up, through the engine."""
+    rows = X.memories(spark, d)
+    engine = Engine(rows, hash_embed(rows.select("user_id", "memory_id", "content"), ["user_id", "memory_id"], "content"), X.clock(spark, d))
+    return engine.plan(recorded(spark, d), THRESHOLD)[0].select("user_id", "category", "sub", "size")
+
+
+@query("SELECT sum(doc_id)::BIGINT AS examined, sum(doc_id % 7)::BIGINT AS merged, sum(doc_id % 3)::BIGINT AS retired, bool_or(doc_id = 11) AS budget_hit, 'calls' AS reason, sum(doc_id % 7)::BIGINT || ' merged / ' || sum(doc_id % 3)::BIGINT || ' retired / ' || (sum(doc_id) - sum(doc_id % 3))::BIGINT || ' kept' AS summary, count(*) FILTER (doc_id % 50 = 0) AS previews FROM documents")
+def run_totals(spark, d):
+    """Many runs' reports as one."""
+    n = F.col("doc_id")
+    runs = X.table(spark, d, "documents").select(n.alias("run_id"), n.alias("examined"), (n % 7).alias("merged"), (n % 3).alias("retired"), (n == 11).alias("budget_hit"), F.when(n == 11, "calls").when(n == 12, "retired").alias("reason"), F.when(n % 50 == 0, F.array(F.lit("p"))).otherwise(F.array().cast("array<string>")).alias("previews"))
+    return consolidate.run_summary(runs).withColumn("previews", F.size("previews").cast("long"))
+
+
+@query("SELECT source AS kind, 100.0::DOUBLE AS before, 80.0::DOUBLE AS recall_at_k FROM (SELECT DISTINCT source FROM documents) WHERE source IN ('src1', 'src3')")
+def baseline_regressions(spark, d):
+    """Kinds whose recall fell by more than five points."""
+    kinds = X.table(spark, d, "documents").select(F.col("source").alias("kind")).distinct()
+    report = kinds.withColumn("recall_at_k", F.when(F.col("kind").isin("src1", "src3"), 80.0).otherwise(95.0))
+    return reports.regressions(report, kinds.withColumn("recall_at_k", F.lit(100.0)))
 
 
 @query("SELECT kind, count(*) AS cases, round(avg(hit) * 100, 6) AS recall_at_k, round(avg(first) * 100, 6) AS precision_at_1 FROM (SELECT source AS kind, CAST(doc_id % 3 <> 0 AS INT) AS hit, CAST(doc_id % 3 = 1 AS INT) AS first FROM documents UNION ALL SELECT 'all', CAST(doc_id % 3 <> 0 AS INT), CAST(doc_id % 3 = 1 AS INT) FROM documents) GROUP BY kind")
@@ -503,7 +672,7 @@ def eval_metrics(spark, d):
     return reports.quality_metrics(results, cases)[1].select("kind", "cases", F.round("recall_at_k", 6).alias("recall_at_k"), F.round("precision_at_1", 6).alias("precision_at_1"))
 
 
-@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[greatest(1, round_even(0.5 * count(*), 0))::INT] AS p50, list_sort(list(value))[greatest(1, round_even(0.95 * count(*), 0))::INT] AS p95, list_sort(list(value))[greatest(1, round_even(0.99 * count(*), 0))::INT] AS p99, max(value) AS max FROM events GROUP BY event_type")
 def latency_percentiles(spark, d):
     return reports.latency(X.table(spark, d, "events"), ["event_type"], "value").withColumn("mean", F.round("mean", 6))
 
@@ -548,13 +717,29 @@ def session_transcripts(spark, d):
     return made.select("conv_id", "turns", F.md5(F.col("transcript").cast("binary")).alias("digest"), "n_chars")
 
 
-@query(r"""SELECT conv_id AS id, md5(c) AS content, CASE WHEN lower(c) LIKE '%i prefer%' THEN 'preference.coding' ELSE 'fact.project' END AS category, 'user,x' AS tags,
-  CASE WHEN length(c) = 0 THEN 'content is empty' WHEN length(c) > 4000 THEN 'content is too long' END AS reject_reason FROM (SELECT conv_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS c FROM conversations WHERE turn = 0)""")
+@query(r"""SELECT conv_id AS id, turn, md5(c) AS content, CASE WHEN lower(c) LIKE '%i prefer%' THEN 'preference.coding' ELSE 'fact.project' END AS category, 'user,x' AS tags,
+  CASE WHEN length(c) = 0 THEN 'content is empty' WHEN length(c) > 4000 THEN 'content is too long' WHEN turn = 1 THEN 'expires_at is not in the future' END AS reject_reason FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS c FROM conversations)""")
 def verbatim_save(spark, d):
-    """First turns saved without a model."""
-    rows = X.table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("id"), F.col("text").alias("content"), F.lit("").alias("category"), F.array(F.lit("User"), F.lit(" x"), F.lit("user")).alias("tags"))
-    made = ingest.verbatim(rows)
-    return made.select("id", F.md5(F.col("content").cast("binary")).alias("content"), "category", F.array_join("tags", ",").alias("tags"), "reject_reason")
+    """Every turn saved without a model; second turns have expired already."""
+    now = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")
+    expires = F.when(F.col("turn") == 1, now).when(F.col("turn") == 2, now + F.expr("INTERVAL '1' DAY"))
+    rows = X.table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.col("text").alias("content"), F.lit("").alias("category"), F.array(F.lit("User"), F.lit(" x"), F.lit("user")).alias("tags"), expires.alias("expires_at"))
+    made = ingest.verbatim(rows, now=now)
+    return made.select(F.col("id.conv_id").alias("id"), F.col("id.turn").alias("turn"), F.md5(F.col("content").cast("binary")).alias("content"), "category", F.array_join("tags", ",").alias("tags"), "reject_reason")
+
+
+@query(r"""SELECT conv_id AS id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS content, 'session-distill' AS client, CAST(conv_id AS VARCHAR) AS session_id FROM conversations GROUP BY conv_id HAVING length(trim(string_agg(role || ': ' || text, chr(10)))) BETWEEN 1 AND 200000""")
+def distill_payloads(spark, d):
+    """Whole sessions as payloads for a model."""
+    good, _ = ingest.distilled(consolidate.transcripts(X.table(spark, d, "conversations")))
+    return good.select("id", F.md5(F.col("content").cast("binary")).alias("content"), "client", "session_id")
+
+
+@query("SELECT item_id AS id, 'a,b,own' AS tags FROM benchmark WHERE item_id % 4 < 2")
+def caller_tags(spark, d):
+    """A caller's tags follow those of the candidate, each once."""
+    rows = candidate_answers(spark, d).filter("id % 4 < 2")
+    return ingest.candidates(rows, F.array(F.lit("Own "), F.lit("B"))).select("id", F.array_join("tags", ",").alias("tags"))
 
 
 def job_log(spark, d):
@@ -565,16 +750,45 @@ def job_log(spark, d):
     return rows.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), names[F.col("event_type")].alias("event"), F.when(F.col("event_id") % 3 == 0, "validation").otherwise("internal").alias("error"))
 
 
-@query()
+JOBS = """WITH RECURSIVE e AS (SELECT user_id AS job_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'purchase' THEN 'succeed' ELSE 'fail' END AS event, CASE WHEN event_id % 3 = 0 THEN 'validation' ELSE 'internal' END AS kind,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type IN ('signup', 'view', 'purchase', 'error')),
+f AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS i, 'pending' AS status, CAST(0 AS BIGINT) AS attempts, CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS run_after, CAST(NULL AS TIMESTAMP) AS claimed_at, CAST(NULL AS VARCHAR) AS error FROM e
+  UNION ALL SELECT f.job_id, e.i, CASE WHEN event = 'claim' THEN 'running' WHEN event = 'succeed' THEN 'succeeded' WHEN event = 'fail' AND kind = 'internal' AND attempts < 3 THEN 'pending' WHEN event = 'fail' THEN 'dead_letter' ELSE status END,
+    attempts + CAST(event = 'claim' AS INT), coalesce(created_at, CASE WHEN event = 'enqueue' THEN ts END),
+    CASE WHEN event = 'enqueue' THEN ts WHEN event = 'fail' AND kind = 'internal' AND attempts < 3 THEN ts + to_seconds(CAST(5 * pow(2, least(greatest(attempts - 1, 0), 6)) AS BIGINT)) ELSE run_after END,
+    CASE WHEN event = 'claim' THEN ts WHEN event = 'enqueue' THEN claimed_at END, CASE WHEN event = 'fail' THEN kind ELSE error END FROM f JOIN e ON e.job_id = f.job_id AND e.i = f.i + 1),
+last AS (SELECT *, status = 'running' AND claimed_at <= (SELECT max(ts) FROM events) - INTERVAL 15 MINUTE AS stale FROM f QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY i DESC) = 1),
+jobs AS (SELECT job_id, CASE WHEN stale THEN 'pending' WHEN status = 'dead_letter' THEN 'failed' ELSE status END AS status, attempts, created_at, CASE WHEN stale THEN (SELECT max(ts) FROM events) ELSE run_after END AS run_after, CASE WHEN NOT stale THEN claimed_at END AS claimed_at, CASE WHEN stale THEN coalesce(error, 'the worker holding this job stopped') ELSE error END AS error FROM last)"""
+
+
+def job_records(spark, d):
+    now = X.table(spark, d, "events").agg(F.max("ts")).first()[0]
+    return Engine(X.memories(spark, d), X.memories(spark, d), F.lit(now).cast("timestamp_ntz")).jobs(job_log(spark, d))
+
+
+@query(f"{JOBS} SELECT * FROM jobs")
 def job_state_machine(spark, d):
-    return ingest.job_states(job_log(spark, d), F.expr("TIMESTAMP_NTZ '2030-01-01 00:00:00'"))
+    """Every job's record, as a caller is told, at the time of the last event."""
+    return job_records(spark, d).drop("updated_at")
 
 
-@query()
-def json_salvage(spark, d):
-    reply = F.concat(F.lit("Sure:\n```json\n"), F.to_json(F.struct("page_id", "url", "html")), F.lit("\n```"))
-    got = ingest.json_salvage(reply)
-    return X.table(spark, d, "pages").select("page_id", got.alias("json")).select("page_id", F.get_json_object("json", "$.url").alias("url"))
+@query(f"{JOBS} SELECT job_id, run_after FROM jobs WHERE status = 'pending' AND run_after <= (SELECT max(ts) FROM events) ORDER BY run_after, created_at, job_id LIMIT 10")
+def claimable_jobs(spark, d):
+    """The ten jobs that workers take next."""
+    now = X.table(spark, d, "events").agg(F.max("ts")).first()[0]
+    return ingest.claimable(ingest.job_states(job_log(spark, d), F.lit(now).cast("timestamp_ntz")), F.lit(now).cast("timestamp_ntz"), 10).select("job_id", "run_after")
 
 
-SQL["json_salvage"] = "SELECT page_id, url FROM pages"
+@query("SELECT page_id, CASE page_id % 6 WHEN 4 THEN NULL ELSE url END AS url, CASE page_id % 6 WHEN 4 THEN NULL ELSE md5(html) END AS html FROM pages")
+def json_salvage(spark, d):
+    """Replies with a fence, bare JSON, words around it, brackets that are no JSON before it, no JSON at all, and an array."""
+    n, body = F.col("page_id"), F.to_json(F.struct("page_id", "url", "html"))
+    shapes = ("Sure:\n```json\n{}\n```\nDone.", "{}", "I think {} is it", "[see {below}] {} [1]", "no JSON {here", "[{}]")
+    reply = None
+    for i, shape in enumerate(shapes):
+        before, after = shape.split("{}") if "{}" in shape else (shape, None)
+        text = F.lit(shape) if after is None else F.concat(F.lit(before), body, F.lit(after))
+        reply = F.when(n % 6 == i, text) if reply is None else reply.when(n % 6 == i, text)
+    got = X.table(spark, d, "pages").select("page_id", ingest.json_salvage(reply).alias("json"))
+    field = lambda x: F.coalesce(F.get_json_object("json", f"$.{x}"), F.get_json_object("json", f"$[0].{x}"))
+    return got.select("page_id", field("url").alias("url"), F.md5(field("html").cast("binary")).alias("html"))

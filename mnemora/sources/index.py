@@ -15,11 +15,30 @@ def build(memories: DataFrame, path: str, files: int | None = None) -> None:
     stored = memories.filter("deleted_at IS NULL")
     vectors = embedding.hash_embed(stored.select("user_id", "memory_id", "content"), ["user_id", "memory_id"], "content")
     weights = recall.term_weights(stored)
+    write(path, vectors, weights, stored, files)
+
+
+def write(path: str, vectors: DataFrame, weights: DataFrame, stored: DataFrame, files: int | None) -> None:
     for name, rows, order in (("vectors", vectors, ["user_id", "memory_id"]), ("weights", weights, ["user_id", "term"]), ("memories", stored, ["user_id", "memory_id"])):
         dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
         dealt.sortWithinPartitions(*order).write.parquet(f"{path}/{name}")
 
 
+def update(spark: SparkSession, old: str, path: str, memories: DataFrame, changed: DataFrame, files: int | None = None) -> None:
+    """Write the index of a changed snapshot to a new path. ``changed`` has the (user_id, memory_id) that were added, edited or removed.
+
+    Vectors of the others are taken from the old index; only changed texts are embedded anew. Term weights follow the whole
+    collection's statistics, so they are made again.
+    """
+    keys = ["user_id", "memory_id"]
+    ids = changed.select(*keys).distinct()
+    stored = memories.filter("deleted_at IS NULL")
+    fresh = stored.join(ids, keys, "left_semi")
+    before = Index.read(spark, old)
+    vectors = before.vectors.join(ids, keys, "left_anti").unionByName(embedding.hash_embed(fresh.select(*keys, "content"), keys, "content"))
+    write(path, vectors, recall.term_weights(stored), stored, files)
+
+
 @dataclass(frozen=True)
 class Index:
     """An index's tables."""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import tomllib
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -26,18 +27,28 @@ def write_memories(memories: DataFrame, path: str, partitions: int | None = None
 
 
 def point_to(spark: SparkSession, pointer: str, path: str) -> None:
-    """Record which snapshot is current."""
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(pointer)
+    """Record which snapshot is current: the name is written beside the pointer and renamed over it, so that a pointer is always whole."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    final, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (pointer, f"{pointer}.{uuid.uuid4().hex}"))
+    files = final.getFileSystem(conf)
+    out = files.create(fresh)
+    out.write(path.encode())
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(fresh), files.makeQualified(final), options)
 
 
 def current_path(spark: SparkSession, pointer: str) -> str:
-    return spark.read.schema("path string").json(pointer).first().path
+    return spark.read.text(pointer, wholetext=True).first()[0]
 
 
 def listing(memories: DataFrame, include_inactive: bool = False) -> DataFrame:
-    """Not deleted and, unless inactive ones are wanted, not superseded; expired rows stay."""
+    """Not deleted and, unless inactive ones are wanted, not superseded; expired rows stay. Each user's newest first, with ``position``."""
     rows = memories.filter("deleted_at IS NULL")
-    return rows if include_inactive else rows.filter("superseded_by IS NULL")
+    rows = rows if include_inactive else rows.filter("superseded_by IS NULL")
+    order = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), "memory_id")
+    return rows.withColumn("position", F.row_number().over(order).cast("long"))
 
 
 def find(memories: DataFrame, user_id: int, memory_id: int) -> DataFrame:
@@ -60,14 +71,18 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def export(memories: DataFrame, path: str, form: str, include_inactive: bool = False) -> None:
-    """Export files by user: JSON lines, or Markdown lines in order of category and age."""
+    """Export files of (user_id, value), a line a memory, JSON or Markdown, users in order and each user's lines by category and age.
+
+    Rows are dealt by ranges of all these, so a user with very many memories fills several files. Documents with titles and
+    headings are ``reports.markdown_documents`` and ``json_documents``.
+    """
     if form == "json":
         rows = reports.json_rows(memories, include_inactive)
-        rows.select("user_id", F.col("json").alias("value")).write.partitionBy("user_id").text(path)
+        rows.repartitionByRange("user_id", "memory_id").sortWithinPartitions("user_id", "memory_id").select("user_id", F.col("json").alias("value")).write.parquet(path)
     elif form in ("markdown", "md"):
-        rows = reports.markdown_rows(memories, include_inactive)
         order = ["user_id", "category", F.col("created_at").desc(), "memory_id"]
-        rows.repartitionByRange("user_id").sortWithinPartitions(*order).select("user_id", F.col("line").alias("value")).write.partitionBy("user_id").text(path)
+        rows = reports.markdown_rows(memories, include_inactive).repartitionByRange(*order)
+        rows.sortWithinPartitions(*order).select("user_id", F.col("line").alias("value")).write.parquet(path)
     else:
         raise ValueError(f"unknown export format {form!r}")
 
@@ -91,12 +106,26 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([("all", float(spec["recall_at_k"])), *((k, float(v)) for k, v in spec["by_kind"].items())], "kind string, recall_at_k double")
 
 
-def reindex(memories: DataFrame, path: str, embed, model: str, dimensions: int) -> DataFrame:
-    """Embed all rows that are not deleted (superseded ones too) anew by a model's callable and write vectors and their pin to a new path; gives the vectors."""
+def write_baseline(report: DataFrame, path: str) -> None:
+    """A baseline file from a report (kind, cases, recall_at_k, precision_at_1) with a row ``all``; a few rows, written by the driver."""
+    rows = {r.kind: r for r in report.collect()}
+    whole = rows.pop("all")
+    spec = {"recall_at_k": whole.recall_at_k, "precision_at_1": whole.precision_at_1, "cases": whole.cases, "by_kind": {k: rows[k].recall_at_k for k in sorted(rows)}}
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f, indent=2)
+
+
+def reindex(memories: DataFrame, path: str, embed, model: str, dimensions: int, pointer: str | None = None) -> DataFrame:
+    """Embed all rows that are not deleted (superseded ones too) anew by a model's callable and write vectors and their pin to a new path; gives the vectors.
+
+    ``pointer`` is moved to the path when all of it is written.
+    """
     from ..operators.embedding import model_embed
 
     rows = model_embed(memories.filter("deleted_at IS NULL").select("user_id", "memory_id", "content"), "content", embed, dimensions)
     rows.select("user_id", "memory_id", "embedding").repartitionByRange("user_id", "memory_id").write.parquet(f"{path}/vectors")
     spark = memories.sparkSession
     spark.createDataFrame([(model, dimensions)], "model string, dimensions int").coalesce(1).write.json(f"{path}/pin")
+    if pointer:
+        point_to(spark, pointer, path)
     return spark.read.parquet(f"{path}/vectors")

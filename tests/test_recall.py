@@ -70,9 +70,10 @@ def test_filtering_keeps_ranks(spark, engine):
 
 
 def test_ties_newest_then_id_and_limit(spark, engine):
-    got = [r.memory_id for r in ask(spark, engine, "twin text")]
-    assert got.index(9) < got.index(10) or got[0] in (8, 9)
-    assert len(ask(spark, engine, "twin text", k=2)) == 2
+    got = ask(spark, engine, "twin text")
+    assert [(r.score, r.created_at, r.memory_id) for r in got] == sorted(((r.score, r.created_at, r.memory_id) for r in got), key=lambda x: (-x[0], -x[1].timestamp(), x[2]))
+    place = {r.memory_id: r.position for r in got}
+    assert place[9] < place[10] and len(ask(spark, engine, "twin text", k=2)) == 2
 
 
 def test_old_exact_match_survives(spark, engine):
@@ -82,6 +83,31 @@ def test_old_exact_match_survives(spark, engine):
 def test_bad_queries_are_refused(spark, engine):
     q = spark.createDataFrame([(1, 1, " ", 8), (2, 1, "x" * 1001, 8), (3, 1, "use", 0)], "query_id long, user_id long, text string, k long")
     assert engine.recall(q).count() == 0
+    assert {r.query_id: r.reject_reason for r in engine.checked(q).collect()} == {1: "query is empty", 2: "query is too long", 3: "limit must be at least 1"}
+
+
+def test_large_batches_are_joined(spark, engine, monkeypatch):
+    """Beyond the broadcast's size, with the same answers."""
+    from mnemora.operators import recall
+
+    columns = ["memory_id", "position", "vector_rank", "score"]
+    here = [tuple(r[c] for c in columns) for r in ask(spark, engine, "use state twin")]
+    monkeypatch.setattr(recall, "BROADCAST_BYTES", 0)
+    assert [tuple(r[c] for c in columns) for r in ask(spark, engine, "use state twin")] == here
+
+
+def test_updated_index(spark, engine, tmp_path):
+    """After an edit, an addition and a removal the updated index answers as one that is built anew."""
+    from mnemora.sources.index import Index, build, update
+
+    build(engine.memories, str(tmp_path / "v1"), 2)
+    changed = engine.memories.withColumn("content", F.when(F.col("memory_id") == 2, "something else entirely").otherwise(F.col("content"))).filter("memory_id <> 3")
+    ids = spark.createDataFrame([(1, 2), (1, 3)], "user_id long, memory_id long")
+    update(spark, str(tmp_path / "v1"), str(tmp_path / "v2"), changed, ids, 2)
+    build(changed, str(tmp_path / "v3"), 2)
+    for name in ("vectors", "weights", "memories"):
+        a, b = (sorted(map(str, getattr(Index.read(spark, str(tmp_path / v)), name).collect())) for v in ("v2", "v3"))
+        assert a == b
 
 
 def test_dead_keyword_leg_and_empty_store(spark, engine):

@@ -150,7 +150,7 @@ def test_job_states(spark):
     assert got[2].run_after == NOW + dt.timedelta(minutes=2, seconds=5) and got[4].attempts == 3
     soon = ingest.job_states(log, F.lit(NOW + dt.timedelta(minutes=3)).cast("timestamp_ntz"))
     assert {r.job_id: r.status for r in soon.collect()}[5] == "running"
-    assert [r.job_id for r in ingest.claimable(later, F.lit(NOW + dt.timedelta(hours=9)).cast("timestamp_ntz"), 5).collect()] == [5, 2]
+    assert [r.job_id for r in ingest.claimable(later, F.lit(NOW + dt.timedelta(hours=9)).cast("timestamp_ntz"), 5).collect()] == [2, 5]  # a reclaimed job is due from the reclaim on
 
 
 def test_job_stream(spark, tmp_path):
@@ -165,14 +165,32 @@ def test_job_stream(spark, tmp_path):
     assert got == WANT | {5: "running"}
 
 
+def test_events_of_a_batch_by_number(spark, tmp_path):
+    """A claim that is read after its success does not reopen the job; a failure is due again after its wait; old events change nothing."""
+    at = lambda m: NOW + dt.timedelta(minutes=m)
+    rows = [(1, 2, at(2), "succeed", None), (1, 1, at(1), "claim", None), (1, 0, at(0), "enqueue", None), (2, 2, at(5), "fail", "internal"), (2, 1, at(1), "claim", None), (2, 0, at(0), "enqueue", None)]
+    schema = "job_id long, seq long, at timestamp_ntz, event string, error string"
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/p0")
+    spark.createDataFrame([(1, 1, at(9), "claim", None)], schema).coalesce(1).write.parquet(f"{source}/p1")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    q = jobs.job_stream(stream).writeStream.outputMode("update").format("memory").queryName("job_order").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.table("job_order").collect()
+    assert {(r.job_id, r.status, r.attempts) for r in got} == {(1, "succeeded", 1), (2, "pending", 1)}
+    assert [r.run_after for r in got if r.job_id == 2] == [at(5) + dt.timedelta(seconds=5)]
+
+
 def test_ingest_stream(spark, tmp_path):
     rows = [(1, " We decided x ", "", ["A"]), (2, " ", "", []), (3, "y", "skill", None)]
     spark.createDataFrame(rows, "id long, content string, category string, tags array<string>").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, content string, category string, tags array<string>").parquet(str(tmp_path / "in"))
-    q = jobs.ingest_stream(stream, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "ck"))
+    q = jobs.ingest_stream(stream, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "ck"), jobs_path=str(tmp_path / "jobs"))
     q.awaitTermination(120)
     assert {r.id: r.category for r in spark.read.parquet(str(tmp_path / "good")).collect()} == {1: "decision", 3: "skill"}
     assert [r.reject_reason for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["content is empty"]
+    done = ingest.job_states(spark.read.parquet(str(tmp_path / "jobs")).drop("batch"), F.current_timestamp().cast("timestamp_ntz"))
+    assert {r.job_id: r.status for r in done.collect()} == {1: "succeeded", 2: "dead_letter", 3: "succeeded"}
 
 
 def test_store_round_trip(spark, tmp_path):
@@ -190,8 +208,8 @@ def test_store_round_trip(spark, tmp_path):
     assert sorted((r.u, r.v) for r in store.upsert(old, new, ["u", "s"]).collect()) == [(1, "c"), (2, "b"), (3, "d")]
     store.export(rows, str(tmp_path / "json"), "json")
     store.export(rows, str(tmp_path / "md"), "markdown")
-    assert len([json.loads(r.value)["id"] for r in spark.read.text(str(tmp_path / "json")).select("value").collect()]) == 20
-    assert spark.read.text(str(tmp_path / "md")).filter("value like '- m%'").count() == 20
+    assert len([json.loads(r.value)["id"] for r in spark.read.parquet(str(tmp_path / "json")).collect()]) == 20
+    assert spark.read.parquet(str(tmp_path / "md")).filter("value like '- m%'").count() == 20
     with pytest.raises(ValueError, match="unknown export"):
         store.export(rows, str(tmp_path / "x"), "xml")
 
