@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from .common import SLICE_CHARS, Recent, gather, text_slices
 
 #: Distinct pretokens, and runs between spaces, that a Python worker keeps (about 200 bytes each).
-CACHE_WORDS, CACHE_RUNS = 600_000, 300_000
+CACHE_WORDS, CACHE_RUNS = 400_000, 150_000
 
 #: A pair's key is left << SHIFT | right; symbols from WALL on are no ids.
 SHIFT, WALL, GONE = 20, 1 << 19, (1 << 19) + 1
@@ -233,7 +233,7 @@ def bpe_encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(vocabulary)
         for batch in batches:
-            for first, rows in text_slices(batch.column(1), 8192):
+            for first, rows in text_slices(batch.column(1), 2048, 2_000_000):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), bpe.encode_batch(batch.column(1).slice(first, rows))], ["id", "ids_le"])
 
     kind = df.schema[id_col].dataType.simpleString()
