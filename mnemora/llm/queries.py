@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode, n_ids
+from .collocations import collocations
 from .common import table
+from .exact import exact_dedup
 from .jaccard import jaccard_join
 from .language import fit, identify
 from .neighbours import nearest
@@ -18,6 +20,7 @@ from .private import key_table, pseudonymise
 from .secrets import scan
 from .token_files import token_files
 from .urls import CHROME, LEAST_WORDS, MARKERS, SUFFIXES, Rule, judge, page_outcome
+from .variants import variants
 from .vector_dedup import vector_dedup
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -94,8 +97,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of equal texts stays, for every document."""
+    return exact_dedup(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return variants(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two or three words of each language."""
+    return collocations(table(spark, sf_dir, "documents"), "text", "lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_neighbours, op3_packing, op4_vector_dedup, op5_pii, op6_jaccard, op7_urls, op8_token_files, op9_language, op10_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op2_neighbours, op3_packing, op4_vector_dedup, op5_pii, op6_jaccard, op7_urls, op8_token_files, op9_language, op10_secrets, op11_exact_dedup, op12_variants, op13_collocations)}
 
 
 #: Cosine of all pairs; components by reachability.
@@ -143,6 +161,27 @@ b AS (SELECT name, (good + s * above) / (n + s) - sqrt((good + s * above) / (n +
 SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END AS verdict FROM r JOIN b ON r.name = b.name"""
 
 
+#: Groups by the text itself.
+OP11_SQL = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256 FROM d WINDOW w AS (PARTITION BY t ORDER BY size DESC, doc_id)"""
+
+#: Counts by equality of words; products in 128 bits.
+OP13_SQL = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+s AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM s)),
+w AS (SELECT lang, a, count(*) AS f FROM t GROUP BY ALL), n AS (SELECT lang, sum(f)::BIGINT AS n FROM w GROUP BY lang),
+b AS (SELECT lang, a, b, count(*) AS f FROM t WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+x AS (SELECT lang, a, b, c, count(*) AS f FROM t WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+inside AS (SELECT lang, a, b, max(f) AS m FROM (SELECT lang, a, b, f FROM x UNION ALL SELECT lang, b, c, f FROM x) GROUP BY ALL),
+two AS (SELECT b.lang, b.a || ' ' || b.b AS phrase, b.f AS a, u.f AS l, v.f AS r, 1000000::HUGEINT * b.f * b.f // (u.f::HUGEINT * v.f) AS score FROM b JOIN w u ON u.lang = b.lang AND u.a = b.a JOIN w v ON v.lang = b.lang AND v.a = b.b
+  LEFT JOIN inside i ON i.lang = b.lang AND i.a = b.a AND i.b = b.b WHERE i.m IS NULL OR 100 * i.m < 50 * b.f),
+cut AS (SELECT x.lang, x.a || ' ' || x.b || ' ' || x.c AS phrase, x.f AS a, 1 AS k, u.f AS l, v.f AS r FROM x JOIN w u ON u.lang = x.lang AND u.a = x.a JOIN b v ON v.lang = x.lang AND v.a = x.b AND v.b = x.c
+  UNION ALL SELECT x.lang, x.a || ' ' || x.b || ' ' || x.c, x.f, 2, u.f, v.f FROM x JOIN b u ON u.lang = x.lang AND u.a = x.a AND u.b = x.b JOIN w v ON v.lang = x.lang AND v.a = x.c),
+three AS (SELECT lang, phrase, a, l, r, score FROM (SELECT *, 1000000::HUGEINT * a * a // (l::HUGEINT * r) AS score, row_number() OVER (PARTITION BY lang, phrase ORDER BY 1000000::HUGEINT * a * a // (l::HUGEINT * r), k) AS best FROM cut) WHERE best = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM (SELECT * FROM two UNION ALL SELECT * FROM three))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express an operator; the others are tested against brute force, the libraries or held-out labels."""
-    return {"op4_vector_dedup": OP4_SQL, "op6_jaccard": OP6_SQL, "op7_urls": OP7_SQL}
+    return {"op4_vector_dedup": OP4_SQL, "op6_jaccard": OP6_SQL, "op7_urls": OP7_SQL, "op11_exact_dedup": OP11_SQL, "op13_collocations": OP13_SQL}
