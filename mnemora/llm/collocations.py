@@ -187,7 +187,7 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         langs: list[str] = []
         for shard in shards(batches, langs, 0):
             number, names = shard.numbered(langs)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in names]), pa.array([w for _, w in names]), pa.array(np.bincount(number, minlength=len(names)))], ["lang", "word", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in names], pa.string()), pa.array([w for _, w in names], pa.string()), pa.array(np.bincount(number, minlength=len(names)))], ["lang", "word", "f"])
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return rows.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
