@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import schema as S
 from .functions import prompts
-from .operators import consolidate, embedding, events, ingest, recall, reports
+from .operators import consolidate, embedding, events, ingest, recall, reconcile, reports
 from .sources import store
 
 
@@ -120,11 +120,34 @@ class Engine:
         own = members.groupBy("cluster_id").agg(F.min_by("category", "memory_id").alias("category"))
         return consolidate.replacements(found, self.memories, self.now, ingest.merge_decisions(answers, own))
 
-    def distill(self, turns: DataFrame, ask: Callable[[str], str] | None, client: str = "session-distill") -> tuple[DataFrame, DataFrame]:
-        """(candidates that a model draws from whole sessions, rejected sessions); without a model there is nothing to draw them with."""
+    def ingest(self, payloads: DataFrame, ask: Callable[[str], str], path: str, name: Column | None = None, lens: str = "message", extras: tuple[str, ...] = (), alike: float = reconcile.ALIKE, batch: int = reconcile.BATCH, rounds: int = 64) -> tuple[reconcile.Reconciled, DataFrame]:
+        """(what became of the candidates that a model draws from payloads, payloads that could not be read).
+
+        Payloads are (id, user_id, content and, if given, tags, client, session_id); they count in the order of their ids.
+        A candidate is shown its neighbours among what is stored, with what earlier candidates like it have just stored, and
+        the model says whether it is added, replaces or refutes one of them, or is known. ``path`` is a new folder that driver and
+        executors share; the same one again goes on with a run that was broken off. ``events`` of the result are for the log.
+        """
+        drawn, failed = reconcile.extracted(payloads, ask, path, lens, extras, name)
+        return reconcile.reconcile(drawn, self.memories, self.vectors, self.now, self.shown_neighbours, ask, path, alike, batch, rounds), failed
+
+    def shown_neighbours(self, memories: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+        return Engine(memories, vectors, self.now).recall(queries)
+
+    def after(self, settled: reconcile.Reconciled) -> Engine:
+        """The engine with what an ingest stored, replaced and deleted."""
+        made = reconcile.retire(self.memories.unionByName(settled.added), settled.done, self.now)
+        new = settled.candidates.join(settled.added.select("user_id", "memory_id"), ["user_id", "memory_id"], "left_semi")
+        return Engine(made, self.vectors.select("user_id", "memory_id", "embedding").unionByName(new.select("user_id", "memory_id", "embedding")), self.now)
+
+    def distill(self, turns: DataFrame, ask: Callable[[str], str] | None, path: str, name: Column | None = None, client: str = "session-distill") -> tuple[reconcile.Reconciled, DataFrame, DataFrame]:
+        """Whole sessions (user_id, conv_id, turn, role, text) drawn from and stored: (what became of the candidates, sessions that could not be read, rejected sessions).
+
+        Without a model there is nothing to draw them with. A session belongs to its user; where turns have no ``user_id``, to a user of its own number.
+        """
         if ask is None:
             raise ValueError("distilling a session needs a language model")
         good, rejected = ingest.distilled(consolidate.transcripts(turns), client)
-        asked = good.withColumn("prompt", prompts.extraction(F.col("content"), "session"))
-        answers = ingest.decide(asked, ask, "prompt").select("id", "answer")
-        return ingest.candidates(answers).join(good.select("id", "client", "session_id"), "id"), rejected
+        owner = F.col("user_id") if "user_id" in turns.columns else F.col("conv_id")
+        owners = turns.groupBy(F.col("conv_id").alias("id")).agg(F.min(owner).alias("user_id"))
+        return *self.ingest(good.join(owners, "id"), ask, path, name, "session"), rejected

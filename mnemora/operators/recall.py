@@ -10,17 +10,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import scores
 from ..functions.text import normalise_tags, tokens
-from ..functions.vectors import l2_distance
 
 #: A stated query batch up to this many bytes is broadcast; a larger one is shuffled by user.
 BROADCAST_BYTES = 32 << 20
+#: Users of a batch up to this many are broadcast with their tiles.
+BROADCAST_ROWS = 200_000
+#: Memories and queries of a tile, unless one row in PARTS is more; so few users have more than one tile.
+TILE_ROWS, TILE_QUERIES, PARTS = 16_384, 1024, 1000
 FIELDS = ("content", "tags", "category")
 
 
@@ -74,59 +76,91 @@ def ranked(df: DataFrame, order: list[Column], rank: str) -> DataFrame:
     return df.withColumn(rank, F.row_number().over(window).cast("long")).filter(F.col(rank) <= F.col("depth")).filter(F.col(rank) <= S.MAX_DEPTH)
 
 
-def vector_leg(queries: DataFrame, vectors: DataFrame, size: int = 0) -> DataFrame:
+def tiles(asked: DataFrame, owners: DataFrame) -> tuple[DataFrame, int]:
+    """(user_id, memory_parts, query_parts) of the users who ask and have memories, and how many users those are.
+
+    Both sides are counted by user; a side with more than its share (TILE_ROWS or TILE_QUERIES, or one row in PARTS) is
+    dealt into as many parts as keep within it.
+    """
+    asks = asked.groupBy("user_id").agg(F.count("*").alias("q"))
+    has = owners.groupBy("user_id").agg(F.count("*").alias("m"))
+    sizes = asks.join(has, "user_id")
+    n, q, m = sizes.agg(F.count("*"), F.sum("q"), F.sum("m")).first()
+    parts = lambda c, whole, least: F.ceil(F.col(c) / max(least, (whole or 0) // PARTS)).cast("int")
+    return sizes.select("user_id", parts("m", m, TILE_ROWS).alias("memory_parts"), parts("q", q, TILE_QUERIES).alias("query_parts")), n
+
+
+def vector_leg(queries: DataFrame, vectors: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     """(query_id, user_id, memory_id, vector_rank): exact nearest by L2 among the user's memories, ties to the smaller id.
 
-    ``queries`` has (query_id, user_id, depth, embedding); ``vectors`` (user_id, memory_id, embedding). A batch of at most
-    BROADCAST_BYTES goes to the executors, which compare a batch of memories with it by one product a user and pass on only
-    each query's nearest; a larger one is joined by user.
+    ``queries`` has (query_id, user_id, depth, embedding); ``vectors`` (user_id, memory_id, embedding); ``owners`` rows whose
+    ``user_id`` stand for those of ``vectors`` when a user's memories are counted, where vectors are dear to make. An
+    embedding that is null or empty, or holds a null or non-finite component, takes no part, and vectors meet only those
+    with as many dimensions.
+
+    Queries and memories are dealt by their counts into tiles of a user, and a tile passes on each query's nearest of
+    every batch of its memories, from one product; so a user with most of the memories fills many tiles, and a task holds
+    TILE_QUERIES queries and one batch at a time, whatever the size of either side.
     """
-    asked = queries.select("query_id", "user_id", "depth", F.col("embedding").alias("query_embedding"))
-    near = nearest_here(asked, vectors) if size <= BROADCAST_BYTES else joined_distances(asked, vectors)
+    asked = queries.filter(usable(F.col("embedding"))).select("query_id", "user_id", "depth", "embedding")
+    deal, n = tiles(asked, owners if owners is not None else vectors)
+    deal = F.broadcast(deal) if n <= BROADCAST_ROWS else deal
+    side = lambda which, own, other, key: [F.lit(which).alias("side"), F.size("embedding").alias("d"), own, other, key]
+    spread = lambda key, parts: F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    asking = asked.join(deal, "user_id").select("user_id", *side(0, every("memory_parts").alias("i"), spread("query_id", "query_parts").alias("j"), F.col("query_id").alias("id")), "depth", "embedding")
+    stored = vectors.filter(usable(F.col("embedding"))).join(deal, "user_id").select("user_id", *side(1, spread("memory_id", "memory_parts").alias("i"), every("query_parts").alias("j"), F.col("memory_id").alias("id")), F.lit(0).cast("long").alias("depth"), "embedding")
+    tile = ["user_id", "d", "i", "j"]
+    dealt = asking.withColumn("depth", F.col("depth").cast("long")).unionByName(stored).select(*tile, "side", "id", "depth", "embedding")
+    near = dealt.repartition(*tile).sortWithinPartitions(*tile, "side").mapInArrow(nearest_of_tiles, "query_id long, user_id long, memory_id long, depth long, distance double")
     return ranked(near, [F.col("distance"), F.col("memory_id")], "vector_rank").select("query_id", "user_id", "memory_id", "vector_rank")
 
 
-def joined_distances(asked: DataFrame, vectors: DataFrame) -> DataFrame:
-    pairs = vectors.join(asked, "user_id")
-    return pairs.select("query_id", "user_id", "memory_id", "depth", F.round(l2_distance(F.col("embedding"), F.col("query_embedding")), 12).alias("distance"))
-
-
-def nearest_here(asked: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, user_id, memory_id, depth, distance) of each query's ``depth`` nearest of every batch of memories. ``asked`` has been measured."""
-    rows = asked.toArrow()
-    of_user = {}
-    for user in set(rows.column("user_id").to_pylist()):
-        own = rows.filter(pc.equal(rows.column("user_id"), user)).combine_chunks()
-        of_user[user] = (own.column("query_id").to_numpy(), own.column("depth").to_numpy().astype(np.int64), np.array(own.column("query_embedding").to_pylist(), float))
-    shared = asked.sparkSession.sparkContext.broadcast(of_user)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            users = batch.column(0).to_numpy()
-            for user in np.unique(users).tolist():
-                if user not in shared.value:
-                    continue
-                queries, depth, y = shared.value[user]
-                own = batch.filter(pa.array(users == user))
-                ids = own.column(1).to_numpy()
-                x = own.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
-                square, out = (x**2).sum(1), []
-                for q in range(0, len(y), 256):
-                    part = y[q : q + 256]
-                    rough = square[None, :] - 2 * part @ x.T + (part**2).sum(1)[:, None]
-                    for i, d in enumerate(depth[q : q + 256].tolist()):
-                        near = np.arange(len(x))
-                        if len(x) > d:
-                            edge = np.partition(rough[i], d - 1)[d - 1]
-                            near = np.flatnonzero(rough[i] <= edge + 1e-9 * (1 + abs(edge)))
-                        exact = np.round(np.sqrt(((x[near] - part[i]) ** 2).sum(1)), 12)
-                        best = np.lexsort((ids[near], exact))[:d]
-                        out.append((np.full(len(best), queries[q + i]), ids[near[best]], np.full(len(best), d), exact[best]))
-                query, memory, deep, distance = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.full(len(query), user)), pa.array(memory), pa.array(deep), pa.array(distance)], ["query_id", "user_id", "memory_id", "depth", "distance"])
-
-    whole = vectors.filter(F.forall("embedding", lambda v: v.isNotNull())).select("user_id", "memory_id", "embedding")
-    return whole.mapInArrow(run, "query_id long, user_id long, memory_id long, depth long, distance double")
+def usable(vector: Column) -> Column:
+    """Whether an embedding has components, all of them finite numbers."""
+    finite = F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    return F.coalesce((F.size(vector) > 0) & finite, F.lit(False))
+
+
+def nearest_of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each query's nearest of every batch of its tile's memories. Rows are sorted by tile, queries first."""
+    tile, parts = None, []
+    for batch in batches:
+        marks = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(5)], 1)
+        edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(batch)] if len(batch) else []
+        for a, b in zip(edges, edges[1:], strict=False):
+            mark, rows = tuple(marks[a].tolist()), batch.slice(a, b - a)
+            if mark[:4] != tile:
+                tile, parts = mark[:4], []
+            if mark[4] == 0:
+                parts.append((rows.column("id").to_numpy(), rows.column("depth").to_numpy(), matrix(rows.column("embedding"))))
+            elif parts:
+                queries, depth, y = (np.concatenate(c) for c in zip(*parts, strict=True))
+                parts = [(queries, depth, y)]
+                query, memory, deep, distance = nearest_of(queries, depth, y, rows.column("id").to_numpy(), matrix(rows.column("embedding")))
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.full(len(query), tile[0])), pa.array(memory), pa.array(deep), pa.array(distance)], ["query_id", "user_id", "memory_id", "depth", "distance"])
+
+
+def matrix(column: pa.ListArray) -> np.ndarray:
+    """Equally long lists as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def nearest_of(queries: np.ndarray, depth: np.ndarray, y: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(query, memory, depth, distance) of each query's ``depth`` nearest rows of ``x``: a product narrows them, exact distances decide."""
+    square, out = (x**2).sum(1), []
+    for q in range(0, len(y), 256):
+        part = y[q : q + 256]
+        rough = square[None, :] - 2 * part @ x.T + (part**2).sum(1)[:, None]
+        for i, d in enumerate(depth[q : q + 256].tolist()):
+            near = np.arange(len(x))
+            if len(x) > d:
+                edge = np.partition(rough[i], d - 1)[d - 1]
+                near = np.flatnonzero(rough[i] <= edge + 1e-9 * (1 + abs(edge)))
+            exact = np.round(np.sqrt(((x[near] - part[i]) ** 2).sum(1)), 12)
+            best = np.lexsort((ids[near], exact))[:d]
+            out.append((np.full(len(best), queries[q + i]), ids[near[best]], np.full(len(best), d), exact[best]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def postings(memories: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -208,7 +242,7 @@ def recall(queries: DataFrame, memories: DataFrame, vectors: DataFrame, now: Col
     size = measure(queries)
     asked = queries.withColumn("depth", scores.candidate_depth(F.col("k")))
     stored = memories.filter("deleted_at IS NULL")
-    near = vector_leg(asked, vectors.join(stored.select("user_id", "memory_id"), ["user_id", "memory_id"], "left_semi"), size)
+    near = vector_leg(asked, vectors.join(stored.select("user_id", "memory_id"), ["user_id", "memory_id"], "left_semi"), stored)
     words = keyword_leg(asked, stored, size, weights)
     candidates = fuse(near, words if hybrid else words.limit(0))
     kept = score(candidates, stored.filter(matches(filters or Filters(), now)), now, half_life)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from ..functions.vectors import cosine
 from ..operators import consolidate, events, identity, ingest, recall, reports
 from ..operators.embedding import hash_embed
 from ..sources import store
+from ..sources.session import scratch
 from . import fixtures as X
 from .fixtures import sql
 
@@ -295,14 +298,14 @@ def bm25_topk(spark, d):
 def vector_topk(spark, d):
     made, rows, vectors = batch(spark, d)
     stored = vectors.join(rows.filter("deleted_at IS NULL").select("user_id", "memory_id"), ["user_id", "memory_id"], "left_semi")
-    return recall.vector_leg(made.withColumn("depth", scores.candidate_depth(F.col("k"))), stored, recall.measure(made)).select("query_id", "memory_id", "vector_rank")
+    return recall.vector_leg(made.withColumn("depth", scores.candidate_depth(F.col("k"))), stored, X.memories(spark, d)).select("query_id", "memory_id", "vector_rank")
 
 
 @query(sql("SELECT query_id, memory_id, vector_rank, keyword_rank, round(rrf, 12) AS rrf FROM fused", "fused"))
 def rrf_fuse(spark, d):
     made, rows, vectors = batch(spark, d)
     asked, stored = made.withColumn("depth", scores.candidate_depth(F.col("k"))), rows.filter("deleted_at IS NULL")
-    near = recall.vector_leg(asked, vectors.join(stored.select("user_id", "memory_id"), ["user_id", "memory_id"], "left_semi"), recall.measure(made))
+    near = recall.vector_leg(asked, vectors.join(stored.select("user_id", "memory_id"), ["user_id", "memory_id"], "left_semi"), stored)
     return recall.fuse(near, recall.keyword_leg(asked, stored, recall.measure(made))).select("query_id", "memory_id", "vector_rank", "keyword_rank", F.round("rrf", 12).alias("rrf"))
 
 
@@ -742,6 +745,79 @@ def caller_tags(spark, d):
     return ingest.candidates(rows, F.array(F.lit("Own "), F.lit("B"))).select("id", F.array_join("tags", ",").alias("tags"))
 
 
+def turn_candidate(prompt: str) -> str:
+    """A stand-in for a model that draws one candidate from a turn: who spoke, with how many characters as its tag."""
+    role, _, text = prompt.split("\n\n", 1)[1].rsplit("\n\n", 1)[0].partition(": ")
+    return json.dumps({"candidates": [{"content": f"the {role} has spoken", "category": "fact.project", "tags": [f"n{len(text)}"], "confidence": 0.5 + len(text) % 5 / 10}]})
+
+
+def turn_decision(prompt: str) -> str:
+    """A stand-in for a model that replaces a memory with the same words, or refutes or knows it where its id says so."""
+    fact = prompt.split("\n")[0].removeprefix("New fact: ")
+    same = [int(line.split(": ")[0].removeprefix("- ")) for line in prompt.split("\n") if line.startswith("- ") and line.split(": ", 1)[1] == fact]
+    kinds = ["NOOP" if i % 7 == 3 else "DELETE" if i % 7 == 5 else "UPDATE" for i in same]
+    return json.dumps({"decisions": [{"action": k, "memory_id": str(i), "reason": "same words"} for k, i in zip(kinds, same, strict=True)] or [{"action": "ADD"}]})
+
+
+def turn_model(prompt: str) -> str:
+    return turn_decision(prompt) if prompt.startswith("New fact: ") else turn_candidate(prompt)
+
+
+#: Turns in order, each against the memory of its speaker that is current then: known, refuted or replaced as the stand-in says.
+TURNS = """WITH RECURSIVE t AS (SELECT conv_id, turn, role, length(text) AS size, conv_id * 100 + turn AS id, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS i FROM conversations WHERE length(trim(text)) > 0),
+r AS (SELECT conv_id, role, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS had, 'none' AS what, CAST(NULL AS BIGINT) AS current, CAST(0 AS BIGINT) AS size FROM (SELECT DISTINCT conv_id, role FROM t)
+  UNION ALL SELECT r.conv_id, r.role, t.i, t.id, r.current, CASE WHEN r.current IS NULL THEN 'add' WHEN r.current % 7 = 3 THEN 'known' WHEN r.current % 7 = 5 THEN 'refute' ELSE 'replace' END,
+    CASE WHEN r.current IS NULL THEN t.id WHEN r.current % 7 = 3 THEN r.current WHEN r.current % 7 = 5 THEN NULL ELSE t.id END, t.size FROM r JOIN t ON t.conv_id = r.conv_id AND t.role = r.role AND t.i = r.i + 1)"""
+
+
+@functools.lru_cache(8)
+def settled_turns(spark, d):
+    """Every turn of every conversation ingested, a conversation as a user; nothing is stored before."""
+    turns = X.table(spark, d, "conversations")
+    engine = Engine.of(X.memories(spark, d).filter("false"), X.clock(spark, d))
+    payloads = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").alias("user_id"), F.concat_ws(": ", "role", "text").alias("content"), F.lit("test").alias("client"))
+    return engine, engine.ingest(payloads, turn_model, scratch(spark, "ingest"), F.col("payload"))[0]
+
+
+@query(f"""{TURNS} SELECT conv_id AS user_id, id AS memory_id, CASE WHEN what IN ('add', 'replace') THEN 'stored' ELSE 'noop' END AS status, CASE WHEN what = 'replace' THEN had END AS superseded, CASE WHEN what = 'refute' THEN had END AS deleted FROM r WHERE i > 0""")
+def ingest_outcomes(spark, d):
+    """What becomes of each turn: later ones see what earlier ones of the same batch stored."""
+    done = settled_turns(spark, d)[1].done
+    return done.select("user_id", "memory_id", "status", F.try_element_at("supersedes", F.lit(1)).alias("superseded"), F.try_element_at("deletes", F.lit(1)).alias("deleted"))
+
+
+@query(f"""{TURNS} SELECT operation, memory_id, by, confidence FROM (SELECT 'add' AS operation, id AS memory_id, NULL AS by, CAST(0.5 + size % 5 / 10 AS DOUBLE) AS confidence FROM r WHERE what IN ('add', 'replace') UNION ALL SELECT 'supersede', had, id, NULL FROM r WHERE what = 'replace' UNION ALL SELECT 'delete', had, NULL, NULL FROM r WHERE what = 'refute')""")
+def ingest_events(spark, d):
+    """The log of an ingest."""
+    return settled_turns(spark, d)[1].events.select("operation", "memory_id", F.col("superseded_by").alias("by"), F.round("confidence", 9).alias("confidence"))
+
+
+@query(f"""{TURNS} SELECT id AS memory_id, 'the ' || role || ' has spoken' AS content, 'n' || size AS tags, (SELECT max(l.id) FROM r l WHERE l.what = 'replace' AND l.had = r.id) AS superseded_by, EXISTS (SELECT 1 FROM r l WHERE l.what = 'refute' AND l.had = r.id) AS deleted FROM r WHERE what IN ('add', 'replace')""")
+def ingest_state(spark, d):
+    """Memories after an ingest: what was added, with its tags, and what replaced or refuted it."""
+    engine, settled = settled_turns(spark, d)
+    return engine.after(settled).memories.select("memory_id", "content", F.array_join("tags", ",").alias("tags"), "superseded_by", F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+def session_model(prompt: str) -> str:
+    """A stand-in that draws from a session how many lines it has; a fact that is stored in the same words is known."""
+    if prompt.startswith("New fact: "):
+        return turn_decision(prompt).replace("UPDATE", "NOOP").replace("DELETE", "NOOP")
+    lines = prompt.split("\n\n", 1)[1].rsplit("\n\n", 1)[0].split("\n")
+    said = [line for line in lines if line.startswith(("user: ", "assistant: "))]
+    return json.dumps([{"content": f"the session has {len(said)} turns", "category": "experience", "tags": ["session"]}, {"content": " "}])
+
+
+@query("""SELECT g AS user_id, c AS content, min(conv_id) AS session_id, count(*) AS sessions FROM (SELECT conv_id, conv_id % 5 AS g, 'the session has ' || count(*) || ' turns' AS c FROM conversations GROUP BY conv_id) GROUP BY ALL""")
+def distill_sessions(spark, d):
+    """Sessions of five users distilled and stored: the first that says a thing is kept, the others are known."""
+    turns = X.table(spark, d, "conversations").withColumn("user_id", F.col("conv_id") % 5)
+    engine = Engine.of(X.memories(spark, d).filter("false"), X.clock(spark, d))
+    settled = engine.distill(turns, session_model, scratch(spark, "distill"))[0]
+    drawn = settled.candidates.groupBy("user_id", "content").agg(F.count("*").alias("sessions"))
+    return settled.added.select("user_id", "content", F.col("session_id").cast("long").alias("session_id")).join(drawn, ["user_id", "content"])
+
+
 def job_log(spark, d):
     """Each user's events as a job's history."""
     kinds = {"signup": "enqueue", "view": "claim", "purchase": "succeed", "error": "fail"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -16,3 +18,16 @@ def share_code(spark: SparkSession) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if home not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{home}:{known}" if known else home
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; one is made here only where none is set, as on a laptop."""
+    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context = spark.sparkContext._jsc.sc()
+        if context.getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getCheckpointDir().get()
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
