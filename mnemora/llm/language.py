@@ -146,13 +146,18 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TR
 
 def predict(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """The language of each text, and its score between 0 and 1."""
+    return judged(model, texts)[:2]
+
+
+def judged(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The language of each text, its score between 0 and 1, and how many n-grams that rests on."""
     buckets, sizes = presence(texts)
     if not model.languages:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), sizes
     got = model.score(buckets, sizes)
     best = got.argmax(1)
     label = [model.languages[b] if n else UNKNOWN for b, n in zip(best.tolist(), sizes.tolist(), strict=True)]
-    return label, np.where(sizes > 0, np.clip(got[np.arange(len(texts)), best], 0, 1), 0.0)
+    return label, np.where(sizes > 0, np.clip(got[np.arange(len(texts)), best], 0, 1), 0.0), sizes
 
 
 def identify(df: DataFrame, text_col: str, model: LanguageModel, keep: list[str]) -> DataFrame:
@@ -177,17 +182,18 @@ def identify(df: DataFrame, text_col: str, model: LanguageModel, keep: list[str]
     return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "lang_pred", "score")
 
 
-def keep_identified(df: DataFrame, text_col: str, model: LanguageModel, least: float) -> DataFrame:
+def keep_identified(df: DataFrame, text_col: str, model: LanguageModel, least: float, few: int = 0, least_of_few: float = 0.0) -> DataFrame:
     """``df`` without the rows whose language is unknown or predicted with a score below ``least``; columns stay as they are, whatever their names.
 
-    Only the texts go to Python, and a yes or no comes back.
+    A text of fewer than ``few`` n-grams, from which no score is sure, goes only below ``least_of_few``. Only the texts go to
+    Python, and a yes or no comes back.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")
     def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            parts = [predict(shared.value, texts) for _, texts in slices(column)]
-            yield pa.array([x != UNKNOWN and s >= least for label, score in parts for x, s in zip(label, score.tolist(), strict=True)], pa.bool_())
+            parts = [judged(shared.value, texts) for _, texts in slices(column)]
+            yield pa.array([x != UNKNOWN and s >= (least if n >= few else least_of_few) for label, score, sizes in parts for x, s, n in zip(label, score.tolist(), sizes.tolist(), strict=True)], pa.bool_())
 
     return df.filter(known(F.col(text_col).cast("string")))

@@ -1,6 +1,8 @@
 """The pipeline's stages, one by one, against brute force on their own inputs."""
 
+import random
 import re
+import string
 
 import corpus_pipeline
 from tokenizers import Tokenizer
@@ -50,6 +52,19 @@ def test_stages(spark):
     check_packed(packed, [(r.doc_id, r.text) for r in clean.collect()], Tokenizer.from_file(queries.BYTE_VOCABULARY))
 
 
+def test_language_stage_decides(spark):
+    """Gibberish, hexadecimal, symbols and other scripts go; clean texts, however short, and code stay."""
+    r = random.Random(4)
+    letters = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    bad = [" ".join(letters(string.ascii_lowercase, r.randint(2, 9)) for _ in range(300)), letters("0123456789abcdef", 3000), letters(string.ascii_letters + string.digits + "+/", 3000), "#$%a &*( b)_+ {}c " * 50, "это текст на другом языке " * 20]
+    good = ["A.", "Avec.", "the", "und die der in den", "le la des et que pour", "the and of that this is", "def f(x):\n    return [i for i in range(x) if i % 2]\n" * 20]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = spark.createDataFrame([(9000 + i, t, None, "s", len(t)) for i, t in enumerate(bad + good)], docs.schema)
+    kept = {x.doc_id for x in corpus_pipeline.language(spark, docs.union(extra), SF).collect()}
+    assert {x.doc_id for x in docs.collect()} <= kept
+    assert {i for i in kept if i >= 9000} == {9000 + i for i in range(len(bad), len(bad + good))}
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
