@@ -16,14 +16,16 @@ from mnemora.llm.packing import pack
 from mnemora.llm.queries import BYTE_VOCABULARY, held_out
 from mnemora.llm.secrets import redact
 
-#: Documents whose language is predicted with less than this go: text without letters, or without any likeness to a known language.
-LEAST_SCORE = 0.1
+#: Documents whose language is predicted with less than this go: random letters, hexadecimal, symbols and other scripts score
+#: at most 0.20. Of labelled documents of sf0.1 and check_s none of FEW n-grams or more scores below 0.25; shorter ones, a word
+#: or two, go down to 0.19 and are kept from LEAST_OF_FEW.
+LEAST_SCORE, FEW, LEAST_OF_FEW = 0.22, 20, 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification: rejected documents go."""
     model = fit(docs.filter(~held_out()), "doc_id", "text", "lang")
-    return keep_identified(docs, "text", model, LEAST_SCORE)
+    return keep_identified(docs, "text", model, LEAST_SCORE, FEW, LEAST_OF_FEW)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
