@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 SET = ["content", "category", "subcategory", "confidence", "expires_at"]
 
 
+KEYS = ["user_id", "memory_id"]
+HELD = ["created_at", "updated_at", "deleted_at", "superseded_by"]
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Current rows. Update sets only the columns named in ``sets`` (null clears); delete keeps the first time and does not
     touch updated_at; update, supersede and merge do nothing to a deleted row, merge nothing to a superseded one.
@@ -19,15 +23,65 @@ def fold(events: DataFrame) -> DataFrame:
     Accesses, of which a memory may have any number, are counted by partial aggregation. Only its edits are gathered, and
     folded in order within the row.
     """
-    seen = events.filter("operation = 'access'").groupBy("user_id", "memory_id").agg(F.max("at").alias("last_accessed_at"), F.count("*").alias("access_count"))
-    events = events.filter("operation <> 'access'")
-    fields = ["operation", "at", "sets", "superseded_by", *SET]
-    ordered = F.array_sort(F.collect_list(F.struct("at", "seq", *[c for c in fields if c != "at"])))
-    state = F.struct(
-        *(F.lit(None).cast(events.schema[c].dataType).alias(c) for c in SET),
-        *(F.lit(None).cast(events.schema["at"].dataType).alias(c) for c in ("created_at", "updated_at", "deleted_at")),
-        F.lit(None).cast("long").alias("superseded_by"),
-    )
+    return rows_of(folded(events))
+
+
+def folded(events: DataFrame) -> DataFrame:
+    """The state of every memory: the columns of ``fold``, and the place (at, seq) of its last edit, from which it can be folded further.
+
+    Rows with accesses only, or edits before they are added, are part of it.
+    """
+    return _with_accesses(_stepped(_edits(events), None), _accesses(events))
+
+
+def rows_of(state: DataFrame) -> DataFrame:
+    """Current rows of a state: those that were added."""
+    return state.filter("created_at IS NOT NULL").drop("last")
+
+
+def advance(base: DataFrame, tail: DataFrame, all_of) -> DataFrame:
+    """Current rows of the state ``base`` with the events ``tail``; see ``advanced``."""
+    return rows_of(advanced(base, tail, all_of))
+
+
+def advanced(base: DataFrame, tail: DataFrame, all_of) -> DataFrame:
+    """``base`` with later events folded in: equal to the fold of all events, whatever the cut.
+
+    Rows of ``base`` without new events pass as they are. Events that come late, before the last of their memory in
+    ``base``, cannot be folded onto it: those memories alone are folded from all their events, ``all_of`` (keys).
+    """
+    edits, seen = _edits(tail), _accesses(tail)
+    early = edits.select(*KEYS, F.element_at("_e", 1).alias("_first")).select(*KEYS, F.struct("_first.at", "_first.seq").alias("_first"))
+    late = base.select(*KEYS, "last").join(early, KEYS).filter(F.col("last").isNotNull() & (F.col("_first") < F.col("last"))).select(*KEYS)
+    anew = None if late.isEmpty() else late
+    fine = edits if anew is None else edits.join(anew, KEYS, "left_anti")
+    kept = base if anew is None else base.join(anew, KEYS, "left_anti")
+    touched = kept.join(fine, KEYS, "left")
+    added = fine.join(base.select(*KEYS), KEYS, "left_anti")
+    moved = touched.filter("_e IS NOT NULL")
+    out = touched.filter("_e IS NULL").drop("_e").unionByName(_stepped(moved, base)).unionByName(_stepped(added, None).withColumns({"last_accessed_at": F.lit(None).cast(base.schema["last_accessed_at"].dataType), "access_count": F.lit(0).cast("long")}))
+    out = _plus_accesses(out, seen)
+    if anew is None:
+        return out
+    return out.join(anew, KEYS, "left_anti").unionByName(folded(all_of(anew)))
+
+
+def _accesses(events: DataFrame) -> DataFrame:
+    return events.filter("operation = 'access'").groupBy(*KEYS).agg(F.max("at").alias("last_accessed_at"), F.count("*").alias("access_count"))
+
+
+def _edits(events: DataFrame) -> DataFrame:
+    """Each memory's events but accesses, in order, as ``_e``."""
+    fields = ["operation", "sets", "superseded_by", *SET]
+    rows = events.filter("operation <> 'access'").groupBy(*KEYS)
+    return rows.agg(F.array_sort(F.collect_list(F.struct("at", F.col("seq").cast("long").alias("seq"), *fields))).alias("_e"))
+
+
+def _stepped(rows: DataFrame, base: DataFrame | None) -> DataFrame:
+    """The state after ``_e``: from the columns of a state in ``rows`` if there is one, else from nothing."""
+    kinds = {f.name: f.dataType for f in rows.schema["_e"].dataType.elementType.fields}
+    held = {**{c: kinds[c] for c in SET}, **{c: kinds["at"] for c in HELD[:3]}, "superseded_by": "long"}
+    start = F.struct(*((F.col(c) if base is not None else F.lit(None)).cast(t).alias(c) for c, t in held.items()))
 
     def step(s: Column, e: Column) -> Column:
         op, live = e["operation"], s["deleted_at"].isNull()
@@ -43,9 +97,21 @@ def fold(events: DataFrame) -> DataFrame:
         ]
         return F.struct(*out)
 
-    rows = events.groupBy("user_id", "memory_id").agg(ordered.alias("_e"))
-    folded = rows.select("user_id", "memory_id", F.aggregate("_e", state, step).alias("_s")).select("user_id", "memory_id", "_s.*").filter("created_at IS NOT NULL")
-    return folded.join(seen, ["user_id", "memory_id"], "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)))
+    end = F.element_at("_e", -1)
+    carried = [] if base is None else ["last_accessed_at", "access_count"]
+    made = rows.select(*KEYS, *carried, F.aggregate("_e", start, step).alias("_s"), F.struct(end["at"].alias("at"), end["seq"].cast("long").alias("seq")).alias("last"))
+    return made.select(*KEYS, "_s.*", *carried, "last")
+
+
+def _with_accesses(state: DataFrame, seen: DataFrame) -> DataFrame:
+    return state.join(seen, KEYS, "full_outer").withColumn("access_count", F.coalesce("access_count", F.lit(0)))
+
+
+def _plus_accesses(state: DataFrame, seen: DataFrame) -> DataFrame:
+    """``state`` with further accesses counted in."""
+    more = seen.select(*KEYS, F.col("last_accessed_at").alias("_at"), F.col("access_count").alias("_n"))
+    met = state.join(more, KEYS, "full_outer")
+    return met.withColumns({"last_accessed_at": F.greatest("last_accessed_at", "_at"), "access_count": F.coalesce("access_count", F.lit(0)) + F.coalesce("_n", F.lit(0))}).drop("_at", "_n")
 
 
 def audit(events: DataFrame, limit: int = 100) -> DataFrame:
@@ -72,11 +138,6 @@ def forget(memories: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
     return rows.select("user_id", "memory_id", F.coalesce("found", F.lit(False)).alias("found"), now.alias("at"), F.when(F.col("found"), "delete").alias("operation"))
 
 
-def append(events: DataFrame, path: str) -> None:
-    """Add events to a log of Parquet files, by day."""
-    events.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(path)
-
-
 def merge_events(found: DataFrame, memories: DataFrame, now: Column) -> DataFrame:
     """A merge event for each live, unsuperseded member of a cluster, owned by the cluster's user; others are skipped."""
     live = memories.filter("deleted_at IS NULL AND superseded_by IS NULL").select("user_id", "memory_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -93,25 +94,42 @@ def verbatim(payloads: DataFrame, extras: tuple[str, ...] = (), now: Column | No
     return payloads.select("id", content.alias("content"), category.alias("category"), tags.alias("tags"), *kept, reason.alias("reject_reason"))
 
 
-def balanced(body: str, start: int) -> int:
-    """Where the object or array that begins at ``start`` ends; -1 if it does not. Strings may hold brackets."""
-    open_, quoted, skip = [], False, False
-    for i in range(start, len(body)):
-        c = body[i]
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            open_.append("}" if c == "{" else "]")
-        elif c in "}]":
-            if not open_ or c != open_.pop():
-                return -1
-            if not open_:
-                return i + 1
-    return -1
+#: JSON nested deeper than this is not taken for JSON.
+DEEPEST = 500
+_DECODER = json.JSONDecoder()
+
+
+def balanced(body: str) -> list[int]:
+    """Where the objects and arrays begin that are balanced, in order. Strings may hold brackets; what lies before a bracket does not count as a string.
+
+    From a bracket on, the next one outside strings is the same whichever bracket reading began at. So one pass from the
+    end finds, for each bracket, the next, and with it what closes: each step looks at what is already known.
+    """
+    at = [m.start() for m in re.finditer(r'["\\\[\]{}]', body)]
+    n = len(at)
+    following, closing, height = [n] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+    match = [-1] * n
+    outside, quoted, after = n, n, n  # the next bracket from here, read outside and inside a string, and inside one mark later
+    for k in range(n - 1, -1, -1):
+        c = body[at[k]]
+        if c == '"':
+            outside, quoted, after = quoted, outside, quoted
+            continue
+        if c == "\\":
+            escaped = k + 1 < n and at[k + 1] == at[k] + 1
+            quoted, after = (after if escaped else quoted), quoted
+            continue
+        following[k], outside, after = outside, k, quoted
+        if c in "}]":
+            closing[k] = k
+            continue
+        end = closing[following[k]]
+        if end >= 0 and body[at[end]] == ("}" if c == "{" else "]"):
+            match[k] = end
+            closing[k] = closing[following[end]]
+            height[k] = max(height[following[k]] + 1, height[following[end]])
+    depth = lambda k: height[following[k]] + 1
+    return [at[k] for k in range(n) if match[k] >= 0 and depth(k) <= DEEPEST]
 
 
 def salvage(text: str | None) -> str | None:
@@ -125,21 +143,21 @@ def salvage(text: str | None) -> str | None:
     else:
         whole = (body,)
     for part in whole:
-        if part[:1] in ("{", "[") and parses(part):
+        if part[:1] in ("{", "[") and parsed(part, 0) == len(part):
             return part
     for part in reversed(whole):
-        for i, c in enumerate(part):
-            if c in "{[" and (end := balanced(part, i)) > 0 and parses(part[i:end]):
+        for i in balanced(part):
+            if (end := parsed(part, i)) > 0:
                 return part[i:end]
     return None
 
 
-def parses(text: str) -> bool:
+def parsed(text: str, start: int) -> int:
+    """Where the JSON that begins at ``start`` ends; 0 if there is none."""
     try:
-        json.loads(text)
-    except ValueError:
-        return False
-    return True
+        return _DECODER.raw_decode(text, start)[1]
+    except (ValueError, RecursionError):
+        return 0
 
 
 def json_salvage(reply: Column) -> Column:

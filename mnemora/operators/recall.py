@@ -163,20 +163,30 @@ def nearest_of(queries: np.ndarray, depth: np.ndarray, y: np.ndarray, ids: np.nd
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def worded(memories: DataFrame) -> DataFrame:
+    """(user_id, memory_id, field, words) of the content, tags and category of every memory."""
+    texts = {"content": F.col("content"), "tags": F.array_join("tags", " "), "category": F.col("category")}
+    fields = F.array(*(F.struct(F.lit(n).alias("field"), tokens(F.coalesce(t, F.lit(""))).alias("words")) for n, t in texts.items()))
+    return memories.select("user_id", "memory_id", F.explode(fields).alias("f")).select("user_id", "memory_id", "f.field", "f.words")
+
+
 def postings(memories: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(user_id, memory_id, field, term, tf, dl) of the content, tags and category of every memory; only ``terms``, if given.
 
     Lengths are taken before the terms are filtered, so statistics cover all text.
     """
-    texts = {"content": F.col("content"), "tags": F.array_join("tags", " "), "category": F.col("category")}
-    fields = F.array(*(F.struct(F.lit(n).alias("field"), tokens(F.coalesce(t, F.lit(""))).alias("words")) for n, t in texts.items()))
-    rows = memories.select("user_id", "memory_id", F.explode(fields).alias("f")).select("user_id", "memory_id", "f.field", "f.words", F.size("f.words").cast("long").alias("dl"))
+    rows = worded(memories).withColumn("dl", F.size("words").cast("long"))
     words = rows.select("user_id", "memory_id", "field", "dl", F.explode("words").alias("term"))
     if terms is not None:
         words = words.join(terms, ["user_id", "term"], "left_semi")
     return words.groupBy("user_id", "memory_id", "field", "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def field_lengths(memories: DataFrame) -> DataFrame:
+    """(user_id, memory_id, field, dl) of every memory."""
+    return worded(memories).select("user_id", "memory_id", "field", F.size("words").cast("long").alias("dl"))
+
+
 def field_stats(memories: DataFrame) -> DataFrame:
     """(user_id, field, n, avgdl): how many memories a user has, and the mean length of each field."""
     texts = {"content": F.col("content"), "tags": F.array_join("tags", " "), "category": F.col("category")}
@@ -192,9 +202,13 @@ def bm25(tf: Column, dl: Column, avgdl: Column, n: Column, df: Column) -> Column
 
 def term_weights(memories: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(user_id, memory_id, term, weight): what each term of a memory adds to a BM25 score, summed over its fields; only ``terms``, if given."""
-    found = postings(memories, terms)
+    return weigh(postings(memories, terms), field_stats(memories))
+
+
+def weigh(found: DataFrame, stats: DataFrame) -> DataFrame:
+    """``term_weights`` from postings, all of their terms, and the statistics of their users' fields."""
     seen = found.groupBy("user_id", "field", "term").agg(F.count("*").alias("df"))
-    scored = found.join(seen, ["user_id", "field", "term"]).join(field_stats(memories), ["user_id", "field"])
+    scored = found.join(seen, ["user_id", "field", "term"]).join(stats, ["user_id", "field"])
     weight = bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n"), F.col("df"))
     return scored.groupBy("user_id", "memory_id", "term").agg(F.sum(F.round(weight, 9)).alias("weight"))
 

@@ -16,6 +16,8 @@ from ..functions.vectors import cosine
 from ..operators import consolidate, events, identity, ingest, recall, reports
 from ..operators.embedding import hash_embed
 from ..sources import store
+from ..sources.log import EventLog
+from ..sources.segments import Segments
 from ..sources.session import scratch
 from . import fixtures as X
 from .fixtures import sql
@@ -318,6 +320,17 @@ def hybrid_recall(spark, d):
     return recall.recall(made, rows, vectors, X.clock(spark, d)).select("query_id", "position", "memory_id", r9("score").alias("score"))
 
 
+@query(SQL["hybrid_recall"])
+def recall_segments(spark, d):
+    """The same from an index of segments: some memories as they were before an edit, then all edits, one more row that is removed, all merged."""
+    index, rows = Segments(spark, scratch(spark, "segments")), X.scored(spark, d)
+    index.update(rows.withColumn("content", F.when(F.col("memory_id") % 3 == 0, F.concat(F.lit("old words "), F.reverse("content"))).otherwise(F.col("content"))))
+    extra = rows.orderBy("memory_id").limit(1).withColumn("memory_id", F.lit(-1).cast("long"))
+    index.update(rows.filter("memory_id % 3 = 0").unionByName(extra))
+    index.update(extra.limit(0), extra.select("user_id", "memory_id"))
+    return index.recall(X.asked(spark, d), X.clock(spark, d)).select("query_id", "position", "memory_id", r9("score").alias("score"))
+
+
 @query(sql(f"SELECT query_id, position, memory_id, category, vector_rank, keyword_rank FROM (SELECT *, {TOP} FROM ans CROSS JOIN now n WHERE {ACTIVE.replace('now.now', 'n.now')}) WHERE position <= 8", "ans"))
 def recall_explain(spark, d):
     made, rows, vectors = batch(spark, d)
@@ -505,6 +518,17 @@ def fold_current(spark, d):
     return events.fold(log(spark, d)).select("memory_id", "user_id", "category", "expires_at", "superseded_by", "deleted_at", "updated_at", "access_count")
 
 
+@query(sql(FOLD, "mem", "roll"))
+def fold_incremental(spark, d):
+    """The same from a log of three batches, one folded into a state before, with events that come late."""
+    kept, rows = EventLog(spark, scratch(spark, "log")), log(spark, d)
+    for batch in range(3):
+        kept.append(rows.filter(F.col("seq") % 3 == (2 * batch) % 3), batch)
+        if batch < 2:
+            kept.compact(batch)
+    return kept.current().select("memory_id", "user_id", "category", "expires_at", "superseded_by", "deleted_at", "updated_at", "access_count")
+
+
 AUDIT = """SELECT user_id, memory_id, operation, "at", seq FROM (SELECT created_at AS "at", 0 AS seq, 'add' AS operation, * EXCLUDE (created_at) FROM mem
 UNION ALL SELECT created_at + INTERVAL 2 HOUR, 1, 'update', * EXCLUDE (created_at) FROM mem WHERE memory_id % 5 = 0
 UNION ALL SELECT deleted_at, 2, 'delete', * EXCLUDE (created_at) FROM mem WHERE deleted_at IS NOT NULL
