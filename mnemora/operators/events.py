@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SET = ["content", "category", "subcategory", "confidence", "expires_at"]
+#: Columns that events set; a log may lack some.
+SET = ["content", "category", "subcategory", "confidence", "expires_at", "tags", "entities", "client", "session_id"]
 
 
 KEYS = ["user_id", "memory_id"]
@@ -72,7 +73,7 @@ def _accesses(events: DataFrame) -> DataFrame:
 
 def _edits(events: DataFrame) -> DataFrame:
     """Each memory's events but accesses, in order, as ``_e``."""
-    fields = ["operation", "sets", "superseded_by", *SET]
+    fields = ["operation", "sets", "superseded_by", *(c for c in SET if c in events.columns)]
     rows = events.filter("operation <> 'access'").groupBy(*KEYS)
     return rows.agg(F.array_sort(F.collect_list(F.struct("at", F.col("seq").cast("long").alias("seq"), *fields))).alias("_e"))
 
@@ -80,7 +81,8 @@ def _edits(events: DataFrame) -> DataFrame:
 def _stepped(rows: DataFrame, base: DataFrame | None) -> DataFrame:
     """The state after ``_e``: from the columns of a state in ``rows`` if there is one, else from nothing."""
     kinds = {f.name: f.dataType for f in rows.schema["_e"].dataType.elementType.fields}
-    held = {**{c: kinds[c] for c in SET}, **{c: kinds["at"] for c in HELD[:3]}, "superseded_by": "long"}
+    own = [c for c in SET if c in kinds]
+    held = {**{c: kinds[c] for c in own}, **{c: kinds["at"] for c in HELD[:3]}, "superseded_by": "long"}
     start = F.struct(*((F.col(c) if base is not None else F.lit(None)).cast(t).alias(c) for c, t in held.items()))
 
     def step(s: Column, e: Column) -> Column:
@@ -88,7 +90,7 @@ def _stepped(rows: DataFrame, base: DataFrame | None) -> DataFrame:
         add, update = op == "add", (op == "update") & live
         retire = ((op == "supersede") & live) | ((op == "merge") & live & s["superseded_by"].isNull())
         touched = add | update | retire
-        out = [F.when(add | (update & F.array_contains(e["sets"], c)), e[c]).otherwise(s[c]).alias(c) for c in SET]
+        out = [F.when(add | (update & F.array_contains(e["sets"], c)), e[c]).otherwise(s[c]).alias(c) for c in own]
         out += [
             F.when(add, e["at"]).otherwise(s["created_at"]).alias("created_at"),
             F.when(touched, e["at"]).otherwise(s["updated_at"]).alias("updated_at"),

@@ -13,7 +13,7 @@ from ..engine import Engine
 from ..functions import prompts, render, scores
 from ..functions import text as T
 from ..functions.vectors import cosine
-from ..operators import consolidate, events, identity, ingest, recall, reports
+from ..operators import blocks, consolidate, events, identity, ingest, recall, reports
 from ..operators.embedding import hash_embed
 from ..sources import store
 from ..sources.log import EventLog
@@ -296,6 +296,14 @@ def bm25_topk(spark, d):
     return recall.keyword_leg(asked, X.memories(spark, d).filter("deleted_at IS NULL"), recall.measure(asked)).select("query_id", "memory_id", "bm25", "keyword_rank")
 
 
+@query(SQL["bm25_topk"])
+def bm25_blocks(spark, d):
+    """The same from blocks of postings, of which only those are read that can matter."""
+    asked = X.asked(spark, d).withColumn("depth", scores.candidate_depth(F.col("k")))
+    made = blocks.blocks(recall.term_weights(X.memories(spark, d).filter("deleted_at IS NULL")))
+    return blocks.keyword_leg(asked, made, recall.measure(asked)).select("query_id", "memory_id", "bm25", "keyword_rank")
+
+
 @query(sql("SELECT query_id, memory_id, vector_rank FROM near", "near"))
 def vector_topk(spark, d):
     made, rows, vectors = batch(spark, d)

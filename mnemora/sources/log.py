@@ -18,9 +18,8 @@ KEYS = ["user_id", "memory_id"]
 class EventLog:
     """A log in the folder ``path``; ``path``/current names the state and the last batch in it."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self.schema = schema
 
     def append(self, rows: DataFrame, batch: int) -> None:
         """Write a batch under its number; the same batch again replaces itself. Batches that the state holds are closed."""
@@ -42,19 +41,21 @@ class EventLog:
     def upto(self) -> int:
         return self.state()[1]
 
-    def events(self, after: int = -1) -> DataFrame:
-        """Events of the batches after one; earlier ones are pruned by folder."""
+    def events(self, after: int = -1, upto: int | None = None) -> DataFrame:
+        """Events of the batches after one and up to another; the rest are pruned by folder."""
         if not self._exists(f"{self.path}/log"):
             raise ValueError(f"{self.path} has no events")
-        return self.spark.read.parquet(f"{self.path}/log").filter(F.col("batch") > after)
+        rows = self.spark.read.parquet(f"{self.path}/log").filter(F.col("batch") > after)
+        return rows if upto is None else rows.filter(F.col("batch") <= upto)
 
-    def current(self) -> DataFrame:
-        """Current rows: the state with the later batches folded in."""
+    def current(self, batch: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """Current rows: the state with the later batches folded in, up to ``batch``; only those of ``keys``, if given."""
         path, upto = self.state()
-        if path is None:
-            return events.fold(self.events().drop("batch"))
-        base, tail = self.spark.read.parquet(path), self.events(upto).drop("batch")
-        return events.advance(base, tail, lambda keys: self.events().drop("batch").join(keys, KEYS, "left_semi"))
+        some = lambda rows: rows if keys is None else rows.join(keys, KEYS, "left_semi")
+        if path is None or (batch is not None and batch < upto):
+            return events.fold(some(self.events(-1, batch).drop("batch")))
+        base, tail = some(self.spark.read.parquet(path)), some(self.events(upto, batch).drop("batch"))
+        return events.advance(base, tail, lambda late: self.events(-1, batch).drop("batch").join(late, KEYS, "left_semi"))
 
     def compact(self, batch: int) -> None:
         """Make the state hold all batches up to ``batch``: written beside the old one, then pointed to."""

@@ -40,11 +40,14 @@ class TextIndex(Protocol):
 class Segments:
     """The index in the folder ``path``; ``path``/current lists the segments that count. It is a VectorIndex and a TextIndex."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, pinned: list[int] | None = None) -> None:
+        """``pinned`` are the segments that count where something else than ``path``/current keeps them."""
+        self.spark, self.path, self.pinned = spark, path.rstrip("/"), pinned
 
     def names(self) -> list[int]:
         """The segments that count, oldest first."""
+        if self.pinned is not None:
+            return self.pinned
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
         if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
             return []
@@ -80,15 +83,16 @@ class Segments:
         met = self.rows("postings").join(wanted, ["user_id", "term"], "left_semi").join(below, KEYS, "left")
         return met.filter(F.col("_below").isNull() | (F.col("segment") >= F.col("_below"))).select(*KEYS, "field", "term", "tf", "dl")
 
-    def update(self, rows: DataFrame, gone: DataFrame | None = None, files: int = 1) -> int:
+    def update(self, rows: DataFrame, gone: DataFrame | None = None, files: int = 1, n: int | None = None) -> int:
         """Write the segment of changed memories and point to it. ``rows`` are whole memories, new or edited; those that are
-        deleted, and the keys in ``gone``, are removed. What is written is in proportion to them. Returns the segment.
+        deleted, and the keys in ``gone``, are removed. What is written is in proportion to them. ``n`` numbers the segment, by
+        default after the last; one that is written again replaces itself. Returns the segment.
         """
         fresh = rows.filter("deleted_at IS NULL").select(*(f.name for f in S.MEMORIES))
         dead = rows.select(*KEYS)
         dead = (dead if gone is None else dead.unionByName(gone.select(*KEYS))).distinct()
         names = self.names()
-        n = max(self._written(), default=-1) + 1
+        n = max(self._written(), default=-1) + 1 if n is None else n
         vectors = embedding.hash_embed(fresh.select(*KEYS, "content"), KEYS, "content")
         self._write("memories", n, fresh, files)
         self._write("vectors", n, vectors, files)
@@ -116,6 +120,9 @@ class Segments:
         rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{table}/segment={n}")
 
     def _point(self, names: list[int]) -> None:
+        if self.pinned is not None:
+            self.pinned = names
+            return
         store.point_to(self.spark, f"{self.path}/current", " ".join(map(str, names)))
 
     def sizes(self) -> dict[int, tuple[int, int]]:
