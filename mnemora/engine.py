@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import schema as S
 from .functions import prompts
 from .operators import consolidate, embedding, events, ingest, recall, reconcile, reports
+from .operators import run as runs
 from .sources import store
 
 
@@ -79,6 +80,10 @@ class Engine:
         states = ingest.job_states(log, self.now)
         return states.withColumn("status", ingest.status_name(F.col("status")))
 
+    def job(self, log: DataFrame, owners: DataFrame, wanted: DataFrame) -> DataFrame:
+        """The record of each wanted (user_id, job_id); a foreign job is as if it did not exist."""
+        return ingest.job_of(self.jobs(log), owners, wanted)
+
     def shown(self, rows: DataFrame) -> DataFrame:
         """What a caller sees of memories."""
         return reports.responses(rows)
@@ -113,6 +118,10 @@ class Engine:
         sections, fresh = reports.digests(plan, answers)
         return reports.digest_profile(sections, users, plain, self.now), fresh
 
+    def consolidate(self, state: DataFrame, ask: Callable[[str], str] | None, path: str, threshold: float = S.SIMILARITY, max_calls: int = 100, max_retired: int = 5000, name: Column | None = None) -> runs.Run:
+        """A whole run: the events for the log, the marks to record and what became of every user; see ``operators.run``."""
+        return runs.consolidation(self.memories, self.vectors, self.now, state, ask, path, threshold, max_calls, max_retired, name)
+
     def merge(self, found: DataFrame, ask: Callable[[str], str]) -> DataFrame:
         """Replacements of the clusters that a model says are one thing; a cluster whose answer fails is kept, the others go on."""
         members = found.select("user_id", "cluster_id", "memory_id").join(self.memories, ["user_id", "memory_id"])
@@ -136,7 +145,7 @@ class Engine:
 
     def after(self, settled: reconcile.Reconciled) -> Engine:
         """The engine with what an ingest stored, replaced and deleted."""
-        made = reconcile.retire(self.memories.unionByName(settled.added), settled.done, self.now)
+        made = reconcile.retire(reconcile.rows_of(self.memories, self.now).unionByName(settled.added), settled.done, self.now)
         new = settled.candidates.join(settled.added.select("user_id", "memory_id"), ["user_id", "memory_id"], "left_semi")
         return Engine(made, self.vectors.select("user_id", "memory_id", "embedding").unionByName(new.select("user_id", "memory_id", "embedding")), self.now)
 

@@ -63,6 +63,15 @@ def retryable(kind: Column) -> Column:
     return kind.isin(*RETRYABLE)
 
 
+#: HTTP answers below 500 after which a model call is worth repeating.
+TRANSIENT = (408, 409, 429)
+
+
 def transient_status(status: Column) -> Column:
     """HTTP answers after which a model call is worth repeating."""
-    return (status >= 500) | status.isin(408, 409, 429)
+    return F.coalesce((status >= 500) | status.isin(*TRANSIENT), F.lit(False))
+
+
+def error_kind(status: Column) -> Column:
+    """The kind of error that an HTTP answer is to a job: what is worth repeating is ``internal``, the rest ``validation``; null for a good answer."""
+    return F.when(status < 300, None).otherwise(F.when(transient_status(status), "internal").otherwise("validation"))

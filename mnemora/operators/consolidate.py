@@ -77,32 +77,35 @@ def similar(groups: DataFrame, vectors: DataFrame, threshold: float = S.SIMILARI
     return rows.select(*GROUP, "memory_id", "embedding").groupBy(*GROUP).applyInArrow(run, "user_id long, category string, sub string, a long, b long, similarity double")
 
 
+def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row that each of ``n`` rows is linked to, over any number of links: labels spread along links and are looked up until they stay."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def clusters(pairs: DataFrame) -> DataFrame:
     """(user_id, category, sub, cluster_id, memory_id): connected components of links; the smallest id names the cluster.
 
-    Links never leave a group and a group is capped, so each group's union-find is one bounded task.
+    Links never leave a group and a group is capped, so each group is one bounded task.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a, b in zip(group.column("a").to_pylist(), group.column("b").to_pylist(), strict=True):
-            a, b = sorted((find(a), find(b)))
-            root[b] = a
-        named = [(find(x), x) for x in sorted(root)]
-        sizes: dict[int, int] = {}
-        for c, _ in named:
-            sizes[c] = sizes.get(c, 0) + 1
-        named = [(c, x) for c, x in named if sizes[c] > 1]
+        a, b = group.column("a").to_numpy(), group.column("b").to_numpy()
+        ids = np.unique(np.concatenate([a, b]))
+        label = labels(len(ids), np.searchsorted(ids, a), np.searchsorted(ids, b))
         first = group.slice(0, 1).to_pylist()[0]
-        n = len(named)
-        return pa.table({"user_id": pa.array([first["user_id"]] * n, pa.int64()), "category": pa.array([first["category"]] * n, pa.string()), "sub": pa.array([first["sub"]] * n, pa.string()), "cluster_id": pa.array([c for c, _ in named], pa.int64()), "memory_id": pa.array([x for _, x in named], pa.int64())})
+        n = len(ids)
+        return pa.table({"user_id": pa.array([first["user_id"]] * n, pa.int64()), "category": pa.array([first["category"]] * n, pa.string()), "sub": pa.array([first["sub"]] * n, pa.string()), "cluster_id": ids[label], "memory_id": ids})
 
     return pairs.select(*GROUP, "a", "b").groupBy(*GROUP).applyInArrow(run, "user_id long, category string, sub string, cluster_id long, memory_id long")
 

@@ -69,6 +69,38 @@ def model_embed(df: DataFrame, text_col: str, embed: Callable[[list[str]], np.nd
     return df.withColumn("embedding", run(F.col(text_col)))
 
 
+def ordered(reply: list[dict], n: int) -> list[list[float]]:
+    """The vectors of a provider's reply in the order of what was asked: by ``index`` where it says one, else as they come.
+
+    A reply with another number of vectors, or whose numbers are not those from 0 on, is an error.
+    """
+    if len(reply) != n:
+        raise ValueError(f"asked for {n} embeddings, got {len(reply)}")
+    rows = sorted((entry.get("index", i), i) for i, entry in enumerate(reply))
+    if [at for at, _ in rows] != list(range(n)):
+        raise ValueError("the embeddings are not numbered from 0 on, each once")
+    return [[float(x) for x in reply[i]["embedding"]] for _, i in rows]
+
+
+def remote_embed(df: DataFrame, text_col: str, post: Callable[[list[str]], list[dict]], dimensions: int, batch: int = 128, attempts: int = 3, wait: float = 0.5) -> DataFrame:
+    """``df`` with ``embedding`` from a provider: ``post`` sends a list of texts and gives entries {index, embedding} in any order.
+
+    Lost connections and statuses that may pass are tried again; a reply that does not fit what was asked stops the job.
+    """
+    from .ingest import patiently
+
+    def embed(texts: list[str]) -> np.ndarray:
+        return np.asarray(ordered(patiently(lambda: post(texts), attempts, wait), len(texts)), float)
+
+    return model_embed(df, text_col, embed, dimensions, batch)
+
+
+def other_pins(collections: DataFrame, model: str, dimensions: int) -> DataFrame:
+    """(model, dimensions, collections) of the pins that do not fit a model."""
+    other = collections.filter(~(F.col("model").eqNullSafe(model) & F.col("dimensions").eqNullSafe(dimensions)))
+    return other.groupBy("model", "dimensions").agg(F.count("*").alias("collections"))
+
+
 def check_pins(collections: DataFrame, model: str, dimensions: int) -> None:
     """Refuse to go on if any collection was embedded by another model or width. Distinct pins are few."""
     other = collections.select("model", "dimensions").distinct().filter((F.col("model") != model) | (F.col("dimensions") != dimensions)).take(1)

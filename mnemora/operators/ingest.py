@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as T
+from ..functions.scores import TRANSIENT
 
 CANDIDATE = "content string, category string, subcategory string, tags array<string>, entities array<struct<name:string,kind:string,type:string>>, confidence double"
 DECISION = "action string, memory_id string, reason string"
@@ -171,34 +172,58 @@ def json_salvage(reply: Column) -> Column:
     return run(reply)
 
 
-def decide(rows: DataFrame, ask: Callable[[str], str], prompt_col: str, attempts: int = 3, wait: float = 0.5) -> DataFrame:
+class ModelError(Exception):
+    """What a model's server answered instead of a reply: an HTTP status."""
+
+    def __init__(self, status: int, message: str = "") -> None:
+        super().__init__(status, message)
+        self.status = status
+
+
+def patiently(call: Callable[[], object], attempts: int, wait: float) -> object:
+    """The result of ``call``, which is repeated after a lost connection or a status that may pass, with a wait that doubles. The last error is raised."""
+    for tried in range(attempts):
+        try:
+            return call()
+        except (ConnectionError, ModelError) as e:
+            passes = isinstance(e, ConnectionError) or e.status >= 500 or e.status in TRANSIENT
+            if not passes or tried + 1 == attempts:
+                raise
+            time.sleep(wait * 2**tried)
+    raise ValueError("attempts must be at least 1")
+
+
+def decide(rows: DataFrame, ask: Callable[[str], str], prompt_col: str, attempts: int = 3, wait: float = 0.5, error_col: str | None = None) -> DataFrame:
     """``rows`` with ``answer``: what a caller's model says to each prompt, salvaged; one repair question after an unreadable answer.
 
-    ``ask`` raises ConnectionError for what is worth repeating, after ``wait`` seconds, doubled each time; after ``attempts``
-    the answer is null. Any other error concerns its own row alone, whose answer is null at once.
+    ``ask`` raises ConnectionError or a ModelError; those that may pass are repeated after ``wait`` seconds, doubled each
+    time; after ``attempts`` the answer is null. Any other error concerns its own row alone, whose answer is null at once. ``error_col``
+    receives the kind of error: ``internal`` (worth another attempt of the job), ``validation``, or ``unreadable``.
     """
 
-    @F.pandas_udf("string")
-    def run(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def once(prompt: str) -> str | None:
-            repaired = False
-            for tried in range(attempts):
-                try:
-                    reply = ask(prompt)
-                except ConnectionError:
-                    time.sleep(wait * 2**tried if tried + 1 < attempts else 0)
-                    continue
-                except Exception:  # noqa: BLE001 a row that breaks the model must not stop the others
-                    return None
-                if (got := salvage(reply)) is not None or repaired:
-                    return got
-                prompt, repaired = f"{prompt}\n\nThe answer was not JSON: {reply}", True
-            return None
+    @F.pandas_udf("answer string, error string")
+    def run(prompts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def once(prompt: str | None) -> tuple[str | None, str | None]:
+            if prompt is None:
+                return None, "validation"
+            try:
+                reply = patiently(lambda: ask(prompt), attempts, wait)
+                if (got := salvage(reply)) is None:
+                    got = salvage(patiently(lambda: ask(f"{prompt}\n\nThe answer was not JSON: {reply}"), attempts, wait))
+                return got, None if got is not None else "unreadable"
+            except ConnectionError:
+                return None, "internal"
+            except ModelError as e:
+                return None, "internal" if e.status >= 500 or e.status in TRANSIENT else "validation"
+            except Exception:  # noqa: BLE001 a row that breaks the model must not stop the others
+                return None, "validation"
 
         for part in prompts:
-            yield part.map(once)
+            yield pd.DataFrame([once(p) for p in part], columns=["answer", "error"])
 
-    return rows.withColumn("answer", run(F.col(prompt_col)))
+    said = rows.withColumn("_said", run(F.col(prompt_col)))
+    said = said.withColumn("answer", F.col("_said.answer"))
+    return (said if error_col is None else said.withColumn(error_col, F.col("_said.error"))).drop("_said")
 
 
 STOPPED = "the worker holding this job stopped"
@@ -244,6 +269,12 @@ def claimable(states: DataFrame, now: Column, n: int = 1) -> DataFrame:
     return states.filter((F.col("status") == "pending") & (F.col("run_after") <= now)).orderBy("run_after", "created_at", "job_id").limit(n)
 
 
+def job_of(states: DataFrame, owners: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The record of each wanted (user_id, job_id), ``owners`` saying whose a job is; a missing and a foreign job both have ``found`` false."""
+    own = states.join(owners.select("job_id", "user_id"), "job_id").withColumn("found", F.lit(True))
+    return wanted.select("user_id", "job_id").distinct().join(own, ["user_id", "job_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def status_name(status: Column) -> Column:
     """A job's status as a caller is told: a dead letter has failed."""
     return F.when(status == "dead_letter", "failed").otherwise(status)

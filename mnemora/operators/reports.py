@@ -160,6 +160,36 @@ def json_documents(memories: DataFrame, users: DataFrame, include_inactive: bool
     return made.select("user_id", F.concat(F.lit('{"memories":['), inner, F.lit("]}")).alias("json"))
 
 
+PLACE = ["part", "category", "newest", "memory_id"]
+
+
+def document_lines(memories: DataFrame, users: DataFrame, form: str, include_inactive: bool = False) -> DataFrame:
+    """(user_id, part, category, newest, memory_id, value): the lines of every user's export, a row each.
+
+    In the order of these columns, with a line end after each, they are the documents of ``markdown_documents`` and
+    ``json_documents``; a user of any size is spread over many rows, and nothing is gathered by user.
+    """
+    stamp = (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("newest")
+    none = lambda t: F.lit(None).cast(t)
+    row = lambda part, category, newest, memory, value: ["user_id", F.lit(part).alias("part"), category.alias("category"), newest.alias("newest"), memory.alias("memory_id"), value.alias("value")]
+    known = users.select("user_id", "handle")
+    if form == "json":
+        kept = memories.filter("deleted_at IS NULL").select("user_id", "memory_id", stamp)
+        rows = json_rows(memories, include_inactive).join(kept, ["user_id", "memory_id"]).join(known.select("user_id"), "user_id", "left_semi")
+        first = rows.groupBy("user_id").agg(F.min(F.struct("newest", "memory_id")).alias("first"))
+        comma = F.when(F.struct("newest", "memory_id") == F.col("first"), "").otherwise(",")
+        body = rows.join(first, "user_id").select(*row(1, none("string"), F.col("newest"), F.col("memory_id"), F.concat(comma, "json")))
+        ends = [known.select(*row(part, none("string"), none("long"), none("long"), F.lit(text))) for part, text in ((0, '{"memories":['), (2, "]}"))]
+        return ends[0].unionByName(body).unionByName(ends[1])
+    rows = markdown_rows(memories, include_inactive).join(known.select("user_id"), "user_id", "left_semi")
+    counts = rows.groupBy("user_id", "category").agg(F.count("*").alias("n"))
+    whole = known.join(counts.groupBy("user_id").agg(F.sum("n").alias("n")), "user_id", "left")
+    title = F.concat(F.lit("# Memories of "), F.col("handle"), F.lit("\n\n"), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" memories"))
+    head = whole.select(*row(0, none("string"), none("long"), none("long"), title))
+    headings = counts.select(*row(1, F.col("category"), none("long"), none("long"), F.concat(F.lit("\n## "), "category", F.lit("\n"))))
+    return head.unionByName(headings).unionByName(rows.select(*row(1, F.col("category"), stamp, F.col("memory_id"), F.col("line"))))
+
+
 def responses(memories: DataFrame) -> DataFrame:
     """(user_id, memory_id, json): what a caller is shown of a memory. Entities, client, importance and accesses stay inside; empty optional fields are left out."""
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)

@@ -818,10 +818,10 @@ def ingest_outcomes(spark, d):
     return done.select("user_id", "memory_id", "status", F.try_element_at("supersedes", F.lit(1)).alias("superseded"), F.try_element_at("deletes", F.lit(1)).alias("deleted"))
 
 
-@query(f"""{TURNS} SELECT operation, memory_id, by, confidence FROM (SELECT 'add' AS operation, id AS memory_id, NULL AS by, CAST(0.5 + size % 5 / 10 AS DOUBLE) AS confidence FROM r WHERE what IN ('add', 'replace') UNION ALL SELECT 'supersede', had, id, NULL FROM r WHERE what = 'replace' UNION ALL SELECT 'delete', had, NULL, NULL FROM r WHERE what = 'refute')""")
+@query(f"""{TURNS} SELECT operation, memory_id, link, confidence FROM (SELECT 'add' AS operation, id AS memory_id, NULL AS link, CAST(0.5 + size % 5 / 10 AS DOUBLE) AS confidence FROM r WHERE what IN ('add', 'replace') UNION ALL SELECT 'supersede', had, id, NULL FROM r WHERE what = 'replace' UNION ALL SELECT 'delete', had, NULL, NULL FROM r WHERE what = 'refute')""")
 def ingest_events(spark, d):
     """The log of an ingest."""
-    return settled_turns(spark, d)[1].events.select("operation", "memory_id", F.col("superseded_by").alias("by"), F.round("confidence", 9).alias("confidence"))
+    return settled_turns(spark, d)[1].events.select("operation", "memory_id", F.col("superseded_by").alias("link"), F.round("confidence", 9).alias("confidence"))
 
 
 @query(f"""{TURNS} SELECT id AS memory_id, 'the ' || role || ' has spoken' AS content, 'n' || size AS tags, (SELECT max(l.id) FROM r l WHERE l.what = 'replace' AND l.had = r.id) AS superseded_by, EXISTS (SELECT 1 FROM r l WHERE l.what = 'refute' AND l.had = r.id) AS deleted FROM r WHERE what IN ('add', 'replace')""")
@@ -836,11 +836,10 @@ def session_model(prompt: str) -> str:
     if prompt.startswith("New fact: "):
         return turn_decision(prompt).replace("UPDATE", "NOOP").replace("DELETE", "NOOP")
     lines = prompt.split("\n\n", 1)[1].rsplit("\n\n", 1)[0].split("\n")
-    said = [line for line in lines if line.startswith(("user: ", "assistant: "))]
-    return json.dumps([{"content": f"the session has {len(said)} turns", "category": "experience", "tags": ["session"]}, {"content": " "}])
+    return json.dumps([{"content": f"the session has {len(lines)} lines", "category": "experience", "tags": ["session"]}, {"content": " "}])
 
 
-@query("""SELECT g AS user_id, c AS content, min(conv_id) AS session_id, count(*) AS sessions FROM (SELECT conv_id, conv_id % 5 AS g, 'the session has ' || count(*) || ' turns' AS c FROM conversations GROUP BY conv_id) GROUP BY ALL""")
+@query("""SELECT g AS user_id, c AS content, min(conv_id) AS session_id, count(*) AS sessions FROM (SELECT conv_id, conv_id % 5 AS g, 'the session has ' || sum(1 + length(text) - length(replace(text, chr(10), '')))::BIGINT || ' lines' AS c FROM conversations GROUP BY conv_id) GROUP BY ALL""")
 def distill_sessions(spark, d):
     """Sessions of five users distilled and stored: the first that says a thing is kept, the others are known."""
     turns = X.table(spark, d, "conversations").withColumn("user_id", F.col("conv_id") % 5)
@@ -900,3 +899,5 @@ def json_salvage(spark, d):
     got = X.table(spark, d, "pages").select("page_id", ingest.json_salvage(reply).alias("json"))
     field = lambda x: F.coalesce(F.get_json_object("json", f"$.{x}"), F.get_json_object("json", f"$[0].{x}"))
     return got.select("page_id", field("url").alias("url"), F.md5(field("html").cast("binary")).alias("html"))
+
+from . import service  # noqa: E402, F401  registers further queries

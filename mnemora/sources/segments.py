@@ -88,7 +88,8 @@ class Segments:
         deleted, and the keys in ``gone``, are removed. What is written is in proportion to them. ``n`` numbers the segment, by
         default after the last; one that is written again replaces itself. Returns the segment.
         """
-        fresh = rows.filter("deleted_at IS NULL").select(*(f.name for f in S.MEMORIES))
+        own = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.MEMORIES]
+        fresh = rows.filter("deleted_at IS NULL").select(*own)
         dead = rows.select(*KEYS)
         dead = (dead if gone is None else dead.unionByName(gone.select(*KEYS))).distinct()
         names = self.names()

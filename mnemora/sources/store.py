@@ -70,21 +70,25 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(new, match, "left_anti").unionByName(rows.select(*table.columns))
 
 
-def export(memories: DataFrame, path: str, form: str, include_inactive: bool = False) -> None:
+def export(memories: DataFrame, path: str, form: str, include_inactive: bool = False, users: DataFrame | None = None) -> None:
     """Export files of (user_id, value), a line a memory, JSON or Markdown, users in order and each user's lines by category and age.
 
-    Rows are dealt by ranges of all these, so a user with very many memories fills several files. Documents with titles and
-    headings are ``reports.markdown_documents`` and ``json_documents``.
+    Rows are dealt by ranges of all these, so a user with very many memories fills several files. With ``users`` (user_id,
+    handle) the lines are those of whole documents, with titles and headings, of these users alone.
     """
-    if form == "json":
+    if form not in ("json", "markdown", "md"):
+        raise ValueError(f"unknown export format {form!r}")
+    if users is not None:
+        order = ["user_id", *reports.PLACE]
+        rows = reports.document_lines(memories, users, "json" if form == "json" else "markdown", include_inactive).repartitionByRange(*order)
+        rows.sortWithinPartitions(*order).select("user_id", "value").write.parquet(path)
+    elif form == "json":
         rows = reports.json_rows(memories, include_inactive)
         rows.repartitionByRange("user_id", "memory_id").sortWithinPartitions("user_id", "memory_id").select("user_id", F.col("json").alias("value")).write.parquet(path)
-    elif form in ("markdown", "md"):
+    else:
         order = ["user_id", "category", F.col("created_at").desc(), "memory_id"]
         rows = reports.markdown_rows(memories, include_inactive).repartitionByRange(*order)
         rows.sortWithinPartitions(*order).select("user_id", F.col("line").alias("value")).write.parquet(path)
-    else:
-        raise ValueError(f"unknown export format {form!r}")
 
 
 def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
