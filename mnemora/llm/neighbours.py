@@ -10,6 +10,7 @@ each in the first tree only in which a query meets it.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ TREES = 3
 LEAF, LEAST = 64, 16
 #: Recall that the calibration aims at, over the sample.
 TARGET = 0.965
+#: Where more than one leaf in so many is visited, their bounds are made together instead of one by one.
+BULK = 16
 #: Rows of either side of a bundle of leaves that one task takes at a time.
 CHUNK = 16_384
 
@@ -73,9 +76,38 @@ class Forest:
             out |= (along[:, j, None] >= self.centres[leaf, j]).astype(np.int64) << (self.bits - 1 - j)
         return out
 
+    @functools.cached_property
+    def levels(self) -> list[np.ndarray]:
+        """The nodes of all trees by depth."""
+        out, at = [], self.roots[self.roots >= 0]
+        while len(at):
+            out.append(at)
+            at = self.children[at].ravel()
+            at = at[at >= 0]
+        return out
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """The bound with which one query's queue would hold each leaf: the largest margin on its path by which the query lies on the other side."""
+        node, leaf = np.zeros(len(self.normals)), np.zeros(len(self.tree))
+        margins = self.normals @ x - self.offsets if len(self.normals) else np.zeros(0)
+        for at in self.levels:
+            near = self.children[at, (margins[at] >= 0).astype(np.int64)]
+            far = self.children[at, (margins[at] < 0).astype(np.int64)]
+            for child, bound in ((near, node[at]), (far, np.maximum(node[at], np.abs(margins[at])))):
+                node[child[child >= 0]] = bound[child >= 0]
+                leaf[-1 - child[child < 0]] = bound[child < 0]
+        gaps = self.directions @ x - self.centres
+        for j in range(self.bits):
+            gap = np.repeat(gaps[:, j], 1 << j)
+            other = np.maximum(leaf, np.abs(gap))
+            leaf = np.stack([np.where(gap >= 0, other, leaf), np.where(gap >= 0, leaf, other)], 1).ravel()
+        return leaf
+
     def search(self, x: np.ndarray, visits: int | None = None) -> list[list[int]]:
-        """The leaves that each query visits, in order, over all trees together."""
+        """The leaves that each query visits, in order, over all trees together; of the first ones that a full queue would give, where a good part is visited."""
         visits = visits or self.visits
+        if visits * BULK > len(self.tree) << self.bits:
+            return [np.argsort(self.bounds(q), kind="stable")[:visits].tolist() for q in x]
         margins = x @ self.normals.T - self.offsets if len(self.normals) else np.zeros((len(x), 0))
         further = (x @ self.directions.T).tolist()
         children, bits, centres = self.children.tolist(), self.bits, self.centres.tolist()
@@ -151,10 +183,11 @@ def fit(sample: np.ndarray, n: int, k: int, trees: int = TREES, leaf: int = LEAF
     total = len(forest.tree) << forest.bits
     if not own.size:
         return replace(forest, visits=total)
-    rank = np.full(own.shape, total, np.int64)
-    for q, order in enumerate(forest.search(asked, total if total <= 1 << 14 else 1 << 14)):
-        place = dict(zip(order, range(len(order)), strict=True))
-        rank[q] = [min(place.get(c, total) for c in where[i].tolist()) for i in own[q].tolist()]
+    rank = np.empty(own.shape, np.int64)
+    for q, x in enumerate(asked):
+        bounds = forest.bounds(x)
+        # a vector is found once the first of its leaves is visited: after all leaves with a smaller bound
+        rank[q] = np.searchsorted(np.sort(bounds), bounds[where[own[q]]].min(1), "right") - 1
     visits = int(np.quantile(rank, target, method="higher")) + 1
     return replace(forest, visits=min(total, max(visits, 2 * trees)))
 

@@ -211,3 +211,27 @@ def test_rare_dimensions_are_sampled(spark, monkeypatch):
     assert got[203] == (0, 203)
     near = neighbours.nearest(df, "vec_id", "embedding", F.col("vec_id") >= 200, 5, sample_rows=2).collect()
     assert sorted((r.query_id, r.vec_id) for r in near) == [(a, b) for a in range(200, 203) for b in range(200, 203) if a != b]
+
+
+def test_bulk_search_is_the_queue(monkeypatch):
+    """Leaves found by their bounds together have the bounds of those that the queue gives one by one."""
+    rng = np.random.default_rng(8)
+    sample = rng.normal(size=(600, 6))
+    for bits in (0, 3):
+        forest = neighbours.grow(sample, 3, 16, bits, 1)
+        asked, total = rng.normal(size=(20, 6)), len(forest.tree) << bits
+        for visits in (1, 7, total // 2, total):
+            monkeypatch.setattr(neighbours, "BULK", 0)
+            queue = forest.search(asked, visits)
+            monkeypatch.setattr(neighbours, "BULK", 10**9)
+            for x, bulk, one in zip(asked, forest.search(asked, visits), queue, strict=True):
+                bounds = forest.bounds(x)  # leaves with one bound may come in any order
+                assert len(set(bulk)) == len(set(one)) == visits and np.allclose(np.sort(bounds[bulk]), np.sort(bounds[one]))
+
+
+def test_calibration_has_no_cut():
+    """Vectors without structure in a forest of many leaves: the visits follow from the bounds, and are not all leaves for want of a longer search."""
+    rng = np.random.default_rng(9)
+    forest = neighbours.fit(rng.normal(size=(4096, 64)), 2_000_000, 10)
+    total = len(forest.tree) << forest.bits
+    assert total > 1 << 14 and forest.visits < total
