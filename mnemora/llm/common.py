@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is empty (tests, a laptop) a folder of this machine is used.
+    Where that setting is empty a folder of this machine is used in local mode only (tests, a laptop); on a cluster it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))

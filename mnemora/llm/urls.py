@@ -116,10 +116,11 @@ def strength(groups: DataFrame, mean: str, p: Reputation) -> float:
 def reputations(outcomes: DataFrame, p: Reputation, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """``outcomes`` (host, n labelled pages, good ones, and more) with rate and bound; hosts without labels get their prior.
 
-    Counts are sums of doubles below 2**53, so they are exact. Each level's table is far smaller than the one below.
+    Counts are sums of doubles below 2**53, so they are exact. Each level's table is far smaller than the one below; a domain
+    with very many hosts is met by them in as many parts as their number asks for.
     """
     hosts = outcomes.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.count("*").alias("hosts"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = suffixes.agg(F.sum("n"), F.sum("good")).first()
     top = ((total[1] or 0.0) + 1.0) / ((total[0] or 0.0) + 2.0)
@@ -130,8 +131,8 @@ def reputations(outcomes: DataFrame, p: Reputation, suffixes: Sequence[str] = SU
         return groups.withColumn(name, (F.col("good") + s * F.col("above")) / (F.col("n") + s))
 
     suffix_rate = shrunk(suffixes, "rate").select("suffix", F.col("rate").alias("above"))
-    domain_rate = shrunk(domains.join(suffix_rate, "suffix"), "rate").select("domain", F.col("rate").alias("above"))
-    hosts = hosts.join(domain_rate, "domain")
+    domain_rate = shrunk(domains.join(suffix_rate, "suffix"), "rate").select("domain", F.col("rate").alias("above"), F.col("hosts").alias("_hosts"))
+    hosts = meet(hosts, materialise(domain_rate, "domains"), ["domain"], "_hosts", F.xxhash64("host")).drop("_hosts")
     s = strength(hosts, "above", p)
     a, b = F.col("good") + s * F.col("above"), F.col("n") - F.col("good") + s * (1 - F.col("above"))
     rate, size = a / (a + b), a + b

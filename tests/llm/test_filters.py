@@ -445,3 +445,24 @@ def test_language_odd_rows(spark):
     empty = language.fit(docs.filter("false"), "doc_id", "text", "lang")
     assert {r.lang_pred for r in language.identify(docs, "text", empty, ["doc_id", "score"]).select("doc_id", "lang_pred").collect()} == {"und"}
     assert language.identify(docs.filter("false"), "text", model, ["doc_id"]).count() == 0
+
+
+def test_a_domain_with_most_hosts(spark, monkeypatch):
+    """One registered domain has nine hosts in ten: met in parts, with the same bounds."""
+    rows = [(f"h{i}.big.com" if i % 10 else f"own{i}.org", float(i % 3 > 0)) for i in range(400)]
+    df = spark.createDataFrame([(i, f"http://{h}/p", s) for i, (h, s) in enumerate(rows)], "page_id long, url string, score double").repartition(4)
+    whole = {r.page_id: r.bound for r in urls.judge(df, "page_id", "url", (), F.col("score")).collect()}
+    from mnemora.llm import common
+
+    monkeypatch.setattr(common, "HOT", 4)
+    parts = {r.page_id: r.bound for r in urls.judge(df, "page_id", "url", (), F.col("score")).collect()}
+    assert parts == whole and len(whole) == 400
+
+
+def test_word_counts_turn_a_host(spark):
+    """Without any marker: a host of pages with a few words each is blocked, one of long pages allowed."""
+    page = lambda n: f"<html><body><p>{'word ' * n}</p></body></html>"
+    rows = [(i, f"http://{'thin' if i % 2 else 'full'}.example.org/{i}", page(3 if i % 2 else urls.LEAST_WORDS)) for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = urls.judge(df, "page_id", "url", (), urls.page_outcome(F.col("url"), F.col("html"))).collect()
+    assert {(r.host, r.verdict) for r in got} == {("thin.example.org", "block"), ("full.example.org", "allow")}
