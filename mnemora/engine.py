@@ -13,6 +13,7 @@ from .functions import prompts
 from .operators import consolidate, embedding, events, ingest, recall, reconcile, reports
 from .operators import run as runs
 from .sources import store
+from .sources.session import share_code
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,9 @@ class Engine:
     vectors: DataFrame
     now: Column
 
+    def __post_init__(self) -> None:
+        share_code(self.memories.sparkSession)
+
     @classmethod
     def of(cls, memories: DataFrame, now: Column) -> Engine:
         """With hashed embeddings."""
