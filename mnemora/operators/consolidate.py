@@ -103,9 +103,10 @@ def clusters(pairs: DataFrame) -> DataFrame:
         a, b = group.column("a").to_numpy(), group.column("b").to_numpy()
         ids = np.unique(np.concatenate([a, b]))
         label = labels(len(ids), np.searchsorted(ids, a), np.searchsorted(ids, b))
+        many = np.bincount(label, minlength=len(ids))[label] > 1
         first = group.slice(0, 1).to_pylist()[0]
-        n = len(ids)
-        return pa.table({"user_id": pa.array([first["user_id"]] * n, pa.int64()), "category": pa.array([first["category"]] * n, pa.string()), "sub": pa.array([first["sub"]] * n, pa.string()), "cluster_id": ids[label], "memory_id": ids})
+        n = int(many.sum())
+        return pa.table({"user_id": pa.array([first["user_id"]] * n, pa.int64()), "category": pa.array([first["category"]] * n, pa.string()), "sub": pa.array([first["sub"]] * n, pa.string()), "cluster_id": ids[label[many]], "memory_id": ids[many]})
 
     return pairs.select(*GROUP, "a", "b").groupBy(*GROUP).applyInArrow(run, "user_id long, category string, sub string, cluster_id long, memory_id long")
 
