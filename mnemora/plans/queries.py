@@ -839,10 +839,10 @@ def session_model(prompt: str) -> str:
     return json.dumps([{"content": f"the session has {len(lines)} lines", "category": "experience", "tags": ["session"]}, {"content": " "}])
 
 
-@query("""SELECT g AS user_id, c AS content, min(conv_id) AS session_id, count(*) AS sessions FROM (SELECT conv_id, conv_id % 5 AS g, 'the session has ' || sum(1 + length(text) - length(replace(text, chr(10), '')))::BIGINT || ' lines' AS c FROM conversations GROUP BY conv_id) GROUP BY ALL""")
+@query("""SELECT g AS user_id, c AS content, min(conv_id) AS session_id, count(*) AS sessions FROM (SELECT conv_id, conv_id // 4 AS g, 'the session has ' || sum(1 + length(text) - length(replace(text, chr(10), '')))::BIGINT || ' lines' AS c FROM conversations GROUP BY conv_id) GROUP BY ALL""")
 def distill_sessions(spark, d):
-    """Sessions of five users distilled and stored: the first that says a thing is kept, the others are known."""
-    turns = X.table(spark, d, "conversations").withColumn("user_id", F.col("conv_id") % 5)
+    """Sessions of users with four each distilled and stored: the first that says a thing is kept, the others are known."""
+    turns = X.table(spark, d, "conversations").withColumn("user_id", F.floor(F.col("conv_id") / 4).cast("long"))
     engine = Engine.of(X.memories(spark, d).filter("false"), X.clock(spark, d))
     settled = engine.distill(turns, session_model, scratch(spark, "distill"))[0]
     drawn = settled.candidates.groupBy("user_id", "content").agg(F.count("*").alias("sessions"))
