@@ -92,8 +92,8 @@ class Engine:
         """What a caller sees of memories."""
         return reports.responses(rows)
 
-    def list(self, include_inactive: bool = False) -> DataFrame:
-        return store.listing(self.memories, include_inactive)
+    def list(self, include_inactive: bool = False, most: int | None = None) -> DataFrame:
+        return store.listing(self.memories, include_inactive, most)
 
     def find(self, user_id: int, memory_id: int) -> DataFrame:
         return store.find(self.memories, user_id, memory_id)
@@ -109,7 +109,7 @@ class Engine:
         groups = consolidate.grouped(self.memories, self.now)
         marks = consolidate.changed(consolidate.watermarks(groups), state)
         todo = groups.join(marks.select(*consolidate.GROUP), consolidate.GROUP, "left_semi")
-        return marks, consolidate.clusters(consolidate.similar(todo, self.vectors, threshold))
+        return marks, consolidate.linked(todo, self.vectors, threshold)
 
     def digest(self, users: DataFrame, cache: DataFrame, ask: Callable[[str], str] | None) -> tuple[DataFrame, DataFrame]:
         """(profiles written by a model, new cache rows): only digests that are not fresh are asked for; without a model the assembled profile."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import scores
-from .recall import active
+from .recall import active, matrix, usable
 
 GROUP = ["user_id", "category", "sub"]
 
@@ -49,32 +51,67 @@ def capped(groups: DataFrame, cap: int = S.GROUP_CAP) -> DataFrame:
     return groups.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= cap).drop("_n")
 
 
+def rows_of(groups: DataFrame, vectors: DataFrame, cap: int) -> DataFrame:
+    """(group key, d, memory_id, embedding) of the capped groups' memories; unusable vectors take no part, and vectors meet only those of their width ``d``."""
+    held = vectors.filter(usable(F.col("embedding"))).select("user_id", "memory_id", F.size("embedding").alias("d"), "embedding")
+    return capped(groups, cap).select(*GROUP, "memory_id").join(held, ["user_id", "memory_id"]).select(*GROUP, "d", "memory_id", "embedding")
+
+
+def near_blocks(x: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, cosine) of the rows i < j of ``x`` with cosine >= threshold, from the products of 512 rows with all; zero rows are near nothing."""
+    size = np.linalg.norm(x, axis=1)
+    unit = np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] > 0)
+    for at in range(0, len(x), 512):
+        near = np.clip(unit[at : at + 512] @ unit[at:].T, -1, 1)
+        i, j = np.nonzero((near >= threshold) & (size[at : at + 512, None] > 0) & (size[at:] > 0))
+        keep = i < j
+        yield i[keep] + at, j[keep] + at, near[i[keep], j[keep]]
+
+
+def in_order(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of a group's rows by id."""
+    ids = group.column("memory_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], matrix(group.column("embedding").combine_chunks())[order]
+
+
+def keyed(key: tuple[pa.Scalar, ...], n: int) -> dict[str, pa.Array]:
+    """The columns of a group's key, ``n`` rows of them."""
+    return {c: pa.array([v.as_py()] * n, v.type) for c, v in zip(GROUP, key, strict=False)}
+
+
 def similar(groups: DataFrame, vectors: DataFrame, threshold: float = S.SIMILARITY, cap: int = S.GROUP_CAP) -> DataFrame:
     """(user_id, category, sub, a, b, similarity) for a < b in one group with cosine >= threshold.
 
     A capped group is one bounded task: its vectors make one matrix, and blocks of products leave only the similar pairs.
     """
-    rows = capped(groups, cap).select(*GROUP, "user_id", "memory_id").join(vectors.select("user_id", "memory_id", "embedding"), ["user_id", "memory_id"])
 
-    def run(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("memory_id").to_numpy(), kind="stable")
-        ids = group.column("memory_id").to_numpy()[order]
-        x = np.array(group.column("embedding").to_pylist(), float)[order]
-        size = np.linalg.norm(x, axis=1)
-        unit = np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] > 0)
-        left, right, value = [], [], []
-        for at in range(0, len(x), 512):
-            near = np.clip(unit[at : at + 512] @ unit.T, -1, 1)
-            i, j = np.nonzero(near >= threshold)
-            keep = i + at < j
-            left.append(ids[i[keep] + at])
-            right.append(ids[j[keep]])
-            value.append(near[i[keep], j[keep]])
-        n = sum(map(len, left))
-        first = group.slice(0, 1).to_pylist()[0]
-        return pa.table({"user_id": np.full(n, first["user_id"]), "category": pa.array([first["category"]] * n, pa.string()), "sub": pa.array([first["sub"]] * n, pa.string()), "a": np.concatenate(left), "b": np.concatenate(right), "similarity": np.concatenate(value)})
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        ids, x = in_order(group)
+        left, right, value = (np.concatenate(c) for c in zip(*near_blocks(x, threshold), strict=True))
+        return pa.table({**keyed(key, len(left)), "a": ids[left], "b": ids[right], "similarity": value})
+
+    return rows_of(groups, vectors, cap).groupBy(*GROUP, "d").applyInArrow(run, "user_id long, category string, sub string, a long, b long, similarity double")
+
+
+def linked(groups: DataFrame, vectors: DataFrame, threshold: float = S.SIMILARITY, cap: int = S.GROUP_CAP) -> DataFrame:
+    """``clusters`` of the ``similar`` memories of every group, without its pairs: (user_id, category, sub, cluster_id, memory_id).
+
+    A group of the cap's size has up to two million pairs and as many rows as the cap, so links are taken up a block
+    of products at a time and only labels leave the task. A memory without a link is in no cluster.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        ids, x = in_order(group)
+        rows = label = np.arange(len(ids))
+        for i, j, _ in near_blocks(x, threshold):
+            new = label[i] != label[j]
+            if new.any():
+                label = labels(len(ids), np.concatenate([rows, i[new]]), np.concatenate([label, j[new]]))
+        many = np.bincount(label, minlength=len(ids))[label] > 1
+        return pa.table({**keyed(key, int(many.sum())), "cluster_id": ids[label[many]], "memory_id": ids[many]})
 
-    return rows.select(*GROUP, "memory_id", "embedding").groupBy(*GROUP).applyInArrow(run, "user_id long, category string, sub string, a long, b long, similarity double")
+    return rows_of(groups, vectors, cap).groupBy(*GROUP, "d").applyInArrow(run, "user_id long, category string, sub string, cluster_id long, memory_id long")
 
 
 def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

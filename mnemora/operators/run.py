@@ -48,7 +48,7 @@ def consolidation(memories: DataFrame, vectors: DataFrame, now: Column, state: D
     fine = memories.join(bad.select("user_id"), "user_id", "left_anti")
     groups = consolidate.grouped(fine, now)
     marks = written(consolidate.changed(consolidate.watermarks(groups), state), f"{path}/marks")
-    found = written(consolidate.clusters(consolidate.similar(groups.join(marks.select(*GROUP), GROUP, "left_semi"), vectors, threshold)), f"{path}/clusters")
+    found = written(consolidate.linked(groups.join(marks.select(*GROUP), GROUP, "left_semi"), vectors, threshold), f"{path}/clusters")
     taken = written(consolidate.budgeted(found, marks, max_calls, max_retired).select(*GROUP, "cluster_id", "retired", "stopped_by"), f"{path}/taken")
     todo = found.join(taken.filter("stopped_by IS NULL").select("user_id", "cluster_id"), ["user_id", "cluster_id"], "left_semi")
     members = todo.select("user_id", "cluster_id", "memory_id").join(memories, ["user_id", "memory_id"])

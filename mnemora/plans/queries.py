@@ -438,10 +438,16 @@ def recursive(select: str) -> str:
     return sql(select, "live", "vec").replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT '@' ", f", {PAIRS}, {PARTS} ")
 
 
+def embedded(spark, d):
+    return hash_embed(X.memories(spark, d).select("user_id", "memory_id", "content"), ["user_id", "memory_id"], "content")
+
+
 def similar(spark, d):
-    rows = X.memories(spark, d)
-    vectors = hash_embed(rows.select("user_id", "memory_id", "content"), ["user_id", "memory_id"], "content")
-    return consolidate.similar(groups(spark, d), vectors, THRESHOLD)
+    return consolidate.similar(groups(spark, d), embedded(spark, d), THRESHOLD)
+
+
+def linked(spark, d):
+    return consolidate.linked(groups(spark, d), embedded(spark, d), THRESHOLD)
 
 
 @query(recursive("SELECT '@' SELECT user_id, category, sub, a, b, round(s, 6) AS similarity FROM pairs"))
@@ -451,18 +457,24 @@ def similar_pairs(spark, d):
 
 @query(recursive("SELECT '@' SELECT user_id, category, sub, cluster_id, e.memory_id FROM parts p JOIN e ON e.memory_id = p.memory_id"))
 def clusters(spark, d):
+    return linked(spark, d)
+
+
+@query(SQL["clusters"])
+def clusters_of_pairs(spark, d):
+    """The same from pairs that are given."""
     return consolidate.clusters(similar(spark, d))
 
 
 @query(recursive("SELECT '@' SELECT user_id, category, cluster_id, count(*) AS size, string_agg(CAST(e.memory_id AS VARCHAR), ',' ORDER BY e.memory_id) AS members FROM parts p JOIN e ON e.memory_id = p.memory_id GROUP BY ALL"))
 def cluster_preview(spark, d):
-    shown = consolidate.previews(consolidate.clusters(similar(spark, d)), X.memories(spark, d))
+    shown = consolidate.previews(linked(spark, d), X.memories(spark, d))
     return shown.withColumn("members", F.array_join(F.transform("members", lambda x: x["memory_id"].cast("string")), ","))
 
 
 @query(recursive("SELECT '@' SELECT l.user_id, cluster_id, max(confidence) AS confidence, arg_min(subcategory, l.memory_id) FILTER (subcategory IS NOT NULL) AS subcategory, arg_min(category, l.memory_id) AS category, md5(arg_max(content, l.memory_id)) AS content, count(*) AS retired FROM parts p JOIN live l ON l.memory_id = p.memory_id GROUP BY ALL"))
 def merge_replacement(spark, d):
-    made = consolidate.replacements(consolidate.clusters(similar(spark, d)), X.memories(spark, d), X.clock(spark, d))
+    made = consolidate.replacements(linked(spark, d), X.memories(spark, d), X.clock(spark, d))
     return made.select("user_id", "cluster_id", "confidence", "subcategory", "category", F.md5(F.col("content").cast("binary")).alias("content"), "retired")
 
 
@@ -481,7 +493,7 @@ sizes AS (SELECT user_id, category, coalesce(subcategory, '') AS sub, count(*) A
 SELECT user_id, cluster_id, retired, CASE WHEN count(*) OVER w >= 5 THEN 'calls' WHEN coalesce(sum(retired) OVER w, 0) >= 12 THEN 'retired' END AS stopped_by
 FROM per JOIN sizes USING (user_id, category, sub) WINDOW w AS (PARTITION BY user_id ORDER BY size DESC, category, sub, cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""".replace("SELECT '@', per", "SELECT '@' , per")))
 def merge_budget(spark, d):
-    found = consolidate.clusters(similar(spark, d))
+    found = linked(spark, d)
     return consolidate.budgeted(found, consolidate.watermarks(groups(spark, d)), 5, 12).select("user_id", "cluster_id", "retired", "stopped_by")
 
 
@@ -656,7 +668,7 @@ def digest_budget(spark, d):
 @query(recursive("SELECT '@' SELECT l.user_id, cluster_id, md5(count(*) || ' memories that may say the same thing:' || chr(10) || string_agg(chr(10) || '[' || l.category || '; ' || array_to_string(tags, ', ') || '; ' || strftime(created_at, '%Y-%m-%d') || ']' || chr(10) || replace(replace(content, chr(13), ' '), chr(10), ' ') || chr(10), '' ORDER BY l.memory_id) || chr(10) || 'If they do, write the one memory that replaces them without losing a detail; if not, keep them.' || chr(10) || chr(10) || 'Answer with JSON of this shape only: {\"merge\": true or false, \"content\": text, \"category\": name, \"tags\": [text], \"reason\": text}') AS digest FROM parts p JOIN live l ON l.memory_id = p.memory_id GROUP BY ALL"))
 def merge_prompts(spark, d):
     """What a model is asked about each cluster."""
-    members = consolidate.clusters(similar(spark, d)).select("user_id", "cluster_id", "memory_id").join(X.memories(spark, d), ["user_id", "memory_id"])
+    members = linked(spark, d).select("user_id", "cluster_id", "memory_id").join(X.memories(spark, d), ["user_id", "memory_id"])
     return prompts.merge(members).select("user_id", "cluster_id", F.md5(F.col("prompt").cast("binary")).alias("digest"))
 
 

@@ -43,12 +43,27 @@ def current_path(spark: SparkSession, pointer: str) -> str:
     return spark.read.text(pointer, wholetext=True).first()[0]
 
 
-def listing(memories: DataFrame, include_inactive: bool = False) -> DataFrame:
-    """Not deleted and, unless inactive ones are wanted, not superseded; expired rows stay. Each user's newest first, with ``position``."""
+def listing(memories: DataFrame, include_inactive: bool = False, most: int | None = None) -> DataFrame:
+    """Not deleted and, unless inactive ones are wanted, not superseded; expired rows stay. Each user's newest first, with ``position``.
+
+    With ``most`` only each user's first ones, found before the shuffle. Without it no task sorts all of a user's memories:
+    they are numbered a day at a time, after the sums of the later days. A memory without a time comes last.
+    """
     rows = memories.filter("deleted_at IS NULL")
     rows = rows if include_inactive else rows.filter("superseded_by IS NULL")
-    order = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), "memory_id")
-    return rows.withColumn("position", F.row_number().over(order).cast("long"))
+    order = [F.col("created_at").desc(), F.col("memory_id")]
+    if most is not None:
+        own = Window.partitionBy("user_id").orderBy(*order)
+        return rows.withColumn("position", F.row_number().over(own).cast("long")).filter(F.col("position") <= most)
+    day = F.coalesce(F.to_date("created_at"), F.lit("0001-01-01").cast("date"))
+    days = rows.groupBy("user_id", day.alias("_day")).agg(F.count("*").alias("_n"))
+    later = Window.partitionBy("user_id").orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("user_id", "_day", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_later"))
+    own = Window.partitionBy("user_id", "_day").orderBy(*order)
+    numbered = rows.withColumn("_day", day).withColumn("_own", F.row_number().over(own))
+    days = days.withColumnsRenamed({"user_id": "_user", "_day": "_of"})
+    met = numbered.join(days, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("_day") == F.col("_of")))
+    return met.withColumn("position", (F.col("_later") + F.col("_own")).cast("long")).select(*rows.columns, "position")
 
 
 def find(memories: DataFrame, user_id: int, memory_id: int) -> DataFrame:
