@@ -40,15 +40,14 @@ class Shard:
         self.lang, self.gap = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
         self.cut = len(self.words) - ahead
 
-    def numbered(self, langs: list[str]) -> tuple[np.ndarray, list[tuple[str, str]]]:
-        """A number for each (lang, word) of the shard, and what the numbers stand for."""
+    def numbered(self, langs: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """A number for each (lang, word) of the shard, and the languages and words that the numbers stand for."""
         coded = self.words.dictionary_encode()
-        both = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(langs) + self.lang
-        seen = np.zeros(len(coded.dictionary) * len(langs), bool)
+        both = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * langs + self.lang
+        seen = np.zeros(len(coded.dictionary) * langs, bool)
         seen[both] = True
         number, found = np.cumsum(seen) - 1, np.flatnonzero(seen)
-        names = coded.dictionary.take(pa.array(found // len(langs))).to_pylist()
-        return number[both], [(langs[i], w) for i, w in zip((found % len(langs)).tolist(), names, strict=True)]
+        return number[both], found % langs, coded.dictionary.take(pa.array(found // langs))
 
 
 def shards(batches: Iterator[pa.RecordBatch], langs: list[str], ahead: int) -> Iterator[Shard]:
@@ -112,15 +111,17 @@ class Bitmaps:
     """The position bitmaps of a shard's words as entries (word, block, byte), and for every block the up to 8 words that have a bit there."""
 
     def __init__(self, word: np.ndarray, place: np.ndarray) -> None:
-        order = np.argsort(word, kind="stable")
-        word, block, bit = word[order], place[order] >> 3, (1 << (place[order] & 7)).astype(np.uint8)
+        n = int(place[-1] >> 3) + 2 if len(place) else 1
+        both = np.sort(word << 32 | place)
+        word, place = both >> 32, both & 0xFFFFFFFF
+        block, bit = place >> 3, (1 << (place & 7)).astype(np.uint8)
         first = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
         self.word, self.block = word[first], block[first]
         self.byte = np.bitwise_or.reduceat(bit, first) if len(first) else bit
-        n = int(place[-1] >> 3) + 2 if len(place) else 1
-        by_block = np.argsort(self.block, kind="stable")
-        at = self.block[by_block]
-        slot = np.arange(len(at)) - np.searchsorted(at, at)
+        both = np.sort(self.block << 32 | np.arange(len(self.block)))
+        at, by_block = both >> 32, both & 0xFFFFFFFF
+        begins = np.flatnonzero(np.diff(at, prepend=-1))
+        slot = np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at)))
         self.slot_word, self.slot_byte = np.zeros((n, 8), np.int64), np.zeros((n, 8), np.uint8)
         self.slot_word[at, slot], self.slot_byte[at, slot] = self.word[by_block], self.byte[by_block]
 
@@ -137,9 +138,9 @@ class Bitmaps:
 
 def phrases(shard: Shard, langs: list[str], salt: str, words: Marks, known: list[Marks], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(words' hashes, a row a phrase; popcounts) of the shard's phrases of ``size`` words whose words are in ``words`` and whose shorter parts are in ``known``, by length."""
-    number, names = shard.numbered(langs)
-    seeds = {x: xxhash.xxh64_intdigest(x.encode(), xxhash.xxh64_intdigest(salt, 42)) for x in langs}
-    own = np.fromiter((xxhash.xxh64_intdigest(w.encode(), seeds[x]) for x, w in names), np.uint64, len(names))
+    number, lang, names = shard.numbered(len(langs))
+    seeds = [xxhash.xxh64_intdigest(x.encode(), xxhash.xxh64_intdigest(salt, 42)) for x in langs]
+    own = np.fromiter(map(xxhash.xxh64_intdigest, names.cast(pa.binary()).to_numpy(zero_copy_only=False), map(seeds.__getitem__, lang.tolist())), np.uint64, len(names))
     place = np.arange(len(number)) + np.cumsum(shard.gap)
     good = words.has(own)[number]
     if not good[: shard.cut].any():
@@ -160,7 +161,7 @@ def phrases(shard: Shard, langs: list[str], salt: str, words: Marks, known: list
             of, word, block, byte = maps.extend(of, block, byte)
             if not len(of):
                 break
-            order = np.lexsort((word, of))
+            order = np.argsort(of * len(own) + word)
             of, word, block, byte = of[order], word[order], block[order], byte[order]
             new = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
             parent, added = of[new], word[new]
@@ -186,8 +187,8 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: list[str] = []
         for shard in shards(batches, langs, 0):
-            number, names = shard.numbered(langs)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in names], pa.string()), pa.array([w for _, w in names], pa.string()), pa.array(np.bincount(number, minlength=len(names)))], ["lang", "word", "f"])
+            number, lang, names = shard.numbered(len(langs))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(lang)), names, pa.array(np.bincount(number, minlength=len(names)))], ["lang", "word", "f"])
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return rows.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
