@@ -21,7 +21,7 @@ from .common import SIEVE_BITS, SIEVE_ROW, materialise
 from .letters import LOWER, joined, pieces, strings
 
 #: Words of a shard, and bitmap bytes from which phrases are extended at a time.
-SHARD, ROOTS = 1 << 20, 1 << 18
+SHARD, ROOTS = 1 << 17, 1 << 15
 #: What parts the words of a piece, and what parts pieces.
 BLANK, STOPS = " \t", ".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
