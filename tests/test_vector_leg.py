@@ -66,3 +66,17 @@ def test_a_hot_user_fills_many_tiles(spark, monkeypatch):
 def test_nothing(spark):
     assert answer(spark, [], []) == set()
     assert answer(spark, [(1, 1, 3, [0.0])], []) == set()
+
+
+def test_knn_with_copies(spark, tmp_path):
+    """A query's own row is never among its five, whether more copies than that come before it or not."""
+    from mnemora.plans.queries import knn_l2
+
+    rows = [(i, i % 2, [1.0, 2.0] if i in (2, 4, 6, 8, 10, 12, 20, 22) else [float(i), float(i % 7)]) for i in range(45)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    expected = set()
+    for q, label, y in rows:
+        if q % 20 == 0:
+            near = sorted((round(math.dist(x, y), 12), i) for i, other, x in rows if other == label and i != q)
+            expected |= {(q, i, rank, round(distance, 9)) for rank, (distance, i) in enumerate(near[:5], 1)}
+    assert {tuple(r) for r in knn_l2(spark, str(tmp_path)).select("query_id", "vec_id", "rank", "distance").collect()} == expected
