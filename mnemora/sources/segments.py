@@ -83,10 +83,11 @@ class Segments:
         met = self.rows("postings").join(wanted, ["user_id", "term"], "left_semi").join(below, KEYS, "left")
         return met.filter(F.col("_below").isNull() | (F.col("segment") >= F.col("_below"))).select(*KEYS, "field", "term", "tf", "dl")
 
-    def update(self, rows: DataFrame, gone: DataFrame | None = None, files: int = 1, n: int | None = None) -> int:
+    def update(self, rows: DataFrame, gone: DataFrame | None = None, files: int | None = None, n: int | None = None) -> int:
         """Write the segment of changed memories and point to it. ``rows`` are whole memories, new or edited; those that are
         deleted, and the keys in ``gone``, are removed. What is written is in proportion to them. ``n`` numbers the segment, by
-        default after the last; one that is written again replaces itself. Returns the segment.
+        default after the last; one that is written again replaces itself. Without ``files`` a table has as many as its size takes.
+        Memories are written first, and the other tables are made from what was written. Returns the segment.
         """
         own = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.MEMORIES]
         fresh = rows.filter("deleted_at IS NULL").select(*own)
@@ -94,17 +95,17 @@ class Segments:
         dead = (dead if gone is None else dead.unionByName(gone.select(*KEYS))).distinct()
         names = self.names()
         n = max(self._written(), default=-1) + 1 if n is None else n
-        vectors = embedding.hash_embed(fresh.select(*KEYS, "content"), KEYS, "content")
         self._write("memories", n, fresh, files)
+        fresh = self._segment("memories", n)
+        vectors = embedding.hash_embed(fresh.select(*KEYS, "content"), KEYS, "content")
         self._write("vectors", n, vectors, files)
         self._write("postings", n, recall.postings(fresh), files)
-        lengths = recall.field_lengths(fresh)
-        self._write("lengths", n, lengths, files)
+        self._write("lengths", n, recall.field_lengths(fresh), files)
         self._write("dead", n, dead if names else dead.limit(0), files)
-        sums = self._summed(lengths, 1)
+        sums = self._summed(self._segment("lengths", n), 1)
         if names:
-            sums = sums.unionByName(self._summed(self.live("lengths").join(dead, KEYS, "left_semi"), -1))
-        self._write("sums", n, sums.groupBy("user_id", "field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), 1)
+            sums = sums.unionByName(self._summed(self.live("lengths").join(self._segment("dead", n), KEYS, "left_semi"), -1))
+        self._write("sums", n, sums.groupBy("user_id", "field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), files)
         self._point([*names, n])
         return n
 
@@ -116,9 +117,15 @@ class Segments:
         found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at)
         return [int(x.getPath().getName().split("=")[1]) for x in found or []]
 
-    def _write(self, table: str, n: int, rows: DataFrame, files: int) -> None:
+    def _write(self, table: str, n: int, rows: DataFrame, files: int | None) -> None:
+        """Rows are dealt by key to so many files, or as many as their size takes, and each file is sorted; they are made once, as no ranges are sampled."""
         order = LAYOUT[table]
-        rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{table}/segment={n}")
+        dealt = rows.repartition(files, *order) if files else rows.repartition(*order)
+        dealt.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{table}/segment={n}")
+
+    def _segment(self, table: str, n: int) -> DataFrame:
+        """A table's rows as a segment holds them."""
+        return self.spark.read.parquet(f"{self.path}/{table}/segment={n}")
 
     def _point(self, names: list[int]) -> None:
         if self.pinned is not None:
@@ -134,7 +141,7 @@ class Segments:
         dead = {r[0]: r[1] for r in lost.collect()}
         return {n: (every.get(n, 0), every.get(n, 0) - dead.get(n, 0)) for n in self.names()}
 
-    def compact(self, most: int = 4, dead_share: float = 0.3, files: int = 1) -> list[int]:
+    def compact(self, most: int = 4, dead_share: float = 0.3, files: int | None = None) -> list[int]:
         """Merge all segments if more than ``dead_share`` of their rows are dead; else, if there are more than ``most`` of a size,
         the newest of them that together are no smaller than half the next. Returns the segments that were merged.
         """
@@ -155,7 +162,7 @@ class Segments:
             self._write(table, n, self.live(table, some), files)
         dead = self.rows("dead", some).select(*KEYS).distinct()
         self._write("dead", n, dead.limit(0) if some == names else dead, files)
-        self._write("sums", n, self.rows("sums", some).groupBy("user_id", "field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), 1)
+        self._write("sums", n, self.rows("sums", some).groupBy("user_id", "field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), files)
         self._point([*(x for x in names if x not in some), n])
         return some
 

@@ -95,3 +95,20 @@ def test_failed_answers_and_budgets_are_not_recorded(spark, tmp_path):
     assert sorted((r.memory_id, r.operation, r.superseded_by) for r in done.events.collect()) == [(1, "merge", 1001), (2, "merge", 1001), (4, "delete", None), (1001, "add", None)]
     done = run.consolidation(df, vectors_of(df), at(), state, ask, str(tmp_path / "b"), 0.99, max_retired=1, max_calls=1)
     assert {r.status for r in done.outcomes.collect()} <= {"processed", "failed"}
+
+
+def test_large_segments_are_several_files(spark, tmp_path):
+    """No table of a segment is made by one task, whatever its size: with small partitions left apart each table has several files."""
+    from mnemora.plans import fixtures as X
+    from mnemora.sources.segments import LAYOUT, Segments
+
+    index, rows = Segments(spark, str(tmp_path)), X.memories(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in range(2):
+            index.update(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for table in LAYOUT:
+        assert len(list((tmp_path / table / "segment=1").glob("*.parquet"))) > 1, table
+    assert index.memories.count() == rows.filter("deleted_at IS NULL").count()
