@@ -34,6 +34,12 @@ def blocks(weights: DataFrame) -> DataFrame:
     return dealt.withColumn("part", part).groupBy(*PLACE).agg(F.max("weight").alias("top"), F.count("*").alias("n"), F.collect_list(F.struct("memory_id", "weight")).alias("postings"))
 
 
+def write(made: DataFrame, path: str) -> DataFrame:
+    """``blocks`` written to a new path and read back: a batch of queries reads them several times, and they are made once."""
+    made.sortWithinPartitions(*PLACE).write.parquet(path)
+    return made.sparkSession.read.parquet(path)
+
+
 def read(made: DataFrame, chosen: DataFrame) -> DataFrame:
     """The postings of chosen blocks (PLACE and further columns), a row each."""
     met = made.select(*PLACE, "postings").join(chosen, PLACE)

@@ -37,3 +37,24 @@ def test_a_frequent_term_is_read_in_part(spark):
     assert blocks.read(made, alone.second).count() < 700
     beside = blocks.Plan(spark.createDataFrame([(1, 1, "the seldom", 20)], "query_id long, user_id long, text string, depth long"), made, 0)
     assert [r.term for r in beside.probed.collect()] == ["the"] and beside.candidates().count() <= 30
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_where_memories_are_read(spark):
+    """Postings shuffle nothing, and the weights for a small batch leave them where they are."""
+    rows = [(1, i, "a b b c " * i + "É é", ["b", "x"], "decision") for i in range(4)] + [(2, 9, "", None, None)]
+    memories = spark.createDataFrame(rows, "user_id long, memory_id long, content string, tags array<string>, category string")
+    got = {(r.memory_id, r.field, r.term): (r.tf, r.dl) for r in recall.postings(memories).collect()}
+    assert got[3, "content", "b"] == (6, 14) and got[3, "content", "é"] == (2, 14) and got[0, "tags", "x"] == (1, 2) and not [k for k in got if k[0] == 9]
+    assert len(got) == 4 * 3 + 3 * 3 + 4
+    assert "Exchange" not in plan(recall.postings(memories))
+    asked = spark.createDataFrame([(7, 1, 5, "b")], "query_id long, user_id long, depth long, term string")
+    assert "memory_id" not in "".join(line for line in plan(recall.weights_for(asked, memories, 1000)).split("\n") if "Exchange hashpartitioning" in line)
+
+
+def test_blocks_are_made_once(spark, tmp_path):
+    made = blocks.write(blocks.blocks(spark.createDataFrame(corpus(random.Random(3), 300), WEIGHT)), str(tmp_path / "blocks"))
+    assert "Exchange" not in plan(made) and made.agg(F.sum("n")).first()[0] == len(corpus(random.Random(3), 300))
