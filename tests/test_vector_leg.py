@@ -80,3 +80,48 @@ def test_knn_with_copies(spark, tmp_path):
             near = sorted((round(math.dist(x, y), 12), i) for i, other, x in rows if other == label and i != q)
             expected |= {(q, i, rank, round(distance, 9)) for rank, (distance, i) in enumerate(near[:5], 1)}
     assert {tuple(r) for r in knn_l2(spark, str(tmp_path)).select("query_id", "vec_id", "rank", "distance").collect()} == expected
+
+
+def test_words_are_hashed_in_slices():
+    """A batch of long texts is hashed a bounded number of words at a time, with the same vectors."""
+    import pyarrow as pa
+
+    from mnemora.operators import embedding
+
+    words = pa.array([["a", "b"], None, [], ["c"] * 9, ["a"], ["b", "c", "d"], []])
+    parts = list(embedding.sliced(words, 4))
+    assert pa.chunked_array(parts).to_pylist() == words.to_pylist()
+    assert all(len(p) == 1 or sum(len(w or []) for w in p.to_pylist()) <= 4 for p in parts) and len(parts) > 2
+    assert (np.concatenate([embedding.hashed(p, 64) for p in parts]) == embedding.hashed(words, 64)).all()
+
+
+def test_json_export_gathers_no_document(spark):
+    """No task holds a user's whole export to count its memories."""
+    from mnemora.plans.queries import export_json
+    from mnemora.plans.service import export_json_lines
+
+    for made in (export_json(spark, "/root/testdata/sf0.001"), export_json_lines(spark, "/root/testdata/sf0.001")):
+        assert "collect_list" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_json_lines_deal_no_texts_by_user(spark):
+    """No exchange by user alone carries the objects of an export, of which one user may have most."""
+    from mnemora.operators import reports
+    from mnemora.plans import fixtures as X
+    from mnemora.plans.queries import users
+
+    sf = "/root/testdata/sf0.001"
+    lines = reports.document_lines(X.memories(spark, sf), users(spark, sf), "json")
+    assert lines.filter("part = 1").count() == X.memories(spark, sf).filter("deleted_at IS NULL AND superseded_by IS NULL").count()
+
+    def nodes(p):
+        yield p
+        for i in range(p.children().size()):
+            yield from nodes(p.children().apply(i))
+
+    plan = lines._jdf.queryExecution().sparkPlan()
+    joins = [n for n in nodes(plan) if "Join" in n.nodeName()]
+    assert joins
+    for n in joins:
+        if n.leftKeys().size() == 1:
+            assert "json" not in n.children().apply(0).output().toString(), n.toString()
