@@ -105,6 +105,19 @@ def test_a_run_goes_on(spark, tmp_path):
     assert run(spark, tmp_path, [], payloads, ask=stand_in(tmp_path))[2] == first and (tmp_path / "asked").read_text() == asked
 
 
+def test_a_round_holds_only_those_who_wait(spark, tmp_path):
+    """A user who is settled is in no later round."""
+    run(spark, tmp_path, [memory(1, "x y"), memory(2, "q r", user=2)], [(1, 1, "a b\na c\na d", None), (2, 2, "z w", None)], alike=0.3)
+    kept = lambda n: {r.user_id for r in spark.read.parquet(str(tmp_path / "run" / f"round={n}" / "memories")).collect()}
+    assert (kept(1), kept(2), kept(3)) == ({1}, {1}, set())
+
+
+def test_marks_are_not_broadcast(spark, tmp_path):
+    settled, _, _ = run(spark, tmp_path, [memory(1, "a b")], [(1, 1, "a c", None)])
+    made = engine_of(spark, [memory(1, "a b")]).after(settled).memories
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nothing(spark, tmp_path):
     settled, failed, state = run(spark, tmp_path, [], [])
     assert settled.done.isEmpty() and settled.events.isEmpty() and failed.isEmpty() and not state
