@@ -192,7 +192,11 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 def gather(own: list[bytes], number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ends): the packed 32-bit ids of the parts ``number``, one after another, and where each part ends, after a first zero."""
     size = np.fromiter(map(len, own), np.int32, len(own)) // 4
-    flat, first = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size, dtype=np.int32) - size
+    return lay(np.frombuffer(b"".join(own), "<u4"), np.cumsum(size, dtype=np.int32) - size, size, number)
+
+
+def lay(flat: np.ndarray, first: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends) as of ``gather``, from parts that begin at ``first`` in ``flat`` and are ``size`` long."""
     n = size[number]
     ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])
     places = np.repeat(first[number] - ends[:-1], n)

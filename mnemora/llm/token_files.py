@@ -18,18 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_symbols
-from .common import Recent, fresh_path, gather, materialise, text_slices
+from .common import Recent, fresh_path, gather, lay, materialise, text_slices
 
 #: Bytes of text meant for one shard, and so one file.
 SHARD_BYTES = 48_000_000
-#: Distinct runs of text that a Python worker keeps (about 200 bytes each).
-CACHE_RUNS = 300_000
+#: Distinct words that a Python worker keeps (about 200 bytes each).
+CACHE_WORDS = 300_000
 #: Shards whose sizes one task adds up.
 BLOCK = 1024
 
@@ -37,7 +36,6 @@ BLOCK = 1024
 PLAIN = r"^[\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]*$"
 #: The public word pattern of this kind of vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORDS = regex.compile(WORD_PATTERN)
 #: The rules by which a vocabulary file of this kind prepares a text.
 RULES = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -60,8 +58,8 @@ FILE_FORMAT = {
 
 
 class WordTokenizer:
-    """A word-level BPE vocabulary file. No token crosses white space and runs between it repeat, so the
-    library encodes the words of each distinct run once. A file with other rules is left to the library whole.
+    """A word-level BPE vocabulary file. No token crosses white space, and the runs between it are split into words
+    that repeat, so the library encodes each distinct word once. A file with other rules is left to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -75,26 +73,29 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.known = all(spec.get(k) == v for k, v in RULES.items())
-        self.runs = Recent(CACHE_RUNS)
+        self.words = Recent(CACHE_WORDS)
 
-    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """Packed ids of words that are normalised and split already, so the library's model alone is wanted."""
-        tokenize, out = self.model.tokenize, {}
-        for w in words:
-            shown = w if w.isascii() else w.encode().decode("latin-1").translate(self.shown)
-            out[w] = array("i", [t.id for t in tokenize(shown)]).tobytes()
-        return out
-
-    def encode_runs(self, runs: list[str]) -> list[bytes]:
-        """Packed ids of runs of plain lower-case text without white space; most are a word, or a word and a stop."""
-        split = [(r,) if r.isalpha() else (r[:-1], r[-1]) if r[:-1].isalpha() and r[-1] in ".," else WORDS.findall(r) for r in runs]
-        got = self.encode_words({w for own in split for w in own}).__getitem__
-        return [got(own[0]) if len(own) == 1 else b"".join(map(got, own)) for own in split]
+        tokenize = self.model.tokenize
+        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.shown) for w in words]
+        return [array("i", [t.id for t in tokenize(w)]).tobytes() if w else b"" for w in shown]
+
+    def encode_runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, n): where in ``ids`` those of each run begin, and how many they are. Runs are distinct, of plain
+        lower-case text without white space; Python sees each distinct word of theirs once.
+        """
+        words = split_words(runs)
+        coded = words.flatten().dictionary_encode()
+        own = self.words.fetch(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.encode_words)
+        ids, ends = gather(own, coded.indices.to_numpy(zero_copy_only=False))
+        stops = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return ids, stops[:-1], np.diff(stops)
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many of each text): as the library gives them with add_special_tokens=False; null counts as empty.
 
-        Plain texts are lowered, split and reduced to distinct runs inside Arrow; Python sees each distinct run of the batch once.
+        Plain texts are lowered, split and reduced to distinct runs, and these to distinct words, inside Arrow.
         """
         texts = pc.fill_null(texts, "")
         plain = pc.match_substring_regex(texts, PLAIN) if self.known else pc.is_null(texts)
@@ -102,8 +103,7 @@ class WordTokenizer:
             plain = pc.and_(plain, pc.invert(pc.match_substring(texts, a)))
         split = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(plain, texts, "")))
         coded = split.flatten().dictionary_encode()
-        number, runs = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids, ends = gather(self.runs.fetch(runs, self.encode_runs), number)
+        ids, ends = lay(*self.encode_runs(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False))
         ids = ids.view("<i4")
         stops = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
         if (odd := np.flatnonzero(~plain.to_numpy(zero_copy_only=False))).size:
@@ -114,6 +114,18 @@ class WordTokenizer:
         return ids, np.diff(stops).astype(np.int64)
 
 
+def split_words(runs: pa.Array) -> pa.ListArray:
+    """The words of runs of plain lower-case text, as WORD_PATTERN splits them. Most runs are a word, or a word and a stop, and
+    are told by their characters' classes; the others go through the pattern.
+    """
+    word, head, last = pc.utf8_is_alpha(runs), pc.utf8_slice_codeunits(runs, 0, -1), pc.utf8_slice_codeunits(runs, -1)
+    stopped = pc.and_(pc.utf8_is_alpha(head), pc.is_in(last, pa.array([".", ","], runs.type)))
+    other = pc.invert(pc.or_(word, stopped))
+    spaced = pc.if_else(word, runs, pc.binary_join_element_wise(head, last, pa.scalar(" ", runs.type)))
+    spaced = pc.replace_with_mask(spaced, other, pc.replace_substring_regex(runs.filter(other), WORD_PATTERN, r"\0 "))
+    return pc.utf8_split_whitespace(spaced)
+
+
 @functools.lru_cache(4)
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)

@@ -3,12 +3,14 @@
 import hashlib
 import itertools
 import json
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -171,6 +173,25 @@ def test_op8_whole_table(spark):
         start += len(ids)
 
 
+def test_split_words_as_the_pattern_does():
+    plain = [c for c in map(chr, range(0x2100)) if re.match(token_files.PLAIN, c) and not c.isspace()]
+    plain = sorted({c.lower() for c in plain if len(c.lower()) == 1})
+    runs = ["", "it's", "'''s", "3.14", "a.,", "...", "don't.", "é.", "$$$", "x,y", *plain, *(f"a{c}" for c in plain), *(f"{c}." for c in plain), *(f"{c}'s{c}" for c in plain)]
+    want = [regex.findall(token_files.WORD_PATTERN, r) for r in runs]
+    assert [[w for w in x if w] for x in token_files.split_words(pa.array(runs)).to_pylist()] == want
+    assert [[w for w in x if w] for x in token_files.split_words(pa.array(["skip", *runs]).slice(1)).to_pylist()] == want
+
+
+def test_word_is_encoded_once_whatever_stands_beside_it(monkeypatch):
+    tok, seen = token_files.WordTokenizer(WORD), []
+    encode = tok.encode_words
+    monkeypatch.setattr(tok, "encode_words", lambda words: [seen.extend(w for w in words if w), encode(words)][1])
+    for t in ["Memory", "memory, and memory.", "and (memory)!", ""]:
+        ids, n = tok.encode_batch(pa.array([t]))
+        assert ids.tolist() == tok.whole.encode(t, add_special_tokens=False).ids and n.tolist() == [len(ids)]
+    assert sorted(seen) == sorted({"memory", ",", "and", ".", "(", ")!"})
+
+
 def test_token_files_odd_rows(spark, tmp_path):
     df = spark.createDataFrame(rows(), SCHEMA)
     path = str(tmp_path / "tokens")
