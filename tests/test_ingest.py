@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemora import schema as S
 from mnemora.engine import Engine
-from mnemora.operators import reconcile
+from mnemora.operators import recall, reconcile
 
 from .test_recall import NOW, memory
 
@@ -118,6 +118,43 @@ def test_marks_are_not_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def plans_of(monkeypatch):
+    """Plans of all that an ingest writes from now on, by their path's end."""
+    was, seen = reconcile.written, {}
+
+    def written(rows, path):
+        seen[path.split("run/")[1]] = rows._jdf.queryExecution().executedPlan().toString()
+        return was(rows, path)
+
+    monkeypatch.setattr(reconcile, "written", written)
+    return seen
+
+
+CHAINS = [(1, 1, "car red\ncar blue\nnot car blue\ncar green", None), (2, 2, "car old\nboat new", None), (3, 3, "sun", None)]
+
+
+def test_a_large_round_broadcasts_nothing(spark, tmp_path, monkeypatch):
+    """Beyond what is small no join of a round goes through the driver, however small its files are."""
+    rows = [memory(1, "car pink"), memory(2, "boat", user=2)]
+    expected = run(spark, tmp_path / "small", rows, CHAINS, alike=0.3)[2]
+    monkeypatch.setattr(reconcile, "ROUND_BYTES", -1, raising=False)
+    monkeypatch.setattr(recall, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(recall, "BROADCAST_ROWS", -1)
+    seen = plans_of(monkeypatch)
+    assert run(spark, tmp_path / "large", rows, CHAINS, alike=0.3)[2] == expected
+    assert "round=4/answers" in seen and not [at for at, plan in seen.items() if "BroadcastExchange" in plan]
+
+
+def test_a_small_round_is_one_task(spark, tmp_path, monkeypatch):
+    """The driver keeps no query stages of it, and the session's settings are as before."""
+    names = ["spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.maxSinglePartitionBytes", "spark.sql.autoBroadcastJoinThreshold"]
+    before, seen = [spark.conf.get(k, None) for k in names], plans_of(monkeypatch)
+    run(spark, tmp_path, [memory(1, "car pink")], CHAINS, alike=0.3)
+    own = [plan for at, plan in seen.items() if at.startswith("round=")]
+    assert len(own) == 12 and not [p for p in own if "AdaptiveSparkPlan" in p] and max(p.count("Exchange hashpartitioning") for p in own) <= 3
+    assert [spark.conf.get(k, None) for k in names] == before
+
+
 def test_nothing(spark, tmp_path):
     settled, failed, state = run(spark, tmp_path, [], [])
     assert settled.done.isEmpty() and settled.events.isEmpty() and failed.isEmpty() and not state
