@@ -118,6 +118,13 @@ def test_marks_are_not_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ids_belong_to_users(spark, tmp_path):
+    """Payloads and candidates of two users under the same ids do not meet."""
+    settled, _, _ = run(spark, tmp_path, [memory(1, "car pink"), memory(2, "boat old", user=2)], [(1, 1, "car red", ["Mine"]), (1, 2, "boat new\nsun", None)])
+    assert sorted((r.user_id, r.memory_id, r.content, r.tags) for r in settled.added.collect()) == [(1, 10, "car red", ["mine"]), (2, 10, "boat new", []), (2, 11, "sun", [])]
+    assert sorted((r.user_id, r.memory_id, r.status, r.supersedes) for r in settled.done.collect()) == [(1, 10, "stored", [1]), (2, 10, "stored", [2]), (2, 11, "stored", [])]
+
+
 def plans_of(monkeypatch):
     """Plans of all that an ingest writes from now on, by their path's end."""
     was, seen = reconcile.written, {}
